@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, simhash, token_counts, token_files, toxicity
+from . import bpe, decontaminate, licenses, neighbours, repeats, simhash, token_counts, token_files, toxicity, url_rules
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_simhash": simhash.op2_simhash,
+    "op3_repeats": repeats.op3_repeats,
     "op4_licenses": licenses.op4_licenses,
+    "op5_url_filters": url_rules.op5_url_filters,
     "op6_bpe": bpe.op6_bpe,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
