@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 from .words import NO_WORD, gram_hashes, hashed, keyed, words
 
-K, GAP, COVER = 2, 2, 0.8
+K, GAP, COVER = 2, 2, 0.9
 
 #: Fixed values of the base contract: phrase and label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -76,7 +76,7 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
         joined(F.collect_set("label")).alias("labels"),
         F.max("score").alias("score"),
     )
-    counted = rows.select("k", "doc_id", F.regexp_count("text", F.lit(NO_WORD.replace("[", "[^", 1))).cast("long").alias("n_words"))
+    counted = rows.select("k", "doc_id", F.regexp_count(F.lower("text"), F.lit(NO_WORD.replace("[", "[^", 1))).cast("long").alias("n_words"))
     out = counted.join(of_doc, "k", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

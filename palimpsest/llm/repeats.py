@@ -41,9 +41,9 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_MULT, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, _MULT)]).astype(np.uint64))
-        down = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, inverse)]).astype(np.uint64))
-    return up, down
+        up, down = (np.full(n, m, np.uint64) for m in (_MULT, inverse))
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 _TABLES: dict = {}
@@ -73,7 +73,7 @@ def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
         part = data[at : at + PIECE + width - 1]
         (up, down), value = _tables(PIECE + width)
         with np.errstate(over="ignore"):
-            total = np.concatenate([[0], np.cumsum(value[part] * up[: len(part)], dtype=np.uint64)]).astype(np.uint64)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[part] * up[: len(part)], dtype=np.uint64)])
             h = (total[gram:] - total[:-gram]) * down[: len(part) - gram + 1]
             h ^= h >> np.uint64(31)
             h *= np.uint64(0xBF58476D1CE4E5B9)
