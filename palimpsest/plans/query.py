@@ -58,9 +58,11 @@ def matches(col: Column, term: str, catalog: Catalog, merge_aware: bool) -> Colu
     return col == term
 
 
-def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False) -> DataFrame:
-    """Rows of one triple pattern: a column for each variable, and the interval from_, to_. A repeated variable must be equal."""
+def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False, firsts: DataFrame | None = None) -> DataFrame:
+    """Rows of one triple pattern: a column for each variable, and the interval from_, to_. A repeated variable must be equal. With firsts (entity, first), entities take part from their first selected version on."""
     v = catalog.validity
+    if firsts is not None:
+        v = v.join(firsts, "entity").withColumn("valid_from", F.greatest("valid_from", "first")).where("valid_to is null or valid_from < valid_to").drop("first")
     for col, x in zip("spo", t):
         if not is_var(x):
             v = v.where(matches(F.col(col), x, catalog, merge_aware and col != "p"))
@@ -85,11 +87,11 @@ def order(patterns: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     return out
 
 
-def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False) -> DataFrame | None:
+def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None) -> DataFrame | None:
     """Joins of all patterns with overlapping intervals: variables, from_, to_. Without patterns: None."""
     out = None
     for t in order(patterns):
-        p = pattern(catalog, t, merge_aware)
+        p = pattern(catalog, t, merge_aware, firsts)
         if out is None:
             out = p
             continue
@@ -163,7 +165,11 @@ class VersionQuery:
 
     def intervals(self) -> DataFrame:
         """Answers with the interval in which they hold, without expansion on the timeline: (variables..., from_, to_)."""
-        return solve(self.catalog, self.query.patterns, self.merge_aware)
+        return solve(self.catalog, self.query.patterns, self.merge_aware, self.firsts())
+
+    def firsts(self) -> DataFrame | None:
+        """(entity, first): the first selected version of each relevant entity; None without on_time."""
+        return self.selected().groupBy("entity").agg(F.min("time").alias("first")) if self.on_time is not None else None
 
     def bindings(self) -> DataFrame:
         times = self.timeline()
@@ -173,7 +179,7 @@ class VersionQuery:
         sure = {x[1:] for t in self.query.patterns for x in t if is_var(x)}
         for group in self.query.optionals:
             for t in group:  # each pattern extends a binding if it can
-                p = at(pattern(self.catalog, t, self.merge_aware)).distinct()
+                p = at(pattern(self.catalog, t, self.merge_aware, self.firsts())).distinct()
                 names = [c for c in p.columns if c != "time"]
                 shared = [c for c in names if c in out.columns]
                 doubt = [c for c in shared if c not in sure]
