@@ -102,7 +102,8 @@ def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None =
                 at = to
 
     rows = text_rows(documents)
-    shards = max(1, -(-input_bytes(documents) // shard_bytes))
+    size = input_bytes(documents)
+    shards = max(1, -(-size // shard_bytes)) if size < 1 << 56 else documents.sparkSession.sparkContext.defaultParallelism  # Spark doesn't know the size of every frame
     dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     # the cast keeps the bytes as they are; the writer copies them
     dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(out)
