@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, written
 
-SAMPLE, GRAPH, PARTS, PROBES, CHUNK, SEED = 4096, 10, 16, 9, 2048, 5
+SAMPLE, GRAPH, PARTS, PROBES, CHUNK, SEED = 4096, 10, 16, 12, 2048, 5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
