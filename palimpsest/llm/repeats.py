@@ -14,8 +14,8 @@ often as the longest document is long. So the documents are cut into aligned col
    when its suffix shares WIDTH bytes with a neighbour. Columns need only the order and
    the prefixes of the column before; strings arrive as sorted shuffle files, in batches.
 4. Anchors of more than HOT strings are dealt over several tasks. What stays unique in its task,
-   and one string for each window found repeated, meet again by hashes: of what the
-   windows of a block share, then of the windows (128 bits).
+   and one string for each window found repeated, meet again by hashes (128 bits): of what the
+   windows of a block share, of what those of its parts share, then of the windows.
 
 Equal texts are found first by a hash of 128 bits; all windows of such a text are repeated.
 """
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, prepare, records, table, written
 
-WIDTH, GRAM, HOT, BLOCK = 400, 64, 512, 32
+WIDTH, GRAM, HOT = 400, 64, 512
+#: Window starts of a block, and of the parts that a block is looked at in next.
+BLOCK, PART = 32, 4
 #: Window starts handled at once, and strings of a column-wise batch.
 PIECE, BATCH = 1 << 18, 30_000
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -156,7 +158,8 @@ def columnwise(group: np.ndarray, bodies: list[bytes], begin: np.ndarray, width:
 
 _ANCHOR = pa.schema([(n, pa.int64()) for n in ("t1", "t2", "h", "p", "a", "b")])
 _STRING = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("body", pa.binary())])
-_FOUND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("core", pa.binary()), ("windows", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64()))])
+_PART = pa.struct([("core", pa.binary()), ("windows", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("core", pa.binary()), ("parts", pa.list_(_PART))])
 _LONGS = "t1 long, t2 long, "
 
 
@@ -166,6 +169,12 @@ def _digest(data) -> bytes:
     return xxh3_128_digest(data)
 
 
+def _core(body: bytes, c0: int, number: int, size: int, width: int) -> bytes:
+    """Hash of what all windows of a block share. A string whose first window is c0 has all of it as soon as one of its windows is in the block; equal windows agree in it."""
+    lo, hi = number * size - c0, (number + 1) * size - 1 - c0
+    return _digest(body[hi : lo + width] + number.to_bytes(2, "little"))
+
+
 def _runs(row: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of set columns."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
@@ -230,8 +239,8 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
         t1, t2, a, b, p, n = (t.column(c).to_numpy() for c in ("t1", "t2", "a", "b", "p", "n"))
         out = {c: [] for c in _FOUND.names}
 
-        def put(i, x, y, core=None, windows=None, starts=None):
-            for c, v in zip(_FOUND.names, (t1[i], t2[i], x, y, core, windows, starts)):
+        def put(i, x, y, core=None, parts=None):
+            for c, v in zip(_FOUND.names, (t1[i], t2[i], x, y, core, parts)):
                 out[c].append(v)
 
         for i in np.flatnonzero(done).tolist():
@@ -264,13 +273,11 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
                 at = np.flatnonzero(first[r, c0 : c1 + 1] | ~marks[r, c0 : c1 + 1]) + c0
                 for block in np.unique(at // BLOCK).tolist():
                     cs = at[at // BLOCK == block]
-                    lo, hi = block * BLOCK, (block + 1) * BLOCK - 1
-                    # what all windows of the block share, as far as the string reaches: equal windows agree in it where both strings have the whole block
-                    if lo >= c0 and hi <= c1:
-                        core = _digest(body[hi - c0 : lo - c0 + width] + bytes([block]))
-                        put(i, None, None, core, [_digest(body[c - c0 : c - c0 + width]) for c in cs.tolist()], [int(c) - lead + int(p[i]) for c in cs])
-                    else:
-                        put(i, None, None, None, [_digest(body[c - c0 : c - c0 + width]) for c in cs.tolist()], [int(c) - lead + int(p[i]) for c in cs])
+                    inside = []
+                    for part in np.unique(cs // PART).tolist():
+                        ws = cs[cs // PART == part].tolist()
+                        inside.append({"core": _core(body, c0, part, PART, width), "windows": [_digest(body[c - c0 : c - c0 + width]) for c in ws], "starts": [c - lead + int(p[i]) for c in ws]})
+                    put(i, None, None, _core(body, c0, block, BLOCK, width), inside)
         return records(_FOUND, **out)
 
     def build(batches):
@@ -291,17 +298,15 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
         if held:
             yield solve(held)
 
-    parts = written(dealt.mapInArrow(build, _LONGS + "a long, b long, core binary, windows array<binary>, starts array<long>"), "found")
+    parts = written(dealt.mapInArrow(build, _LONGS + "a long, b long, core binary, parts array<struct<core:binary,windows:array<binary>,starts:array<long>>>"), "found")
     spans = parts.where("a is not null").select("t1", "t2", "a", "b")
-    open_ = parts.where("windows is not null")
+    open_ = parts.where("core is not null").select("t1", "t2", "core", "parts")
     if not open_.isEmpty():
-        twice = open_.where("core is not null").groupBy("core").agg(F.count("*").alias("c"), F.min("core").alias("_")).where("c > 1").select("core")
-        # a string that ends within the block has no core of it, so its windows are compared at once; so are those of whole blocks at the edges of such strings
-        edge = open_.where("core is null").select("t1", "t2", F.explode(F.arrays_zip("windows", "starts")).alias("w"))
-        whole = open_.where("core is not null")
-        inner = whole.join(twice, "core").select("t1", "t2", F.explode(F.arrays_zip("windows", "starts")).alias("w"))
-        outer = whole.join(twice, "core", "left_anti").select("t1", "t2", F.explode(F.arrays_zip("windows", "starts")).alias("w")).join(edge.select(F.col("w.windows").alias("x")).distinct(), F.col("w.windows") == F.col("x"), "left_semi")
-        rows = edge.union(inner).union(outer).select("t1", "t2", F.col("w.windows").alias("w"), F.col("w.starts").alias("a"))
+        # windows of a core that only one string has are unique; the others go on, part by part
+        met = lambda rows: rows.join(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "core")
+        inside = written(met(open_).select("t1", "t2", F.explode("parts").alias("x")).select("t1", "t2", "x.core", "x.windows", "x.starts"), "parts")
+        rows = met(inside).select("t1", "t2", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("t1", "t2", F.col("w.windows").alias("w"), F.col("w.starts").alias("a"))
+        rows = written(rows, "windows")
         same = rows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
         spans = spans.union(rows.join(same, "w").select("t1", "t2", "a", F.col("a").alias("b")))
     grouped = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("spans"))
