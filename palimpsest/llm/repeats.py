@@ -199,7 +199,8 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
 
     # one row of equal texts is enough: the others have its windows
     found = written(plain.mapInArrow(find, "t1 long, t2 long, h long, p long, a long, b long").distinct(), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that the join below can split a frequent anchor's rows over tasks
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
     wanted = found.join(often, "h").groupBy("t1", "t2").agg(F.collect_list(F.array("h", "n", "p", "a", "b")).alias("at"))
     wanted = wanted.join(copies.select("t1", "t2", "id"), ["t1", "t2"])
 
