@@ -217,9 +217,9 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
                     if times[h] > 1:  # equal strings within a text (periods) are settled here, and one goes on
                         key = (h, a - p, body)
                         if key in seen:
-                            rows.append((h, 0, t1, t2, p, a, z, None))
+                            rows.append((h, n, t1, t2, p, a, z, None))
                             if seen[key]:
-                                rows.append((h, 0, t1, t2, *seen[key], None))
+                                rows.append((h, n, t1, t2, *seen[key], None))
                                 seen[key] = None
                             continue
                         seen[key] = (p, a, z)
