@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ from .common import id_text, prepare, records, table, text_rows
 from .units import UnitCache, units
 
 NONE = np.int32(2**31 - 1)
+#: Units and pre-tokens kept per worker.
+KEPT_UNITS, KEPT_PIECES = 400_000, 200_000
+#: Packed ids are little-endian numbers of four bytes.
+ID = "<u4"
 #: Cells of one matrix at most.
 CELLS = 1 << 21
 
@@ -75,8 +80,8 @@ class Ranks:
             todo, key, at = todo[on], key[on], (at[on] + 1) & self.mask
         return out.reshape(shape)
 
-    def merge(self, rows: np.ndarray) -> list[np.ndarray]:
-        """The final ids of each row of a matrix of byte ids, padded with -1 on the right."""
+    def merge(self, rows: np.ndarray) -> list[bytes]:
+        """The final ids of each row of a matrix of byte ids, padded with -1 on the right; packed (see ID)."""
         out: list = [None] * len(rows)
         index = np.arange(len(rows))
         rank = self.rank(rows[:, :-1], rows[:, 1:]) if rows.shape[1] > 1 else np.full((len(rows), 0), NONE, np.int32)
@@ -85,8 +90,12 @@ class Ranks:
             low = rank[np.arange(len(rows)), best] if rank.shape[1] else np.full(len(rows), NONE)
             done = low == NONE
             if done.any():
-                for i, row in zip(index[done].tolist(), rows[done]):
-                    out[i] = row[row >= 0]
+                ended = rows[done]
+                true = ended >= 0
+                data = ended[true].astype(ID).tobytes()
+                ends = accumulate((4 * true.sum(1)).tolist(), initial=0)
+                for i, (a, b) in zip(index[done].tolist(), pairwise(ends)):
+                    out[i] = data[a:b]
                 rows, rank, index, best, low = rows[~done], rank[~done], index[~done], best[~done], low[~done]
                 if not len(rows):
                     break
@@ -109,27 +118,26 @@ class Ranks:
                 rows, rank = rows[:, :width], rank[:, : max(0, width - 1)]
         return out
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token. A piece that is a token is that token; others merge, in matrices of about equal lengths."""
-        out: list = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token. A piece that is a token is that token; others merge, in matrices of about equal lengths."""
+        out: list = [b""] * len(pieces)
         bucket: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (k := self.ranks.get(p)) is not None:
-                out[i] = np.array([k], np.int32)
+                out[i] = k.to_bytes(4, "little")
             elif p:
                 bucket.setdefault((len(p) - 1).bit_length(), []).append(i)
-            else:
-                out[i] = np.zeros(0, np.int32)
         for members in bucket.values():
             members.sort(key=lambda i: len(pieces[i]))
             at = 0
             while at < len(members):
                 take = members[at : at + max(1, CELLS // len(pieces[members[-1]]))]
                 at += len(take)
-                width = max(len(pieces[i]) for i in take)
+                data = [pieces[i] for i in take]
+                length = np.fromiter(map(len, data), np.int64, len(data))
+                width = int(length.max())
                 rows = np.full((len(take), width), -1, np.int32)
-                for r, i in enumerate(take):
-                    rows[r, : len(pieces[i])] = self.byte[np.frombuffer(pieces[i], np.uint8)]
+                rows[np.arange(width) < length[:, None]] = self.byte[np.frombuffer(b"".join(data), np.uint8)]
                 for i, ids in zip(take, self.merge(rows)):
                     out[i] = ids
         return out
@@ -150,24 +158,21 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = Ranks(ranks), regex.compile(pattern)
-        self.cache = UnitCache(self._units)
+        self.cache = UnitCache(self._units, KEPT_UNITS)
+        self.pieces = UnitCache(self._pieces, KEPT_PIECES)
 
-    def _units(self, unseen: list[str]) -> list[tuple[int, ...]]:
+    def _pieces(self, unseen: list[str]) -> list[bytes]:
+        return self.ranks.encode_pieces([p.encode("utf-8") for p in unseen])
+
+    def _units(self, unseen: list[str]) -> list[bytes]:
         parts = [self.split.findall(u) for u in unseen]
-        distinct = sorted(set().union(*parts))
-        known = dict(zip(distinct, (tuple(x.tolist()) for x in self.ranks.encode_pieces([p.encode("utf-8") for p in distinct])), strict=True))
-        return [tuple(i for p in ps for i in known[p]) for ps in parts]
+        known = self.pieces.lookup(parts)
+        return [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in parts]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [units(t) for t in texts]
         known = self.cache.lookup(cut)
-        out = []
-        for us in cut:
-            ids: list[int] = []
-            for u in us:
-                ids += known[u]
-            out.append(ids)
-        return out
+        return [np.frombuffer(b"".join(map(known.__getitem__, us)), ID).tolist() for us in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, ids))
