@@ -20,6 +20,8 @@ from .units import UnitCache, units
 LIMIT = 512
 #: Bytes of texts in one go.
 GO = 1 << 20
+#: Units kept per worker where an outcome is small.
+KEPT = 600_000
 
 
 @lru_cache(4)
@@ -36,7 +38,7 @@ def library(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cuts_safely(path: str) -> bool:
@@ -55,7 +57,7 @@ def cuts_safely(path: str) -> bool:
 @lru_cache(4)
 def lengths(path: str) -> UnitCache:
     encode = library(path)
-    return UnitCache(lambda unseen: [len(x) for x in encode(unseen)])
+    return UnitCache(lambda unseen: [len(x) for x in encode(unseen)], KEPT)
 
 
 def count_tokens(path: str, texts: list[str]) -> list[int]:

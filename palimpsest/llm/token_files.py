@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, input_bytes, new_path, prepare, records, table, text_rows
-from .token_counts import GO, cuts_safely_cached, library
+from .token_counts import GO, KEPT, cuts_safely_cached, library
 from .units import UnitCache, units
 
 #: Bytes of input for one shard, as Spark estimates them; reading a shard takes a few times that memory.
@@ -65,7 +66,14 @@ def parse(data: bytes, at: int = 0):
 @lru_cache(4)
 def _units_to_ids(path: str, width: int) -> UnitCache:
     encode = library(path)
-    return UnitCache(lambda unseen: [np.array(x, f"<u{width}").tobytes() for x in encode(unseen)])
+
+    def packed(unseen: list[str]) -> list[bytes]:
+        lists = encode(unseen)
+        data = np.fromiter(chain.from_iterable(lists), f"<u{width}").tobytes()
+        ends = list(accumulate((len(x) * width for x in lists), initial=0))
+        return [data[a:b] for a, b in pairwise(ends)]
+
+    return UnitCache(packed, KEPT)
 
 
 def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[bytes]:

@@ -17,45 +17,59 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units kept per worker, and the longest unit kept.
 KEPT, LONGEST = 400_000, 64
 _NEXT_TO_BLANK = re.compile(r"\s | \s")
+#: All other characters that count as white space.
+_RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def _all_blanks_cut(text: str) -> bool:
+    """Whether every blank stands between two characters that are no white space."""
+    if text[0] == " " or text[-1] == " ":
+        return False
+    if any(c in text for c in _RARE):
+        return not _NEXT_TO_BLANK.search(text)
+    return "  " not in text and " \n" not in text and "\n " not in text
 
 
 def units(text: str) -> list[str]:
     """text, cut before each safe blank; every unit but the first begins with its blank."""
     if not text:
         return []
-    parts = text.split(" ") if text[0] != " " and text[-1] != " " and not _NEXT_TO_BLANK.search(text) else CUT.split(text)
+    if _all_blanks_cut(text):
+        if "\0" not in text:  # the quickest way to keep each blank
+            return text.replace(" ", "\0 ").split("\0")
+        parts = text.split(" ")
+    else:
+        parts = CUT.split(text)
     return [parts[0], *(" " + p for p in parts[1:])]
 
 
 class UnitCache:
-    """Per-worker outcome of each unit. encode gets a list of distinct unseen units and returns as many outcomes."""
+    """Per-worker outcome of each unit, in two generations. encode gets a list of distinct unseen units and returns as many outcomes.
+
+    Units that are met move to the young generation; when that has half of kept, it becomes
+    the old one and the units that were not met since are forgotten.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list], kept: int = KEPT):
-        self.encode, self.kept, self.known = encode, kept, {}
+        self.encode, self.half = encode, max(1, kept // 2)
+        self.young, self.old, self.passing = {}, {}, []
 
     def lookup(self, lists: list[list[str]]) -> dict:
-        """A table that has every unit of lists. It is this cache, or beyond its bound a fresh one for this call."""
-        known = self.known
-        missing = set().union(*lists) - known.keys() if lists else set()
-        if missing:
-            missing = sorted(missing)
-            got = dict(zip(missing, self.encode(missing), strict=True))
-            if len(known) + len(got) > self.kept:
-                needed = set().union(*lists)
-                self.known = known = {u: known[u] for u in needed if u in known}
-            keep = {u: v for u, v in got.items() if len(u) <= LONGEST}
-            known.update(keep)
-            if len(keep) < len(got):
-                return {**known, **got} if len(known) < 50_000 else _Layered(got, known)
-        return known
-
-
-class _Layered(dict):
-    """got first, then known, without a copy of known."""
-
-    def __init__(self, got: dict, known: dict):
-        super().__init__(got)
-        self.under = known
-
-    def __missing__(self, key):
-        return self.under[key]
+        """A table that has every unit of lists, valid until the next call."""
+        for u in self.passing:
+            del self.young[u]
+        self.passing = []
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = set().union(*lists) - young.keys()
+        unseen = []
+        for u in missing:
+            if u in old:
+                young[u] = old[u]
+            else:
+                unseen.append(u)
+        if unseen:
+            young.update(zip(unseen, self.encode(unseen), strict=True))
+            self.passing = [u for u in unseen if len(u) > LONGEST]
+        return young
