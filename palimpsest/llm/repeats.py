@@ -122,7 +122,7 @@ def columnwise(group: np.ndarray, bodies: list[bytes], begin: np.ndarray, width:
                 if not len(keep):
                     order, lcp = order[:0], lcp[:0]
                     continue
-                lcp = np.minimum.reduceat(lcp, np.concatenate([[0], keep[:-1] + 1])) if len(keep) else lcp[:0]
+                lcp = np.minimum.reduceat(lcp[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1]))
                 order = order[keep]
         if not len(order):
             continue

@@ -136,6 +136,29 @@ def test_repeats(spark, texts, hot, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len(texts) + 1
 
 
+def test_repeats_beside_a_text_that_shares_one_gram(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n, low=97: rng.integers(low, low + 11, n).astype(np.uint8).tobytes()
+    made = [(repeats.anchors(np.frombuffer(p, np.uint8)), p) for p in (noise(450) for _ in range(400))]
+    (_, places, *_), passage = min((x for x in made if len(x[0][0]) == 1 and 150 < x[0][1][0] < 250), key=lambda x: x[0][0].view(np.uint64)[0])
+    gram = passage[places[0] : places[0] + 64]
+    # the third text's string begins later and sorts behind the others, the fourth's before them
+    texts = [noise(300) + passage + noise(300), noise(500) + passage + noise(200), noise(90, 112) + gram + noise(600, 112), noise(60, 33) + gram + noise(900, 33)]
+    docs = spark.createDataFrame([(i, t.decode(), None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_report(docs).collect()}
+    want = brute_repeats(texts, 400)
+    assert [got[i] for i in range(len(texts))] == want and [w[1] for w in want] == [450, 450, 0, 0]
+
+
+def test_columns_when_a_later_group_leaves():
+    rng = np.random.default_rng(1)
+    body = lambda n: rng.integers(98, 122, n).astype(np.uint8).tobytes()
+    shared, gram = body(500), body(64)
+    strings = [shared, shared, b"z" * 5 + shared[300:364] + body(300), gram + body(336), gram + body(336)]
+    marks, _ = repeats.columnwise(np.array([0, 0, 0, 1, 1]), strings, np.array([36, 36, 331, 336, 336]))
+    assert marks[:2, 36:137].all() and not marks[2:].any()
+
+
 def test_licenses(spark, odd):
     more = spark.createDataFrame([(50, "Released under the MIT License. the MIT\nlicense! Apache-License", "en", 1, "x"), (51, "GNU GENERAL PUBLIC LICENSE general public", "en", 1, "x"), (52, "Licensed under CC BY-NC 4.0.", "en", 1, "x")], DOCS)
     got = {r.doc_id: r for r in licenses.license_scan(odd.unionByName(more)).collect()}
