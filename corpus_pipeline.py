@@ -18,12 +18,14 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates the document with the smallest doc_id (one row of it); rows with a null id stay only where their component has no other."""
+    """Keeps of each component of near-duplicates one row, with its smallest doc_id; one with a null id only where the component has no other. Rows of different components all stay, whatever ids they share."""
     prepare(spark)
-    fp = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    kept = fp.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    kept = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
+    kept = simhash.grouped(docs).groupBy("label").agg(first.alias("x")).select("x.k")
+    key = free_name(docs, "k")
+    docs = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
+    # rows that are left with one key are equal in id and text
+    return docs.join(kept.withColumnRenamed("k", key), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

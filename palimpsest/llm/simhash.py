@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, records, table, text_rows, written
+from .common import prepare, records, table, written
 from .components import components
+from .words import keyed
 
 WORDS, RADIUS, BLOCKS, TILE = 4, 4, 6, 1024
 #: Nodes compared in one batch of a task.
@@ -49,18 +50,18 @@ def fingerprint(text: str, n: int = WORDS) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints(documents: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long. Null texts are empty."""
+    """(k, doc_id, fp) of each row; k hashes id and text (see words.keyed), fp is the fingerprint as a signed long. Null texts are empty."""
     prepare(documents.sparkSession)
 
     def run(batches):
-        for ids, texts in id_text(batches):
-            yield records(_FP, doc_id=ids, fp=np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64))
+        for b in batches:
+            yield records(_FP, k=b.column("k"), doc_id=b.column("doc_id"), fp=np.array([fingerprint(t, n) for t in b.column("text").to_pylist()], np.uint64).view(np.int64))
 
-    return text_rows(documents).mapInArrow(run, "doc_id long, fp long")
+    return keyed(documents).mapInArrow(run, "k long, doc_id long, fp long")
 
 
 def block_keys(fp: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
@@ -215,15 +216,15 @@ def clusters(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: i
     """(fp, label) of each distinct fp that has a link; label is the smallest fp (signed) of its component."""
     spark = fps.sparkSession
     nodes = written(fps.select("fp").distinct(), "nodes")
-    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("k"))
-    count = written(keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "keys")
-    rows = keyed.join(count, "k").select("k", "fp", "c", F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / tile).cast("long")).alias("t"))
+    dealt_keys = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("k"))
+    count = written(dealt_keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "keys")
+    rows = dealt_keys.join(count, "k").select("k", "fp", "c", F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / tile).cast("long")).alias("t"))
     label = components(_compare(rows.select("k", "t", "fp").repartition("k", "t"), ["k", "t"], radius, False))
     hot = count.where(F.col("c") > tile)
     if hot.isEmpty():
         return label.select(F.col("node").alias("fp"), "label")
     label = written(label.select(F.col("node").alias("fp"), "label"), "labels")
-    named = keyed.join(hot, "k").join(label, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label"))
+    named = dealt_keys.join(hot, "k").join(label, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label"))
     per = named.groupBy("k", "label").agg(F.count("*").alias("n"))
     main = per.groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     tiles = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / tile)).cast("long")
@@ -247,14 +248,19 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BL
     Null and empty texts have fingerprint 0 and link like others. Rows with a null id keep
     theirs and take part; a component of null ids alone has a null component_id. Repeated rows come out as often as they went in.
     """
+    return grouped(documents, radius, blocks, tile).select("doc_id", "fp", "component_id")
+
+
+def grouped(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """(k, doc_id, fp, label, component_id) of each row: near_duplicates with the row's key, and with the component's smallest fp, which also names components of null ids."""
     prepare(documents.sparkSession)
     fps = written(fingerprints(documents), "fingerprints")
     label = clusters(fps, radius, blocks, tile)
     low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     named = low.join(label, "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     top = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    of = named.join(top, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = named.join(top, "label").select("fp", "label", "component_id")
+    return fps.join(of, "fp").select("k", "doc_id", "fp", "label", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

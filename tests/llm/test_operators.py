@@ -112,6 +112,18 @@ def test_near_duplicates(spark, odd, tile):
         assert got[(d, fp - (1 << 64) if fp >> 63 else fp)] == low
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)) for _ in range(7)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (3, text[2]), (5, text[3]), (5, text[4]), (6, text[4]), (7, text[5]), (7, text[5]), (8, text[6]), (2, text[6]), (None, text[6])]
+    docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], DOCS)
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, text[0]), (None, text[1]), (3, text[2]), (5, text[3]), (5, text[4]), (7, text[5]), (2, text[6])])
+
+
 def brute_repeats(texts, width):
     count = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []
