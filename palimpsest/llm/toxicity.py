@@ -5,7 +5,8 @@ hashed into a table of vectors. A word's vector is the mean of its bag, a text's
 mean of its words' vectors, weighted by 1 + ln(count), and a linear softmax gives two probabilities. All three are
 trained together by Adam on whole texts. As all of it is linear, scoring needs one number
 a word, which workers keep; a misspelling that was never seen shares most of its n-grams
-with the word it stands for.
+with the word it stands for. Runs of over PIECE characters (scripts without blanks, glued texts) are
+read as pieces that overlap, so that every n-gram of them is in one.
 
 The classifier is fitted on at most MAX_TRAIN labelled rows, taken in the order of a hash
 of doc_id; that bound is this operator's documented parameter.
@@ -31,18 +32,30 @@ MAX_TRAIN, BUCKETS, DIM, STEPS, BATCH, SEED = 12_000, 1 << 19, 4, 1500, 32, 7
 MIN_DF, MIN_SHARE, SCALE, PAD, KEEP, DECAY, RATE = 5, 0.001, 30.0, 80, 0.5, 0.1, 0.03
 THRESHOLD = 0.7
 GRAMS = (4, 5)
+#: Characters of a piece of a long word.
+PIECE = 40
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 #: Words kept per worker with their logit.
 KEPT = 400_000
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    found = WORD.findall(text.lower())
+    return found if max(map(len, found), default=0) <= PIECE else [p for w in found for p in pieces(w)]
+
+
+def pieces(word: str) -> list[str]:
+    """A word of over PIECE characters as pieces that share max(GRAMS) - 1 characters; an underscore marks ends where the word goes on."""
+    if len(word) <= PIECE:
+        return [word]
+    over = max(GRAMS) - 1
+    starts = range(0, len(word) - over, PIECE - over)
+    return [("_" if a else "") + word[a : a + PIECE] + ("_" if a + PIECE < len(word) else "") for a in starts]
 
 
 def bag(word: str, buckets: int = BUCKETS) -> list[int]:
-    """The buckets of a word: itself, twice, and its n-grams. crc32 is the same in every worker."""
-    w = f"<{word[:40]}>"
+    """The buckets of a word or piece: itself, twice, and its n-grams. crc32 is the same in every worker."""
+    w = f"<{word}>".replace("<_", "").replace("_>", "")
     grams = [w, w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
     return [zlib.crc32(g.encode()) % buckets for g in grams]
 

@@ -256,6 +256,22 @@ def test_toxicity(spark, odd):
     assert toxicity.toxicity(spark, docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_long_words_to_their_end(spark):
+    rng = random.Random(12)
+    for n in (1, 39, 40, 41, 44, 45, 76, 77, 80, 500):
+        word = "".join(rng.choice("abcdefgh") for _ in range(n))
+        marked = f"<{word}>"
+        want = {zlib.crc32(marked[i : i + g].encode()) % toxicity.BUCKETS for g in toxicity.GRAMS for i in range(len(marked) - g + 1)}
+        assert want <= {b for w in toxicity.words_of(word) for b in toxicity.bag(w)}
+    table = np.zeros((toxicity.BUCKETS, 1), np.float32)
+    table[toxicity.bag("idiot")] = 50.0
+    model = toxicity.Model(table, np.array([[0.0], [30.0]], np.float32), np.zeros(2, np.float32))
+    glued = "天" * 60
+    docs = spark.createDataFrame([(1, glued + "天天天天天", None, None, None), (2, glued + "idiot", None, None, None), (3, "ok " + glued + "idiot" + glued, None, None, None)], DOCS)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got[1] == 0.5 and got[2] > 0.7 and got[3] > 0.6
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     path, pattern = bpe.multi_50k()
