@@ -181,6 +181,16 @@ def merged_forward(spark, d):
     return graph.reachable(start, m.select(F.col("survivor").alias("src"), F.col("absorbed").alias("dst"))).select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
+def merged_forward_all(spark, d):
+    """merged_forward from every survivor."""
+    return _absorbed(graph.cut(rdfize.user_merges(spark, d))).select("root", "node", F.col("depth").cast("bigint").alias("depth"))
+
+
+def _absorbed(m: DataFrame) -> DataFrame:
+    start = m.select(F.col("survivor").alias("root"), F.col("survivor").alias("node")).distinct()
+    return graph.reachable(start, m.select(F.col("survivor").alias("src"), F.col("absorbed").alias("dst")))
+
+
 def merge_components(spark, d):
     c = graph.merge_components(graph.cut(rdfize.user_merges(spark, d)))
     return c.groupBy("component").agg(F.count("*").alias("n"), F.max("entity").alias("last"))
@@ -199,6 +209,16 @@ def history_merged_asof(spark, d):
     return replay.latest_up_to(asks, known, ["k"]).select("k", _time("time"), "status")
 
 
+def history_merged_all(spark, d):
+    """The status of every user that a survivor has absorbed, directly or not, as of each event of the survivor."""
+    ev = rdfize.table(spark, d, "events").where("user_id is not null and ts is not null and event_type is not null")
+    states = ev.groupBy(rdfize.user(F.col("user_id")).alias("entity"), F.col("ts").alias("time")).agg(F.max_by("event_type", "event_id").alias("o"))
+    states = graph.cut(states.select("entity", "time", F.col("entity").alias("s"), F.lit(rdfize.STATUS).alias("p"), "o", F.lit(rdfize.USERS).alias("g")))
+    related = _absorbed(graph.cut(rdfize.user_merges(spark, d))).select("root", F.col("node").alias("entity"))
+    main = related.select("root").distinct().join(states.select(F.col("entity").alias("root"), "time"), "root")
+    return graph.merged_history(main, related.join(states, "entity")).select("root", _time("time"), "entity", F.col("o").alias("status"))
+
+
 def prov_selected(spark, d):
     a, b, _ = _bounds(spark, d)
     sel, _ = VersionQuery(_cat(spark, d), PURCHASE, (a, b)).provenance()
@@ -246,7 +266,7 @@ def insert_text(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merge_components, merge_events, history_merged_asof, prov_selected, prov_other, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
+    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
     return {f.__name__: f for f in names}
 
 
@@ -269,6 +289,8 @@ _MERGES = """WITH RECURSIVE l AS (SELECT user_id AS u, max(ts) AS time FROM even
 t AS (SELECT u, time, CASE WHEN u % 5 <> 0 THEN u - u % 5 WHEN u % 10 = 0 THEN u - u % 100 END AS v FROM l),
 m AS (SELECT '<urn:merge/' || u || '>' AS snapshot, time, '<urn:user/' || v || '>' AS survivor, '<urn:user/' || u || '>' AS absorbed, u, v FROM t WHERE v IS NOT NULL AND v <> u)
 """
+_ABSORBED = """, r AS (SELECT DISTINCT survivor AS root, survivor AS node, CAST(0 AS BIGINT) AS depth FROM m UNION ALL SELECT r.root, m.absorbed, r.depth + 1 FROM r JOIN m ON m.survivor = r.node)
+"""
 
 
 def _unpivot(name: str, cols: dict[str, str]) -> str:
@@ -332,6 +354,8 @@ SELECT entity, CAST(count(*) AS BIGINT) AS n_added, CAST(count(prev) AS BIGINT)
         "merge_components": _MERGES + ", e AS (SELECT survivor AS a, absorbed AS b FROM m UNION SELECT absorbed, survivor FROM m), r AS (SELECT a, a AS x FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.x = e.a), c AS (SELECT a, min(x) AS component FROM r GROUP BY a) SELECT component, count(*) AS n, max(a) AS last FROM c GROUP BY component",
         "merge_events": _MERGES + f"SELECT survivor AS entity, snapshot, survivor, strftime(time, {_F}) AS time FROM m UNION ALL SELECT absorbed, snapshot, survivor, strftime(time, {_F}) FROM m",
         "history_merged_asof": f"SELECT q.user_id AS k, strftime(q.ts, {_F}) AS time, arg_max(e.event_type, (e.ts, e.event_id)) AS status FROM (SELECT DISTINCT user_id, ts FROM events WHERE user_id % 5 = 0 AND event_type IS NOT NULL) q JOIN events e ON e.user_id = q.user_id + 1 AND e.ts <= q.ts AND e.event_type IS NOT NULL GROUP BY 1, q.ts",
+        "merged_forward_all": _MERGES + _ABSORBED + "SELECT root, node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY root, node",
+        "history_merged_all": _MERGES + _ABSORBED + f"SELECT a.root, strftime(q.ts, {_F}) AS time, a.node AS entity, arg_max(e.event_type, (e.ts, e.event_id)) AS status FROM (SELECT DISTINCT root, node FROM r WHERE depth > 0) a JOIN (SELECT DISTINCT '<urn:user/' || user_id || '>' AS root, ts FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL) q USING (root) JOIN events e ON '<urn:user/' || e.user_id || '>' = a.node AND e.ts <= q.ts AND e.event_type IS NOT NULL GROUP BY 1, q.ts, 3",
         "prov_selected": _EV + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev), rel AS (SELECT DISTINCT entity FROM ev WHERE event_type = 'purchase'),
 ins AS (SELECT n.* FROM n, bounds WHERE ts BETWEEN t1 AND t2), fall AS (SELECT entity, max(ts) AS ts FROM n, bounds WHERE ts <= t1 AND entity NOT IN (SELECT entity FROM ins) GROUP BY entity)
 SELECT entity, '<urn:user/' || user_id || '/prov/se/' || lpad(CAST(i AS VARCHAR), 9, '0') || '>' AS snapshot FROM (SELECT entity, user_id, i FROM ins UNION ALL SELECT n.entity, n.user_id, n.i FROM n JOIN fall USING (entity, ts)) WHERE entity IN (SELECT entity FROM rel)""",

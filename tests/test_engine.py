@@ -1,4 +1,6 @@
+import os
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -170,3 +172,21 @@ def test_conversion_round_trip(spark):
     for n in range(3):
         got = {(r.entity, r.o) for r in replay.state_at(v, day(n).isoformat()).collect()}
         assert got == {(e, o) for k, e, _, _, o in copies if k == n}
+
+
+@pytest.mark.parametrize("name", ["merged_forward_all", "history_merged_all"])
+def test_whole_tables_equal_their_sql(spark, name):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables")
+    duckdb = pytest.importorskip("duckdb")
+    from palimpsest import catalogue
+
+    got = catalogue.queries()[name](spark, "/root/testdata/sf0.01")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    want = con.execute(catalogue.oracle_sql()[name])
+    at = [c[0] for c in want.description]
+    assert sorted(at) == sorted(got.columns)
+    want = Counter(want.fetchall())
+    assert want and Counter(tuple(r[c] for c in at) for r in got.collect()) == want
