@@ -131,6 +131,24 @@ def cv_gap_fill(spark, d):
     return q.bindings().groupBy("x").agg(F.count("*").alias("n"))
 
 
+def cv_timeline_all(spark, d):
+    """cv_timeline of every user; counts of the answers at each time."""
+    q = VersionQuery(_cat(spark, d), 'SELECT ?u ?x WHERE { ?u <urn:p:status> ?x }')
+    return q.bindings().groupBy("time", "x").agg(F.count("*").alias("n")).select(_time("time"), "x", "n")
+
+
+def cv_optional_all(spark, d):
+    """Values of every user with the status at the same time, if there is one."""
+    q = VersionQuery(_cat(spark, d), 'SELECT ?u ?x ?v WHERE { ?u <urn:p:value> ?v . OPTIONAL { ?u <urn:p:status> ?x } }')
+    return q.bindings().groupBy("u", "x").agg(F.count("*").alias("n"), F.countDistinct("time").alias("n_times"))
+
+
+def cv_gap_fill_all(spark, d):
+    """Users that have a status "purchase" at some time, at all times of all users from the first on."""
+    q = VersionQuery(_cat(spark, d), PURCHASE, include_all_timestamps=True)
+    return q.bindings().groupBy("u").agg(F.count("*").alias("n"))
+
+
 def sv_bgp_chain(spark, d):
     q = rdfize.static_quads(spark, d, ("customer", "nation", "region"))
     s = q.select("entity", F.concat(F.col("entity"), F.lit("/se/1")).alias("snapshot"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("generated_at")).distinct()
@@ -266,7 +284,7 @@ def insert_text(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
+    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
     return {f.__name__: f for f in names}
 
 
@@ -344,6 +362,9 @@ SELECT entity, CAST(count(*) AS BIGINT) AS n_added, CAST(count(prev) AS BIGINT)
         "cv_timeline": f"""SELECT strftime(ts, {_F}) AS time, '"' || event_type || '"' AS x FROM events WHERE user_id = 1""",
         "cv_optional": """SELECT '"' || event_type || '"' AS x, count(*) AS n, count(DISTINCT ts) AS n_times FROM events WHERE user_id = 1 AND value IS NOT NULL GROUP BY 1""",
         "cv_gap_fill": """SELECT '"' || s || '"' AS x, count(*) AS n FROM (SELECT t.ts, (SELECT arg_max(event_type, (e.ts, e.event_id)) FROM events e WHERE e.user_id = 1 AND e.ts <= t.ts) AS s FROM (SELECT DISTINCT ts FROM events WHERE user_id IS NOT NULL) t) WHERE s IS NOT NULL GROUP BY 1""",
+        "cv_timeline_all": _EV + f"SELECT strftime(t.ts, {_F}) AS time, o AS x, count(*) AS n FROM (SELECT DISTINCT ts FROM ev) t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE p = '<urn:p:status>' AND o IS NOT NULL GROUP BY t.ts, o",
+        "cv_optional_all": _EV + ", t AS (SELECT DISTINCT ts FROM ev), a AS (SELECT DISTINCT t.ts, entity, p, o FROM t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE o IS NOT NULL) SELECT v.entity AS u, s.o AS x, count(*) AS n, count(DISTINCT v.ts) AS n_times FROM a v LEFT JOIN a s ON s.entity = v.entity AND s.ts = v.ts AND s.p = '<urn:p:status>' WHERE v.p = '<urn:p:value>' GROUP BY 1, 2",
+        "cv_gap_fill_all": _EV + """SELECT entity AS u, count(*) AS n FROM (SELECT DISTINCT ts FROM ev WHERE ts >= (SELECT min(e.ts) FROM ev e WHERE e.entity IN (SELECT entity FROM ev WHERE event_type = 'purchase'))) t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE p = '<urn:p:status>' AND o = '"purchase"' GROUP BY 1""",
         "discovery_present": _EV + """SELECT entity FROM ev GROUP BY entity HAVING arg_max(event_type, (ts, event_id)) = 'purchase'""",
         "discovery_historical": _EV + """SELECT DISTINCT entity FROM ev WHERE event_type = 'purchase'""",
         "related_objects": "SELECT '<urn:t:supplier/' || s_suppkey || '>' AS root, '<urn:t:nation/' || s_nationkey || '>' AS node, CAST(1 AS BIGINT) AS depth FROM supplier UNION ALL SELECT '<urn:t:supplier/' || s_suppkey || '>', '<urn:t:region/' || n_regionkey || '>', 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey",

@@ -174,7 +174,7 @@ def test_conversion_round_trip(spark):
         assert got == {(e, o) for k, e, _, _, o in copies if k == n}
 
 
-@pytest.mark.parametrize("name", ["merged_forward_all", "history_merged_all"])
+@pytest.mark.parametrize("name", ["merged_forward_all", "history_merged_all", "cv_timeline_all", "cv_optional_all", "cv_gap_fill_all"])
 def test_whole_tables_equal_their_sql(spark, name):
     if not os.path.isdir("/root/testdata/sf0.01"):
         pytest.skip("no tables")
