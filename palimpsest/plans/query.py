@@ -48,14 +48,15 @@ def is_var(x: str) -> bool:
     return x.startswith("?")
 
 
-def matches(col: Column, term: str, catalog: Catalog, merge_aware: bool) -> Column:
-    """Equality with a constant; merge-aware, an IRI equals the members of its component."""
+def matching(rows: DataFrame, col: str, term: str, catalog: Catalog, merge_aware: bool) -> DataFrame:
+    """Rows whose column equals a constant; merge-aware, an IRI equals the members of its component, however many."""
     if merge_aware and term.startswith("<"):
         c = catalog.with_merges().components
         mine = c.where(F.col("entity") == term).select("component")
-        names = [r.entity for r in c.join(mine, "component").select("entity").limit(BROADCAST_ROWS).collect()]  # one component of one constant
-        return col.isin([term, *names])
-    return col == term
+        own = rows.sparkSession.createDataFrame([(term,)], "alias_ string")
+        names = c.join(F.broadcast(mine), "component").select(F.col("entity").alias("alias_")).union(own).distinct()
+        return rows.join(small(names), F.col(col) == F.col("alias_"), "left_semi")
+    return rows.where(F.col(col) == term)
 
 
 def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False, firsts: DataFrame | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False
         v = v.join(firsts, "entity").withColumn("valid_from", F.greatest("valid_from", "first")).where("valid_to is null or valid_from < valid_to").drop("first")
     for col, x in zip("spo", t):
         if not is_var(x):
-            v = v.where(matches(F.col(col), x, catalog, merge_aware and col != "p"))
+            v = matching(v, col, x, catalog, merge_aware and col != "p")
     names: dict[str, str] = {}
     for col, x in zip("spo", t):
         if is_var(x):

@@ -190,3 +190,16 @@ def test_whole_tables_equal_their_sql(spark, name):
     assert sorted(at) == sorted(got.columns)
     want = Counter(want.fetchall())
     assert want and Counter(tuple(r[c] for c in at) for r in got.collect()) == want
+
+
+def test_merge_aware_constant_has_all_aliases(spark, monkeypatch):
+    from palimpsest.plans import query
+
+    monkeypatch.setattr(query, "BROADCAST_ROWS", 2)
+    rows = [(f"<{x}>", f"<{x}/se/1>", day(0), None, "<a>", None, "d", None, []) for x in "abcdefg"]
+    rows += [("<a>", "<a/se/2>", day(31), None, "<a>", None, "d", None, [f"<{x}/se/1>" for x in "abcdef"])]
+    quads = spark.createDataFrame([(f"<{x}>", f"<{x}>", "<p>", f'"{x}"', "<g>") for x in "abcdefg"], QUADS)
+    c = Catalog.build(quads, spark.createDataFrame(rows, SNAP), spark.createDataFrame([], OPS))
+    found = lambda q: {r.x for r in VersionQuery(c, q, merge_aware=True).bindings().collect()}
+    assert found("SELECT ?x WHERE { <b> <p> ?x }") == {f'"{x}"' for x in "abcdef"}
+    assert found("SELECT ?x WHERE { <g> <p> ?x }") == {'"g"'}
