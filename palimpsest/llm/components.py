@@ -9,7 +9,7 @@ from .common import drop_written, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) of each node of edges (a, b: long); label is the component's smallest node. Nulls and loops don't count.
+    """(node, label) of each node of edges (a, b: long); label is the component's smallest node. Nulls and loops don't count. An error is raised where labels are unfinished after so many rounds.
 
     Every round is a minimum per node (combined before the shuffle) and a join that
     adaptive execution may split; its edges become a table in the shared folder.
@@ -29,5 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (now.n, now.h) == mark:
             break
         mark = (now.n, now.h)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = at.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return at.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)

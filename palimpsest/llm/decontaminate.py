@@ -2,7 +2,8 @@
 
 A document is contaminated by an item when a window of the document that has the item's
 number of words has a weighted shingle similarity (sum of minima over sum of maxima of the
-counts) of at least SIMILARITY with it.
+counts) of at least SIMILARITY with it. A text of fewer than SHINGLE words is one shingle, so
+an item that short matches only texts of the same words, not longer ones that hold it.
 
 1. Shingles of documents meet the items' shingles. A window of that similarity holds at
    least SIMILARITY of the item's shingles, so runs of hits that are dense enough give every window

@@ -272,6 +272,15 @@ def test_toxicity_reads_long_words_to_their_end(spark):
     assert got[1] == 0.5 and got[2] > 0.7 and got[3] > 0.6
 
 
+def test_components_that_do_not_settle(spark):
+    from palimpsest.llm.components import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.label for r in components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=2)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     path, pattern = bpe.multi_50k()
