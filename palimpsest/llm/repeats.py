@@ -18,6 +18,10 @@ often as the longest document is long. So the documents are cut into aligned col
    windows of a block share, of what those of its parts share, then of the windows.
 
 Equal texts are found first by a hash of 128 bits; all windows of such a text are repeated.
+
+One construction serves two widths: with short, anchors are those of windows of short bytes, and strings
+reach on until the wide window of each start ends (or the text). Equal wide windows begin with equal
+short ones, so they meet at one anchor, and the common prefix tells for either width.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, prepare, records, table, written
+from .common import prepare, records, table, written
 
 WIDTH, GRAM, HOT = 400, 64, 512
+#: Bytes of a passage of 50 words: 51 consecutive words take 233 bytes or more in 99 of 100 places of the given texts.
+SHORT = 224
 #: Window starts of a block, and of the parts that a block is looked at in next.
 BLOCK, PART = 32, 4
 #: Window starts handled at once, and strings of a column-wise batch.
@@ -89,19 +95,18 @@ def anchors(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
-def columnwise(group: np.ndarray, bodies: list[bytes], begin: np.ndarray, width: int = WIDTH, gram: int = GRAM, reps: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Marks of repeated windows: an array strings x columns of window starts, and with reps a second one that marks one string of each repeated window.
+def columnwise(group: np.ndarray, bodies: list[bytes], begin: np.ndarray, widths: tuple[int, ...] = (WIDTH,), gram: int = GRAM, reps: bool = False) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """For each width the marks of repeated windows: an array strings x columns of window starts, and with reps a second one that marks one string of each repeated window.
 
     group: numbers from 0, below 2**16, ascending. begin: column of a string's first byte, where the
-    anchor stands at column width - gram.
+    anchor stands at column min(widths) - gram.
     """
-    n, lead = len(bodies), width - gram
+    n, lead = len(bodies), min(widths) - gram
     length = np.fromiter(map(len, bodies), np.int64, n)
     end = begin + length
     buf = np.frombuffer(b"".join(bodies), np.uint8)
     ptr = np.cumsum(length) - length - begin
-    marks = np.zeros((n, lead + 1), bool)
-    first = np.zeros((n, lead + 1), bool) if reps else None
+    out = [(np.zeros((n, lead + 1), bool), np.zeros((n, lead + 1), bool) if reps else None) for _ in widths]
     g16 = group.astype(np.uint16)
     order, lcp = np.zeros(0, np.int64), np.zeros(0, np.int32)
     by_end = np.argsort(-end, kind="stable")
@@ -150,16 +155,17 @@ def columnwise(group: np.ndarray, bodies: list[bytes], begin: np.ndarray, width:
         order, lcp = order[k], new
         if c <= lead:
             after = np.concatenate([lcp[1:], [0]])
-            marks[order, c] = (lcp >= width) | (after >= width)
-            if reps:
-                first[order, c] = (lcp < width) & (after >= width)
-    return marks, first
+            for width, (marks, first) in zip(widths, out):
+                marks[order, c] = (lcp >= width) | (after >= width)
+                if reps:
+                    first[order, c] = (lcp < width) & (after >= width)
+    return out
 
 
 _ANCHOR = pa.schema([(n, pa.int64()) for n in ("t1", "t2", "h", "p", "a", "b")])
-_STRING = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("body", pa.binary())])
+_STRING = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("body", pa.binary())])
 _PART = pa.struct([("core", pa.binary()), ("windows", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64()))])
-_FOUND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("core", pa.binary()), ("parts", pa.list_(_PART))])
+_FOUND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("w", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("core", pa.binary()), ("parts", pa.list_(_PART))])
 _LONGS = "t1 long, t2 long, "
 
 
@@ -181,20 +187,26 @@ def _runs(row: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(base, result): base is documents with the columns _t1, _t2 (hash of the text), result has t1, t2, copies and spans, a flat array of first and last starts of repeated windows, for texts that have copies or spans."""
+def text_key(text: Column) -> list[Column]:
+    """The two halves of a text's hash."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, short: int | None = None) -> DataFrame:
+    """(t1, t2, copies, spans, short_spans) of texts that have copies or spans. spans: a flat array of first and last starts of repeated windows of width bytes; short_spans: of short bytes, null without short. t1, t2: see text_key; a null text is empty."""
     spark = documents.sparkSession
     prepare(spark)
+    widths = (width,) if short is None else (width, short)
+    base = min(widths)
+    lead = base - gram
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = documents.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(7), text)})
-    plain = base.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("id"), text.alias("text")).where(F.octet_length("text") >= width)
+    plain = documents.select(*text_key(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("id"), text.alias("text")).where(F.octet_length("text") >= base)
     copies = written(plain.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "copies")
-    lead = width - gram
 
     def find(batches):
         for b in batches:
             for t1, t2, t in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("text")):
-                h, p, a, z = anchors(np.frombuffer(t.as_buffer(), np.uint8), width, gram)
+                h, p, a, z = anchors(np.frombuffer(t.as_buffer(), np.uint8), base, gram)
                 yield records(_ANCHOR, t1=np.full(len(h), t1), t2=np.full(len(h), t2), h=h, p=p, a=a, b=z)
 
     # one row of equal texts is enough: the others have its windows
@@ -217,35 +229,38 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
                     if times[h] > 1:  # equal strings within a text (periods) are settled here, and one goes on
                         key = (h, a - p, body)
                         if key in seen:
-                            rows.append((h, n, t1, t2, p, a, z, None))
+                            rows.append((h, n, t1, t2, p, a, z, len(body), None))
                             if seen[key]:
-                                rows.append((h, n, t1, t2, *seen[key], None))
+                                rows.append((h, n, t1, t2, *seen[key], len(body), None))
                                 seen[key] = None
                             continue
                         seen[key] = (p, a, z)
-                    rows.append((h, n, t1, t2, p, a, z, body))
+                    rows.append((h, n, t1, t2, p, a, z, len(body), body))
                     size += len(body)
                     if size > 4 << 20:
                         yield records(_STRING, **{c: [r[i] for r in rows] for i, c in enumerate(_STRING.names)})
                         rows, size = [], 0
             yield records(_STRING, **{c: [r[i] for r in rows] for i, c in enumerate(_STRING.names)})
 
-    strings = plain.join(wanted, ["t1", "t2", "id"]).select("t1", "t2", "at", "text").mapInArrow(cut, "h long, n long, t1 long, t2 long, p long, a long, b long, body binary")
+    strings = plain.join(wanted, ["t1", "t2", "id"]).select("t1", "t2", "at", "text").mapInArrow(cut, "h long, n long, t1 long, t2 long, p long, a long, b long, size long, body binary")
     salt = F.pmod(F.xxhash64("t1", "t2", "a"), F.greatest(F.lit(1), F.ceil(F.col("n") / hot)).cast("long"))
     dealt = strings.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt")
 
     def solve(held: list):
         t = pa.Table.from_batches(held)
         done = t.column("body").is_null().to_numpy() if t.num_rows else np.zeros(0, bool)
-        t1, t2, a, b, p, n = (t.column(c).to_numpy() for c in ("t1", "t2", "a", "b", "p", "n"))
+        t1, t2, a, b, p, n, size = (t.column(c).to_numpy() for c in ("t1", "t2", "a", "b", "p", "n", "size"))
         out = {c: [] for c in _FOUND.names}
 
-        def put(i, x, y, core=None, parts=None):
-            for c, v in zip(_FOUND.names, (t1[i], t2[i], x, y, core, parts)):
+        def put(i, w, x, y, core=None, parts=None):
+            for c, v in zip(_FOUND.names, (t1[i], t2[i], w, x, y, core, parts)):
                 out[c].append(v)
 
         for i in np.flatnonzero(done).tolist():
-            put(i, a[i], b[i])
+            for w in widths:  # starts whose window of w bytes ends within the string
+                last = min(b[i], a[i] + size[i] - w)
+                if last >= a[i]:
+                    put(i, w, a[i], last)
         live = np.flatnonzero(~done)
         if len(live):
             h, s = t.column("h").to_numpy()[live], t.column("salt").to_numpy()[live]
@@ -255,30 +270,36 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
             busy = n[live] > hot
             alone = np.bincount(g)[g] == 1
             pick = np.flatnonzero(~alone)
-            marks = np.zeros((len(live), lead + 1), bool)
-            first = np.zeros_like(marks) if busy.any() else None
             start = a[live] - p[live] + lead
+            reps = bool(busy.any())
+            solved = []
             if len(pick):
                 _, g2 = np.unique(g[pick], return_inverse=True)
-                m, f = columnwise(g2, [bodies[i] for i in pick], start[pick], width, gram, bool(busy.any()))
-                marks[pick] = m
-                if f is not None:
-                    first[pick] = f
-            for r in np.flatnonzero(marks.any(1)).tolist():
-                i = live[r]
-                for x, y in _runs(marks[r]):
-                    put(i, x - lead + p[i], y - lead + p[i])
-            for r in np.flatnonzero(busy).tolist():
-                i, body, c0 = live[r], bodies[r], int(start[r])
-                c1 = c0 + len(body) - width
-                at = np.flatnonzero(first[r, c0 : c1 + 1] | ~marks[r, c0 : c1 + 1]) + c0
-                for block in np.unique(at // BLOCK).tolist():
-                    cs = at[at // BLOCK == block]
-                    inside = []
-                    for part in np.unique(cs // PART).tolist():
-                        ws = cs[cs // PART == part].tolist()
-                        inside.append({"core": _core(body, c0, part, PART, width), "windows": [_digest(body[c - c0 : c - c0 + width]) for c in ws], "starts": [c - lead + int(p[i]) for c in ws]})
-                    put(i, None, None, _core(body, c0, block, BLOCK, width), inside)
+                solved = columnwise(g2, [bodies[i] for i in pick], start[pick], widths, gram, reps)
+            for k, w in enumerate(widths):
+                marks = np.zeros((len(live), lead + 1), bool)
+                first = np.zeros_like(marks) if reps else None
+                if solved:
+                    marks[pick] = solved[k][0]
+                    if reps:
+                        first[pick] = solved[k][1]
+                for r in np.flatnonzero(marks.any(1)).tolist():
+                    i = live[r]
+                    for x, y in _runs(marks[r]):
+                        put(i, w, x - lead + p[i], y - lead + p[i])
+                for r in np.flatnonzero(busy).tolist():
+                    i, body, c0 = live[r], bodies[r], int(start[r])
+                    c1 = min(c0 + int(b[i] - a[i]), c0 + len(body) - w)
+                    if c1 < c0:
+                        continue
+                    at = np.flatnonzero(first[r, c0 : c1 + 1] | ~marks[r, c0 : c1 + 1]) + c0
+                    for block in np.unique(at // BLOCK).tolist():
+                        cs = at[at // BLOCK == block]
+                        inside = []
+                        for part in np.unique(cs // PART).tolist():
+                            ws = cs[cs // PART == part].tolist()
+                            inside.append({"core": _core(body, c0, part, PART, w), "windows": [_digest(body[c - c0 : c - c0 + w]) for c in ws], "starts": [c - lead + int(p[i]) for c in ws]})
+                        put(i, w, None, None, _core(body, c0, block, BLOCK, w), inside)
         return records(_FOUND, **out)
 
     def build(batches):
@@ -299,20 +320,22 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
         if held:
             yield solve(held)
 
-    parts = written(dealt.mapInArrow(build, _LONGS + "a long, b long, core binary, parts array<struct<core:binary,windows:array<binary>,starts:array<long>>>"), "found")
-    spans = parts.where("a is not null").select("t1", "t2", "a", "b")
-    open_ = parts.where("core is not null").select("t1", "t2", "core", "parts")
+    parts = written(dealt.mapInArrow(build, _LONGS + "w long, a long, b long, core binary, parts array<struct<core:binary,windows:array<binary>,starts:array<long>>>"), "found")
+    spans = parts.where("a is not null").select("t1", "t2", "w", "a", "b")
+    open_ = parts.where("core is not null").select("t1", "t2", "w", "core", "parts")
     if not open_.isEmpty():
         # windows of a core that only one string has are unique; the others go on, part by part
-        met = lambda rows: rows.join(rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "core")
-        inside = written(met(open_).select("t1", "t2", F.explode("parts").alias("x")).select("t1", "t2", "x.core", "x.windows", "x.starts"), "parts")
-        rows = met(inside).select("t1", "t2", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("t1", "t2", F.col("w.windows").alias("w"), F.col("w.starts").alias("a"))
+        def met(rows: DataFrame, key: str) -> DataFrame:
+            often = written(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key), "met")  # a table of its own, so that a frequent key's rows can be split
+            return rows.join(often, key, "left_semi")
+
+        inside = written(met(open_, "core").select("t1", "t2", "w", F.explode("parts").alias("x")).select("t1", "t2", "w", "x.core", "x.windows", "x.starts"), "parts")
+        rows = met(inside, "core").select("t1", "t2", "w", F.explode(F.arrays_zip("windows", "starts")).alias("x")).select("t1", "t2", "w", F.col("x.windows").alias("window"), F.col("x.starts").alias("a"))
         rows = written(rows, "windows")
-        same = rows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-        spans = spans.union(rows.join(same, "w").select("t1", "t2", "a", F.col("a").alias("b")))
-    grouped = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("spans"))
-    result = copies.where("copies > 1").select("t1", "t2", "copies").join(grouped, ["t1", "t2"], "full")
-    return base, result
+        spans = spans.unionByName(met(rows, "window").select("t1", "t2", "w", "a", F.col("a").alias("b")))
+    flat = lambda w: F.flatten(F.collect_set(F.when(F.col("w") == w, F.array("a", "b"))))
+    grouped = spans.groupBy("t1", "t2").agg(flat(width).alias("spans"), (flat(short) if short is not None else F.lit(None).cast("array<long>")).alias("short_spans"))
+    return copies.where("copies > 1").select("t1", "t2", "copies").join(grouped, ["t1", "t2"], "full")
 
 
 def removed(n_bytes: int, copies, spans, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -338,32 +361,40 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def _joined(documents: DataFrame, width: int):
-    base, result = repeated_windows(documents, width)
-    result = result.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans"))
-    return base.join(result, ["_t1", "_t2"], "left")
+def _joined(documents: DataFrame, width: int, short: int | None = None) -> DataFrame:
+    """(row, t1, t2, copies, spans, short_spans) of each row; row holds documents' columns, whatever their names. The join is an outer one, so adaptive execution may deal the many rows of one text over tasks."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *text_key(text))
+    return base.join(repeated_windows(documents, width, short=short), ["t1", "t2"], "left")
+
 
+def repeat_report(documents: DataFrame, width: int = WIDTH, short: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row; with short also n_short, the bytes in strings of short bytes that occur again, and repeated, whether there are any.
 
-def repeat_report(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row. A null text is empty; texts shorter than width lose nothing; repeated rows are copies of each other."""
+    A null text is empty; texts shorter than width lose nothing; repeated rows are copies of
+    each other. Rows keep their ids, null ones too.
+    """
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def digest(text, copies, spans):
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_short long")
+    def digest(text, copies, spans, short_spans):
         import pandas as pd
 
         rows = []
-        for t, c, s in zip(text, copies, spans):
+        for t, c, s, f in zip(text, copies, spans, short_spans):
             data = (t or "").encode("utf-8", "surrogatepass")
-            runs = removed(len(data), None if pd.isna(c) else c, s, width)
-            rows.append((len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(data, runs)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            c = None if pd.isna(c) else c
+            runs = removed(len(data), c, s, width)
+            few = 0 if short is None else sum(b - a for a, b in removed(len(data), c, f, short))
+            rows.append((len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(data, runs)).hexdigest(), few))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_short"])
 
-    rows = _joined(documents.select("doc_id", "text"), width)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest("text", "_copies", "_spans").alias("d")).select("doc_id", "d.*")
+    rows = _joined(documents.select("doc_id", "text"), width, short)
+    out = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), digest("row.text", "copies", "spans", "short_spans").alias("d")).select("doc_id", "d.*")
+    return out.drop("n_short") if short is None else out.withColumn("repeated", F.col("n_short") > 0)
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """documents with the repeated bytes cut out of text; other columns stay. A character of which some byte stays, stays whole; a text that loses all is empty."""
+    """documents with the repeated bytes cut out of text; other columns stay. A character of which some byte stays, stays whole; a text that loses all is empty; a null text stays null."""
 
     @F.pandas_udf("string")
     def cut(text, copies, spans):
@@ -382,9 +413,9 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             out.append(kept(data, runs).decode("utf-8", "replace") if runs else t)
         return pd.Series(out, dtype=object)
 
-    name = free_name(documents, "text_kept")
-    return _joined(documents, width).withColumn(name, cut("text", "_copies", "_spans")).select(*[F.col(name).alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    rows = _joined(documents, width).select("row", cut("row.text", "copies", "spans").alias("kept"))
+    return rows.select(*[F.col("kept").alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_report(table(spark, sf_dir, "documents"))
+    return repeat_report(table(spark, sf_dir, "documents"), short=SHORT)

@@ -137,15 +137,39 @@ def brute_repeats(texts, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_repeats(spark, texts, hot, monkeypatch):
-    monkeypatch.setattr(repeats.repeated_windows, "__defaults__", (400, 64, hot))
+@pytest.mark.parametrize("hot", [512, 7, 2])
+@pytest.mark.parametrize("short", [None, 150, 224])
+def test_repeats(spark, texts, hot, short, monkeypatch):
+    monkeypatch.setattr(repeats.repeated_windows, "__defaults__", (400, 64, hot, None))
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(1000, None, None, None, None)], DOCS)
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_report(docs).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_report(docs, short=short).collect()}
     want = brute_repeats([t.encode() for t in texts], 400)
+    if short:
+        few = brute_repeats([t.encode() for t in texts], short)
+        want = [(*w, f[1], f[1] > 0) for w, f in zip(want, few)]
     assert [got[i] for i in range(len(texts))] == want and got[1000][:3] == (0, 0, 0)
-    kept = repeats.remove_repeats(docs)
-    assert kept.columns == docs.columns and kept.count() == len(texts) + 1
+
+
+def test_repeats_over_piece_borders(spark, monkeypatch):
+    """Texts of over three times PIECE, with anchors on either side of each border, and a text that is one period."""
+    monkeypatch.setattr(repeats, "PIECE", 1024)
+    rng = random.Random(21)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(900)
+    texts = [noise(900) + passage + noise(2500), noise(3000) + passage, noise(1600) + passage[100:] + noise(1500) + passage[:600], "ab" * 2500, noise(4000)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    assert [r[1:] for r in map(tuple, repeats.repeat_report(docs, short=224).drop("n_short", "repeated").orderBy("doc_id").collect())] == brute_repeats([t.encode() for t in texts], 400)
+    assert [r.n_short for r in repeats.repeat_report(docs, short=224).orderBy("doc_id").collect()] == [x[1] for x in brute_repeats([t.encode() for t in texts], 224)]
+
+
+def test_repeats_keep_columns_whatever_their_names(spark, texts):
+    more = spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", "f", "g") for i, t in enumerate(texts)] + [(None, None, "a", "b", "c", "d", "e", "f", "g")], "doc_id long, text string, t1 string, t2 string, row string, copies string, spans string, kept string, `dot.ted` string")
+    out = repeats.remove_repeats(more)
+    assert out.columns == more.columns and out.count() == len(texts) + 1
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[None].text is None and rows[3].asDict()["dot.ted"] == "g"
+    sizes = [w[0] - w[1] for w in brute_repeats([t.encode() for t in texts], 400)]
+    assert all(len(rows[i].text.encode()) >= sizes[i] for i in range(len(texts))) and [len(rows[i].text.encode()) for i in range(60)] == sizes[:60]
 
 
 def test_repeats_beside_a_text_that_shares_one_gram(spark):
@@ -167,7 +191,7 @@ def test_columns_when_a_later_group_leaves():
     body = lambda n: rng.integers(98, 122, n).astype(np.uint8).tobytes()
     shared, gram = body(500), body(64)
     strings = [shared, shared, b"z" * 5 + shared[300:364] + body(300), gram + body(336), gram + body(336)]
-    marks, _ = repeats.columnwise(np.array([0, 0, 0, 1, 1]), strings, np.array([36, 36, 331, 336, 336]))
+    [(marks, _)] = repeats.columnwise(np.array([0, 0, 0, 1, 1]), strings, np.array([36, 36, 331, 336, 336]))
     assert marks[:2, 36:137].all() and not marks[2:].any()
 
 
