@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +28,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur again out of all texts and sets n_chars anew; every document stays."""
-    out = repeats.remove_repeats(docs)
+    """Cuts strings of repeats.SHORT bytes (some 50 words) that occur again out of all texts and sets n_chars anew; every document stays."""
+    out = repeats.remove_repeats(docs, repeats.SHORT)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(out.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in out.columns else out
 
 
