@@ -78,6 +78,17 @@ class Model:
         return (self.table @ d).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+@dataclass
+class Fitted:
+    """What scoring needs of a Model: one logit a bucket, and the bias."""
+
+    logit: np.ndarray
+    bias: float
+
+    def logits(self) -> tuple[np.ndarray, float]:
+        return self.logit, self.bias
+
+
 def fit(vocab: list[str], docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, seed: int = SEED) -> Model:
     """Trains table and softmax jointly. docs: of each text the positions of its words in vocab, and their shares of the mean. Texts without such words are left out of the updates. One class or no rows: a model that knows its bias alone."""
     rng = np.random.default_rng(seed)
@@ -144,6 +155,7 @@ def held_out(doc_id: Column) -> Column:
 
 _BAG = pa.schema([("toxic", pa.int64()), ("words", pa.list_(pa.string())), ("shares", pa.list_(pa.float32()))])
 _IDS = pa.schema([("toxic", pa.int64()), ("ids", pa.binary()), ("shares", pa.binary())])
+_FITTED = pa.schema([("logit", pa.binary()), ("bias", pa.float64())])
 
 
 def shares(words: list[str]) -> dict[str, float]:
@@ -153,10 +165,12 @@ def shares(words: list[str]) -> dict[str, float]:
     return {w: x / total for w, x in weight.items()}
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fitted:
     """Fits on labelled rows that are not held out. Labels with a null id or null toxic don't count; of several labels of one id the largest holds. Rows are chosen by a hash of the id, so the sample is uniform and the same on every run.
 
-    The driver gets the words that enough texts have, and each text as numbers of those words: a few MB.
+    The driver gets the words that enough texts have, and at the end one number a bucket. The fit itself runs
+    in one task over the bounded sample, each text as numbers of those words, so the driver stays small
+    and a lost executor only costs a retry.
     """
     spark = documents.sparkSession
     prepare(spark)
@@ -184,12 +198,19 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
                 part.append(np.array([p for _, p in both], "<f4").tobytes())
             yield records(_IDS, toxic=b.column("toxic"), ids=ids, shares=part)
 
-    got = rows.mapInArrow(number, "toxic long, ids binary, shares binary").collect()
-    got = sorted((r.toxic, bytes(r.ids), bytes(r.shares)) for r in got)
-    return fit(vocab, [(np.frombuffer(i, "<i4"), np.frombuffer(p, "<f4")) for _, i, p in got], [t for t, _, _ in got])
+    def learn(batches):
+        got = sorted((t, i, p) for b in batches for t, i, p in zip(*(b.column(c).to_pylist() for c in _IDS.names)))
+        docs = [(np.frombuffer(i, "<i4"), np.frombuffer(p, "<f4")) for _, i, p in got]
+        logit, bias = fit(shared.value, docs, [t for t, _, _ in got]).logits()
+        yield records(_FITTED, logit=[logit.astype("<f4").tobytes()], bias=[bias])
+
+    # max_train rows at most come together here
+    fitted = written(rows.mapInArrow(number, "toxic long, ids binary, shares binary").repartition(1).mapInArrow(learn, "logit binary, bias double"), "fitted").first()
+    shared.unpersist()
+    return Fitted(np.frombuffer(bytes(fitted.logit), "<f4"), fitted.bias) if fitted else Fitted(np.zeros(BUCKETS, np.float32), 0.0)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
+def score(documents: DataFrame, model: Model | Fitted) -> DataFrame:
     """documents with the column score (the first free name of score, score_, ...) added; other columns pass through.
 
     Every whole text counts, in a mean over all its words. A text without words (null and
