@@ -11,7 +11,9 @@ from . import rdfize
 from .functions.updates import parsed, update_texts
 from .operators import convert, graph, replay
 from .plans import query as plan
+from .plans.entity import AgnosticEntity
 from .plans.query import DeltaQuery, VersionQuery
+from .scratch import is_there
 
 _T = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 PURCHASE = 'SELECT ?u WHERE { ?u <urn:p:status> "purchase" }'
@@ -22,8 +24,20 @@ def _time(c: str):
     return F.date_format(c, _T).alias(c)
 
 
-def _cat(spark: SparkSession, d: str) -> plan.Catalog:
-    return rdfize.event_catalog(spark, d)
+#: Catalogs already built, by folder and kind, of the session at hand.
+_BUILT: dict = {}
+
+
+def _cat(spark: SparkSession, d: str, kind: str = "") -> plan.Catalog:
+    """The event catalog of a folder, built once a session: its states and intervals are tables in the shared folder, and every question reads them."""
+    c = _BUILT.get((d, kind))
+    if c is None or c.validity.sparkSession is not spark or spark.sparkContext._jsc is None or not is_there(c.validity):
+        c = _BUILT[(d, kind)] = rdfize.event_catalog(spark, d, kind)
+    return c
+
+
+def _merges(spark: SparkSession, d: str) -> DataFrame:
+    return _cat(spark, d, "merged").with_merges().merges
 
 
 def _bounds(spark: SparkSession, d: str) -> tuple[str, str, str]:
@@ -150,17 +164,13 @@ def cv_gap_fill_all(spark, d):
 
 
 def sv_bgp_chain(spark, d):
-    q = rdfize.static_quads(spark, d, ("customer", "nation", "region"))
-    s = q.select("entity", F.concat(F.col("entity"), F.lit("/se/1")).alias("snapshot"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("generated_at")).distinct()
-    ops = spark.createDataFrame([], "entity string, snapshot string, generated_at timestamp, op_seq int, quad_seq int, op string, s string, p string, o string, g string")
-    c = plan.Catalog.build(q, s, ops)
+    c = rdfize.static_catalog(spark, d, ("customer", "nation", "region"))
     i = VersionQuery(c, 'SELECT ?c ?r WHERE { ?c <urn:p:c_nationkey> ?n . ?n <urn:p:n_regionkey> ?r . ?r <urn:p:r_name> "ASIA" }').intervals()
     return i.select("c", "n", "r")
 
 
 def discovery_present(spark, d):
-    c = _cat(spark, d)
-    return c.quads.where((F.col("p") == rdfize.STATUS) & (F.col("o") == '"purchase"')).select("entity").distinct()
+    return plan.present(_cat(spark, d), ("?u", rdfize.STATUS, '"purchase"'))
 
 
 def discovery_historical(spark, d):
@@ -168,10 +178,9 @@ def discovery_historical(spark, d):
 
 
 def related_objects(spark, d):
-    q = rdfize.static_quads(spark, d, ("supplier", "nation", "region"))
-    start = q.where(F.col("g") == "<urn:g:supplier>").select(F.col("entity").alias("root"), F.col("entity").alias("node")).distinct()
-    edges = q.where(F.col("o").startswith("<")).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
-    return graph.reachable(start, edges).select("root", "node", F.col("depth").cast("bigint").alias("depth"))
+    c = rdfize.static_catalog(spark, d, ("supplier", "nation", "region"))
+    start = c.quads.where(F.col("g") == "<urn:g:supplier>").select(F.col("entity").alias("root"), F.col("entity").alias("node")).distinct()
+    return graph.reachable(start, graph.cut(graph.object_edges(c.validity))).select("root", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
 def _reverse(spark, d, depth):
@@ -189,19 +198,24 @@ def reverse_relations_d2(spark, d):
 
 
 def historical_reverse(spark, d):
-    c = _cat(spark, d)
-    return c.ops.where(F.col("o") == '"error"').select("entity").distinct()
+    return graph.historical_reverse(_cat(spark, d).ops, ['"error"'])
+
+
+def reverse_historical(spark, d):
+    """Entities that referred to region 2, and those that referred to them, though none does any more."""
+    e = AgnosticEntity(rdfize.moved_out(spark, d), "urn:t:region/2", include_reverse_relations=True, include_historical_reverse_relations=True)
+    return e.entities()
 
 
 def merged_forward(spark, d):
-    m = rdfize.user_merges(spark, d)
+    m = _merges(spark, d)
     start = m.where(F.col("survivor") == "<urn:user/0>").select(F.col("survivor").alias("root"), F.col("survivor").alias("node")).distinct()
     return graph.reachable(start, m.select(F.col("survivor").alias("src"), F.col("absorbed").alias("dst"))).select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
 def merged_forward_all(spark, d):
     """merged_forward from every survivor."""
-    return _absorbed(graph.cut(rdfize.user_merges(spark, d))).select("root", "node", F.col("depth").cast("bigint").alias("depth"))
+    return _absorbed(_merges(spark, d)).select("root", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
 def _absorbed(m: DataFrame) -> DataFrame:
@@ -210,12 +224,12 @@ def _absorbed(m: DataFrame) -> DataFrame:
 
 
 def merge_components(spark, d):
-    c = graph.merge_components(graph.cut(rdfize.user_merges(spark, d)))
+    c = _cat(spark, d, "merged").with_merges().components
     return c.groupBy("component").agg(F.count("*").alias("n"), F.max("entity").alias("last"))
 
 
 def merge_events(spark, d):
-    e = graph.merge_events(rdfize.user_merges(spark, d))
+    e = graph.merge_events(_merges(spark, d))
     return e.select("entity", "snapshot", "survivor", _time("time"))
 
 
@@ -232,7 +246,7 @@ def history_merged_all(spark, d):
     ev = rdfize.table(spark, d, "events").where("user_id is not null and ts is not null and event_type is not null")
     states = ev.groupBy(rdfize.user(F.col("user_id")).alias("entity"), F.col("ts").alias("time")).agg(F.max_by("event_type", "event_id").alias("o"))
     states = graph.cut(states.select("entity", "time", F.col("entity").alias("s"), F.lit(rdfize.STATUS).alias("p"), "o", F.lit(rdfize.USERS).alias("g")))
-    related = _absorbed(graph.cut(rdfize.user_merges(spark, d))).select("root", F.col("node").alias("entity"))
+    related = _absorbed(_merges(spark, d)).select("root", F.col("node").alias("entity"))
     main = related.select("root").distinct().join(states.select(F.col("entity").alias("root"), "time"), "root")
     return graph.merged_history(main, related.join(states, "entity")).select("root", _time("time"), "entity", F.col("o").alias("status"))
 
@@ -249,6 +263,95 @@ def prov_other(spark, d):
     return other.groupBy("entity").agg(F.count("*").alias("n"))
 
 
+def ties_validity(spark, d):
+    """Intervals where all of a day's snapshots have one time and their numbers decide which comes last."""
+    return _cat(spark, d, "ties").validity.select("entity", "p", "o", _time("valid_from"), _time("valid_to"))
+
+
+def delta_empty_changes(spark, d):
+    """Delta records of all users for one property: changes of the other one stay as empty entries."""
+    a, b, _ = _bounds(spark, d)
+    c = _cat(spark, d)
+    r = replay.delta_records(c.ops, c.snapshots, (a, b), ["urn:p:status"])
+    n = lambda f: F.size(F.filter("changes", f)).cast("bigint")
+    return r.select("entity", F.size("changes").cast("bigint").alias("n_changes"), n(lambda x: (F.size(x["additions"]) == 0) & (F.size(x["deletions"]) == 0)).alias("n_empty"), F.size("additions").cast("bigint").alias("n_added"), F.size("deletions").cast("bigint").alias("n_deleted"))
+
+
+def delta_created_deleted(spark, d):
+    """When users were created and deleted, from the first quarter of the time on."""
+    a, _, _ = _bounds(spark, d)
+    c = _cat(spark, d, "deleted")
+    return replay.delta_records(c.ops, c.snapshots, (a, None)).select("entity", _time("created"), _time("deleted"))
+
+
+def merge_aware_version(spark, d):
+    """The status of user 0 in any version, of whoever was merged with it too."""
+    i = VersionQuery(_cat(spark, d, "merged"), "SELECT ?x WHERE { <urn:user/0> <urn:p:status> ?x }", merge_aware=True).intervals()
+    return i.select("x", F.date_format("from_", _T).alias("from_"), F.when(F.col("to_") < F.lit(replay.OPEN).cast("timestamp"), F.date_format("to_", _T)).alias("to_"))
+
+
+def merge_aware_constant(spark, d):
+    """Customers of nation 1, which is merged with the other nations of its region."""
+    c = rdfize.nation_merges(spark, d, rdfize.static_catalog(spark, d, ("customer", "nation")))
+    return VersionQuery(c, "SELECT ?c WHERE { ?c <urn:p:c_nationkey> <urn:t:nation/1> }", merge_aware=True).intervals().select("c")
+
+
+def merge_aware_delta(spark, d):
+    """Changes and merges of users that ever had a purchase, and of those merged with them."""
+    a, b, _ = _bounds(spark, d)
+    r = DeltaQuery(_cat(spark, d, "merged"), PURCHASE, (a, b), merge_aware=True).records()
+    return r.select("entity", F.size("changes").cast("bigint").alias("n_changes"), F.coalesce(F.size("merges"), F.lit(0)).cast("bigint").alias("n_merges"))
+
+
+def cv_bgp_chain_static(spark, d):
+    """Suppliers with the names of their regions, over two hops."""
+    c = rdfize.static_catalog(spark, d, ("supplier", "nation", "region"))
+    return VersionQuery(c, "SELECT ?s ?x WHERE { ?s <urn:p:s_nationkey> ?n . ?n <urn:p:n_regionkey> ?r . ?r <urn:p:r_name> ?x }").bindings().select("s", "x")
+
+
+def state_with_related(spark, d):
+    """The state of supplier 1 with the objects it refers to, directly or not."""
+    c = rdfize.static_catalog(spark, d, ("supplier", "nation", "region"))
+    states, _, _ = AgnosticEntity(c, "urn:t:supplier/1", include_related_objects=True).get_state_at_time((None, None))
+    return states.select("s", "p", "o")
+
+
+def state_with_merged(spark, d):
+    """The states of user 0 between two instants, with those of the users merged into it."""
+    a, b, _ = _bounds(spark, d)
+    states, _, _ = AgnosticEntity(_cat(spark, d, "merged"), "urn:user/0", include_merged_entities=True).get_state_at_time((a, b))
+    return states.select(_time("time"), "s", "p", "o")
+
+
+def history_with_reverse(spark, d):
+    """The history of region 2 with its nations, one level of references back."""
+    c = rdfize.static_catalog(spark, d, ("nation", "region"))
+    states, _ = AgnosticEntity(c, "urn:t:region/2", include_reverse_relations=True, reverse_relations_depth=1).get_history()
+    return states.select("s", "p", "o")
+
+
+def state_metadata(spark, d):
+    """Snapshots selected between two instants and the other ones, for user 0 and the users merged into it."""
+    a, b, _ = _bounds(spark, d)
+    _, chosen, other = AgnosticEntity(_cat(spark, d, "merged"), "urn:user/0", include_merged_entities=True).get_state_at_time((a, b), include_prov_metadata=True)
+    rows = chosen.withColumn("channel", F.lit("selected")).unionByName(other.withColumn("channel", F.lit("other")))
+    return rows.groupBy("entity", "channel").agg(F.count("*").alias("n"), F.sum(F.size("derived_from")).cast("bigint").alias("n_derived"))
+
+
+def version_metadata(spark, d):
+    """Snapshots with metadata of all users that ever had a purchase."""
+    _, chosen, other = VersionQuery(_cat(spark, d), PURCHASE, include_prov_metadata=True).run_agnostic_query()
+    return chosen.unionByName(other).groupBy("entity", "description", "attributed_to").agg(F.count("*").alias("n"))
+
+
+def delta_metadata(spark, d):
+    """Snapshots, selected and other, of the users with a delta record."""
+    a, b, _ = _bounds(spark, d)
+    _, chosen, other = DeltaQuery(_cat(spark, d), PURCHASE, (a, b), include_prov_metadata=True).run_agnostic_query()
+    rows = chosen.withColumn("channel", F.lit("selected")).unionByName(other.withColumn("channel", F.lit("other")))
+    return rows.groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("n_entities"))
+
+
 def _days(copies) -> int:
     return copies.agg(F.max("version")).first()[0] + 1
 
@@ -284,7 +387,7 @@ def insert_text(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
+    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ties_validity, delta_empty_changes, delta_created_deleted, merge_aware_version, merge_aware_constant, merge_aware_delta, cv_bgp_chain_static, state_with_related, state_with_merged, history_with_reverse, state_metadata, version_metadata, delta_metadata, reverse_historical, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
     return {f.__name__: f for f in names}
 
 
@@ -309,6 +412,9 @@ m AS (SELECT '<urn:merge/' || u || '>' AS snapshot, time, '<urn:user/' || v || '
 """
 _ABSORBED = """, r AS (SELECT DISTINCT survivor AS root, survivor AS node, CAST(0 AS BIGINT) AS depth FROM m UNION ALL SELECT r.root, m.absorbed, r.depth + 1 FROM r JOIN m ON m.survivor = r.node)
 """
+_BOTH = "WITH RECURSIVE" + _EV.removeprefix("WITH") + ", " + _MERGES.removeprefix("WITH RECURSIVE ")
+_COMPONENTS = """, e2 AS (SELECT survivor AS a, absorbed AS b FROM m UNION SELECT absorbed, survivor FROM m), r2 AS (SELECT a, a AS x FROM e2 UNION SELECT r2.a, e2.b FROM r2 JOIN e2 ON r2.x = e2.a), comp AS (SELECT a, min(x) AS component FROM r2 GROUP BY a)
+"""
 
 
 def _unpivot(name: str, cols: dict[str, str]) -> str:
@@ -351,9 +457,9 @@ z AS (SELECT entity, p, arg_max(o, (ts, event_id)) AS o FROM st, bounds WHERE ts
 SELECT entity, p, o, CAST(1 AS INTEGER) AS sign FROM z WHERE (entity, p, o) NOT IN (SELECT (entity, p, o) FROM a) UNION ALL SELECT entity, p, o, -1 FROM a WHERE (entity, p, o) NOT IN (SELECT (entity, p, o) FROM z)""",
         "delta_record_flat": _EV + f""", per AS (SELECT entity, min(ts) AS born FROM ev GROUP BY entity), rel AS (SELECT DISTINCT entity FROM ch WHERE p = '<urn:p:status>' AND o = '"purchase"'),
 k AS (SELECT ch.entity, count(DISTINCT ts) AS n FROM ch JOIN per USING (entity), bounds WHERE prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 GROUP BY 1)
-SELECT rel.entity, CAST(coalesce(k.n, 0) AS BIGINT) AS n_changes, CASE WHEN born BETWEEN t1 AND t2 THEN strftime(born, {_F}) END AS created FROM rel JOIN per USING (entity) LEFT JOIN k USING (entity), bounds WHERE k.n IS NOT NULL OR born BETWEEN t1 AND t2""",
+SELECT rel.entity, CAST(coalesce(k.n, 0) AS BIGINT) AS n_changes, CASE WHEN born BETWEEN t1 AND t2 THEN strftime(born, {_F}) END AS created FROM rel JOIN per USING (entity) LEFT JOIN k USING (entity), bounds WHERE entity IN (SELECT entity FROM ev, bounds WHERE ts BETWEEN t1 AND t2)""",
         "delta_changed_props": _EV + """, per AS (SELECT entity, min(ts) AS born FROM ev GROUP BY entity)
-SELECT entity, CAST(count(*) AS BIGINT) AS n_added, CAST(count(prev) AS BIGINT) AS n_deleted FROM ch JOIN per USING (entity), bounds WHERE p = '<urn:p:status>' AND prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 GROUP BY entity""",
+SELECT entity, CAST(count(*) FILTER (p = '<urn:p:status>') AS BIGINT) AS n_added, CAST(count(prev) FILTER (p = '<urn:p:status>') AS BIGINT) AS n_deleted FROM ch JOIN per USING (entity), bounds WHERE prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 GROUP BY entity""",
         "vm_single_pattern": _EV + """SELECT entity AS u FROM (SELECT entity, arg_max(event_type, (ts, event_id)) AS e FROM ev, bounds WHERE ts <= t2 GROUP BY entity) WHERE e = 'purchase'""",
         "sv_bgp_star": _EV + """SELECT entity AS u, '"' || v || '"^^<http://www.w3.org/2001/XMLSchema#integer>' AS v FROM (SELECT entity, arg_max(event_type, (ts, event_id)) AS e, arg_max(cents, (ts, event_id)) AS v FROM ev, bounds WHERE ts <= t2 GROUP BY entity) WHERE e = 'purchase' AND v IS NOT NULL""",
         "sv_bgp_chain": "SELECT '<urn:t:customer/' || c_custkey || '>' AS c, '<urn:t:nation/' || n_nationkey || '>' AS n, '<urn:t:region/' || r_regionkey || '>' AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
@@ -383,6 +489,41 @@ SELECT entity, '<urn:user/' || user_id || '/prov/se/' || lpad(CAST(i AS VARCHAR)
         "prov_other": _EV + """, rel AS (SELECT DISTINCT entity FROM ev WHERE event_type = 'purchase'), ins AS (SELECT ev.* FROM ev, bounds WHERE ts BETWEEN t1 AND t2),
 sel AS (SELECT entity, ts FROM ins UNION SELECT entity, max(ts) FROM ev, bounds WHERE ts <= t1 AND entity NOT IN (SELECT entity FROM ins) GROUP BY entity)
 SELECT entity, count(*) AS n FROM ev WHERE entity IN (SELECT entity FROM rel) AND (entity, ts) NOT IN (SELECT (entity, ts) FROM sel) GROUP BY entity""",
+        "ties_validity": _EV + f""", dy AS (SELECT entity, p, date_trunc('day', ts) AS day, arg_max(o, (ts, event_id)) AS o FROM st GROUP BY 1, 2, 3),
+dc AS (SELECT *, lag(o) OVER (PARTITION BY entity, p ORDER BY day) AS prev FROM dy), d2 AS (SELECT entity, p, o, day, lead(day) OVER (PARTITION BY entity, p ORDER BY day) AS nxt FROM dc WHERE prev IS DISTINCT FROM o)
+SELECT entity, p, o, strftime(CAST(day AS TIMESTAMP), {_F}) AS valid_from, strftime(CAST(nxt AS TIMESTAMP), {_F}) AS valid_to FROM d2""",
+        "delta_empty_changes": _EV + """, per AS (SELECT entity, min(ts) AS born FROM ev GROUP BY entity), inn AS (SELECT DISTINCT entity FROM ev, bounds WHERE ts BETWEEN t1 AND t2),
+x AS (SELECT ch.entity, ts, max(CASE WHEN p = '<urn:p:status>' THEN 1 ELSE 0 END) AS st FROM ch JOIN per USING (entity), bounds WHERE prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 GROUP BY 1, 2),
+k AS (SELECT entity, count(*) AS n, sum(1 - st) AS e FROM x GROUP BY entity),
+op AS (SELECT ch.entity, ts, event_id, 'D' AS op, prev AS o FROM ch JOIN per USING (entity), bounds WHERE p = '<urn:p:status>' AND prev IS NOT NULL AND prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 UNION ALL SELECT ch.entity, ts, event_id, 'I', o FROM ch JOIN per USING (entity), bounds WHERE p = '<urn:p:status>' AND prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2),
+fl AS (SELECT entity, o, arg_min(op, (ts, event_id)) AS f, arg_max(op, (ts, event_id)) AS l FROM op GROUP BY 1, 2),
+nt AS (SELECT entity, count(*) FILTER (f = 'I' AND l = 'I') AS a, count(*) FILTER (f = 'D' AND l = 'D') AS d FROM fl GROUP BY 1)
+SELECT inn.entity, CAST(coalesce(k.n, 0) AS BIGINT) AS n_changes, CAST(coalesce(k.e, 0) AS BIGINT) AS n_empty, CAST(coalesce(nt.a, 0) AS BIGINT) AS n_added, CAST(coalesce(nt.d, 0) AS BIGINT) AS n_deleted FROM inn LEFT JOIN k USING (entity) LEFT JOIN nt USING (entity)""",
+        "delta_created_deleted": _EV + f""", per AS (SELECT entity, min(ts) AS born, max(ts) AS ended, arg_max(event_type, (ts, event_id)) AS e FROM ev GROUP BY entity)
+SELECT entity, CASE WHEN born >= t1 THEN strftime(born, {_F}) END AS created, CASE WHEN e = 'error' AND ended + INTERVAL 1 SECOND >= t1 THEN strftime(ended + INTERVAL 1 SECOND, {_F}) END AS deleted FROM per, bounds WHERE ended >= t1 OR (e = 'error' AND ended + INTERVAL 1 SECOND >= t1)""",
+        "merge_aware_version": _BOTH + _COMPONENTS + f"SELECT DISTINCT o AS x, strftime(valid_from, {_F}) AS from_, strftime(valid_to, {_F}) AS to_ FROM iv WHERE p = '<urn:p:status>' AND (entity = '<urn:user/0>' OR entity IN (SELECT a FROM comp WHERE component = (SELECT component FROM comp WHERE a = '<urn:user/0>')))",
+        "merge_aware_constant": "SELECT '<urn:t:customer/' || c_custkey || '>' AS c FROM customer JOIN nation n ON c_nationkey = n.n_nationkey WHERE n.n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 1)",
+        "merge_aware_delta": _BOTH + _COMPONENTS + """, per AS (SELECT entity, min(ts) AS born FROM (SELECT entity, ts FROM ev UNION ALL SELECT survivor, time FROM m) GROUP BY entity), rel0 AS (SELECT DISTINCT entity FROM ch WHERE p = '<urn:p:status>' AND o = '"purchase"'),
+rel AS (SELECT entity FROM rel0 UNION SELECT a FROM comp WHERE component IN (SELECT component FROM comp JOIN rel0 ON a = entity)),
+k AS (SELECT ch.entity, count(DISTINCT ts) AS n FROM ch JOIN per USING (entity), bounds WHERE prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 GROUP BY 1),
+g AS (SELECT entity, count(*) AS n FROM (SELECT survivor AS entity FROM m, bounds WHERE time BETWEEN t1 AND t2 UNION ALL SELECT absorbed FROM m, bounds WHERE time BETWEEN t1 AND t2) GROUP BY 1),
+inn AS (SELECT entity FROM ev, bounds WHERE ts BETWEEN t1 AND t2 UNION SELECT entity FROM g)
+SELECT entity, CAST(coalesce(k.n, 0) AS BIGINT) AS n_changes, CAST(coalesce(g.n, 0) AS BIGINT) AS n_merges FROM rel JOIN per USING (entity) LEFT JOIN k USING (entity) LEFT JOIN g USING (entity) WHERE entity IN (SELECT entity FROM inn)""",
+        "cv_bgp_chain_static": """SELECT '<urn:t:supplier/' || s_suppkey || '>' AS s, '"' || r_name || '"' AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+        "state_with_related": f"WITH q AS ({_quads_sql('supplier', 'nation', 'region')}) SELECT s, p, o FROM q WHERE s = '<urn:t:supplier/1>' OR s IN (SELECT '<urn:t:nation/' || s_nationkey || '>' FROM supplier WHERE s_suppkey = 1) OR s IN (SELECT '<urn:t:region/' || n_regionkey || '>' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1)",
+        "state_with_merged": _BOTH + _ABSORBED + f""", mem AS (SELECT '<urn:user/0>' AS entity UNION SELECT node FROM r WHERE root = '<urn:user/0>' AND depth > 0),
+ver AS (SELECT entity, ts FROM ev WHERE entity IN (SELECT entity FROM mem) UNION SELECT survivor, time FROM m WHERE survivor IN (SELECT entity FROM mem)),
+ins AS (SELECT entity, ts FROM ver, bounds WHERE ts BETWEEN t1 AND t2), sel AS (SELECT entity, ts FROM ins UNION SELECT entity, max(ts) FROM ver, bounds WHERE ts <= t1 AND entity NOT IN (SELECT entity FROM ins) GROUP BY entity),
+pick AS (SELECT a.ts AS time, b.entity, max(b.ts) AS at FROM sel a JOIN sel b ON b.ts <= a.ts WHERE a.entity = '<urn:user/0>' GROUP BY 1, 2)
+SELECT strftime(pick.time, {_F}) AS time, iv.entity AS s, iv.p, iv.o FROM pick JOIN iv ON iv.entity = pick.entity AND iv.valid_from <= pick.at AND (iv.valid_to IS NULL OR pick.at < iv.valid_to)""",
+        "history_with_reverse": f"WITH q AS ({_quads_sql('nation', 'region')}) SELECT s, p, o FROM q WHERE s = '<urn:t:region/2>' OR s IN (SELECT '<urn:t:nation/' || n_nationkey || '>' FROM nation WHERE n_regionkey = 2)",
+        "state_metadata": _BOTH + _ABSORBED + """, mem AS (SELECT '<urn:user/0>' AS entity UNION SELECT node FROM r WHERE root = '<urn:user/0>' AND depth > 0),
+sn AS (SELECT entity, ts, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 THEN 1 ELSE 0 END AS d FROM ev WHERE entity IN (SELECT entity FROM mem) UNION ALL SELECT survivor, time, 1 FROM m WHERE survivor IN (SELECT entity FROM mem)),
+ins AS (SELECT DISTINCT entity, ts FROM sn, bounds WHERE ts BETWEEN t1 AND t2), sel AS (SELECT entity, ts FROM ins UNION SELECT entity, max(ts) FROM sn, bounds WHERE ts <= t1 AND entity NOT IN (SELECT entity FROM ins) GROUP BY entity)
+SELECT entity, CASE WHEN (entity, ts) IN (SELECT (entity, ts) FROM sel) THEN 'selected' ELSE 'other' END AS channel, count(*) AS n, CAST(sum(d) AS BIGINT) AS n_derived FROM sn GROUP BY 1, 2""",
+        "version_metadata": "SELECT '<urn:user/' || user_id || '>' AS entity, 'event' AS description, '<urn:agent:driver>' AS attributed_to, count(*) AS n FROM events WHERE ts IS NOT NULL AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1",
+        "delta_metadata": _EV + """, rel AS (SELECT DISTINCT entity FROM ev WHERE event_type = 'purchase' AND entity IN (SELECT entity FROM ev, bounds WHERE ts BETWEEN t1 AND t2)) SELECT CASE WHEN ts BETWEEN t1 AND t2 THEN 'selected' ELSE 'other' END AS channel, count(*) AS n, count(DISTINCT entity) AS n_entities FROM ev JOIN rel USING (entity), bounds GROUP BY 1""",
+        "reverse_historical": "SELECT '<urn:t:region/2>' AS entity UNION ALL SELECT '<urn:t:nation/' || n_nationkey || '>' FROM nation WHERE n_regionkey = 2 UNION ALL SELECT '<urn:t:customer/' || c_custkey || '>' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2",
         "ic_diff": _COPIES + "SELECT CAST(version AS BIGINT) AS version, op, entity, o FROM ch",
         "cb_apply": _COPIES + "SELECT c.entity, c.o FROM c, n WHERE c.version = n.m",
         "converter_numbering": _COPIES + "SELECT entity, CAST(1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS version FROM ents UNION ALL SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY version) + 1, version FROM per",

@@ -13,45 +13,40 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 _LITERAL = r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$'
 
 
+#: Characters that a literal's text writes with a backslash, and their letters.
+ESCAPES = {"\\": "\\", '"': '"', "\n": "n", "\r": "r"}
+_ESCAPED = str.maketrans({c: "\\" + x for c, x in ESCAPES.items()})
+_MEANT = {"\\" + x: c for c, x in ESCAPES.items()}
+#: The grammar of terms; the group that matches is the kind.
+_GRAMMAR = re.compile(r'<(?P<uri>.*)>|_:(?P<bnode>.*)|"(?P<literal>.*)"(?:\^\^<(?P<datatype>[^>]*)>|@(?P<lang>[A-Za-z0-9-]+))?', re.S)
+
+
 def escape(value: str) -> str:
     """Backslash, quote, newline and carriage return; nothing else."""
-    return value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r")
+    return value.translate(_ESCAPED)
 
 
 def unescape(value: str) -> str:
     """Reverses escape; other escapes stay as they stand."""
-    return re.sub(r'\\([\\"nr])', lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), value)
+    return re.sub(r"\\.", lambda m: _MEANT.get(m[0], m[0]), value, flags=re.S)
 
 
 def binding_to_n3(b: dict) -> str:
     """N3 text of a SPARQL-JSON binding."""
-    if b["type"] == "uri":
-        return f"<{b['value']}>"
-    if b["type"] == "bnode":
-        return f"_:{b['value']}"
-    body = f'"{escape(b["value"])}"'
-    if b.get("xml:lang"):
-        return f"{body}@{b['xml:lang']}"
-    return f"{body}^^<{b['datatype']}>" if b.get("datatype") else body
+    suffix = "@" + b["xml:lang"] if b.get("xml:lang") else "^^<" + b["datatype"] + ">" if b.get("datatype") else ""
+    form = {"uri": "<{0}>", "bnode": "_:{0}"}.get(b["type"], '"{1}"{2}')
+    return form.format(b["value"], escape(b["value"]), suffix)
 
 
 def n3_to_binding(term: str | None) -> dict | None:
-    """SPARQL-JSON binding of an N3 term; None for an unbound variable."""
+    """SPARQL-JSON binding of an N3 term; None for an unbound variable. Text of no kind is a literal."""
     if term is None:
         return None
-    if term.startswith("<"):
-        return {"type": "uri", "value": term[1:-1]}
-    if term.startswith("_:"):
-        return {"type": "bnode", "value": term[2:]}
-    m = re.match(_LITERAL, term)
-    if not m:
-        return {"type": "literal", "value": term}
-    out = {"type": "literal", "value": unescape(m[1])}
-    if m[2]:
-        out["datatype"] = m[2]
-    if m[3]:
-        out["xml:lang"] = m[3]
-    return out
+    m = _GRAMMAR.fullmatch(term)
+    parts = {k: v for k, v in m.groupdict().items() if v is not None} if m else {"literal": term}
+    kind = next(k for k in ("uri", "bnode", "literal") if k in parts)
+    extra = {"datatype": parts.get("datatype"), "xml:lang": parts.get("lang")}
+    return {"type": kind, "value": unescape(parts[kind]) if kind == "literal" and m else parts[kind]} | {k: v for k, v in extra.items() if v}
 
 
 def iri(value: Column) -> Column:
@@ -98,3 +93,9 @@ def normal_constant(term: str) -> str:
     """A query constant as it is matched in searches: the language tag in lower case, all else verbatim."""
     m = re.match(_LITERAL, term)
     return term[: -len(m[3])] + m[3].lower() if m and m[3] else term
+
+
+def normal_term(term: Column) -> Column:
+    """normal_constant of a column."""
+    tag = F.regexp_extract(term, r'(?s)^".*"@([A-Za-z0-9-]+)$', 1)
+    return F.when(tag == "", term).otherwise(F.concat(F.substring(term, F.lit(1), F.length(term) - F.length(tag)), F.lower(tag)))

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import PROV, RDF_TYPE
 from ..functions.times import within
+from ..scratch import written
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, so that plans of loops stay short and lost executors cost nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.environ.get("PALIMPSEST_SCRATCH") or tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/palimpsest/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder."""
+    return written(df, "graph")
 
 
 def reachable(start: DataFrame, edges: DataFrame, depth: int | None = None, seen: DataFrame | None = None) -> DataFrame:
@@ -55,12 +45,17 @@ def reverse_edges(quads: DataFrame) -> DataFrame:
     return quads.where(F.col("o").startswith("<") & ~F.col("p").contains(PROV) & (F.col("p") != RDF_TYPE)).select(F.col("o").alias("src"), F.col("s").alias("dst")).where("src <> dst").distinct()
 
 
-def historical_reverse(ops: DataFrame, entity: str) -> DataFrame:
-    """Entities whose updates mention the IRI."""
+def mention_edges(ops: DataFrame) -> DataFrame:
+    """(src, dst): an IRI, wherever it stands in an update, to the entities whose updates mention it."""
+    return ops.select(F.explode(F.array("s", "p", "o", "g")).alias("src"), F.col("entity").alias("dst")).where(F.col("src").startswith("<") & (F.col("src") != F.col("dst"))).distinct()
+
+
+def historical_reverse(ops: DataFrame, terms: list[str]) -> DataFrame:
+    """Entities whose updates mention one of the terms, anywhere and of any kind."""
     hit = F.lit(False)
     for c in ("s", "p", "o", "g"):
-        hit = hit | (F.col(c) == entity)
-    return ops.where(hit & (F.col("entity") != entity)).select("entity").distinct()
+        hit = hit | F.col(c).isin(terms)
+    return ops.where(hit & ~F.col("entity").isin(terms)).select("entity").distinct()
 
 
 def merge_edges(snapshots: DataFrame) -> DataFrame:
@@ -95,12 +90,11 @@ def merge_lists(edges: DataFrame, interval: tuple | None = None) -> DataFrame:
     return merge_events(edges, interval).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("time", "snapshot", "survivor", "absorbed"))).alias("merges"))
 
 
-def merged_history(main: DataFrame, related: DataFrame) -> DataFrame:
-    """Related states as of the main entity's times: (root, time, entity, s, p, o, g). main: (root, time); related: states (root, entity, time, s, p, o, g). Each related entity gives its latest state up to the time."""
+def merged_history(main: DataFrame, related: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Related states as of the main entity's times: (root, time, entity, s, p, o, g). main: (root, time); related: states (root, entity, time, s, p, o, g). Each related entity gives its latest state up to the time. versions (root, entity, time) names all its versions, also those without quads, which give nothing."""
     from .replay import latest_up_to
 
     states = related.withColumnRenamed("time", "at")
-    asks = main.join(states.select("root", "entity").distinct(), "root")
-    return latest_up_to(asks, states, ["root", "entity"]).drop("at")
-
-
+    known = states.select("root", "entity", "at") if versions is None else versions.select("root", "entity", F.col("time").alias("at"))
+    asks = main.join(known.select("root", "entity").distinct(), "root")
+    return latest_up_to(asks, states, ["root", "entity"], known=known).drop("at")

@@ -12,34 +12,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import convert_to_datetime, within
+from .ranks import at_times
 
 QUAD = ["s", "p", "o", "g"]
 #: Stands for an open end in comparisons.
 OPEN = "9999-12-31 00:00:00"
 
 
+def number(snapshot: Column) -> Column:
+    """The number that a snapshot's name ends with, so that se/10 comes after se/9; -1 without one. Names tell equal numbers apart."""
+    return F.coalesce(F.regexp_extract(snapshot, r"(\d{1,18})>?$", 1).try_cast("long"), F.lit(-1).cast("long"))
+
+
 def collapse(ops: DataFrame) -> DataFrame:
-    """The last operation on a quad at each time of an entity: what a later one in the same text or at the same time overrides is gone."""
-    last = F.max_by("op", F.struct("snapshot", "op_seq", "quad_seq")).alias("op")
-    return ops.groupBy("entity", "generated_at", *QUAD).agg(last)
+    """The operation on a quad at each time of an entity that tells whether the quad was there before.
+
+    Within a text the last one counts (texts are undone in their own order). Of several snapshots of one time the
+    first by number counts: they are undone newest first, so the first has the last word.
+    """
+    order = F.struct(number(F.col("snapshot")), "snapshot", -F.col("op_seq"), -F.col("quad_seq"))
+    return ops.groupBy("entity", "generated_at", *QUAD).agg(F.min_by("op", order).alias("op"))
 
 
 def validity(ops: DataFrame, quads: DataFrame, snapshots: DataFrame, is_quadstore: bool = True) -> DataFrame:
-    """(entity, s, p, o, g, valid_from, valid_to): half-open, valid_to null while the quad is in the dataset. Entities without snapshots have no versions. Without a quad store, quads compare by s, p, o."""
+    """(entity, s, p, o, g, valid_from, valid_to): half-open, valid_to null while the quad is in the dataset; intervals of a quad never touch. Entities without snapshots have no versions. Without a quad store, quads compare by s, p, o.
+
+    One shuffle and one order: each touch of a quad by an operation sees the next one, the dataset's quads stand behind
+    all touches, and touches that change nothing (removed and added again at one time) are passed over.
+    """
     if not is_quadstore:
         ops, quads = ops.withColumn("g", F.lit("")), quads.withColumn("g", F.lit(""))
     created = snapshots.groupBy("entity").agg(F.min("generated_at").alias("created"))
-    touch = collapse(ops).select("entity", *QUAD, F.col("generated_at").alias("at"), "op", F.lit(False).alias("now"))
-    present = quads.select("entity", *QUAD).distinct().select("entity", *QUAD, F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("op"), F.lit(True).alias("now"))
-    # creation is a touch without an operation, so that what was there before the first operation gets an interval too
-    by = Window.partitionBy("entity", *QUAD)
-    both = touch.unionByName(present).withColumn("in_dataset", F.max("now").over(by)).withColumn("first_at", F.min("at").over(by)).withColumn("first_op", F.min_by("op", "at").over(by))
-    order = by.orderBy(F.col("at").asc_nulls_last())
-    both = both.withColumn("next_at", F.lead("at").over(order)).withColumn("next_op", F.lead("op").over(order)).join(created, "entity")
-    after = both.where(F.col("at").isNotNull() & ((F.col("next_op") == "D") | (F.col("next_at").isNull() & F.col("in_dataset")))).select("entity", *QUAD, F.col("at").alias("valid_from"), F.col("next_at").alias("valid_to"))
-    first = both.where(F.col("at") == F.col("first_at")).where((F.col("first_op") == "D") & (F.col("created") < F.col("at"))).select("entity", *QUAD, F.col("created").alias("valid_from"), F.col("at").alias("valid_to"))
-    never = both.where(F.col("first_at").isNull()).select("entity", *QUAD, F.col("created").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
-    return after.unionByName(first).unionByName(never)
+    touch = collapse(ops.where("generated_at is not null")).select("entity", *QUAD, F.col("generated_at").alias("at"), "op")
+    present = quads.select("entity", *QUAD).distinct().select("entity", *QUAD, F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("op"))
+    w = Window.partitionBy("entity", *QUAD).orderBy(F.col("at").asc_nulls_last())
+    rows = touch.unionByName(present).join(created, "entity").withColumns({"next_at": F.lead("at").over(w), "next_op": F.lead("op").over(w), "more": F.lead(F.lit(True)).over(w)})
+    # what is there at creation has no earlier version; a row behind a touch that has no time is the dataset's
+    rows = rows.withColumns({"was": (F.col("op") == "D") & (F.col("created") < F.col("at")), "is": F.coalesce((F.col("next_op") == "D") | (F.col("more") & F.col("next_at").isNull()), F.lit(False))})
+    rows = rows.where("at is null or was <> is").withColumns({"to": F.lead("at").over(w), "back": F.lag(F.lit(True)).over(w)})
+    piece = lambda a, b: F.struct(a.alias("valid_from"), b.alias("valid_to"))
+    got = F.when(F.col("at").isNotNull() & F.col("is"), piece(F.col("at"), F.col("to"))).when(F.col("back").isNull(), piece(F.col("created"), F.col("at")))
+    return rows.select("entity", *QUAD, got.alias("x")).where("x is not null").select("entity", *QUAD, "x.valid_from", "x.valid_to")
 
 
 def holds_at(t: Column) -> Column:
@@ -64,14 +77,20 @@ def selected_times(snapshots: DataFrame, interval: tuple | None, fallback: bool
 
 def history(v: DataFrame, snapshots: DataFrame, interval: tuple | None = None) -> DataFrame:
     """(entity, time, s, p, o, g): the state at each selected snapshot; versions without quads have no row (see selected_times)."""
-    times = selected_times(snapshots, interval)
-    return times.join(v, "entity").where(holds_at(F.col("time"))).select("entity", "time", *QUAD)
+    rows = v.select("entity", *QUAD, F.col("valid_from").alias("from_"), F.coalesce("valid_to", F.lit(OPEN).cast("timestamp")).alias("to_"))
+    return at_times(rows, selected_times(snapshots, interval), ["entity"]).select("entity", "time", *QUAD)
+
+
+def valid_in(v: DataFrame, snapshots: DataFrame, interval: tuple | None) -> DataFrame:
+    """The intervals that hold at one of an entity's selected snapshots. Selected ones follow each other and ends of intervals are snapshot times, so the first and the last are enough to tell."""
+    ends = selected_times(snapshots, interval).groupBy("entity").agg(F.min("time").alias("first_"), F.max("time").alias("last_"))
+    return v.join(ends, "entity").where("valid_from <= last_ and (valid_to is null or valid_to > first_)").drop("first_", "last_")
 
 
 def net(ops: DataFrame, *by: str) -> DataFrame:
     """(by..., s, p, o, g, sign): operations in order cancel by a counter that stays between -1 and 1; those that end at 0 are gone."""
     step = F.when(F.col("op") == "I", 1).otherwise(-1)
-    run = F.transform(F.array_sort(F.collect_list(F.struct("generated_at", "snapshot", "op_seq", "quad_seq", step.alias("x")))), lambda r: r["x"])
+    run = F.transform(F.array_sort(F.collect_list(F.struct("generated_at", number(F.col("snapshot")).alias("n"), "snapshot", "op_seq", "quad_seq", step.alias("x")))), lambda r: r["x"])
     folded = ops.groupBy(*by, *QUAD).agg(run.alias("run"))
     sign = F.aggregate("run", F.lit(0), lambda a, x: F.greatest(F.lit(-1), F.least(F.lit(1), a + x)))
     return folded.select(*by, *QUAD, sign.alias("sign")).where("sign <> 0")
@@ -90,36 +109,46 @@ def delta(v: DataFrame, ops: DataFrame, snapshots: DataFrame, start: str, end: s
 def delta_records(ops: DataFrame, snapshots: DataFrame, interval: tuple | None = None, changed_properties: list[str] | None = None, merges: DataFrame | None = None) -> DataFrame:
     """One record an entity: created, deleted, changes (by snapshot), additions, deletions, merges.
 
-    Both ends of the interval are inclusive. The creation snapshot's operations don't count. deleted is the
-    invalidation of the entity's latest snapshot, if it lies in the interval. Entities without a
-    change, deletion or merge in the interval are left out. changed_properties keeps quads of those
-    predicates; entities whose quads all go stay.
+    Both ends of the interval are inclusive. Entities with a snapshot, a deletion or a merge in the
+    interval have a record, others none. changes has an entry for each snapshot in the interval that has a
+    text or operations, those at the time of creation apart; their operations don't count in additions and
+    deletions either. deleted is the invalidation of the entity's latest snapshot, if it lies in the interval.
+    changed_properties keeps quads of those predicates and may leave entries, additions and deletions empty.
     """
-    per = snapshots.groupBy("entity").agg(F.min("generated_at").alias("born"), F.max_by("invalidated_at", F.struct("generated_at", "snapshot")).alias("ended"))
-    inside = ops.join(per.select("entity", "born"), "entity").where((F.col("generated_at") > F.col("born")) & within(F.col("generated_at"), interval)).drop("born")
-    touched = inside.select("entity").distinct()
-    if changed_properties:
-        inside = inside.where(F.col("p").isin([p if p.startswith("<") else f"<{p}>" for p in changed_properties]))
+    last = F.struct("generated_at", number(F.col("snapshot")), "snapshot")
+    born = snapshots.where("generated_at is not null").groupBy("entity").agg(F.min("generated_at").alias("born"), F.max_by("invalidated_at", last).alias("ended"))
+    texts = snapshots.where(within(F.col("generated_at"), interval)).select("entity", "snapshot", "generated_at", (F.coalesce(F.col("update_query"), F.lit("")) != "").alias("text"))
+    seen = texts.select("entity").distinct().withColumn("seen", F.lit(True))
+    inside = ops.join(born.select("entity", "born"), "entity").where((F.col("generated_at") > F.col("born")) & within(F.col("generated_at"), interval)).drop("born")
     quad = F.struct(*QUAD)
-    sets = [F.array_sort(F.collect_list(F.when(F.col("sign") == k, quad))).alias(n) for k, n in ((1, "additions"), (-1, "deletions"))]
-    each = net(inside, "entity", "snapshot", "generated_at").groupBy("entity", "snapshot", "generated_at").agg(*sets)
-    changes = each.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.col("generated_at").alias("time"), "additions", "deletions"))).alias("changes"))
+    wanted = [p if p.startswith("<") else f"<{p}>" for p in changed_properties or []]
+    keep = F.col("p").isin(wanted) if wanted else F.lit(True)
+    sets = [F.array_sort(F.collect_list(F.when((F.col("sign") == k) & keep, quad))).alias(n) for k, n in ((1, "additions"), (-1, "deletions"))]
+    # a text whose operations cancel, or that has none, keeps its entry
+    key = ["entity", "snapshot", "generated_at"]
+    entries = texts.where("text").select(*key).union(inside.select(*key)).distinct().join(born.select("entity", "born"), "entity").where(F.col("generated_at") > F.col("born")).drop("born")
+    none = F.array().cast(f"array<struct<{','.join(f'{c}:string' for c in QUAD)}>>")
+    each = entries.join(net(inside, *key).groupBy(*key).agg(*sets), key, "left").select("entity", F.struct(F.col("generated_at").alias("time"), number(F.col("snapshot")).alias("n"), "snapshot", F.coalesce("additions", none).alias("additions"), F.coalesce("deletions", none).alias("deletions")).alias("x"))
+    changes = each.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["time"].alias("time"), x["additions"].alias("additions"), x["deletions"].alias("deletions"))).alias("changes"))
     total = net(inside, "entity").groupBy("entity").agg(*sets)
-    base = per.select("entity", F.when(within(F.col("born"), interval), F.col("born")).alias("created"), F.when(within(F.col("ended"), interval), F.col("ended")).alias("deleted"))
-    out = base.join(touched.withColumn("touched", F.lit(True)), "entity", "left").join(changes, "entity", "left").join(total, "entity", "left")
+    base = born.select("entity", F.when(within(F.col("born"), interval), F.col("born")).alias("created"), F.when(within(F.col("ended"), interval), F.col("ended")).alias("deleted"))
+    out = base.join(seen, "entity", "left").join(changes, "entity", "left").join(total, "entity", "left")
     if merges is not None:
         out = out.join(merges, "entity", "left")
     else:
         out = out.withColumn("merges", F.lit(None).cast("array<struct<time:timestamp,snapshot:string,survivor:string,absorbed:array<string>>>"))
-    return out.where(F.col("touched") | F.col("created").isNotNull() | F.col("deleted").isNotNull() | F.col("merges").isNotNull()).drop("touched")
+    out = out.where(F.col("seen") | F.col("deleted").isNotNull() | F.col("merges").isNotNull())
+    no_change = F.array().cast(dict(changes.dtypes)["changes"])
+    return out.select("entity", "created", "deleted", F.coalesce("changes", no_change).alias("changes"), F.coalesce("additions", none).alias("additions"), F.coalesce("deletions", none).alias("deletions"), "merges")
 
 
-def latest_up_to(times: DataFrame, events: DataFrame, by: list[str], time: str = "time", at: str = "at") -> DataFrame:
+def latest_up_to(times: DataFrame, events: DataFrame, by: list[str], time: str = "time", at: str = "at", known: DataFrame | None = None) -> DataFrame:
     """As-of join: for each row of times the events of its key with the latest at <= time (all of that at).
 
     One union and one window a key, so no pair of times and events is ever made. times: (by..., time); events: (by..., at, ...).
+    known (by..., at) has the times that count where some of them have no events: a time that falls on such a one gets none.
     """
-    known = events.select(*by, at).distinct().select(*by, F.col(at).alias(time), F.col(at).alias("_at"))
+    known = (events if known is None else known).select(*by, at).distinct().select(*by, F.col(at).alias(time), F.col(at).alias("_at"))
     marks = times.select(*by, time, F.lit(None).cast("timestamp").alias("_at"), F.lit(True).alias("_ask")).unionByName(known.withColumn("_ask", F.lit(False)))
     w = Window.partitionBy(*by).orderBy(time, F.col("_ask").asc()).rowsBetween(Window.unboundedPreceding, 0)
     found = marks.withColumn("_at", F.last("_at", True).over(w)).where("_ask").where("_at is not null").drop("_ask")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, replay
-from .query import Catalog
+from .query import Catalog, channels, metadata
 
 
 class AgnosticEntity:
@@ -19,55 +19,63 @@ class AgnosticEntity:
         self.related, self.merged = include_related_objects, include_merged_entities
         self.reverse, self.past_reverse, self.depth = include_reverse_relations, include_historical_reverse_relations, reverse_relations_depth
 
-    def entities(self) -> DataFrame:
-        """(entity): this one, then related objects, entities merged into it, and entities that refer to it; the sets share what was visited."""
+    def _around(self) -> bool:
+        return self.related or self.merged or self.reverse
+
+    def entities(self, time: tuple | None = None, at_time: bool = False) -> DataFrame:
+        """(entity): this one, then related objects, entities merged into it, and entities that refer to it; the sets share what was visited. With at_time, objects are those of versions selected by the interval time."""
         c, spark = self.catalog, self.catalog.quads.sparkSession
         start = spark.createDataFrame([(self.entity, self.entity)], "root string, node string")
         seen = start
         found = start.select("node")
         steps = []
         if self.related:
-            steps.append((graph.object_edges(c.validity), None))
+            steps.append((graph.object_edges(replay.valid_in(c.validity, c.snapshots, time) if at_time else c.validity), None))
         if self.merged:
             steps.append((graph.merge_edges(c.snapshots).select(F.col("survivor").alias("src"), F.col("absorbed").alias("dst")), None))
         if self.reverse:
-            steps.append((graph.reverse_edges(c.quads), self.depth))
+            edges = graph.reverse_edges(c.quads)
+            # at every level, entities that refer to one now or did in an update
+            steps.append((edges.union(graph.mention_edges(c.ops)).distinct() if self.past_reverse else edges, self.depth))
         for edges, depth in steps:
             got = graph.reachable(start, edges, depth, seen).select("root", "node")
             seen = seen.unionByName(got)
             found = found.union(got.select("node"))
-        if self.reverse and self.past_reverse and self.depth != 0:
-            found = found.union(graph.historical_reverse(c.ops, self.entity))
         return found.distinct().select(F.col("node").alias("entity"))
 
     def _mine(self, df: DataFrame) -> DataFrame:
         return df.where(F.col("entity") == self.entity)
 
-    def get_history(self) -> DataFrame:
-        """(entity, time, s, p, o, g). With entities around, their states as of this entity's times, in one history."""
+    def _merged(self, ents: DataFrame, time: tuple | None) -> DataFrame:
+        """States of all entities at this entity's selected times, under this entity's name: of each its latest selected version up to the time."""
+        c = self.catalog
+        of = lambda df: df.join(ents, "entity", "left_semi")
+        times = graph.cut(replay.selected_times(of(c.snapshots), time))
+        states = graph.cut(replay.history(of(c.validity), of(c.snapshots), time))
+        root = F.lit(self.entity).alias("root")
+        other = F.col("entity") != self.entity
+        merged = graph.merged_history(self._mine(times).select(root, "time"), states.where(other).select(root, "*"), times.where(other).select(root, "*"))
+        return self._mine(states).unionByName(merged.select(F.col("root").alias("entity"), "time", *replay.QUAD)).distinct()
+
+    def get_history(self, *, include_prov_metadata: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """(history, metadata): history (entity, time, s, p, o, g). With entities around, their states as of this entity's times are part of its own. metadata: snapshots of all of them with attribution and description, None unless asked for."""
         c = self.catalog
-        own = replay.history(self._mine(c.validity), self._mine(c.snapshots))
-        if not (self.related or self.merged or self.reverse):
-            return own
-        ents = self.entities()
-        main = self._mine(c.snapshots).select(F.lit(self.entity).alias("root"), F.col("generated_at").alias("time")).distinct()
-        other = ents.where(F.col("entity") != self.entity)
-        states = replay.history(c.validity.join(other, "entity", "left_semi"), c.snapshots.join(other, "entity", "left_semi")).withColumn("root", F.lit(self.entity))
-        return own.unionByName(graph.merged_history(main, states).select(*own.columns))
-
-    def get_histories_by_entity(self) -> DataFrame:
-        """(entity, time, s, p, o, g) of this entity and those around it, each at its own times."""
-        ents = self.entities()
-        return replay.history(self.catalog.validity.join(ents, "entity", "left_semi"), self.catalog.snapshots.join(ents, "entity", "left_semi"))
-
-    def get_state_at_time(self, time: tuple | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(states, snapshots selected, other snapshots) for an interval."""
+        ents = graph.cut(self.entities())
+        states = self._merged(ents, None) if self._around() else replay.history(self._mine(c.validity), self._mine(c.snapshots))
+        return states, metadata(c, ents, True) if include_prov_metadata else None
+
+    def get_histories_by_entity(self, *, include_prov_metadata: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """(histories, metadata): (entity, time, s, p, o, g) of this entity and those around it, each at its own times."""
+        ents = graph.cut(self.entities())
+        states = replay.history(self.catalog.validity.join(ents, "entity", "left_semi"), self.catalog.snapshots.join(ents, "entity", "left_semi"))
+        return states, metadata(self.catalog, ents, True) if include_prov_metadata else None
+
+    def get_state_at_time(self, time: tuple | None, *, include_prov_metadata: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """(states, snapshots selected, other snapshots) for an interval. With entities around, their states up to each of this entity's selected times are part of its own, and snapshots are those of all of them. Without metadata both channels are None."""
         c = self.catalog
-        snaps = self._mine(c.snapshots)
-        times = replay.selected_times(snaps, time)
-        states = replay.history(self._mine(c.validity), snaps, time)
-        key = times.withColumnRenamed("time", "generated_at")
-        return states, snaps.join(key, ["entity", "generated_at"], "left_semi"), snaps.join(key, ["entity", "generated_at"], "left_anti")
+        ents = graph.cut(self.entities(time, True))
+        states = self._merged(ents, time) if self._around() else replay.history(self._mine(c.validity), self._mine(c.snapshots), time)
+        return (states, *(channels(c, ents, time or (None, None)) if include_prov_metadata else (None, None)))
 
     def get_delta(self, start: str, end: str) -> DataFrame:
         c = self.catalog
@@ -83,6 +91,4 @@ class AgnosticEntity:
 
     def metadata(self) -> DataFrame:
         """Snapshots with attribution and description, derived_from sorted; none if the entity is a provenance record itself."""
-        c = self.catalog
-        own = self._mine(c.snapshots).where("attributed_to is not null and description is not null").withColumn("derived_from", F.array_sort(F.array_distinct("derived_from")))
-        return own.join(c.snapshots.select(F.col("snapshot").alias("entity")), "entity", "left_anti")
+        return metadata(self.catalog, self.catalog.quads.sparkSession.createDataFrame([(self.entity,)], "entity string"), True)

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terms import normal_constant, normal_term
 from ..functions.times import convert_to_datetime
 from ..operators import graph, replay
+from ..operators.ranks import at_times
 from ..operators.replay import OPEN
 from . import sparql
 
@@ -103,18 +105,24 @@ def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: b
     return out
 
 
-def discover(catalog: Catalog, t: tuple[str, str, str]) -> DataFrame:
-    """Entities of a pattern: subjects that match in the current dataset (provenance graphs apart), and entities with an operation whose terms hold all constants, wherever they stand."""
-    consts = [x for x in t if not is_var(x)]
-    present = catalog.quads.where(~F.coalesce(F.col("g").contains("/prov/"), F.lit(False)))
+def present(catalog: Catalog, t: tuple[str, str, str]) -> DataFrame:
+    """(entity): subjects that match a pattern in the current dataset; provenance graphs don't count."""
+    rows = catalog.quads.where(~F.coalesce(F.col("g").contains("/prov/"), F.lit(False)))
     for col, x in zip("spo", t):
         if not is_var(x):
-            present = present.where(F.col(col) == x)
-    have = F.array("s", "p", "o")
+            rows = rows.where(F.col(col) == x)
+    return rows.select("entity").distinct()
+
+
+def discover(catalog: Catalog, t: tuple[str, str, str]) -> DataFrame:
+    """(entity) of a pattern: those present, and those with an operation whose terms hold all constants, wherever they stand. There language tags compare in lower case."""
+    consts = [normal_constant(x) for x in t if not is_var(x) and not x.startswith("_:")]
+    tagged = any(not x.startswith("<") for x in consts)
+    have = F.array("s", "p", normal_term(F.col("o")) if tagged else F.col("o"))
     past = catalog.ops
     for x in consts:
         past = past.where(F.array_contains(have, x))
-    return present.select("entity").union(past.select("entity")).distinct()
+    return present(catalog, t).union(past.select("entity")).distinct()
 
 
 def relevant(catalog: Catalog, q: sparql.Query, merge_aware: bool = False) -> DataFrame:
@@ -145,11 +153,29 @@ def relevant(catalog: Catalog, q: sparql.Query, merge_aware: bool = False) -> Da
     return out.join(catalog.snapshots.select("entity").distinct(), "entity", "left_semi")
 
 
+def metadata(catalog: Catalog, entities: DataFrame, described: bool = False) -> DataFrame:
+    """Snapshots of entities with their metadata: those with an attribution, and with described also a description; derived_from is sorted and distinct, or empty."""
+    rows = catalog.snapshots.where("attributed_to is not null").join(small(entities), "entity", "left_semi")
+    if described:  # an entity that is itself a snapshot has no history of its own
+        rows = rows.where("description is not null").join(catalog.snapshots.select(F.col("snapshot").alias("entity")), "entity", "left_anti")
+    return rows.withColumn("derived_from", F.coalesce(F.array_sort(F.array_distinct("derived_from")), F.array().cast("array<string>")))
+
+
+def channels(catalog: Catalog, entities: DataFrame, on_time: tuple | None) -> tuple[DataFrame, DataFrame]:
+    """(selected, other) snapshots of entities. With on_time those in the interval, or the fallback before it, are selected; without, all are, and they need a description."""
+    rows = metadata(catalog, entities, on_time is None)
+    if on_time is None:
+        return rows, rows.limit(0)
+    times = replay.selected_times(rows, on_time).withColumnRenamed("time", "generated_at")
+    return rows.join(times, ["entity", "generated_at"], "left_semi"), rows.join(times, ["entity", "generated_at"], "left_anti")
+
+
 class VersionQuery:
-    """A structured query on one version (on_time) or on all. bindings(): (time, variables...), distinct; timeline(): every version, also those without a match."""
+    """A structured query on one version (on_time) or on all. bindings(): (time, variables...), distinct; timeline(): every version, also those without a match; run_agnostic_query(): bindings with both channels of provenance."""
 
-    def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, *, merge_aware: bool = False, include_all_timestamps: bool = False):
+    def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, *, merge_aware: bool = False, include_prov_metadata: bool = False, include_all_timestamps: bool = False):
         self.catalog, self.query, self.on_time, self.merge_aware, self.all_times = catalog, sparql.parse(query), on_time, merge_aware, include_all_timestamps
+        self.with_metadata = include_prov_metadata
         self.entities = graph.cut(relevant(catalog, self.query, merge_aware))
 
     def selected(self) -> DataFrame:
@@ -173,8 +199,8 @@ class VersionQuery:
         return self.selected().groupBy("entity").agg(F.min("time").alias("first")) if self.on_time is not None else None
 
     def bindings(self) -> DataFrame:
-        times = self.timeline()
-        at = lambda rows: times.join(rows, (F.col("from_") <= F.col("time")) & (F.col("time") < F.col("to_"))).drop("from_", "to_")
+        times = graph.cut(self.timeline())
+        at = lambda rows: at_times(graph.cut(rows), times)
         rows = self.intervals()
         out = at(rows).distinct() if rows is not None else times
         sure = {x[1:] for t in self.query.patterns for x in t if is_var(x)}
@@ -194,11 +220,12 @@ class VersionQuery:
 
     def provenance(self) -> tuple[DataFrame, DataFrame]:
         """Snapshots selected for the answer, and the other ones, of the relevant entities. Without on_time all are selected."""
-        mine = self.catalog.snapshots.join(small(self.entities), "entity", "left_semi")
-        if self.on_time is None:
-            return mine, mine.limit(0)
-        times = self.selected().withColumnRenamed("time", "generated_at")
-        return mine.join(times, ["entity", "generated_at"], "left_semi"), mine.join(times, ["entity", "generated_at"], "left_anti")
+        return channels(self.catalog, self.entities, self.on_time)
+
+    def run_agnostic_query(self, *, include_all_timestamps: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """(bindings, selected snapshots, other snapshots); both channels are None unless metadata was asked for."""
+        self.all_times = self.all_times or include_all_timestamps
+        return (self.bindings(), *(self.provenance() if self.with_metadata else (None, None)))
 
     def to_dict(self) -> dict[str, list[dict]]:
         """{iso time: bindings}, for tests and small answers."""
@@ -223,8 +250,8 @@ def _left(left: DataFrame, right: DataFrame, keys: list[str], doubt: list[str])
 class DeltaQuery:
     """What changed in the entities that a query selects."""
 
-    def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, changed_properties: list[str] | None = None, *, merge_aware: bool = False):
-        self.catalog, self.on_time, self.properties, self.merge_aware = catalog, on_time, changed_properties, merge_aware
+    def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, changed_properties: list[str] | None = None, *, merge_aware: bool = False, include_prov_metadata: bool = False):
+        self.catalog, self.on_time, self.properties, self.merge_aware, self.with_metadata = catalog, on_time, changed_properties, merge_aware, include_prov_metadata
         self.entities = graph.cut(relevant(catalog, sparql.parse(query), merge_aware))
 
     def records(self) -> DataFrame:
@@ -233,5 +260,10 @@ class DeltaQuery:
         merges = merges.join(ents, "entity", "left_semi") if merges is not None else None
         return replay.delta_records(self.catalog.ops.join(ents, "entity", "left_semi"), self.catalog.snapshots.join(ents, "entity", "left_semi"), self.on_time, self.properties, merges)
 
-    def provenance(self) -> DataFrame:
-        return self.catalog.snapshots.join(self.records().select("entity"), "entity", "left_semi")
+    def provenance(self) -> tuple[DataFrame, DataFrame]:
+        """Selected and other snapshots of the entities that have a record."""
+        return channels(self.catalog, graph.cut(self.records().select("entity")), self.on_time)
+
+    def run_agnostic_query(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """(records, selected snapshots, other snapshots); both channels are None unless metadata was asked for."""
+        return (self.records(), *(self.provenance() if self.with_metadata else (None, None)))

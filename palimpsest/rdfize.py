@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.terms import XSD, iri, literal
 from .plans.query import Catalog
+from .scratch import written
 
 USERS = "<urn:g:users>"
 STATUS, VALUE = "<urn:p:status>", "<urn:p:value>"
@@ -52,39 +53,97 @@ def static_quads(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("cu
     return out
 
 
-def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, snapshot, generated_at, number, p, o, prev, last): the two quads of a user after each event, with the ones before."""
+def snapshot_name(user_id: Column, number: Column, padded: bool) -> Column:
+    n = number.cast("string")
+    return F.concat(F.lit("<urn:user/"), user_id.cast("string"), F.lit("/prov/se/"), F.lpad(n, 9, "0") if padded else n, F.lit(">"))
+
+
+def event_states(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
+    """(user_id, entity, number, generated_at, event_id, event_type, last, p, o, prev): the two quads of a user after each event, with the ones before. daily: times are cut to days, so that many snapshots share one."""
     ev = table(spark, sf_dir, "events").where("user_id is not null and ts is not null")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    back = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     status, value = literal(F.col("event_type")), literal(cents(F.col("value")), XSD + "integer")
-    rows = ev.select("user_id", "ts", "event_id", status.alias("st"), value.alias("va")).withColumns({"number": F.row_number().over(w), "pst": F.lag("st").over(w), "pva": F.lag("va").over(w), "last": F.row_number().over(back) == 1})
+    rows = ev.select("user_id", "ts", "event_id", "event_type", status.alias("st"), value.alias("va")).withColumns({"number": F.row_number().over(w), "pst": F.lag("st").over(w), "pva": F.lag("va").over(w), "last": F.lead(F.lit(True)).over(w).isNull()})
     pair = F.array(F.struct(F.lit(STATUS).alias("p"), F.col("st").alias("o"), F.col("pst").alias("prev")), F.struct(F.lit(VALUE).alias("p"), F.col("va").alias("o"), F.col("pva").alias("prev")))
-    name = F.concat(F.lit("<urn:user/"), F.col("user_id").cast("string"), F.lit("/prov/se/"), F.lpad(F.col("number").cast("string"), 9, "0"), F.lit(">"))
-    return rows.select("user_id", user(F.col("user_id")).alias("entity"), name.alias("snapshot"), F.col("ts").alias("generated_at"), "number", "last", F.explode(pair).alias("x")).select("*", "x.*").drop("x")
+    at = F.date_trunc("day", "ts") if daily else F.col("ts")
+    return rows.select("user_id", user(F.col("user_id")).alias("entity"), at.alias("generated_at"), "event_id", "event_type", "number", "last", F.explode(pair).alias("x")).select("*", "x.*").drop("x")
+
+
+SNAPSHOT = ["entity", "snapshot", "generated_at", "invalidated_at", "attributed_to", "primary_source", "description", "update_query", "derived_from"]
+OPS = ["entity", "snapshot", "generated_at", "op_seq", "quad_seq", "op", "s", "p", "o", "g"]
+
+
+def snapshots_from(rows: DataFrame, derived: Column, invalidated: Column | None = None, description: str = "event") -> DataFrame:
+    """rows (entity, snapshot, generated_at, ...) with the other columns of a snapshot."""
+    none = F.lit(None).cast("string")
+    return rows.select("entity", "snapshot", "generated_at", (F.lit(None).cast("timestamp") if invalidated is None else invalidated).alias("invalidated_at"), F.lit("<urn:agent:driver>").alias("attributed_to"), none.alias("primary_source"), F.lit(description).alias("description"), none.alias("update_query"), derived.alias("derived_from"))
+
 
+def event_catalog(spark: SparkSession, sf_dir: str, kind: str = "") -> Catalog:
+    """Histories of users: a snapshot for each event; operations are the differences between states; the dataset is the last state.
 
-def event_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Histories of users: a snapshot for each event; operations are the differences between states; the dataset is the last state. Users merge by tens: u with u - u % 5, those into hundreds."""
-    st = event_states(spark, sf_dir)
+    kind: "" as it is; "ties" cuts times to days and leaves snapshot numbers unpadded; "deleted" ends users whose last event is
+    an error by a snapshot one second later that deletes all and is invalidated; "merged" adds the merges of user_merges as
+    snapshots of the survivors.
+    """
+    st = written(event_states(spark, sf_dir, kind == "ties"), "states")
+    name = lambda n: snapshot_name(F.col("user_id"), n, kind != "ties")
+    st = st.withColumn("snapshot", name(F.col("number")))
     gone = st.where("prev is not null and not (prev <=> o)").select("entity", "snapshot", "generated_at", F.lit(0).alias("op_seq"), F.lit("D").alias("op"), F.col("entity").alias("s"), "p", F.col("prev").alias("o"))
     new = st.where("o is not null and not (prev <=> o)").select("entity", "snapshot", "generated_at", F.lit(1).alias("op_seq"), F.lit("I").alias("op"), F.col("entity").alias("s"), "p", "o")
-    ops = gone.unionByName(new).withColumns({"quad_seq": F.lit(0), "g": F.lit(USERS)})
     # the creation's operations belong to the creation: the first snapshot has no update text
-    ops = ops.select("entity", "snapshot", "generated_at", "op_seq", "quad_seq", "op", "s", "p", "o", "g")
-    quads = st.where("last and o is not null").select("entity", F.col("entity").alias("s"), "p", "o", F.lit(USERS).alias("g"))
-    snaps = st.where(F.col("p") == STATUS).select(
-        "entity", "snapshot", "generated_at", F.lit(None).cast("timestamp").alias("invalidated_at"), F.lit("<urn:agent:driver>").alias("attributed_to"), F.lit(None).cast("string").alias("primary_source"), F.lit("event").alias("description"), F.lit(None).cast("string").alias("update_query"),
-        F.when(F.col("number") > 1, F.array(F.concat(F.lit("<urn:user/"), F.col("user_id").cast("string"), F.lit("/prov/se/"), F.lpad((F.col("number") - 1).cast("string"), 9, "0"), F.lit(">")))).otherwise(F.array().cast("array<string>")).alias("derived_from"),
-    )
-    return Catalog.build(quads, snaps, ops)
-
-
-def user_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(snapshot, time, survivor, absorbed): user u is absorbed by u - u % 5, and tens by hundreds, at its last event."""
-    last = table(spark, sf_dir, "events").where("user_id is not null").groupBy("user_id").agg(F.max("ts").alias("time"))
-    to = F.when(F.col("user_id") % 5 != 0, F.col("user_id") - F.col("user_id") % 5).when(F.col("user_id") % 10 == 0, F.col("user_id") - F.col("user_id") % 100)
-    return last.withColumn("to", to).where("to is not null and to <> user_id").select(F.concat(F.lit("<urn:merge/"), F.col("user_id").cast("string"), F.lit(">")).alias("snapshot"), "time", user(F.col("to")).alias("survivor"), user(F.col("user_id")).alias("absorbed"))
+    ops = gone.unionByName(new).withColumns({"quad_seq": F.lit(0), "g": F.lit(USERS)}).select(*OPS)
+    left = st.where("last and o is not null")
+    first = st.where(F.col("p") == STATUS)
+    snaps = snapshots_from(first, F.when(F.col("number") > 1, F.array(name(F.col("number") - 1))).otherwise(F.array().cast("array<string>")))
+    if kind == "deleted":
+        end = left.where("event_type = 'error'").withColumns({"generated_at": F.col("generated_at") + F.expr("interval 1 second"), "snapshot": name(F.col("number") + 1)})
+        ops = ops.unionByName(end.select("entity", "snapshot", "generated_at", F.lit(0).alias("op_seq"), F.lit(0).alias("quad_seq"), F.lit("D").alias("op"), F.col("entity").alias("s"), "p", "o", F.lit(USERS).alias("g")))
+        snaps = snaps.unionByName(snapshots_from(end.where(F.col("p") == STATUS), F.array(name(F.col("number"))), F.col("generated_at")))
+        left = left.where("not (event_type <=> 'error')")
+    if kind == "merged":
+        snaps = snaps.unionByName(merge_snapshots(first.where("last")))
+    return Catalog.build(left.select("entity", F.col("entity").alias("s"), "p", "o", F.lit(USERS).alias("g")), snaps, ops)
+
+
+def merge_snapshots(last: DataFrame) -> DataFrame:
+    """Merges as snapshots: user u is absorbed by u - u % 5, and tens by hundreds, at its last event. last (user_id, snapshot, generated_at): each user's last snapshot."""
+    u = F.col("user_id")
+    to = F.when(u % 5 != 0, u - u % 5).when(u % 10 == 0, u - u % 100)
+    rows = last.withColumn("to", to).where("to is not null and to <> user_id")
+    rows = rows.select(user(F.col("to")).alias("entity"), F.concat(F.lit("<urn:merge/"), u.cast("string"), F.lit(">")).alias("name"), "generated_at", F.col("snapshot").alias("from"))
+    return snapshots_from(rows.withColumnRenamed("name", "snapshot"), F.array("from"), description="merge")
+
+
+def static_catalog(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Catalog:
+    """Tables as a dataset in which every entity has one snapshot, of 2020."""
+    q = static_quads(spark, sf_dir, names)
+    rows = q.select("entity", F.concat(F.lit("<"), F.regexp_replace("entity", "[<>]", ""), F.lit("/prov/se/1>")).alias("snapshot"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("generated_at")).distinct()
+    ops = spark.createDataFrame([], "entity string, snapshot string, generated_at timestamp, op_seq int, quad_seq int, op string, s string, p string, o string, g string")
+    return Catalog.build(q, snapshots_from(rows, F.array().cast("array<string>"), description="row"), ops)
+
+
+def nation_merges(spark: SparkSession, sf_dir: str, catalog: Catalog) -> Catalog:
+    """catalog, in which the first nation of each region absorbs the others in 2021."""
+    n = table(spark, sf_dir, "nation")
+    first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("to"))
+    of = lambda c, k: F.concat(F.lit("<urn:t:nation/"), F.col(c).cast("string"), F.lit(k))
+    rows = n.join(first, "n_regionkey").where("n_nationkey <> to").groupBy("to").agg(F.array_sort(F.collect_list(of("n_nationkey", "/prov/se/1>"))).alias("from"))
+    rows = rows.select(of("to", ">").alias("entity"), of("to", "/prov/se/2>").alias("snapshot"), F.lit("2021-01-01 00:00:00").cast("timestamp").alias("generated_at"), "from")
+    return Catalog(catalog.quads, catalog.snapshots.unionByName(snapshots_from(rows, F.col("from"), description="merge")), catalog.ops, catalog.validity)
+
+
+def moved_out(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Customers and nations that referred to their nation or region at creation in 2020, and no longer do since 2021: only updates tell."""
+    q = static_quads(spark, sf_dir, ("customer", "nation", "region"))
+    bare = F.regexp_replace("entity", "[<>]", "")
+    name = lambda n: F.concat(F.lit("<"), bare, F.lit(f"/prov/se/{n}>"))
+    at = lambda year: F.lit(f"{year}-01-01 00:00:00").cast("timestamp").alias("generated_at")
+    refers = F.col("o").startswith("<")
+    ops = q.where(refers).select("entity", name(2).alias("snapshot"), at(2021), F.lit(0).alias("op_seq"), F.lit(0).alias("quad_seq"), F.lit("D").alias("op"), "s", "p", "o", "g")
+    first = snapshots_from(q.select("entity", name(1).alias("snapshot"), at(2020)).distinct(), F.array().cast("array<string>"))
+    second = snapshots_from(q.where(refers).select("entity", name(2).alias("snapshot"), at(2021)).distinct(), F.array(name(1)))
+    return Catalog.build(q.where(~refers), first.unionByName(second), ops)
 
 
 def daily_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

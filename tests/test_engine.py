@@ -115,7 +115,7 @@ def values(spark):
 
 def test_interval_and_fallback(values):
     e = AgnosticEntity(values, "e")
-    states, selected, other = e.get_state_at_time((day(1).isoformat(), day(2).isoformat()))
+    states, selected, other = e.get_state_at_time((day(1).isoformat(), day(2).isoformat()), include_prov_metadata=True)
     assert sorted(r.o for r in states.collect()) == ['"1"', '"2"'] and selected.count() == 2 and other.count() == 2
     states, _, _ = e.get_state_at_time(("2021-01-02T12:00:00Z", "2021-01-02T13:00:00Z"))
     assert [r.o for r in states.collect()] == ['"1"']
