@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_written, new_path, shared_dir, written
+
+__all__ = ["drop_written", "free_name", "id_text", "new_path", "prepare", "records", "shared_dir", "table", "text_rows", "union_all", "written"]
+
 #: Rows and bytes of one Arrow batch sent to Python; long texts would otherwise come 10,000 at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -23,39 +24,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.environ.get("PALIMPSEST_SCRATCH") or tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/palimpsest/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the table behind a frame that written() made, once nothing reads it any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,8 +52,3 @@ def id_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
 
 def records(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a frame's size; for files it is the size of what is scanned."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

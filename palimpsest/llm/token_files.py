@@ -11,8 +11,11 @@ A shard is a run of records in ascending doc_id order:
 mask(c) = (c rotated right by 15) + 0xA282EAD8, mod 2**32. The last byte is there because
 Spark's text writer, which commits shards safely on any file system, ends rows with it;
 what stands before it is copied as it is. Shard n holds smaller ids than shard n + 1. The index is
-a Parquet table (shard, offset, length, doc_id, n_tokens) made from the shards in one
-sequential read; a shuffled reader permutes it and fetches ranges.
+a Parquet table (shard, file, offset, length, doc_id, n_tokens) made from the shards in one
+sequential read. A shuffled reader permutes it, opens file, seeks to offset and gives
+length bytes to parse(); fetch() does so with Spark.
+
+Texts are encoded where they stand. Only the records, about half as large, are sorted and dealt to shards.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, input_bytes, new_path, prepare, records, table, text_rows
+from .common import drop_written, id_text, new_path, prepare, records, table, text_rows, written
 from .token_counts import GO, KEPT, cuts_safely_cached, library
 from .units import UnitCache, units
 
-#: Bytes of input for one shard, as Spark estimates them; reading a shard takes a few times that memory.
-SHARD_BYTES = 12 << 20
+#: Bytes of records in one shard, about; reading a shard takes a few times that memory.
+SHARD_BYTES = 48 << 20
 _MASK = 0xA282EAD8
 
 
@@ -51,7 +54,7 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
 def parse(data: bytes, at: int = 0):
     """Yields (offset, length, doc_id, ids as uint32) of each record; raises ValueError where a checksum or a length is wrong."""
     while at < len(data):
-        head = data[at : at + 8]
+        head = bytes(data[at : at + 8])
         if len(head) < 8 or masked(head) != struct.unpack_from("<I", data, at + 8)[0]:
             raise ValueError(f"damaged record length at {at}")
         (n,) = struct.unpack("<Q", head)
@@ -84,12 +87,12 @@ def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[byte
     return [b"".join(map(known.__getitem__, us)) + end for us in cut]
 
 
-_FRAME = pa.schema([("record", pa.binary())])
-_ROW = pa.schema([("shard", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_FRAME = pa.schema([("doc_id", pa.int64()), ("record", pa.binary())])
+_ROW = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None = 2, ids_below: int = 1 << 16, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encodes every whole text and writes shards under out, in ascending doc_id order (null ids first, repeated ids side by side).
+    """Encodes every whole text and writes shards under out, in ascending doc_id order (null ids first, repeated ids side by side, in the order of a hash of their records).
 
     ids_below: bound of the ids; up to 2**16 an id takes 2 bytes, else 4. Null and empty
     texts are records of the end id alone. An empty table gives shards without records.
@@ -106,45 +109,70 @@ def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None =
                 while to < len(texts) and (to == at or n + len(texts[to]) <= GO):
                     n += len(texts[to])
                     to += 1
-                yield records(_FRAME, record=[frame(i, x, width) for i, x in zip(all_ids[at:to], encode_ids(path, texts[at:to], width, end))])
+                yield records(_FRAME, doc_id=all_ids[at:to], record=[frame(i, x, width) for i, x in zip(all_ids[at:to], encode_ids(path, texts[at:to], width, end))])
                 at = to
 
-    rows = text_rows(documents)
-    size = input_bytes(documents)
-    shards = max(1, -(-size // shard_bytes)) if size < 1 << 56 else documents.sparkSession.sparkContext.defaultParallelism  # Spark doesn't know the size of every frame
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # a table, so that the ranges are sampled from it and nothing is encoded twice
+    encoded = written(text_rows(documents).mapInArrow(run, "doc_id long, record binary"), "records")
+    size = encoded.agg(F.sum(F.octet_length("record"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    tied = encoded.withColumn("tie", F.xxhash64("record"))  # many rows of one id, or of none, are dealt to several shards
+    dealt = tied.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     # the cast keeps the bytes as they are; the writer copies them
-    dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(out)
+    dealt.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(out)
+    drop_written(encoded)
+
+
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    """(shard, file, content) of the shards under out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
+    return files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("long").alias("shard"), F.regexp_extract("path", r"[^/]*$", 0).alias("file"), "content")
 
 
 def read_records(spark: SparkSession, out: str) -> DataFrame:
-    """(shard, offset, length, doc_id, n_tokens, ids_crc32) of each record under out; every checksum is verified. ids_crc32: of the ids as little-endian uint32."""
+    """(shard, file, offset, length, doc_id, n_tokens, ids_crc32) of each record under out; every checksum is verified. ids_crc32: of the ids as little-endian uint32. Shards without records give no rows."""
 
     def run(batches):
         for b in batches:
-            for shard, data in zip(b.column("shard").to_pylist(), b.column("content")):
-                found, data = [], data.as_buffer().to_pybytes()
-                for offset, length, doc_id, ids in parse(data):
-                    found.append((shard, offset, length, doc_id, len(ids), zlib.crc32(ids.tobytes())))
+            for shard, file, data in zip(b.column("shard").to_pylist(), b.column("file").to_pylist(), b.column("content")):
+                found = []
+                for offset, length, doc_id, ids in parse(memoryview(data.as_buffer())):
+                    found.append((shard, file, offset, length, doc_id, len(ids), zlib.crc32(ids)))
+                    if len(found) == 50_000:
+                        yield records(_ROW, **{n: [x[k] for x in found] for k, n in enumerate(_ROW.names)})
+                        found = []
                 yield records(_ROW, **{n: [x[k] for x in found] for k, n in enumerate(_ROW.names)})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
-    return files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("long").alias("shard"), "content").mapInArrow(run, "shard long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long")
+    return _files(spark, out).mapInArrow(run, "shard long, file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long")
+
+
+def fetch(wanted: DataFrame, out: str) -> DataFrame:
+    """(file, offset, doc_id, ids) of the index rows wanted (file, offset, length) of the shards under out; ids as an array. Each shard is read once and cut in the JVM; checksums are verified."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            got = [next(parse(x.as_buffer().to_pybytes())) for x in b.column("record")]
+            yield records(schema, file=b.column("file"), offset=b.column("offset"), doc_id=[g[2] for g in got], ids=[g[3].tolist() for g in got])
+
+    cut = F.substring("content", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
+    rows = wanted.select("file", "offset", "length").join(_files(wanted.sparkSession, out).select("file", "content"), "file")
+    return rows.select("file", "offset", cut.alias("record")).mapInArrow(run, "file string, offset long, doc_id long, ids array<long>")
 
 
 def write_index(spark: SparkSession, out: str, index: str) -> DataFrame:
     """Reads the shards once and writes the index; returns it, with ids_crc32 beside the columns a reader needs."""
     read_records(spark, out).write.parquet(index)
-    return spark.read.schema("shard long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long").parquet(index)
+    return spark.read.schema("shard long, file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long").parquet(index)
 
 
 def shuffled(index: DataFrame, seed: int) -> DataFrame:
-    """The index in the order of a seeded hash: a reader takes rows from the top and fetches (shard, offset, length)."""
+    """The index in the order of a seeded hash, the same on every run: a reader takes rows from the top and reads (file, offset, length)."""
     return index.orderBy(F.xxhash64(F.lit(seed), "shard", "offset"), "shard", "offset")
 
 
 def positions(index: DataFrame) -> DataFrame:
-    """index with start: the ids of all records before, in file order. Sums of shards are added up first, so no task sees more than one shard's rows or one row a shard."""
+    """index with start: the ids of all records before, in file order. Sums of shards are added up first, so no task sees more than one shard's rows or one row a shard. Repeated ids and null ids keep a row each."""
     per = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     base = per.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("offset")) - F.col("n_tokens")
@@ -157,4 +185,4 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "tokens")
     write_shards(table(spark, sf_dir, "documents"), f"{out}/shards", public_tokenizers.path("byte_bpe_50k.json"), end_id=2, ids_below=50257)
     index = write_index(spark, f"{out}/shards", f"{out}/index")
-    return positions(index).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
+    return positions(index).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "file", "offset", "length")
