@@ -1,9 +1,10 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 1. A worker turns every whole text into a 64-bit fingerprint of its word shingles.
-2. Equal fingerprints become one node. 64 bits are cut into BLOCKS blocks; within RADIUS
-   differing bits at least BLOCKS - RADIUS blocks are equal, so each node is dealt out once
-   for every choice of so many blocks and no link is missed.
+2. Equal fingerprints become one node. 64 bits are cut into blocks; within RADIUS
+   differing bits all but RADIUS blocks are equal, so each node is dealt out once
+   for every choice of so many blocks and no link is missed, whatever the number of blocks. It is
+   6, 7 or 8 (15, 35 or 70 keys of 21, 27 or 32 bits), the least that leaves PER_KEY nodes a key on average.
 3. Nodes of one key are compared: bit planes lie vertically (plane b holds bit b of all
    nodes of a batch), one carry-save counter adds the differences of 64 pairs a word, and
    words in which every pair is beyond the radius are abandoned. A task returns a
@@ -26,7 +27,7 @@ from .common import prepare, records, table, written
 from .components import components
 from .words import keyed
 
-WORDS, RADIUS, BLOCKS, TILE = 4, 4, 6, 1024
+WORDS, RADIUS, TILE, PER_KEY = 4, 4, 1024, 64
 #: Nodes compared in one batch of a task.
 BATCH = 1 << 16
 
@@ -64,7 +65,13 @@ def fingerprints(documents: DataFrame, n: int = WORDS) -> DataFrame:
     return keyed(documents).mapInArrow(run, "k long, doc_id long, fp long")
 
 
-def block_keys(fp: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
+def blocks_for(nodes: int, radius: int = RADIUS) -> int:
+    """Blocks for so many nodes. Links are complete for any number; it only decides how many nodes share a key."""
+    choices = range(radius + 2, radius + 5)
+    return next((b for b in choices if nodes >> 64 * (b - radius) // b <= PER_KEY), choices[-1])
+
+
+def block_keys(fp: Column, radius: int, blocks: int) -> Column:
     """Keys of a fingerprint: for each choice of blocks - radius blocks, its number and the blocks' bits."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     out = []
@@ -212,10 +219,10 @@ def _compare(rows: DataFrame, by: list[str], radius: int, labelled: bool) -> Dat
     return rows.sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 
-def clusters(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """(fp, label) of each distinct fp that has a link; label is the smallest fp (signed) of its component."""
-    spark = fps.sparkSession
+def clusters(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
+    """(fp, label) of each distinct fp that has a link; label is the smallest fp (signed) of its component. blocks: see blocks_for."""
     nodes = written(fps.select("fp").distinct(), "nodes")
+    blocks = blocks or blocks_for(nodes.count(), radius)
     dealt_keys = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("k"))
     count = written(dealt_keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "keys")
     rows = dealt_keys.join(count, "k").select("k", "fp", "c", F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / tile).cast("long")).alias("t"))
@@ -242,7 +249,7 @@ def clusters(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: i
     return label.union(lone).join(up, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable over links of at most radius bits, itself included.
 
     Null and empty texts have fingerprint 0 and link like others. Rows with a null id keep
@@ -251,14 +258,15 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, blocks: int = BL
     return grouped(documents, radius, blocks, tile).select("doc_id", "fp", "component_id")
 
 
-def grouped(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def grouped(documents: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(k, doc_id, fp, label, component_id) of each row: near_duplicates with the row's key, and with the component's smallest fp, which also names components of null ids."""
     prepare(documents.sparkSession)
     fps = written(fingerprints(documents), "fingerprints")
     label = clusters(fps, radius, blocks, tile)
     low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    named = low.join(label, "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    top = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    named = written(low.join(label, "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label")), "named")
+    # a table of its own, so that the join can split the rows of a large component
+    top = written(named.groupBy("label").agg(F.min("low").alias("component_id")), "components")
     of = named.join(top, "label").select("fp", "label", "component_id")
     return fps.join(of, "fp").select("k", "doc_id", "fp", "label", "component_id")
 
