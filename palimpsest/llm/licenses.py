@@ -1,23 +1,27 @@
 """License scans by diagonal voting, with DataFrame operations only.
 
-Every rolling k-gram hash of a text's words is joined to the positions that it has in
-license templates. Hits of one text and template vote for their diagonal (position in the
-text minus position in the template). Diagonals that lie within GAP of each other are merged, and a
-merged span counts when the template positions it covers are enough of the template.
-Phrases of the base contract are templates too, but count only where every word stands on
-one diagonal: every k-gram hash of the phrase at its place. A 64-bit hash stands for its
-k words (a false hit among 200 template k-grams has a chance of 1e-17 a word).
+1. One pass over the texts counts words and keeps of each text its k-gram hashes that occur in
+   license templates, with their positions.
+2. They are joined to the positions they have in templates. Hits of one text and template vote for
+   their diagonal (position in the text minus position in the template). Neighbouring diagonals are merged as far as the
+   template's allowed edits reach and no further, so a merged span is never longer than its template and those edits.
+3. Spans with enough distinct template positions are verified: the words of the text at that place
+   are compared with the template's by edit distance. Spans that overlap one with fewer edits are dropped, so
+   that "cc by nc 4 0" isn't also "cc by 4 0" with a word more.
+
+A template of n words may differ in n // EDIT_EVERY words, short ones in none. Phrases of the base contract are templates too,
+always without edits; every place of theirs counts, and none is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
-from .words import NO_WORD, gram_hashes, hashed, keyed, words
+from .common import prepare, table, written
+from .words import gram_hashes, hashed, keyed, word_hashes, words
 
-K, GAP, COVER = 2, 2, 0.9
+K, EDIT_EVERY = 2, 6
 
 #: Fixed values of the base contract: phrase and label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -43,32 +47,59 @@ TEMPLATES = [
 ]
 
 
-def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: list[tuple[str, str]] = BASE, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def coded(ws: Column, letters: Column) -> Column:
+    """Words as a text of one letter each: a template's words have their own letters (a map), all others a blank. So the edit distance of such texts counts words."""
+    return F.array_join(F.transform(ws, lambda w: F.coalesce(F.try_element_at(letters, w), F.lit(" "))), "")
+
+
+def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: list[tuple[str, str]] = BASE, k: int = K, edit_every: int = EDIT_EVERY) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row.
 
     n_base counts all places of base phrases, overlapping ones too; first_word and last_word
     are the smallest and largest start. labels are base_labels and the labels of verified
-    template spans. score is the largest share of a template covered by a span, 1 for a base
-    phrase, 0 without either. Null and empty texts have no words; repeated rows get equal rows.
+    template spans. score is the largest share of a template's words that a span has without edits, 1 for a base
+    phrase, 0 without either. Null and empty texts have no words; repeated rows get equal rows; a null id stays null.
     Templates are parameters, not data: their k-grams are a few thousand rows at most and are broadcast.
     """
     spark = documents.sparkSession
     prepare(spark)
     if any(len(t.split()) < k for t, _ in [*base, *templates]):
         raise ValueError(f"templates need at least {k} words")
-    listed = spark.createDataFrame([(i, t, label, i < len(base)) for i, (t, label) in enumerate([*base, *templates])], "t int, phrase string, label string, base boolean")
-    grams = hashed(listed.withColumn("n", F.size(words(F.col("phrase")))), "t", "label", "base", "n", text="phrase").select("t", "label", "base", "n", F.posexplode(gram_hashes(F.col("h"), k)).alias("at", "g"))
-    rows = keyed(documents)
-    rolled = hashed(rows, "k").select("k", F.posexplode_outer(gram_hashes(F.col("h"), k)).alias("pos", "g"))
-    hits = rolled.join(F.broadcast(grams), "g").select("k", "t", "label", "base", "n", "at", "pos", (F.col("pos") - F.col("at")).alias("d")).distinct()
-    votes = hits.groupBy("k", "t", "label", "base", "n", "d").agg(F.count("*").alias("votes"), F.collect_set("at").alias("at"))
+    rows_ = []
+    for i, (phrase, label) in enumerate([*base, *templates]):
+        ws = phrase.split()
+        letters = {w: chr(0x4E00 + n) for n, w in enumerate(dict.fromkeys(ws))}
+        rows_.append((i, phrase, label, i < len(base), len(ws), 0 if i < len(base) else len(ws) // edit_every, letters, "".join(letters[w] for w in ws)))
+    listed = spark.createDataFrame(rows_, "t int, phrase string, label string, base boolean, n int, edits int, letters map<string,string>, code string")
+    grams = hashed(listed, "t", text="phrase").select("t", F.posexplode(gram_hashes(F.col("h"), k)).alias("at", "g"))
+    known = [r.g for r in grams.select("g").distinct().orderBy("g").collect()]  # of the parameters
+    # 1. one pass over all texts
+    one = keyed(documents).select("k", "doc_id", word_hashes(words(F.col("text"))).alias("h")).select("k", "doc_id", F.size("h").alias("n_words"), gram_hashes(F.col("h"), k).alias("grams"))
+    placed = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("g"))), lambda x: x["g"].isin(known))
+    seen = written(one.select("k", "doc_id", "n_words", placed.alias("hits")), "scanned")
+    # 2. votes; repeated rows vote once
+    hits = seen.where(F.size("hits") > 0).dropDuplicates(["k"]).select("k", F.explode("hits").alias("x")).join(F.broadcast(grams), F.col("x.g") == F.col("g")).select("k", "t", (F.col("x.pos") - F.col("at")).alias("d"), "at")
+    votes = hits.groupBy("k", "t", "d").agg(F.collect_set("at").alias("at")).join(F.broadcast(listed), "t")
     by = Window.partitionBy("k", "t").orderBy("d")
-    run = votes.withColumn("new", F.coalesce((F.col("d") - F.lag("d").over(by) > gap).cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(by))
-    exact = run.where(F.col("base") & (F.col("votes") == F.col("n") - (k - 1))).select("k", "label", F.lit(True).alias("base"), F.col("d").alias("start"), F.lit(1.0).alias("score"))
-    spans = run.where(~F.col("base")).groupBy("k", "t", "label", "n", "span").agg(F.min("d").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"))
-    spans = spans.withColumn("score", F.col("covered") / (F.col("n") - (k - 1))).where(F.col("score") >= cover).select("k", "label", F.lit(False).alias("base"), "start", "score")
+    most = max((r[5] for r in rows_), default=0)
+    near = F.collect_list(F.struct("d", "at")).over(by.rangeBetween(0, most))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.filter(near, lambda x: x["d"] <= F.col("d") + F.col("edits")), lambda x: x["at"]))))
+    spans = votes.withColumn("covered", covered).where(F.col("covered") >= F.greatest(F.lit(1), F.col("n") - (k - 1) - k * F.col("edits"))).select("k", "t", "d")
+    spans = written(spans, "spans")
+    # 3. the words themselves; only texts with spans are read as words again
+    texts = keyed(documents).join(spans.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]).select("k", words(F.col("text")).alias("ws"))
+    begin = F.greatest("d", F.lit(0))
+    lengths = F.filter(F.sequence(F.col("n") - F.col("edits"), F.col("n") + F.col("edits")), lambda m: m + F.least("d", F.lit(0)) > 0)
+    window = spans.join(texts, "k").join(F.broadcast(listed), "t").select("k", "t", "label", "base", "n", "edits", "code", "d", begin.alias("start"), lengths.alias("lengths"), coded(F.slice("ws", begin + 1, F.greatest(F.lit(0), F.col("n") + F.col("edits") + F.least("d", F.lit(0)))), F.col("letters")).alias("there"))
+    tries = F.transform("lengths", lambda m: F.struct(F.levenshtein(F.substring(F.col("there"), F.lit(1), m + F.least("d", F.lit(0))), F.col("code")).alias("edits"), F.abs(m - F.col("n")).alias("off"), m.alias("m")))
+    sure = window.withColumn("best", F.array_min(tries)).where(F.col("best.edits") <= F.col("edits"))
+    sure = sure.select("k", "label", "base", "start", (F.col("start") + F.col("best.m")).alias("end"), (1 - F.col("best.edits") / F.col("n")).alias("score"))
+    reach = max((r[4] + r[5] for r in rows_), default=1)
+    around = F.collect_list(F.when(~F.col("base"), F.struct("start", "end", "score"))).over(Window.partitionBy("k").orderBy("start").rangeBetween(-reach, reach))
+    beaten = F.exists(around, lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"]) & (x["score"] > F.col("score")))
+    sure = sure.withColumn("beaten", beaten & ~F.col("base")).where("not beaten")
     joined = lambda c: F.array_join(F.array_sort(c), ",")
-    of_doc = exact.union(spans).groupBy("k").agg(
+    of_doc = sure.groupBy("k").agg(
         F.count(F.when(F.col("base"), 1)).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),
@@ -76,8 +107,7 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
         joined(F.collect_set("label")).alias("labels"),
         F.max("score").alias("score"),
     )
-    counted = rows.select("k", "doc_id", F.regexp_count(F.lower("text"), F.lit(NO_WORD.replace("[", "[^", 1))).cast("long").alias("n_words"))
-    out = counted.join(of_doc, "k", "left")
+    out = seen.select("k", "doc_id", F.greatest(F.col("n_words"), F.lit(0)).cast("long").alias("n_words")).join(of_doc, "k", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs of ASCII letters, digits and of all characters beyond ASCII are words.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -14,11 +15,11 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def words(text: Column) -> Column:
     """Lower-cased words of a text, null as empty.
 
-    lower() also changes letters beyond ASCII, but maps them to letters beyond ASCII (the
-    Kelvin sign and the dotted capital I apart), so words begin and end where they would
-    with A-Z alone.
+    Only A-Z change. lower() does that by itself where all characters are ASCII; elsewhere it would also change other letters, so those
+    texts go through translate().
     """
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda w: w != "")
+    t = F.coalesce(text, F.lit(""))
+    return F.filter(F.split(F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower())), NO_WORD), lambda w: w != "")
 
 
 def gram_hashes(hashes: Column, k: int) -> Column:
