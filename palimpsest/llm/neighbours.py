@@ -8,8 +8,8 @@
 3. Every vector is indexed under its most probable part; a query goes to its PROBES most
    probable parts, where all vectors are reranked by the exact cosine in double precision.
 
-Parts are cut into blocks of at most CHUNK vectors, which queries meet one by one, so a part of many
-equal vectors is no single task. Index and search see every row; only the sample is bounded.
+A part's vectors are cut into blocks of about CHUNK, its queries into blocks of about ASKED, and each pair of blocks is a task's work, so neither a part of
+many equal vectors nor one that many queries choose is a single task. Index and search see every row; only the sample is bounded.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, written
 
-SAMPLE, GRAPH, PARTS, PROBES, CHUNK, SEED = 4096, 10, 16, 12, 2048, 5
+SAMPLE, GRAPH, PARTS, PROBES, CHUNK, ASKED, SEED = 4096, 10, 16, 12, 2048, 1024, 5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -135,8 +135,10 @@ def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Route
     return Router(x, target)
 
 
-def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query by cosine, ties to the smaller vec_id; a query's own row is no candidate of it (rows that share its id neither).
+def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = 5, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, chunk: int = CHUNK, asked_at_once: int = ASKED) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query by cosine, ties to the smaller vec_id; a query's own row is no candidate of it.
+
+    Rows that share a query's id, equal or not, are other rows: candidates, and where they are queries, each gets k rows of its own.
 
     Vectors of another length than the query's are no candidates. With too few vectors to
     cut there is one part, and the search is exact.
@@ -171,30 +173,35 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int
 
         return parts_of
 
-    index = written(vectors.select("vec_id", "v", route(1)("v")[0].alias("part")), "index")
-    counts = index.groupBy("part").agg(F.count("*").alias("n")).select("part", F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int").alias("chunks"))  # a row a part
-    cand = index.join(F.broadcast(counts), "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v")
-    asked = vectors.where(query_filter).select("vec_id", "v", F.explode(route(probes)("v")).alias("part"))
-    asked = asked.join(F.broadcast(counts), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("vec_id").alias("vec_id"), "v")
+    # rows are numbered in a table, so that rows of one id stay apart
+    index = written(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", route(1)("v")[0].alias("part")), "index")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
+    queries = written(index.where(query_filter).select("row", "vec_id", "v", F.explode(route(probes)("v")).alias("part")), "queries")
+    counts = index.groupBy("part").agg(F.count("*").alias("n")).join(queries.groupBy("part").agg(F.count("*").alias("q")), "part")
+    counts = written(counts.select("part", blocks("n", chunk).alias("chunks"), blocks("q", asked_at_once).alias("asks")), "parts")  # a row a part
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cand = index.join(F.broadcast(counts), "part").select("part", dealt("chunks").alias("chunk"), every("asks").alias("ask"), "row", "vec_id", "v")
+    asked = queries.join(F.broadcast(counts), "part").select("part", every("chunks").alias("chunk"), dealt("asks").alias("ask"), "row", "vec_id", "v")
 
     def rerank(key, left, right):
         import pandas as pd
 
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             for size in {len(v) for v in left.v}:
                 q = left[[len(v) == size for v in left.v]]
                 c = right[[len(v) == size for v in right.v]]
                 if not len(c):
                     continue
-                ids, x = c.vec_id.to_numpy(), np.array(c.v.tolist())
+                ids, own, x = c.vec_id.to_numpy(), c.row.to_numpy(), np.array(c.v.tolist())
                 ux = unit(x)
                 for at in range(0, len(q), 256):
                     part = q.iloc[at : at + 256]
                     y = np.array(part.v.tolist())
                     near = unit(y) @ ux.T
-                    for i, (qid, row) in enumerate(zip(part.vec_id, near)):
-                        row[ids == qid] = -np.inf
+                    for i, (number, qid, row) in enumerate(zip(part.row, part.vec_id, near)):
+                        row[own == number] = -np.inf
                         m = min(k, int((row > -np.inf).sum()))
                         if not m:
                             continue
@@ -202,13 +209,15 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int
                         keep = np.flatnonzero(row >= bar)
                         s = cosine(y[i], x[keep])
                         best = np.lexsort((ids[keep], -s))[:k]
+                        out["query"] += [number] * len(best)
                         out["query_id"] += [qid] * len(best)
                         out["vec_id"] += ids[keep][best].tolist()
                         out["score"] += s[best].tolist()
         return pd.DataFrame(out)
 
-    found = asked.groupBy("part", "chunk").cogroup(cand.groupBy("part", "chunk")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by_block = ["part", "chunk", "ask"]
+    found = asked.groupBy(*by_block).cogroup(cand.groupBy(*by_block)).applyInPandas(rerank, "query long, query_id long, vec_id long, score double")
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
