@@ -90,7 +90,7 @@ class Fitted:
 
 
 def fit(vocab: list[str], docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, seed: int = SEED) -> Model:
-    """Trains table and softmax jointly. docs: of each text the positions of its words in vocab, and their shares of the mean. Texts without such words are left out of the updates. One class or no rows: a model that knows its bias alone."""
+    """Trains table and softmax jointly. docs: of each text the positions of its words in vocab, and their shares of the mean. Texts without such words teach the bias. One class or no rows: a model that knows its bias alone."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     E = np.zeros((buckets, dim), np.float32)  # what no step touches stays neutral
@@ -108,36 +108,39 @@ def fit(vocab: list[str], docs: list[tuple[np.ndarray, np.ndarray]], labels: lis
     m, v = np.zeros_like(E), np.zeros_like(E)
     mw, vw, mb, vb, step = np.zeros_like(W), np.zeros_like(W), np.zeros_like(b), np.zeros_like(b), 0
     W += rng.normal(0, 0.3, W.shape).astype(np.float32)
-    usable = np.array([i for i, d in enumerate(docs) if len(d[0])], np.int64)
-    while step < steps and len(usable):
-        for chunk in np.array_split(rng.permutation(usable), max(1, len(usable) // BATCH)):
+    firsts = lambda x: np.flatnonzero(np.diff(x, prepend=-1))  # noqa: E731 - where each number of an ascending row begins
+    while step < steps:
+        for chunk in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
             step += 1
             row = np.repeat(np.arange(len(chunk)), [len(docs[i][0]) for i in chunk])
             kept = rng.random(len(row)) < KEEP
-            kept[np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])] = True
+            kept[firsts(row)] = True
             row = row[kept]
             words, back = np.unique(np.concatenate([docs[i][0] for i in chunk])[kept], return_inverse=True)
             part = np.concatenate([docs[i][1] for i in chunk])[kept] / np.float32(KEEP)
             n = size[words]
-            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-            s = sub[np.repeat(at[words] - begin, n) + np.arange(n.sum())]
-            vec = np.add.reduceat(E[s], begin, axis=0) / n[:, None].astype(np.float32)
-            h = np.add.reduceat(vec[back] * part[:, None], np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]), axis=0)
+            begin = np.cumsum(n) - n
+            h = np.zeros((len(chunk), dim), np.float32)
+            if len(words):
+                s = sub[np.repeat(at[words] - begin, n) + np.arange(n.sum())]
+                vec = np.add.reduceat(E[s], begin, axis=0) / n[:, None].astype(np.float32)
+                h[np.unique(row)] = np.add.reduceat(vec[back] * part[:, None], firsts(row), axis=0)
             z = h @ W.T + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(chunk)), y[chunk]] -= 1
             g = (p * weight_of[chunk][:, None] / len(chunk)).astype(np.float32)
             gW, gb, gh = g.T @ h, g.sum(0), g @ W
-            order = np.argsort(back, kind="stable")
-            gvec = np.add.reduceat((gh[row] * part[:, None])[order], np.concatenate([[0], np.flatnonzero(np.diff(back[order])) + 1]), axis=0) / n[:, None].astype(np.float32)
-            order = np.argsort(s, kind="stable")
-            used, first = np.unique(s[order], return_index=True)
-            gE = np.add.reduceat(np.repeat(gvec, n, axis=0)[order], first, axis=0)
             a = RATE * max(0.02, 1 - step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            m[used] = 0.9 * m[used] + 0.1 * gE
-            v[used] = 0.999 * v[used] + 0.001 * gE * gE
-            E[used] = E[used] * (1 - a * DECAY) - a * m[used] / (np.sqrt(v[used]) + 1e-8)
+            if len(words):
+                order = np.argsort(back, kind="stable")
+                gvec = np.add.reduceat((gh[row] * part[:, None])[order], firsts(back[order]), axis=0) / n[:, None].astype(np.float32)
+                order = np.argsort(s, kind="stable")
+                used, first = np.unique(s[order], return_index=True)
+                gE = np.add.reduceat(np.repeat(gvec, n, axis=0)[order], first, axis=0)
+                m[used] = 0.9 * m[used] + 0.1 * gE
+                v[used] = 0.999 * v[used] + 0.001 * gE * gE
+                E[used] = E[used] * (1 - a * DECAY) - a * m[used] / (np.sqrt(v[used]) + 1e-8)
             for t, mm, vv, gg in ((W, mw, vw, gW), (b, mb, vb, gb)):
                 mm *= 0.9
                 mm += 0.1 * gg
