@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import pathlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -55,11 +57,45 @@ def test_token_counts_and_files(spark, odd, tmp_path):
         ids = [*encode([t or ""])[0], 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    assert token_files.shuffled(spark.read.parquet(str(tmp_path / "i")), 1).count() == len(ODD)
+    index = spark.read.parquet(str(tmp_path / "i"))
+    assert token_files.shuffled(index, 1).count() == len(ODD)
+    # by the index alone: with Spark, and as a reader outside it would
+    got = {(r.file, r.offset): r for r in token_files.fetch(index, str(tmp_path / "s")).collect()}
+    for r in rows:
+        with open(tmp_path / "s" / r.file, "rb") as f:
+            f.seek(r.offset)
+            (_, _, doc_id, ids), = token_files.parse(f.read(r.length))
+        again = got[(r.file, r.offset)]
+        assert (doc_id, len(ids)) == (r.doc_id, r.n_tokens) and (again.doc_id, again.ids) == (doc_id, ids.tolist())
     with pytest.raises(ValueError):
         list(token_files.parse(token_files.frame(1, b"\x01\x00", 2)[:-1] + b"\x00\n"))
 
 
+def test_token_files_in_many_shards(spark, tmp_path):
+    """One id on a third of the rows, and as many null ids, are dealt to several shards; starts stay exact."""
+    path = P.path("byte_bpe_50k.json")
+    encode = token_counts.library(path)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text number {i} " + "word " * (i % 40)) for i in range(600)]
+    token_files.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), path, shard_bytes=4000)
+    got = token_files.positions(token_files.write_index(spark, str(tmp_path / "s"), str(tmp_path / "i"))).orderBy("start").collect()
+    assert [r.doc_id is not None for r in got] == sorted(r.doc_id is not None for r in got) and [r.doc_id for r in got if r.doc_id is not None] == sorted(i for i, _ in rows if i is not None)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and len({r.shard for r in got if r.doc_id is None}) > 2 and len({r.shard for r in got if r.doc_id == 7}) > 2
+    crc = lambda t: zlib.crc32(np.array([*encode([t])[0], 2], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, crc(t)) for i, t in rows)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    token_files.write_shards(none, str(tmp_path / "n"), path)
+    assert token_files.write_index(spark, str(tmp_path / "n"), str(tmp_path / "m")).count() == 0 and token_counts.token_counts(none, path).count() == 0
+
+
+def test_sentencepiece_counts(spark, odd):
+    path = next((str(f) for f in pathlib.Path(P.path("byte_bpe_50k.json")).parent.glob("*.model")), None)
+    if not path:
+        pytest.skip("no .model file")
+    encode = token_counts.library(path)
+    want = Counter((i, len(encode([t or ""])[0])) for i, t, *_ in ODD)
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(odd, path).collect()) == want
+
+
 def test_bpe_equals_the_library(odd):
     import tiktoken
 
@@ -82,6 +118,17 @@ def test_close_pairs_by_brute_force():
     assert got == want
 
 
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_blocks_lose_no_link(spark, blocks):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 30, np.uint64)
+    flip = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+    fps = np.concatenate([base, *[base ^ np.array([flip(n) for _ in base], np.uint64) for n in (1, 3, 4)]])
+    got = {r.fp for r in simhash.clusters(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), blocks=blocks).collect()}
+    assert got == set(fps.view(np.int64).tolist())
+    assert [simhash.blocks_for(n) for n in (0, 10**8, 10**9, 10**11, 10**13)] == [6, 6, 7, 8, 8]
+
+
 @pytest.mark.parametrize("tile", [1024, 4])
 def test_near_duplicates(spark, odd, tile):
     rng = random.Random(4)
@@ -203,6 +250,60 @@ def test_licenses(spark, odd):
     assert licenses.license_scan(odd).count() == len(ODD)
 
 
+def test_licenses_by_brute_force(spark):
+    """Base columns and labels of random texts made of template words, against a plain scan by edit distance."""
+    rng = random.Random(17)
+    pool = [w for t, _ in [*licenses.TEMPLATES, *licenses.BASE] for w in t.split()] + ["x", "zebra", "ñandú"]
+    rows = []
+    for i in range(150):
+        ws = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice([*licenses.TEMPLATES, *licenses.BASE])[0].split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+                at = rng.randrange(len(t))
+                t[at : at + rng.choice([0, 1])] = rng.choice([[], ["x"], ["zebra"]])
+                t = t or ["x"]
+            ws += t + [rng.choice(pool) for _ in range(rng.randint(0, 5))]
+        rows.append((i, " ".join(w.upper() if rng.random() < 0.1 else w for w in ws)))
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, old = [i], line
+            for j, y in enumerate(b, 1):
+                line.append(min(old[j] + 1, line[-1] + 1, old[j - 1] + (x != y)))
+        return line[-1]
+
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    extra = 0
+    for i, text in rows:
+        ws, r = words(text), got[i]
+        at = [(s, label) for phrase, label in licenses.BASE for s in range(len(ws)) if ws[s : s + len(phrase.split())] == phrase.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(ws), len(at), min((s for s, _ in at), default=None), max((s for s, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+        exact, near = set(), set()
+        for phrase, label in licenses.TEMPLATES:
+            t = phrase.split()
+            edits = len(t) // licenses.EDIT_EVERY
+            best = min((distance(ws[s : s + m], t) for s in range(len(ws)) for m in range(len(t) - edits, len(t) + edits + 1)), default=99)
+            if best == 0:
+                exact.add(label)
+            if best <= edits:
+                near.add(label)
+        labels = set(r.labels.split(",")) - {""} - {x for _, x in at}
+        assert labels <= near and {x for x in exact if x not in ("lgpl",)} - {x for _, x in at} <= labels | {x for _, x in at}, (text, labels, exact, near)
+        extra += len(labels - exact)
+    assert extra > 5
+
+
+def test_licenses_verify_order_and_length(spark):
+    texts = ["licensed under x under cc x cc by x by 4 x 4 0", "all rights x rights reserved", "licensed under cc by nc 4 0", "released under the mit license", "licensed under the apache license x version 2 0", "licensed under the apache license x y version 2 0", "under the terms licensed version 2 0 the apache license"]
+    got = [r.labels for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["", "", "cc-by-nc-4.0", "mit", "apache,apache-2.0", "apache", "apache"]
+
+
 def test_decontamination(spark, odd):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -246,6 +347,60 @@ def test_url_rules(spark):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(180, 200))
 
 
+def test_url_rules_by_brute_force(spark):
+    """Every combination of up to three tokens, counted plainly, gives the rules that FP-growth and its bounds keep; hosts and paths by plain Python."""
+    from itertools import combinations
+
+    rng = random.Random(13)
+    hosts, segments = ["a.net", "b.com", "Shop.b.com", "c.org", "win-big.io", "example.com", "d.example.net"], ["", "/buy/now", "/read", "/en/", "/de/x", "/fr/", "/win"]
+    urls = [rng.choice(["http://", "https://"]) + rng.choice(hosts) + rng.choice(segments) + rng.choice(["", "?q=1", "#t"]) for _ in range(400)] + [None, "", "no scheme", "://", "http://?x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = {i: int("win" in (u or "") or rng.random() < 0.1) for i, u in enumerate(urls) if i < 300}
+    got = {r.page_id: r for r in url_rules.judge(pages, spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")).collect()}
+
+    def parts(u):
+        if not u or "://" not in u:
+            return "", ""
+        rest = u.split("://", 1)[1]
+        h = re.match(r"[^/?#]*", rest)[0]
+        return h.translate({c: c + 32 for c in range(65, 91)}), re.match(r"[^?#]*", rest[len(h) :])[0]
+
+    def tokens(h, p):
+        t = ["h:" + x for x in h.split(".")] + ["w:" + x for x in re.split(r"[.\-]", h)] + ["p:" + x for x in p.split("/") if not re.search("[0-9]", x)]
+        return {x for x in t if len(x) > 2}
+
+    bags = [(tokens(*parts(urls[i])), b) for i, b in bad.items() if tokens(*parts(urls[i]))]
+    n, n_bad = len(bags), sum(b for _, b in bags)
+    has, hit = Counter(), Counter()
+    for t, b in bags:
+        for k in (1, 2, 3):
+            for c in combinations(sorted(t), k):
+                has[c] += 1
+                hit[c] += b
+    need = max(url_rules.MIN_SUPPORT, url_rules.MIN_COUNT / n)
+    rules = [set(c) for c in has if hit[c] / n >= need and hit[c] / has[c] >= url_rules.MIN_CONFIDENCE and hit[c] / has[c] / (n_bad / n) >= url_rules.MIN_LIFT]
+    assert rules
+    for i, u in enumerate(urls):
+        h, p = parts(u)
+        fits = [(len(x + y), v, x + y) for v, x, y in url_rules.RULES if (h == x or h.endswith("." + x)) and p.startswith(y)]
+        rule = max(fits)[2] if fits else None
+        verdict = max(fits)[1] if fits else "block" if any(r <= tokens(h, p) for r in rules) else "allow"
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (h, p, rule, verdict), u
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """Rows of one id stay apart: each query row has its own k, and rows that share its id are candidates."""
+    rows = [(i, [float(i + 1), 1.0]) for i in range(20)] + [(0, [1.0, 1.0]), (0, [5.0, 1.0]), (50, [2.0, 1.0]), (50, None)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), chunk=7, asked_at_once=2).collect()
+    x = [(i, np.array(v)) for i, v in rows if v]
+    want = Counter()
+    for a, (i, v) in enumerate(x):
+        if i % 50 == 0:
+            s = sorted((-float(neighbours.cosine(v, w[None])[0]), j) for b, (j, w) in enumerate(x) if a != b)[:5]
+            want.update((i, r, j, -c) for r, (c, j) in enumerate(s, 1))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want and len(got) == 20
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(20, 16))
@@ -296,6 +451,76 @@ def test_toxicity_reads_long_words_to_their_end(spark):
     assert got[1] == 0.5 and got[2] > 0.7 and got[3] > 0.6
 
 
+def test_toxicity_by_plain_computation(spark, odd):
+    """held_out, score and predicted of each row from the model's table by plain Python."""
+    import math
+
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 3, (toxicity.BUCKETS, 2)).astype(np.float32), np.array([[0.1, -0.4], [0.9, 0.7]], np.float32), np.array([0.2, -0.1], np.float32))
+    logit, bias = model.logits()
+    for r in toxicity.score(odd, model).collect():
+        words = Counter(re.findall(r"[^\W_]+", (r.text or "").lower()))
+        total = sum((1 + math.log(c)) * float(logit[toxicity.bag(w)].mean()) for w, c in words.items()) / (toxicity.PAD + sum(1 + math.log(c) for c in words.values()))
+        assert abs(r.score - 1 / (1 + math.exp(-(total + bias if words else min(bias, 0.0))))) < 1e-6
+    ids = spark.createDataFrame([(i,) for i in (*range(-5, 300), 2**40)], "doc_id long")
+    from pyspark.sql import functions as F
+
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in ids.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect())
+
+
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, score string, k string, row string, t1 string, copies string, label string"
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, texts):
+    """All five stages over null, repeated and shared ids, null, empty and long texts, and columns with clashing names; each against plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    bench = line(30)
+    clean = [(i, line(rng.randint(20, 60))) for i in range(10, 250)]
+    toxic = [(i, line(50) + " stupid idiot moron stupid idiot moron") for i in range(300, 420)]
+    passage = line(60)
+    odd_ = [(None, line(40)), (None, line(41)), (500, None), (501, ""), (502, "a b"), (503, line(30) + " " + bench + " " + line(20)), (504, line(9000)), (505, passage + " " + line(30)), (506, line(25) + " " + passage)]
+    same = [(510, clean[3][1]), (511, clean[3][1]), (512, line(33)), (512, line(34)), (None, clean[5][1])]
+    rows = [(i, t, "en", "s", len(t or ""), "c", "c", "c", "c", "c", "c") for i, t in [*clean, *toxic, *odd_, *same]]
+    docs = spark.createDataFrame(rows, WIDE)
+    spark.createDataFrame([(i, 1, int(i >= 300)) for i, _ in [*clean, *toxic]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, bench), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+
+    def run(name, df):
+        stage[name](spark, df, str(tmp_path)).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    one = run("toxicity", docs)
+    left = Counter((r.doc_id, r.text) for r in one.collect())
+    assert one.columns == docs.columns and left == Counter([*clean, *odd_, *same])
+    two = run("simhash_near_dedup", one)
+    kept = Counter((r.doc_id, r.text) for r in two.collect())
+    fps = {}
+    for i, t in left:
+        fps.setdefault(simhash.fingerprint(t or ""), []).append((i is None, i, t or ""))
+    assert all(bin(a ^ b).count("1") > 4 for a in fps for b in fps if a < b)
+    assert two.columns == docs.columns and {(i, t or "") for i, t in kept} == {(i, t) for _, i, t in (min(v) for v in fps.values())} and set(kept.values()) == {1}
+    three = run("suffix_array_dedup", two)
+    before = [((r.doc_id, r.text), r) for r in two.collect()]
+    want = {k[0]: None if k[1] is None else w[0] - w[1] for (k, _), w in zip(before, brute_repeats([(k[1] or "").encode() for k, _ in before], repeats.SHORT)) if k[0] is not None and k[0] != 512}
+    after = {r.doc_id: r for r in three.collect()}
+    assert three.columns == docs.columns and three.count() == two.count() and {i: None if after[i].text is None else len(after[i].text) for i in want} == want
+    assert want[505] < len(odd_[7][1]) - 300 and all(r.n_chars == len(r.text) for r in three.collect() if r.text is not None)
+    four = run("benchmark_decontamination", three)
+    assert four.columns == docs.columns and Counter(r.doc_id for r in four.collect()) == Counter(r.doc_id for r in three.collect() if r.doc_id != 503)
+    five = run("byte_level_bpe", four)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in five.collect()) == Counter((r.doc_id, digest((r.text or "").encode())) for r in four.collect())
+    none = docs.limit(0)
+    for name, f in corpus_pipeline.STAGES:
+        none.write.mode("overwrite").parquet(str(tmp_path / "none"))
+        assert f(spark, spark.read.parquet(str(tmp_path / "none")), str(tmp_path)).count() == 0, name
+
+
 def test_components_that_do_not_settle(spark):
     from palimpsest.llm.components import components
 
