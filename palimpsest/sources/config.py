@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +48,12 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> Config:
+        """The configuration of a JSON file. Keys that mean nothing here, such as those of caches, are passed over."""
         with open(path) as f:
             d = json.load(f)
-        return cls(**{**d, "dataset": Storer(**d["dataset"]), "provenance": Storer(**d["provenance"])})
+        storer = lambda x: Storer(**{k.name: x[k.name] for k in fields(Storer) if k.name in x})
+        known = {k.name: d[k.name] for k in fields(cls) if k.name in d}
+        return cls(**{**known, "dataset": storer(d["dataset"]), "provenance": storer(d["provenance"])})
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -67,6 +70,8 @@ def catalog(spark: SparkSession, config: Config):
     from ..functions.updates import to_ops
     from ..plans.query import Catalog
 
+    if config.dataset.triplestore_urls or config.provenance.triplestore_urls:
+        raise ValueError("Network stores are not read; give their content as files.")
     quads, more = rdf.split_provenance(read_paths(spark, config.dataset.file_paths))
     _, snaps = rdf.split_provenance(read_paths(spark, config.provenance.file_paths)) if config.provenance.file_paths else (None, more)
     return Catalog.build(quads, snaps, to_ops(snaps), config.dataset.is_quadstore)

@@ -182,3 +182,10 @@ def version_lines(states: DataFrame, *by: str) -> DataFrame:
     from ..functions.terms import strip_datatype
 
     return states.groupBy(*by).agg(F.array_sort(F.collect_set(F.concat_ws(" ", "s", "p", strip_datatype(F.col("o"))))).alias("lines"))
+
+
+def version_rows(lines: DataFrame, *by: str) -> DataFrame:
+    """(by..., s, p, o): what version_lines made, as terms again; the first three terms of each line. Lines with fewer are left out, repeated ones come once."""
+    terms = F.regexp_extract_all(F.col("line"), F.lit(_TERM), F.lit(1))
+    rows = lines.select(*by, F.explode("lines").alias("line")).select(*by, terms.alias("t")).where(F.size("t") >= 3)
+    return rows.select(*by, *[F.col("t")[i].alias(c) for i, c in enumerate("spo")]).distinct()

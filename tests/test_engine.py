@@ -203,3 +203,170 @@ def test_merge_aware_constant_has_all_aliases(spark, monkeypatch):
     found = lambda q: {r.x for r in VersionQuery(c, q, merge_aware=True).bindings().collect()}
     assert found("SELECT ?x WHERE { <b> <p> ?x }") == {f'"{x}"' for x in "abcdef"}
     assert found("SELECT ?x WHERE { <g> <p> ?x }") == {'"g"'}
+
+
+def test_snapshots_of_one_time(spark):
+    """se/10 comes after se/9; what one inserts and the next deletes at the same time was never there, and what comes back at once has one interval."""
+    rows = [("<e>", f"<e/prov/se/{n}>", day(d), None, "<a>", None, "d", t, []) for n, d, t in ((8, 0, None), (9, 1, "INSERT DATA { GRAPH <g> { <e> <p> <x> } }"), (10, 1, "DELETE DATA { GRAPH <g> { <e> <p> <x> . <e> <p> <y> } }"), (11, 1, "INSERT DATA { GRAPH <g> { <e> <p> <y> } }"))]
+    s = spark.createDataFrame(rows, SNAP)
+    v = replay.validity(to_ops(s), spark.createDataFrame([("<e>", "<e>", "<p>", "<y>", "<g>")], QUADS), s)
+    assert [(r.o, r.valid_from.day, r.valid_to) for r in v.collect()] == [("<y>", 1, None)]
+    net = {r.o: r.sign for r in replay.net(to_ops(s), "entity").collect()}
+    assert net == {}
+    ended = [("<f>", f"<f/prov/se/{n}>", day(1), day(n), "<a>", None, "d", None, []) for n in (9, 10)]
+    (record,) = replay.delta_records(spark.createDataFrame([], OPS), spark.createDataFrame(ended, SNAP)).collect()
+    assert record.deleted.replace(tzinfo=timezone.utc) == day(10)
+
+
+def test_delta_records_without_operations(values, spark):
+    """A snapshot in the interval is enough for a record; texts whose wanted properties are empty keep an entry; lists are never null."""
+    rows = [("<e>", "<e/se/1>", day(0), None, "<a>", None, "d", None, []), ("<e>", "<e/se/2>", day(5), None, "<a>", None, "d", None, []), ("<e>", "<e/se/3>", day(9), None, "<a>", None, "d", "INSERT DATA { GRAPH <g> { } }", [])]
+    s = spark.createDataFrame(rows, SNAP)
+    got = lambda *on: [(r.created is not None, len(r.changes), r.additions, r.deletions) for r in replay.delta_records(to_ops(s), s, *on).collect()]
+    assert got((day(4).isoformat(), day(6).isoformat())) == [(False, 0, [], [])] and got((day(6).isoformat(), day(7).isoformat())) == []
+    assert got() == [(True, 1, [], [])]
+    (r,) = replay.delta_records(values.ops.where("entity = '<e>'"), values.snapshots.where("entity = '<e>'"), None, ["other"]).collect()
+    assert [(c.additions, c.deletions) for c in r.changes] == [([], [])] * 3 and r.additions == []
+
+
+def test_joins_of_times_and_intervals_by_brute_force(spark):
+    from palimpsest.operators.ranks import at_times
+
+    rng = random.Random(11)
+    times = sorted({(k, day(rng.randint(0, 60))) for k in "ab" for _ in range(25)})
+    rows = [(i, rng.choice("abc"), *sorted((day(rng.randint(0, 60)), day(rng.randint(0, 60))))) for i in range(120)]
+    t = spark.createDataFrame(times, "k string, time timestamp")
+    r = graph.cut(spark.createDataFrame(rows, "i int, k string, from_ timestamp, to_ timestamp"))
+    at = lambda x: x.replace(tzinfo=timezone.utc)
+    assert {(x.i, at(x.time)) for x in at_times(r, t, ["k"]).collect()} == {(i, y) for i, k, a, b in rows for j, y in times if j == k and a <= y < b}
+    assert {(x.i, at(x.time)) for x in at_times(r, t.select("time").distinct()).collect()} == {(i, y) for i, _, a, b in rows for _, y in times if a <= y < b}
+
+
+@pytest.fixture(scope="module")
+def family(spark):
+    """a refers to b since day 1 and to c until day 2; c is merged into a on day 3; d refers to a, f to d; h once referred to a."""
+    text = lambda d, i: "; ".join(f"{w} DATA {{ GRAPH <g> {{ {x} }} }}" for w, x in (("DELETE", d), ("INSERT", i)) if x) or None
+    snaps = [("a", 1, 0, None, []), ("a", 2, 1, text("", "<a> <r> <b>"), []), ("a", 3, 2, text("<a> <r> <c>", ""), []), ("a", 4, 3, None, ["<c/prov/se/1>"]), ("b", 1, 0, None, []), ("b", 2, 2, text('<b> <n> "old"', '<b> <n> "new"'), []), ("c", 1, 0, None, []), ("d", 1, 0, None, []), ("f", 1, 0, None, []), ("h", 1, 0, None, []), ("h", 2, 1, text("<h> <r> <a>", ""), [])]
+    s = spark.createDataFrame([(f"<{e}>", f"<{e}/prov/se/{n}>", day(d), None, "<agent>" if e != "f" else None, None, "d", t, frm) for e, n, d, t, frm in snaps], SNAP)
+    quads = [("a", "r", "<b>"), ("a", "n", '"a"'), ("b", "n", '"new"'), ("c", "n", '"c"'), ("d", "r", "<a>"), ("f", "r", "<d>"), ("h", "n", '"h"')]
+    return Catalog.build(spark.createDataFrame([(f"<{e}>", f"<{e}>", f"<{p}>", o, "<g>") for e, p, o in quads], QUADS), s, to_ops(s))
+
+
+def test_entities_around_one(family):
+    names = lambda *a, **k: {r.entity.strip("<>") for r in AgnosticEntity(family, "a", **k).entities(*a).collect()}
+    assert names() == {"a"} and names(include_related_objects=True) == {"a", "b", "c"} and names(include_merged_entities=True) == {"a", "c"}
+    since = ((day(2).isoformat(), day(9).isoformat()), True)
+    assert names(*since, include_related_objects=True) == {"a", "b"}
+    assert names(include_reverse_relations=True) == {"a", "d", "f"} and names(include_reverse_relations=True, reverse_relations_depth=1) == {"a", "d"} and names(include_reverse_relations=True, reverse_relations_depth=0) == {"a"}
+    assert names(include_reverse_relations=True, include_historical_reverse_relations=True, reverse_relations_depth=1) == {"a", "d", "h"}
+
+
+def test_states_with_entities_around(family):
+    def by_day(frame):
+        out = {}
+        for r in frame.collect():
+            assert r.entity == "<a>"
+            out.setdefault((r.time.replace(tzinfo=timezone.utc) - T0).days, set()).add((r.s.strip("<>"), r.o.strip('<>"')))
+        return out
+
+    e = AgnosticEntity(family, "a", include_related_objects=True)
+    states, found = e.get_history(include_prov_metadata=True)
+    own = {0: {("a", "a"), ("a", "c")}, 1: {("a", "a"), ("a", "b"), ("a", "c")}, 2: {("a", "a"), ("a", "b")}, 3: {("a", "a"), ("a", "b")}}
+    name = {0: "old", 1: "old", 2: "new", 3: "new"}
+    assert by_day(states) == {n: own[n] | {("b", name[n]), ("c", "c")} for n in own} and found.count() == 7
+    states, chosen, other = e.get_state_at_time((day(1).isoformat(), day(1).isoformat()), include_prov_metadata=True)
+    assert by_day(states) == {1: own[1] | {("b", "old"), ("c", "c")}}
+    assert {r.snapshot for r in chosen.collect()} == {"<a/prov/se/2>", "<b/prov/se/1>", "<c/prov/se/1>"} and other.count() == 4
+    states, chosen, other = e.get_state_at_time((day(1).isoformat(), day(1).isoformat()))
+    assert chosen is None and other is None
+    each, _ = e.get_histories_by_entity()
+    assert {r.entity for r in each.collect()} == {"<a>", "<b>", "<c>"}
+    # a snapshot without attribution is no metadata
+    _, found = AgnosticEntity(family, "f").get_history(include_prov_metadata=True)
+    assert found.count() == 0
+
+
+def test_queries_with_metadata(family):
+    _, chosen, other = VersionQuery(family, "SELECT ?x WHERE { <a> <r> ?x }", (day(2).isoformat(), day(2).isoformat()), include_prov_metadata=True).run_agnostic_query()
+    assert [r.snapshot for r in chosen.where("entity = '<a>'").collect()] == ["<a/prov/se/3>"] and other.where("entity = '<a>'").count() == 3
+    rows, chosen, other = VersionQuery(family, "SELECT ?x WHERE { <a> <r> ?x }", include_prov_metadata=True).run_agnostic_query(include_all_timestamps=True)
+    assert chosen.where("entity = '<a>'").count() == 4 and other.count() == 0 and rows.count() == 5
+    assert VersionQuery(family, "SELECT ?x WHERE { <a> <r> ?x }").run_agnostic_query()[1:] == (None, None)
+    records, chosen, _ = DeltaQuery(family, "SELECT ?x WHERE { ?x <r> <b> }", merge_aware=True, include_prov_metadata=True).run_agnostic_query()
+    got = {r.entity: r for r in records.collect()}
+    assert set(got) == {"<a>", "<c>"} and [m.absorbed for m in got["<c>"].merges] == [["<c>"]] and chosen.count() == 5
+
+
+def test_discovery_by_language_tag(spark):
+    from palimpsest.plans.query import discover
+
+    s = spark.createDataFrame([("<e>", "<e/se/1>", day(0), None, "<a>", None, "d", None, []), ("<e>", "<e/se/2>", day(1), None, "<a>", None, "d", 'DELETE DATA { GRAPH <g> { <e> <n> "x"@EN . <e> <n> "y" } }', [])], SNAP)
+    c = Catalog.build(spark.createDataFrame([], QUADS), s, to_ops(s))
+    hits = lambda o: discover(c, ("?e", "<n>", o)).count()
+    assert (hits('"x"@en'), hits('"x"@En'), hits('"X"@en'), hits('"y"'), hits('"x"')) == (1, 1, 0, 1, 0)
+
+
+def test_version_texts_and_sets(spark):
+    states = spark.createDataFrame([("t", "<s>", "<p>", '"5"^^<d>'), ("t", "<s>", "<p>", '"a b"@en'), ("u", "<s>", "<p>", "<o>"), ("u", "<s>", "<p>", None)], "time string, s string, p string, o string")
+    lines = rdf.version_lines(rdf.quad_set(states), "time")
+    assert {r.time: r.lines for r in lines.collect()} == {"t": ['<s> <p> "5"', '<s> <p> "a b"@en'], "u": ["<s> <p> <o>"]}
+    assert {tuple(r) for r in rdf.version_rows(lines, "time").collect()} == {("t", "<s>", "<p>", '"5"'), ("t", "<s>", "<p>", '"a b"@en'), ("u", "<s>", "<p>", "<o>")}
+    assert rdf.ask(states) and not rdf.ask(states.where("s = '<z>'")) and rdf.quad_set(states.union(states)).count() == 3
+
+
+def test_files_from_dumps_to_answers(spark, tmp_path):
+    """Dumps of three versions, one of them gzipped, become lines of quads and of provenance; read back through a configuration they answer queries as the dumps do."""
+    import gzip
+    import json
+    import zipfile
+
+    from palimpsest.operators import convert
+    from palimpsest.sources import config
+
+    dumps = [['<a> <p> "1" .', "<a> <q> <b> .", '<b> <p> "x\\"y" .'], ['<a> <p> "2" .', '<b> <p> "x\\"y" .'], ['<a> <p> "1" .', '<c> <p> "z"@en .']]
+    paths = [str(tmp_path / f"{i}.nt{'.gz' if i == 1 else ''}") for i in range(3)]
+    for i, (path, lines) in enumerate(zip(paths, dumps)):
+        with gzip.open(path, "wt") if i == 1 else open(path, "w") as f:
+            f.write("\n".join(lines))
+    copies = graph.cut(rdf.read_versions(spark, paths))
+    times = [day(n) for n in range(3)]
+    quads, snaps = convert.convert_copies(copies, times, "g", "agent")
+    rdf.write_lines(convert.dataset_lines(quads), str(tmp_path / "data"), True)
+    rdf.write_lines(convert.provenance_lines(snaps), str(tmp_path / "prov"))
+    made = config.Config(config.Storer(file_paths=[str(tmp_path / "data")]), config.Storer(file_paths=[str(tmp_path / "prov")]))
+    made.save(str(tmp_path / "c.json"))
+    with open(tmp_path / "c.json") as f:
+        more = json.load(f) | {"cache_triplestore_url": {"endpoint": ""}}
+    (tmp_path / "c.json").write_text(json.dumps(more))
+    c = config.catalog(spark, config.Config.load(str(tmp_path / "c.json")))
+    for n in range(3):
+        assert {(r.s, r.p, r.o) for r in replay.state_at(c.validity, times[n].isoformat()).collect()} == {rdf.parse_line(x) for x in dumps[n]}
+    found = VersionQuery(c, "SELECT ?o WHERE { <a> <p> ?o }").to_dict()
+    assert [[b["o"]["value"] for b in v] for _, v in sorted(found.items())] == [["1"], ["2"], ["1"]]
+    # change sets give the same dataset as copies
+    changes = convert.copies_to_changes(copies, 3)
+    again, _ = convert.convert_changes(copies.where("version = 0").drop("version"), changes, times, "g", "agent")
+    assert {tuple(r) for r in again.select("s", "p", "o").collect()} == {tuple(r) for r in quads.select("s", "p", "o").collect()}
+    with zipfile.ZipFile(tmp_path / "j.zip", "w") as z:
+        z.writestr("x.json", '[{"@id": "http://e/a", "http://e/p": [{"@value": 5}, {"@id": "_:n"}]}]')
+    assert {(r.s, r.o) for r in config.read_paths(spark, [str(tmp_path / "j.zip")]).collect()} == {("<http://e/a>", '"5"'), ("<http://e/a>", "_:n")}
+    with pytest.raises(ValueError):
+        config.Config(config.Storer(), config.Storer(), blazegraph_full_text_search="yes", fuseki_full_text_search="yes")
+    with pytest.raises(ValueError):
+        config.catalog(spark, config.Config(config.Storer(["http://x"]), config.Storer()))
+
+
+def test_streaming_load(spark, tmp_path):
+    """Operations of a stream of snapshots equal those of a load at once, also when a second run finds more files."""
+    from palimpsest.streaming.ingest import ingest
+
+    rows = [("<e>", f"<e/se/{i}>", day(i), None, "<a>", None, "d", f'INSERT DATA {{ GRAPH <g> {{ <e> <p> "{i}" }} }}', []) for i in range(6)]
+    at = lambda x: str(tmp_path / x)
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, SNAP).write.mode("append").parquet(at("in"))
+        q = ingest(spark.readStream.schema(SNAP).parquet(at("in")), at("ops"), at("marks"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = spark.read.parquet(at("ops")).drop("batch")
+    want = to_ops(spark.createDataFrame(rows, SNAP))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
