@@ -6,7 +6,8 @@ counts) of at least SIMILARITY with it. A text of fewer than SHINGLE words is on
 an item that short matches only texts of the same words, not longer ones that hold it.
 
 1. Shingles of documents meet the items' shingles. A window of that similarity holds at
-   least SIMILARITY of the item's shingles, so runs of hits that are dense enough give every window
+   least SIMILARITY of the item's shingles, so it holds one of any choice of more than the rest: the ones that
+   fewest items share find the candidates (document, item), so a shingle that many items begin with multiplies nothing. Of candidates, runs of hits that are dense enough give every window
    that can qualify, and no other window needs a fingerprint.
 2. SimHash of those item-sized windows, from sums of the shingle hashes' bits.
 3. Multi-index Hamming blocks: within RADIUS, one of BLOCKS blocks differs in at most
@@ -22,15 +23,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table, written
+from .common import free_name, prepare, table, written
 from .words import gram_hashes, hashed, keyed
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
-#: Distinct item shingles up to which they are broadcast (16 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows (item, shingle) up to which they are broadcast (some 50 bytes each); beyond, the joins shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_hashes(h: Column, n: int = SHINGLE) -> Column:
@@ -65,15 +66,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int = SHIN
     items = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").where("size(h) > 0").distinct()
     items = written(items.select(F.xxhash64("item_id", "h").alias("item"), "item_id", shingle_hashes(F.col("h"), shingle).alias("s")), "items")
     bag = items.select("item", "item_id", F.size("s").alias("m"), F.explode("s").alias("g")).groupBy("item", "item_id", "m", "g").agg(F.count("*").alias("c"))
+    bag = written(bag, "bag")
+    light = F.broadcast if bag.count() <= BROADCAST_ROWS else lambda d: d  # everything that is broadcast below has at most as many rows
     known = bag.select("g").distinct()
-    small = known.count() <= BROADCAST_ROWS
-    light = (lambda d: F.broadcast(d)) if small else (lambda d: d)
+    need = F.ceil(F.col("m") * similarity - 1e-9).cast("int")
+    rarest = Window.partitionBy("item").orderBy("df", "g")
+    rare = bag.join(bag.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("before", F.sum("c").over(rarest) - F.col("c")).where(F.col("before") <= F.col("m") - need)
     rows = keyed(documents)
     # 1. hits: only the shingles of items survive, with their positions
     rolled = hashed(rows, "k", "doc_id").select("k", "doc_id", shingle_hashes(F.col("h"), shingle).alias("s")).select("k", "doc_id", F.size("s").alias("len"), F.posexplode_outer("s").alias("pos", "g"))
     hits = written(rolled.join(light(known), "g", "left_semi").distinct(), "hits")
-    spots = hits.join(light(bag.select("item", "m", "g")), "g").select("k", "doc_id", "len", "item", "m", "pos")
-    need = F.ceil(F.col("m") * similarity - 1e-9).cast("int")
+    candidates = written(hits.select("k", "g").distinct().join(light(rare.select("item", "g")), "g").select("k", "item").distinct(), "candidates")
+    spots = hits.join(candidates, "k").join(light(bag.select("item", "m", "g")), ["item", "g"]).select("k", "doc_id", "len", "item", "m", "pos")
     spots = spots.groupBy("k", "doc_id", "len", "item", "m").agg(F.array_sort(F.collect_list("pos")).alias("p")).withColumn("need", need).where(F.size("p") >= F.col("need"))
     # starts s of windows [s, s + m) that hold the hits p[i] .. p[i + need - 1], with p[i] the first
     last = F.greatest(F.col("len") - F.col("m"), F.lit(0))
@@ -102,9 +106,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int = SHIN
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the contaminated rows; all columns stay as they are."""
-    found = contaminated(documents, benchmark).select(F.col("k").alias("_contaminated_k")).distinct()
+    name = free_name(documents, "k")
+    found = contaminated(documents, benchmark).select(F.col("k").alias(name)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    return documents.join(found, key == F.col("_contaminated_k"), "left_anti")
+    return documents.withColumn(name, key).join(found, name, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,10 +304,13 @@ def test_licenses_verify_order_and_length(spark):
     assert got == ["", "", "cc-by-nc-4.0", "mit", "apache,apache-2.0", "apache", "apache"]
 
 
-def test_decontamination(spark, odd):
+@pytest.mark.parametrize("rows", [500_000, 3])
+def test_decontamination(spark, odd, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    items = [(i, " ".join(word() for _ in range(rng.randint(3, 50)))) for i in range(12)] + [(99, None), (100, "")]
+    head = " ".join(word() for _ in range(9))  # an opening that most items share
+    items = [(i, (head + " " if i > 3 else "") + " ".join(word() for _ in range(rng.randint(3, 50)))) for i in range(12)] + [(99, None), (100, "")]
     docs = []
     for i in range(60):
         body = [word() for _ in range(rng.randint(0, 80))]
@@ -334,6 +337,8 @@ def test_decontamination(spark, odd):
                 if best >= 0.8:
                     want[(d, k)] = round(best, 9)
     assert got == want and want
+    named = frame.withColumnsRenamed({"lang": "_contaminated_k", "h": "k_"})
+    assert decontaminate.clean(named, bench).columns == named.columns
     assert decontaminate.clean(frame, bench).count() == frame.count() - len({d for d, _ in want})
 
 
