@@ -17,4 +17,5 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash, encode or learn in ways that SQL has no functions for; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_rules.ORACLE_SQL}

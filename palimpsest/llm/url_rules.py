@@ -81,5 +81,27 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     return out.select("page_id", "host", "path", F.col("f.rule").alias("rule"), F.coalesce("f.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: DuckDB SQL of op5_url_filters: every combination of up to MAX_TOKENS tokens of a labelled page is counted, which gives the rules that FP-growth finds within the same bounds.
+ORACLE_SQL = f"""WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h0 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+h AS (SELECT page_id, translate(raw, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h0),
+t AS (SELECT *, list_distinct(list_filter(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x), list_transform(string_split_regex(host, '[.-]'), lambda x: 'w:' || x),
+ list_transform(list_filter(string_split(path, '/'), lambda x: NOT regexp_matches(x, '[0-9]')), lambda x: 'p:' || x)), lambda x: length(x) > 2)) AS tokens FROM h),
+known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+items AS (SELECT row_number() OVER () AS i, tokens, bad FROM t JOIN known ON page_id = doc_id WHERE len(tokens) > 0),
+n AS (SELECT count(*) AS n, sum(bad) AS bad FROM items),
+e AS (SELECT i, bad, unnest(tokens) AS x FROM items),
+combos AS (SELECT i, bad, [x] AS c FROM e UNION ALL SELECT a.i, a.bad, [a.x, b.x] FROM e a JOIN e b ON a.i = b.i AND a.x < b.x
+ UNION ALL SELECT a.i, a.bad, [a.x, b.x, d.x] FROM e a JOIN e b ON a.i = b.i AND a.x < b.x JOIN e d ON a.i = d.i AND b.x < d.x),
+rules AS (SELECT c, sum(combos.bad) / count(*) AS confidence FROM combos, n GROUP BY c, n.n, n.bad
+ HAVING sum(combos.bad) >= ceil(greatest({MIN_SUPPORT}, least(1.0, {MIN_COUNT} / n.n)) * n.n) AND sum(combos.bad) / count(*) >= {MIN_CONFIDENCE} AND sum(combos.bad) / count(*) / (n.bad / n.n) >= {MIN_LIFT}),
+hp AS (SELECT DISTINCT host, path, tokens FROM t),
+fired AS (SELECT host, path, max(confidence) AS confidence FROM hp JOIN rules ON list_has_all(tokens, c) GROUP BY host, path),
+f AS (SELECT page_id, host, path, CASE {" ".join(f"WHEN (host = '{x}' OR host LIKE '%.{x}') AND path LIKE '{y}%' THEN '{v} {x}{y}'" for v, x, y in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} END AS fits FROM t)
+SELECT page_id, host, path, string_split(fits, ' ')[2] AS rule, CASE WHEN fits IS NOT NULL THEN string_split(fits, ' ')[1] WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, confidence FROM f LEFT JOIN fired USING (host, path)"""
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
