@@ -370,3 +370,11 @@ def test_streaming_load(spark, tmp_path):
     got = spark.read.parquet(at("ops")).drop("batch")
     want = to_ops(spark.createDataFrame(rows, SNAP))
     assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_no_plan_has_a_range_join(values):
+    """Timelines meet intervals by equal ranks: neither nested loops nor products, also in optionals."""
+    q = VersionQuery(values, "SELECT ?x ?n WHERE { <e> <v> ?x OPTIONAL { <e> <name> ?n } }")
+    for df in (replay.history(values.validity, values.snapshots), q.bindings(), replay.delta_records(values.ops, values.snapshots)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
