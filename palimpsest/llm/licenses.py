@@ -9,7 +9,7 @@
    are compared with the template's by edit distance. Spans that overlap one with fewer edits are dropped, so
    that "cc by nc 4 0" isn't also "cc by 4 0" with a word more.
 
-A template of n words may differ in n // EDIT_EVERY words, short ones in none. Phrases of the base contract are templates too,
+A template of n words may differ in n // EDIT_EVERY words, short ones in none, and never in its numbers: another version is another license. Phrases of the base contract are templates too,
 always without edits; every place of theirs counts, and none is dropped.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import prepare, table, written
 from .words import gram_hashes, hashed, keyed, word_hashes, words
 
-K, EDIT_EVERY = 2, 6
+K, EDIT_EVERY = 2, 8
 
 #: Fixed values of the base contract: phrase and label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -69,8 +69,8 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
     for i, (phrase, label) in enumerate([*base, *templates]):
         ws = phrase.split()
         letters = {w: chr(0x4E00 + n) for n, w in enumerate(dict.fromkeys(ws))}
-        rows_.append((i, phrase, label, i < len(base), len(ws), 0 if i < len(base) else len(ws) // edit_every, letters, "".join(letters[w] for w in ws)))
-    listed = spark.createDataFrame(rows_, "t int, phrase string, label string, base boolean, n int, edits int, letters map<string,string>, code string")
+        rows_.append((i, phrase, label, i < len(base), len(ws), 0 if i < len(base) else len(ws) // edit_every, letters, "".join(letters[w] for w in ws), [w for w in ws if w.isdigit()]))
+    listed = spark.createDataFrame(rows_, "t int, phrase string, label string, base boolean, n int, edits int, letters map<string,string>, code string, numbers array<string>")
     grams = hashed(listed, "t", text="phrase").select("t", F.posexplode(gram_hashes(F.col("h"), k)).alias("at", "g"))
     known = [r.g for r in grams.select("g").distinct().orderBy("g").collect()]  # of the parameters
     # 1. one pass over all texts
@@ -88,10 +88,13 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
     spans = written(spans, "spans")
     # 3. the words themselves; only texts with spans are read as words again
     texts = keyed(documents).join(spans.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]).select("k", words(F.col("text")).alias("ws"))
+    cut = F.least("d", F.lit(0))  # words of a template that stand before the text
     begin = F.greatest("d", F.lit(0))
-    lengths = F.filter(F.sequence(F.col("n") - F.col("edits"), F.col("n") + F.col("edits")), lambda m: m + F.least("d", F.lit(0)) > 0)
-    window = spans.join(texts, "k").join(F.broadcast(listed), "t").select("k", "t", "label", "base", "n", "edits", "code", "d", begin.alias("start"), lengths.alias("lengths"), coded(F.slice("ws", begin + 1, F.greatest(F.lit(0), F.col("n") + F.col("edits") + F.least("d", F.lit(0)))), F.col("letters")).alias("there"))
-    tries = F.transform("lengths", lambda m: F.struct(F.levenshtein(F.substring(F.col("there"), F.lit(1), m + F.least("d", F.lit(0))), F.col("code")).alias("edits"), F.abs(m - F.col("n")).alias("off"), m.alias("m")))
+    window = spans.join(texts, "k").join(F.broadcast(listed), "t").select("k", "t", "label", "base", "n", "edits", "code", "numbers", "letters", "d", begin.alias("start"), F.slice("ws", begin + 1, F.greatest(F.lit(0), F.col("n") + F.col("edits") + cut)).alias("piece"))
+    window = window.withColumn("there", coded(F.col("piece"), F.col("letters")))
+    same_numbers = lambda m: F.filter(F.slice("piece", F.lit(1), m + cut), lambda w: w.rlike("^[0-9]+$")) == F.col("numbers")
+    lengths = F.filter(F.filter(F.sequence(F.col("n") - F.col("edits"), F.col("n") + F.col("edits")), lambda m: m + cut > 0), same_numbers)
+    tries = F.transform(lengths, lambda m: F.struct(F.levenshtein(F.substring(F.col("there"), F.lit(1), m + cut), F.col("code")).alias("edits"), F.abs(m - F.col("n")).alias("off"), m.alias("m")))
     sure = window.withColumn("best", F.array_min(tries)).where(F.col("best.edits") <= F.col("edits"))
     sure = sure.select("k", "label", "base", "start", (F.col("start") + F.col("best.m")).alias("end"), (1 - F.col("best.edits") / F.col("n")).alias("score"))
     reach = max((r[4] + r[5] for r in rows_), default=1)

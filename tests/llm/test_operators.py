@@ -299,9 +299,9 @@ def test_licenses_by_brute_force(spark):
 
 
 def test_licenses_verify_order_and_length(spark):
-    texts = ["licensed under x under cc x cc by x by 4 x 4 0", "all rights x rights reserved", "licensed under cc by nc 4 0", "released under the mit license", "licensed under the apache license x version 2 0", "licensed under the apache license x y version 2 0", "under the terms licensed version 2 0 the apache license"]
+    texts = ["licensed under x under cc x cc by x by 4 x 4 0", "all rights x rights reserved", "licensed under cc by nc 4 0", "released under the mit license", "licensed under the apache license x version 2 0", "licensed under the apache license x y version 2 0", "under the terms licensed version 2 0 the apache license", "licensed under the apache license version 1 0", "this work is licensed under the gnu general public license version 2", "this work is licensed under the gnu lesser general public license version 3", "this work is licensed under a gnu general public license version 3"]
     got = [r.labels for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == ["", "", "cc-by-nc-4.0", "mit", "apache,apache-2.0", "apache", "apache"]
+    assert got == ["", "", "cc-by-nc-4.0", "mit", "apache,apache-2.0", "apache", "apache", "apache", "gpl", "gpl,lgpl", "gpl,gpl-3.0"]
 
 
 @pytest.mark.parametrize("rows", [500_000, 3])
