@@ -363,7 +363,7 @@ def ic_diff(spark, d):
 
 def cb_apply(spark, d):
     c = rdfize.daily_copies(spark, d)
-    return convert.apply_changes(c.where("version = 0"), convert.copies_to_changes(c, _days(c))).select("entity", "o")
+    return convert.apply_changes(c.where("version = 0"), rdfize.daily_changes(c)).select("entity", "o")
 
 
 def converter_numbering(spark, d):

@@ -61,8 +61,8 @@ def matching(rows: DataFrame, col: str, term: str, catalog: Catalog, merge_aware
     return rows.where(F.col(col) == term)
 
 
-def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False, firsts: DataFrame | None = None) -> DataFrame:
-    """Rows of one triple pattern: a column for each variable, and the interval from_, to_. A repeated variable must be equal. With firsts (entity, first), entities take part from their first selected version on."""
+def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False, firsts: DataFrame | None = None, local: bool = False) -> DataFrame:
+    """Rows of one triple pattern: a column for each variable, and the interval from_, to_. A repeated variable must be equal. With firsts (entity, first), entities take part from their first selected version on. local adds the owning entity as entity_, so that patterns join only within one."""
     v = catalog.validity
     if firsts is not None:
         v = v.join(firsts, "entity").withColumn("valid_from", F.greatest("valid_from", "first")).where("valid_to is null or valid_from < valid_to").drop("first")
@@ -76,7 +76,7 @@ def pattern(catalog: Catalog, t: tuple[str, str, str], merge_aware: bool = False
                 v = v.where(F.col(col) == F.col(names[x]))
             else:
                 names[x] = col
-    return v.select(*[F.col(c).alias(x[1:]) for x, c in names.items()], F.col("valid_from").alias("from_"), F.coalesce("valid_to", F.lit(OPEN).cast("timestamp")).alias("to_")).distinct()
+    return v.select(*[F.col(c).alias(x[1:]) for x, c in names.items()], *([F.col("entity").alias("entity_")] if local else []), F.col("valid_from").alias("from_"), F.coalesce("valid_to", F.lit(OPEN).cast("timestamp")).alias("to_")).distinct()
 
 
 def order(patterns: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
@@ -90,11 +90,11 @@ def order(patterns: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     return out
 
 
-def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None) -> DataFrame | None:
+def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None, local: bool = False) -> DataFrame | None:
     """Joins of all patterns with overlapping intervals: variables, from_, to_. Without patterns: None."""
     out = None
     for t in order(patterns):
-        p = pattern(catalog, t, merge_aware, firsts)
+        p = pattern(catalog, t, merge_aware, firsts, local)
         if out is None:
             out = p
             continue
@@ -171,9 +171,10 @@ def channels(catalog: Catalog, entities: DataFrame, on_time: tuple | None) -> tu
 
 
 class VersionQuery:
-    """A structured query on one version (on_time) or on all. bindings(): (time, variables...), distinct; timeline(): every version, also those without a match; run_agnostic_query(): bindings with both channels of provenance."""
+    """A structured query on one version (on_time) or on all; entity_local joins patterns only within the quads of one entity. bindings(): (time, variables...), distinct; timeline(): every version, also those without a match; run_agnostic_query(): bindings with both channels of provenance."""
 
-    def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, *, merge_aware: bool = False, include_prov_metadata: bool = False, include_all_timestamps: bool = False):
+    def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, *, merge_aware: bool = False, include_prov_metadata: bool = False, include_all_timestamps: bool = False, entity_local: bool = False):
+        self.local = entity_local
         self.catalog, self.query, self.on_time, self.merge_aware, self.all_times = catalog, sparql.parse(query), on_time, merge_aware, include_all_timestamps
         self.with_metadata = include_prov_metadata
         self.entities = graph.cut(relevant(catalog, self.query, merge_aware))
@@ -192,7 +193,8 @@ class VersionQuery:
 
     def intervals(self) -> DataFrame:
         """Answers with the interval in which they hold, without expansion on the timeline: (variables..., from_, to_)."""
-        return solve(self.catalog, self.query.patterns, self.merge_aware, self.firsts())
+        rows = solve(self.catalog, self.query.patterns, self.merge_aware, self.firsts(), self.local)
+        return rows.drop("entity_") if rows is not None else None
 
     def firsts(self) -> DataFrame | None:
         """(entity, first): the first selected version of each relevant entity; None without on_time."""

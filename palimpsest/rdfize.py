@@ -152,3 +152,12 @@ def daily_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_trunc("day", "ts")
     first = ev.agg(F.min(day).alias("first"))
     return ev.join(F.broadcast(first)).select(F.datediff(day, F.col("first")).cast("int").alias("version"), user(F.col("user_id")).alias("entity"), user(F.col("user_id")).alias("s"), F.lit("<urn:p:did>").alias("p"), literal(F.col("event_type")).alias("o")).distinct()
+
+
+def daily_changes(copies: DataFrame) -> DataFrame:
+    """(version, op, entity, s, p, o) of daily copies as change sets are often published: each day adds all that it has, also what was there, and removes what only the day before had."""
+    t = ["version", "entity", "s", "p", "o"]
+    add = copies.where("version > 0").select(F.lit("I").alias("op"), *t)
+    last = copies.agg(F.max("version").alias("last"))
+    gone = copies.withColumn("version", F.col("version") + 1).join(copies, t, "left_anti").join(F.broadcast(last), F.col("version") <= F.col("last")).select(F.lit("D").alias("op"), *t)
+    return add.unionByName(gone)

@@ -297,6 +297,12 @@ def test_queries_with_metadata(family):
     assert set(got) == {"<a>", "<c>"} and [m.absorbed for m in got["<c>"].merges] == [["<c>"]] and chosen.count() == 5
 
 
+def test_joins_within_entities(family):
+    names = lambda **k: {r.x for r in VersionQuery(family, "SELECT ?x WHERE { ?a <r> ?b . ?b <n> ?x }", **k).bindings().collect()}
+    assert names() == {'"old"', '"new"', '"c"', '"a"'} and names(entity_local=True) == set()
+    assert {r.b for r in VersionQuery(family, 'SELECT ?b WHERE { ?a <r> ?b . ?a <n> "a" }', entity_local=True).bindings().collect()} == {"<b>", "<c>"}
+
+
 def test_discovery_by_language_tag(spark):
     from palimpsest.plans.query import discover
 
