@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, records, table, written
+from .common import drop_written, prepare, records, table, written
 
 WIDTH, GRAM, HOT = 400, 64, 512
 #: Bytes of a passage of 50 words: 51 consecutive words take 233 bytes or more in 99 of 100 places of the given texts.
@@ -321,13 +321,15 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
             yield solve(held)
 
     parts = written(dealt.mapInArrow(build, _LONGS + "w long, a long, b long, core binary, parts array<struct<core:binary,windows:array<binary>,starts:array<long>>>"), "found")
+    drop_written(found)
+    drop_written(often)
     spans = parts.where("a is not null").select("t1", "t2", "w", "a", "b")
     open_ = parts.where("core is not null").select("t1", "t2", "w", "core", "parts")
     if not open_.isEmpty():
         # windows of a core that only one string has are unique; the others go on, part by part
         def met(rows: DataFrame, key: str) -> DataFrame:
-            often = written(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key), "met")  # a table of its own, so that a frequent key's rows can be split
-            return rows.join(often, key, "left_semi")
+            shared = written(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key), "met")  # a table of its own, so that a frequent key's rows can be split
+            return rows.join(shared, key, "left_semi")
 
         inside = written(met(open_, "core").select("t1", "t2", "w", F.explode("parts").alias("x")).select("t1", "t2", "w", "x.core", "x.windows", "x.starts"), "parts")
         rows = met(inside, "core").select("t1", "t2", "w", F.explode(F.arrays_zip("windows", "starts")).alias("x")).select("t1", "t2", "w", F.col("x.windows").alias("window"), F.col("x.starts").alias("a"))

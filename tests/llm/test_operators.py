@@ -184,8 +184,7 @@ def brute_repeats(texts, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 7, 2])
-@pytest.mark.parametrize("short", [None, 150, 224])
+@pytest.mark.parametrize(("hot", "short"), [(512, None), (512, 224), (7, 150), (2, None), (2, 224)])
 def test_repeats(spark, texts, hot, short, monkeypatch):
     monkeypatch.setattr(repeats.repeated_windows, "__defaults__", (400, 64, hot, None))
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(1000, None, None, None, None)], DOCS)
