@@ -120,6 +120,13 @@ def sv_bgp_star(spark, d):
     return VersionQuery(_cat(spark, d), STAR).intervals().where((F.col("from_") <= F.lit(b).cast("timestamp")) & (F.col("to_") > F.lit(b).cast("timestamp"))).select("u", "v")
 
 
+def vm_typed_terms(spark, d):
+    """Users and values at one instant, as kinds, values and datatypes of their terms."""
+    _, b, _ = _bounds(spark, d)
+    rows = VersionQuery(_cat(spark, d), STAR, (b, b)).typed_bindings()
+    return rows.select("u.type", F.col("u.value").alias("user"), F.col("v.type").alias("v_type"), F.col("v.value").cast("bigint").alias("cents"), F.col("v.datatype").alias("v_datatype"), F.col("v.lang").alias("v_lang"))
+
+
 def cv_single_pattern(spark, d):
     i = VersionQuery(_cat(spark, d), PURCHASE).intervals()
     return i.select("u", F.date_format("from_", _T).alias("from_"), F.when(F.col("to_") < F.lit(replay.OPEN).cast("timestamp"), F.date_format("to_", _T)).alias("to_"))
@@ -387,7 +394,7 @@ def insert_text(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ties_validity, delta_empty_changes, delta_created_deleted, merge_aware_version, merge_aware_constant, merge_aware_delta, cv_bgp_chain_static, state_with_related, state_with_merged, history_with_reverse, state_metadata, version_metadata, delta_metadata, reverse_historical, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
+    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, vm_typed_terms, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ties_validity, delta_empty_changes, delta_created_deleted, merge_aware_version, merge_aware_constant, merge_aware_delta, cv_bgp_chain_static, state_with_related, state_with_merged, history_with_reverse, state_metadata, version_metadata, delta_metadata, reverse_historical, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
     return {f.__name__: f for f in names}
 
 
@@ -461,6 +468,9 @@ SELECT rel.entity, CAST(coalesce(k.n, 0) AS BIGINT) AS n_changes, CASE WHEN born
         "delta_changed_props": _EV + """, per AS (SELECT entity, min(ts) AS born FROM ev GROUP BY entity)
 SELECT entity, CAST(count(*) FILTER (p = '<urn:p:status>') AS BIGINT) AS n_added, CAST(count(prev) FILTER (p = '<urn:p:status>') AS BIGINT) AS n_deleted FROM ch JOIN per USING (entity), bounds WHERE prev IS DISTINCT FROM o AND ts > born AND ts BETWEEN t1 AND t2 GROUP BY entity""",
         "vm_single_pattern": _EV + """SELECT entity AS u FROM (SELECT entity, arg_max(event_type, (ts, event_id)) AS e FROM ev, bounds WHERE ts <= t2 GROUP BY entity) WHERE e = 'purchase'""",
+        "vm_typed_terms": _EV + """, sel AS (SELECT entity, max(ts) AS ts FROM ev, bounds WHERE ts <= t2 GROUP BY entity), x AS (SELECT DISTINCT sel.ts AS time, s.entity, v.o FROM sel AS own JOIN iv s ON s.entity = own.entity JOIN iv v ON v.entity = s.entity, sel
+ WHERE s.p = '<urn:p:status>' AND s.o = '"purchase"' AND v.p = '<urn:p:value>' AND v.o IS NOT NULL AND own.ts <= sel.ts AND s.valid_from <= sel.ts AND (s.valid_to IS NULL OR sel.ts < s.valid_to) AND v.valid_from <= sel.ts AND (v.valid_to IS NULL OR sel.ts < v.valid_to))
+SELECT 'uri' AS type, entity[2:-2] AS "user", 'literal' AS v_type, CAST(regexp_extract(o, '"(-?[0-9]+)"', 1) AS BIGINT) AS cents, 'http://www.w3.org/2001/XMLSchema#integer' AS v_datatype, CAST(NULL AS VARCHAR) AS v_lang FROM x""",
         "sv_bgp_star": _EV + """SELECT entity AS u, '"' || v || '"^^<http://www.w3.org/2001/XMLSchema#integer>' AS v FROM (SELECT entity, arg_max(event_type, (ts, event_id)) AS e, arg_max(cents, (ts, event_id)) AS v FROM ev, bounds WHERE ts <= t2 GROUP BY entity) WHERE e = 'purchase' AND v IS NOT NULL""",
         "sv_bgp_chain": "SELECT '<urn:t:customer/' || c_custkey || '>' AS c, '<urn:t:nation/' || n_nationkey || '>' AS n, '<urn:t:region/' || r_regionkey || '>' AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
         "cv_single_pattern": _EV + f"""SELECT entity AS u, strftime(valid_from, {_F}) AS from_, strftime(valid_to, {_F}) AS to_ FROM iv WHERE p = '<urn:p:status>' AND o = '"purchase"'""",

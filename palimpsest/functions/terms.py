@@ -99,3 +99,8 @@ def normal_term(term: Column) -> Column:
     """normal_constant of a column."""
     tag = F.regexp_extract(term, r'(?s)^".*"@([A-Za-z0-9-]+)$', 1)
     return F.when(tag == "", term).otherwise(F.concat(F.substring(term, F.lit(1), F.length(term) - F.length(tag)), F.lower(tag)))
+
+
+def parts(term: Column) -> Column:
+    """struct(type, value, datatype, lang) of a term; null for null."""
+    return F.when(term.isNotNull(), F.struct(kind(term).alias("type"), value(term).alias("value"), datatype(term).alias("datatype"), lang(term).alias("lang")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import normal_constant, normal_term
+from ..functions.terms import normal_constant, normal_term, parts
 from ..functions.times import convert_to_datetime
 from ..operators import graph, replay
 from ..operators.ranks import at_times
@@ -100,6 +101,8 @@ def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: b
             continue
         p = p.withColumnsRenamed({"from_": "f2_", "to_": "t2_"})
         shared = [c for c in p.columns if c in out.columns]
+        if not shared:
+            warnings.warn(f"The pattern {' '.join(t)} shares no variable with those before it: all its matches meet all of theirs", stacklevel=2)
         joined = out.join(p, shared) if shared else out.crossJoin(p)
         out = joined.where(F.greatest("from_", "f2_") < F.least("to_", "t2_")).withColumns({"from_": F.greatest("from_", "f2_"), "to_": F.least("to_", "t2_")}).drop("f2_", "t2_")
     return out
@@ -220,6 +223,10 @@ class VersionQuery:
             out = out.withColumn(c, F.lit(None).cast("string"))
         return out.select("time", *self.query.select).distinct()
 
+    def typed_bindings(self) -> DataFrame:
+        """bindings() with each variable as struct(type, value, datatype, lang); null where it is unbound."""
+        return self.bindings().select("time", *[parts(F.col(c)).alias(c) for c in self.query.select])
+
     def provenance(self) -> tuple[DataFrame, DataFrame]:
         """Snapshots selected for the answer, and the other ones, of the relevant entities. Without on_time all are selected."""
         return channels(self.catalog, self.entities, self.on_time)

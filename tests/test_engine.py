@@ -384,3 +384,17 @@ def test_no_plan_has_a_range_join(values):
     for df in (replay.history(values.validity, values.snapshots), q.bindings(), replay.delta_records(values.ops, values.snapshots)):
         plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_planner_predicates():
+    chain = [("<e>", "<p>", "?a"), ("?a", "<q>", "?b"), ("?x", "<r>", "?y"), ("?y", "<q>", '"1"')]
+    assert [sparql.is_isolated(chain, i) for i in range(4)] == [False, False, True, True]
+    assert sparql.is_dead_end(chain, "?b") and not sparql.is_dead_end(chain, "?a")
+    assert sparql.new_patterns([("?a", "<p>", '"1"'), ("?b", "<p>", "?c"), ("?d", "<q>", '"1"')]) == [0, 2]
+
+
+def test_products_warn_and_terms_have_parts(values):
+    with pytest.warns(UserWarning, match="shares no variable"):
+        VersionQuery(values, "SELECT ?x ?y WHERE { <e> <v> ?x . ?y <r> <e> }").intervals()
+    rows = VersionQuery(values, "SELECT ?x ?n WHERE { <e> <v> ?x OPTIONAL { <e> <name> ?n } }").typed_bindings().collect()
+    assert {(r.x.type, r.x.value, r.x.datatype, r.x.lang) for r in rows} == {("literal", str(i), None, None) for i in range(4)} and all(r.n is None for r in rows)
