@@ -113,7 +113,7 @@ def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None =
                 at = to
 
     # a table, so that the ranges are sampled from it and nothing is encoded twice
-    encoded = written(text_rows(documents).mapInArrow(run, "doc_id long, record binary"), "records")
+    encoded = written(text_rows(documents).mapInArrow(run, "doc_id long, record binary"), "records", compression="none", **{"parquet.enable.dictionary": "false"})  # ids neither compress nor repeat as a whole
     size = encoded.agg(F.sum(F.octet_length("record"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     tied = encoded.withColumn("tie", F.xxhash64("record"))  # many rows of one id, or of none, are dealt to several shards
