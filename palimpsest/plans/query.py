@@ -91,6 +91,15 @@ def order(patterns: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     return out
 
 
+def linked(patterns: list[tuple[str, str, str]]) -> list[list[tuple[str, str, str]]]:
+    """patterns in groups that share variables, directly or over others."""
+    groups: list[list] = []
+    for t in patterns:
+        mine = [g for g in groups if any(is_var(x) and x in u for u in g for x in t)]
+        groups = [g for g in groups if g not in mine] + [[*sum(mine, []), t]]
+    return groups
+
+
 def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None, local: bool = False) -> DataFrame | None:
     """Joins of all patterns with overlapping intervals: variables, from_, to_. Without patterns: None."""
     out = None
@@ -139,12 +148,12 @@ def relevant(catalog: Catalog, q: sparql.Query, merge_aware: bool = False) -> Da
     fixed = sorted({t[0] for t in every if t[0].startswith("<")})
     if fixed:
         parts.append(spark.createDataFrame([(x,) for x in fixed], "entity string"))
-    chained = [t for i, t in enumerate(every) if i not in isolated]
-    for n in range(1, len(chained) + 1):
-        prefix = order(chained)[:n]
-        rows = solve(catalog, prefix, merge_aware)
-        for x in {y[1:] for t in prefix for y in (t[0], t[2]) if is_var(y)}:
-            parts.append(rows.select(F.col(x).alias("entity")).where(F.col("entity").startswith("<")))
+    for chain in linked([t for i, t in enumerate(every) if i not in isolated]):
+        for n in range(1, len(chain) + 1):
+            prefix = order(chain)[:n]
+            rows = solve(catalog, prefix, merge_aware)
+            for x in {y[1:] for t in prefix for y in (t[0], t[2]) if is_var(y)}:
+                parts.append(rows.select(F.col(x).alias("entity")).where(F.col("entity").startswith("<")))
     out = parts[0] if parts else spark.createDataFrame([], "entity string")
     for p in parts[1:]:
         out = out.union(p)

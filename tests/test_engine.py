@@ -387,6 +387,10 @@ def test_no_plan_has_a_range_join(values):
 
 
 def test_planner_predicates():
+    from palimpsest.plans.query import linked
+
+    a, b, c, d = ("<e>", "<p>", "?a"), ("?b", "<p>", "?c"), ("?a", "<p>", "?c"), ("<e>", "<p>", "?d")
+    assert linked([a, b, d]) == [[a], [b], [d]] and linked([a, b, d, c]) == [[d], [a, b, c]] and linked([]) == []
     chain = [("<e>", "<p>", "?a"), ("?a", "<q>", "?b"), ("?x", "<r>", "?y"), ("?y", "<q>", '"1"')]
     assert [sparql.is_isolated(chain, i) for i in range(4)] == [False, False, True, True]
     assert sparql.is_dead_end(chain, "?b") and not sparql.is_dead_end(chain, "?a")
