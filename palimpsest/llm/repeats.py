@@ -214,7 +214,10 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
     # a table of its own, so that the join below can split a frequent anchor's rows over tasks
     often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
     wanted = found.join(often, "h").groupBy("t1", "t2").agg(F.collect_list(F.array("h", "n", "p", "a", "b")).alias("at"))
-    wanted = wanted.join(copies.select("t1", "t2", "id"), ["t1", "t2"])
+    wanted = written(wanted.join(copies.select("t1", "t2", "id"), ["t1", "t2"]), "wanted")
+    # most anchors occur once: their table needn't stay beside the strings
+    drop_written(found)
+    drop_written(often)
 
     def cut(batches):
         for b in batches:
@@ -321,8 +324,7 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
             yield solve(held)
 
     parts = written(dealt.mapInArrow(build, _LONGS + "w long, a long, b long, core binary, parts array<struct<core:binary,windows:array<binary>,starts:array<long>>>"), "found")
-    drop_written(found)
-    drop_written(often)
+    drop_written(wanted)
     spans = parts.where("a is not null").select("t1", "t2", "w", "a", "b")
     open_ = parts.where("core is not null").select("t1", "t2", "w", "core", "parts")
     if not open_.isEmpty():
