@@ -15,13 +15,15 @@ a Parquet table (shard, file, offset, length, doc_id, n_tokens) made from the sh
 sequential read. A shuffled reader permutes it, opens file, seeks to offset and gives
 length bytes to parse(); fetch() does so with Spark.
 
-Texts are encoded where they stand. Only the records, about half as large, are sorted and dealt to shards.
+Texts are encoded where they stand. Only the records, about half as large, are dealt to shards and sorted there.
+A shard's range of ids comes from a bounded sample of ids and sizes, so shards are about equal in bytes.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate, chain, pairwise
 
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, id_text, new_path, prepare, records, table, text_rows, written
+from .common import new_path, prepare, records, table, text_rows
 from .token_counts import GO, KEPT, cuts_safely_cached, library
 from .units import UnitCache, units
 
 #: Bytes of records in one shard, about; reading a shard takes a few times that memory.
 SHARD_BYTES = 48 << 20
+#: Rows whose id and size are sampled to find the shards' ranges.
+SAMPLE = 100_000
 _MASK = 0xA282EAD8
 
 
@@ -87,40 +91,56 @@ def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[byte
     return [b"".join(map(known.__getitem__, us)) + end for us in cut]
 
 
-_FRAME = pa.schema([("doc_id", pa.int64()), ("record", pa.binary())])
+_FRAME = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("record", pa.binary())])
 _ROW = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None = 2, ids_below: int = 1 << 16, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encodes every whole text and writes shards under out, in ascending doc_id order (null ids first, repeated ids side by side, in the order of a hash of their records).
+    """Encodes every whole text and writes shards under out, in ascending doc_id order (null ids first, repeated ids side by side, in the order of a hash of their texts).
 
     ids_below: bound of the ids; up to 2**16 an id takes 2 bytes, else 4. Null and empty
-    texts are records of the end id alone. An empty table gives shards without records.
+    texts are records of the end id alone. An empty table gives shards without records. Many rows of one id, or
+    of none, are dealt to several shards; equal rows stay in one.
     """
     prepare(documents.sparkSession)
     width = 2 if ids_below <= 1 << 16 else 4
     end = b"" if end_id is None else end_id.to_bytes(width, "little")
+    rows = text_rows(documents, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    bounds = ranges(rows, shard_bytes)
 
     def run(batches):
-        for ids, texts in id_text(batches):
-            at, all_ids = 0, ids.to_pylist()
+        for b in batches:
+            at, all_ids, ties, texts = 0, b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("text").to_pylist()
             while at < len(texts):
                 to, n = at, 0
                 while to < len(texts) and (to == at or n + len(texts[to]) <= GO):
                     n += len(texts[to])
                     to += 1
-                yield records(_FRAME, doc_id=all_ids[at:to], record=[frame(i, x, width) for i, x in zip(all_ids[at:to], encode_ids(path, texts[at:to], width, end))])
+                ids, tie = all_ids[at:to], ties[at:to]
+                shard = [bisect_right(bounds, (i is not None, i or 0, t)) for i, t in zip(ids, tie)]
+                yield records(_FRAME, shard=shard, doc_id=ids, tie=tie, record=[frame(i, x, width) for i, x in zip(ids, encode_ids(path, texts[at:to], width, end))])
                 at = to
 
-    # a table, so that the ranges are sampled from it and nothing is encoded twice
-    encoded = written(text_rows(documents).mapInArrow(run, "doc_id long, record binary"), "records", compression="none", **{"parquet.enable.dictionary": "false"})  # ids neither compress nor repeat as a whole
-    size = encoded.agg(F.sum(F.octet_length("record"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    tied = encoded.withColumn("tie", F.xxhash64("record"))  # many rows of one id, or of none, are dealt to several shards
-    dealt = tied.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = rows.mapInArrow(run, "shard int, doc_id long, tie long, record binary").repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "tie")
     # the cast keeps the bytes as they are; the writer copies them
     dealt.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(out)
-    drop_written(encoded)
+
+
+def ranges(rows: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
+    """Ends of the shards' ranges of (id is not null, id, tie), ascending, each of about equal bytes; from at most about SAMPLE rows (doc_id, tie, text). A record is taken for half its text."""
+    size = F.octet_length("text") + 32
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    shards = max(1, -(-total // (2 * shard_bytes)))
+    if shards == 1:
+        return []
+    parts = max(1, n // SAMPLE)
+    picked = rows.where(F.pmod(F.xxhash64("tie", "doc_id", F.lit(1)), F.lit(parts)) == 0).select((F.col("doc_id").isNotNull()).alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", size.alias("size"))
+    t = picked.toArrow()
+    known, ids, tie, sizes = (t.column(c).to_numpy() for c in t.column_names)
+    order = np.lexsort((tie, ids, known))
+    upto = np.cumsum(sizes[order])
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)) if len(order) else []
+    return sorted({(bool(known[k]), int(ids[k]), int(tie[k])) for k in (order[i] for i in at)})
 
 
 def _files(spark: SparkSession, out: str) -> DataFrame:
