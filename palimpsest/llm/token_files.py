@@ -36,8 +36,8 @@ from .common import new_path, prepare, records, table, text_rows
 from .token_counts import GO, KEPT, cuts_safely_cached, library
 from .units import UnitCache, units
 
-#: Bytes of records in one shard, about; reading a shard takes a few times that memory.
-SHARD_BYTES = 48 << 20
+#: Bytes of records in one shard, about; a task that reads a shard holds it several times, so executors with more memory may take more.
+SHARD_BYTES = 12 << 20
 #: Rows whose id and size are sampled to find the shards' ranges.
 SAMPLE = 100_000
 _MASK = 0xA282EAD8
