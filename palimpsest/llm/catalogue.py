@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, neighbours, repeats, simhash, token_counts, token_files, toxicity, url_rules
+from . import bpe, decontaminate, divergence, licenses, neighbours, periodic, repeats, simhash, token_counts, token_files, toxicity, url_rules
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 #: The others hash, encode or learn in ways that SQL has no functions for; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_rules.ORACLE_SQL, "op12_divergence": divergence.ORACLE_SQL}

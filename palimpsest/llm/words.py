@@ -12,14 +12,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words of a text, null as empty.
+def words(text: Column, no_word: str = NO_WORD) -> Column:
+    """Lower-cased words of a text, null as empty; words are what stands between matches of no_word.
 
     Only A-Z change. lower() does that by itself where all characters are ASCII; elsewhere it would also change other letters, so those
     texts go through translate().
     """
     t = F.coalesce(text, F.lit(""))
-    return F.filter(F.split(F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower())), NO_WORD), lambda w: w != "")
+    return F.filter(F.split(F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, UPPER.lower())), no_word), lambda w: w != "")
 
 
 def gram_hashes(hashes: Column, k: int) -> Column:
