@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, divergence, licenses, neighbours, periodic, repeats, simhash, token_counts, token_files, toxicity, url_rules
+from . import bpe, decontaminate, divergence, licenses, mixing, neighbours, periodic, repeats, simhash, token_counts, token_files, toxicity, url_rules
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_divergence": divergence.op12_divergence,
+    "op13_lm_scores": mixing.op13_lm_scores,
 }
 
 #: The others hash, encode or learn in ways that SQL has no functions for; they are tested against brute force.
