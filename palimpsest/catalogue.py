@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rdfize
-from .functions.updates import parsed, update_texts
+from .functions.updates import update_texts, with_ops
 from .operators import convert, graph, replay
 from .plans import query as plan
 from .plans.entity import AgnosticEntity
 from .plans.query import DeltaQuery, VersionQuery
-from .scratch import is_there
+from .scratch import files_of, is_there
 
 _T = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 PURCHASE = 'SELECT ?u WHERE { ?u <urn:p:status> "purchase" }'
@@ -24,15 +24,17 @@ def _time(c: str):
     return F.date_format(c, _T).alias(c)
 
 
-#: Catalogs already built, by folder and kind, of the session at hand.
+#: Catalogs already built, by folder and kind, of the session at hand, with the files they were built from.
 _BUILT: dict = {}
 
 
 def _cat(spark: SparkSession, d: str, kind: str = "") -> plan.Catalog:
-    """The event catalog of a folder, built once a session: its states and intervals are tables in the shared folder, and every question reads them."""
-    c = _BUILT.get((d, kind))
-    if c is None or c.validity.sparkSession is not spark or spark.sparkContext._jsc is None or not is_there(c.validity):
-        c = _BUILT[(d, kind)] = rdfize.event_catalog(spark, d, kind)
+    """The event catalog of a folder, built once a session while its files stay as they are: its states and intervals are tables in the shared folder, and every question reads them."""
+    files = files_of(spark, f"{d}/events.parquet")
+    c, known = _BUILT.get((d, kind), (None, None))
+    if c is None or known != files or c.validity.sparkSession is not spark or not all(map(is_there, c.tables)):
+        c = rdfize.event_catalog(spark, d, kind)
+        _BUILT[(d, kind)] = c, files
     return c
 
 
@@ -63,7 +65,20 @@ def snapshots(spark, d):
 def parse_ops(spark, d):
     ops = _cat(spark, d).ops
     texts = update_texts(ops, "entity", "snapshot")
-    return texts.select("entity", F.explode(parsed(F.col("update_query"))).alias("x")).groupBy("x.op", "x.p").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("n_entities"))
+    return with_ops(texts, "update_query", "x").select("entity", F.explode_outer("x").alias("x")).where("x is not null").groupBy("x.op", "x.p").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("n_entities"))
+
+
+def parse_odd_texts(spark, d):
+    """Operations of texts as other writers make them: without dots, with semicolons, escapes and both quotes, in any case, and with a block that isn't closed."""
+    c = rdfize.table(spark, d, "customer")
+    s = F.concat(F.lit("<urn:t:customer/"), F.col("c_custkey").cast("string"), F.lit(">"))
+    name, seg = F.col("c_name"), F.col("c_mktsegment")
+    text = F.concat(
+        F.lit("insert data{graph<urn:g:c>{"), s, F.lit(' <urn:p:name> "'), name, F.lit('\\\\n \\"q\\" {"@en '), s, F.lit(" <urn:p:seg> '"), seg, F.lit("' ; <urn:lone> }} ; DELETE\nDATA { GRAPH <urn:g:c> { "),
+        s, F.lit(" <urn:p:old> 'it\\'s "), seg, F.lit('\\n"\'^^<urn:d:x> ; '), s, F.lit(' <urn:p:open> "DELETE DATA { GRAPH <urn:g:x> {" '),
+    )
+    rows = with_ops(c.select(s.alias("entity"), text.alias("text")), "text", "x")
+    return rows.select("entity", F.explode_outer("x").alias("x")).select("entity", "x.op", "x.p", "x.o", "x.g")
 
 
 def validity(spark, d):
@@ -394,7 +409,7 @@ def insert_text(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, vm_typed_terms, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ties_validity, delta_empty_changes, delta_created_deleted, merge_aware_version, merge_aware_constant, merge_aware_delta, cv_bgp_chain_static, state_with_related, state_with_merged, history_with_reverse, state_metadata, version_metadata, delta_metadata, reverse_historical, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
+    names = [scan_quads, scan_quads_nation, snapshots, parse_ops, parse_odd_texts, validity, state_at, state_interval, state_fallback, history, delta_net, delta_record_flat, delta_changed_props, vm_single_pattern, vm_typed_terms, sv_bgp_star, sv_bgp_chain, cv_single_pattern, cv_bgp_star, cv_timeline, cv_optional, cv_gap_fill, cv_timeline_all, cv_optional_all, cv_gap_fill_all, discovery_present, discovery_historical, related_objects, reverse_relations_d1, reverse_relations_d2, historical_reverse, merged_forward, merged_forward_all, merge_components, merge_events, history_merged_asof, history_merged_all, prov_selected, prov_other, ties_validity, delta_empty_changes, delta_created_deleted, merge_aware_version, merge_aware_constant, merge_aware_delta, cv_bgp_chain_static, state_with_related, state_with_merged, history_with_reverse, state_metadata, version_metadata, delta_metadata, reverse_historical, ic_diff, cb_apply, converter_numbering, converter_invalidation, insert_text]
     return {f.__name__: f for f in names}
 
 
@@ -453,6 +468,9 @@ def oracle_sql() -> dict[str, str]:
         "scan_quads_nation": _quads_sql("nation", "region"),
         "snapshots": f"SELECT '<urn:user/' || user_id || '>' AS entity, '<urn:user/' || user_id || '/prov/se/' || lpad(CAST(n AS VARCHAR), 9, '0') || '>' AS snapshot, strftime(ts, {_F}) AS generated_at, CAST(CASE WHEN n > 1 THEN 1 ELSE 0 END AS BIGINT) AS n_derived FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)",
         "parse_ops": _EV + "SELECT op, p, count(*) AS n, count(DISTINCT entity) AS n_entities FROM (SELECT 'I' AS op, p, entity FROM ch WHERE prev IS DISTINCT FROM o UNION ALL SELECT 'D', p, entity FROM ch WHERE prev IS NOT NULL AND prev IS DISTINCT FROM o) GROUP BY op, p",
+        "parse_odd_texts": """WITH c AS (SELECT '<urn:t:customer/' || c_custkey || '>' AS entity, c_name AS name, c_mktsegment AS seg FROM customer)
+SELECT entity, 'I' AS op, '<urn:p:name>' AS p, '"' || name || '\\\\n \\"q\\" {"@en' AS o, '<urn:g:c>' AS g FROM c UNION ALL SELECT entity, 'I', '<urn:p:seg>', '"' || seg || '"', '<urn:g:c>' FROM c
+UNION ALL SELECT entity, 'D', '<urn:p:old>', '"it''s ' || seg || '\\n\\""^^<urn:d:x>', '<urn:g:c>' FROM c UNION ALL SELECT entity, 'D', '<urn:p:open>', '"DELETE DATA { GRAPH <urn:g:x> {"', '<urn:g:c>' FROM c""",
         "validity": _EV + f"SELECT entity, p, o, strftime(valid_from, {_F}) AS valid_from, strftime(valid_to, {_F}) AS valid_to FROM iv",
         "state_at": _EV + "SELECT entity, p, arg_max(o, (ts, event_id)) AS o FROM st, bounds WHERE ts <= t2 GROUP BY entity, p",
         "state_interval": _EV + f"SELECT entity, p, count(*) AS n, strftime(min(ts), {_F}) AS first FROM (SELECT entity, p, ts FROM st, bounds WHERE ts >= t1 AND ts <= t2 UNION ALL SELECT entity, p, max(ts) FROM st, bounds WHERE ts <= t1 AND entity NOT IN (SELECT entity FROM st, bounds WHERE ts >= t1 AND ts <= t2) GROUP BY entity, p) GROUP BY entity, p",

@@ -53,12 +53,34 @@ def iri(value: Column) -> Column:
     return F.concat(F.lit("<"), value.cast("string"), F.lit(">"))
 
 
+def escaped(text: Column) -> Column:
+    """escape of a column."""
+    for c, x in ESCAPES.items():
+        text = F.replace(text, F.lit(c), F.lit("\\" + x))
+    return text
+
+
+#: A character of the private area. Before a digit it stands for a pair of characters, so that patterns need no alternatives of one or two.
+MARK = "\ue000"
+
+
+def marked(text: Column) -> Column:
+    """text, in which no backslash or quote is behind a backslash: MARK and 1, 2 or 3 stand for those pairs, and MARK and 0 for MARK itself."""
+    for i, pair in enumerate((MARK, "\\\\", '\\"', "\\'")):
+        text = F.replace(text, F.lit(pair), F.lit(MARK + str(i)))
+    return text
+
+
+def unmarked(text: Column, *meant: str) -> Column:
+    """Reverses marked; meant are put in place of the three pairs, if given."""
+    for i, pair in reversed(list(enumerate((MARK, *(meant or ("\\\\", '\\"', "\\'")))))):
+        text = F.replace(text, F.lit(MARK + str(i)), F.lit(pair))
+    return text
+
+
 def literal(value: Column, datatype: str | None = None) -> Column:
     """Plain or typed literal of a column, escaped."""
-    v = value.cast("string")
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
-        v = F.replace(v, F.lit(a), F.lit(b))
-    return F.concat(F.lit('"'), v, F.lit('"' + (f"^^<{datatype}>" if datatype else "")))
+    return F.concat(F.lit('"'), escaped(value.cast("string")), F.lit('"' + (f"^^<{datatype}>" if datatype else "")))
 
 
 def kind(term: Column) -> Column:
@@ -67,12 +89,11 @@ def kind(term: Column) -> Column:
 
 
 def value(term: Column) -> Column:
-    """The text that a term stands for, without brackets, quotes and escapes."""
-    body = F.regexp_extract(term, _LITERAL, 1)
-    # \\ first becomes a mark that no text holds, so that \\n stays a backslash and an n
-    body = F.replace(body, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
+    """The text that a term stands for, without brackets, quotes and escapes; other escapes than those of escape stay as they stand."""
+    body = marked(F.regexp_extract(term, _LITERAL, 1))
+    for a, b in (("\\n", "\n"), ("\\r", "\r")):
         body = F.replace(body, F.lit(a), F.lit(b))
+    body = unmarked(body, "\\", '"', "\\'")
     return F.when(kind(term) == "uri", F.regexp_extract(term, r"^<(.*)>$", 1)).when(kind(term) == "bnode", F.substring(term, 3, 2**31 - 1)).otherwise(body)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +34,14 @@ class Catalog:
     validity: DataFrame
     merges: DataFrame | None = None
     components: DataFrame | None = None
+    #: Tables in the shared folder that the frames read.
+    tables: list[DataFrame] = field(default_factory=list)
 
     @classmethod
     def build(cls, quads: DataFrame, snapshots: DataFrame, ops: DataFrame, is_quadstore: bool = True) -> Catalog:
         """The intervals become a table in the shared folder: they are made once and read by every pattern."""
-        return cls(quads, snapshots, ops, graph.cut(replay.validity(ops, quads, snapshots, is_quadstore)))
+        v = graph.cut(replay.validity(ops, quads, snapshots, is_quadstore))
+        return cls(quads, snapshots, ops, v, tables=[v])
 
     def with_merges(self) -> Catalog:
         if self.components is None:

@@ -86,7 +86,7 @@ def event_catalog(spark: SparkSession, sf_dir: str, kind: str = "") -> Catalog:
     an error by a snapshot one second later that deletes all and is invalidated; "merged" adds the merges of user_merges as
     snapshots of the survivors.
     """
-    st = written(event_states(spark, sf_dir, kind == "ties"), "states")
+    states = st = written(event_states(spark, sf_dir, kind == "ties"), "states")
     name = lambda n: snapshot_name(F.col("user_id"), n, kind != "ties")
     st = st.withColumn("snapshot", name(F.col("number")))
     gone = st.where("prev is not null and not (prev <=> o)").select("entity", "snapshot", "generated_at", F.lit(0).alias("op_seq"), F.lit("D").alias("op"), F.col("entity").alias("s"), "p", F.col("prev").alias("o"))
@@ -103,7 +103,9 @@ def event_catalog(spark: SparkSession, sf_dir: str, kind: str = "") -> Catalog:
         left = left.where("not (event_type <=> 'error')")
     if kind == "merged":
         snaps = snaps.unionByName(merge_snapshots(first.where("last")))
-    return Catalog.build(left.select("entity", F.col("entity").alias("s"), "p", "o", F.lit(USERS).alias("g")), snaps, ops)
+    out = Catalog.build(left.select("entity", F.col("entity").alias("s"), "p", "o", F.lit(USERS).alias("g")), snaps, ops)
+    out.tables.append(states)
+    return out
 
 
 def merge_snapshots(last: DataFrame) -> DataFrame:

@@ -39,6 +39,16 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return out
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files under a path: equal while nothing there was written anew."""
+    fs, p = _file(spark, path)
+    each, out = fs.listFiles(p, True), []
+    while each.hasNext():
+        f = each.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def is_there(df: DataFrame) -> bool:
     """Whether the table behind a frame that written() made still exists."""
     fs, p = _file(df.sparkSession, df._scratch)

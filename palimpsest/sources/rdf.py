@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
 import zipfile
 from collections.abc import Callable
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import PROV, RDF_TYPE, escape
+from ..functions.terms import PROV, RDF_TYPE, XSD, escape, kind, marked, unmarked, value
 from ..functions.times import parse
 from ..operators.convert import IRIS
 
-_TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+#: Of marked text (see terms.marked).
+_TERM = r'(<[^>]*>|_:\S+|"[^"]*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
 LINE = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*(<[^>]*>|_:\S+)?\s*\.?\s*$"
 _SLOW = re.compile(r'"(?:[^"\\]|\\.)*"(?:\^\^\S+|@\S+)?|<[^>]*>|[^\s]+', re.S)
+_RDF = RDF_TYPE[1:-5]
 
 
 def parse_line(line: str, object_normalizer: Callable[[str], str] | None = None) -> tuple[str, str, str] | None:
@@ -38,8 +42,9 @@ def parse_line(line: str, object_normalizer: Callable[[str], str] | None = None)
 def read_lines(spark: SparkSession, paths: str | list[str], object_normalizer: Callable[[Column], Column] | None = None) -> DataFrame:
     """(s, p, o, g) of N-Triples or N-Quads files, gzip by suffix. Regular lines stay in the JVM; only others go through Python. g is null for triples."""
     text = spark.read.text(paths).where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
-    fast = F.regexp_extract("value", LINE, 1) != ""
-    cols = [F.nullif(F.regexp_extract("value", LINE, i), F.lit("")).alias(n) for i, n in enumerate("spog", 1)]
+    text = text.withColumn("marked", marked(F.col("value")))
+    fast = F.regexp_extract("marked", LINE, 1) != ""
+    cols = [F.nullif(unmarked(F.regexp_extract("marked", LINE, i)), F.lit("")).alias(n) for i, n in enumerate("spog", 1)]
 
     @F.pandas_udf("struct<s:string,p:string,o:string,g:string>")
     def slow(lines):
@@ -61,60 +66,148 @@ def read_versions(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def expand_jsonld(doc: dict | list) -> list[tuple[str, str, str, str | None]]:
-    """Quads of JSON-LD with prefixes, @id, @type, @value, @language, @graph; remote contexts are refused."""
-    out: list = []
+#: Keywords of JSON-LD that change what is meant and aren't read.
+UNREAD = ("@included", "@nest", "@import", "@propagate", "@direction")
 
-    def name(x: str, ctx: dict, vocab: bool = False) -> str:
+
+class _JsonLd:
+    """Quads of one JSON-LD document; anonymous nodes are numbered in the order in which they are met."""
+
+    def __init__(self, label: str):
+        self.label, self.count, self.out = label, 0, []
+
+    def new(self) -> str:
+        self.count += 1
+        return f"_:{self.label}{self.count - 1}"
+
+    def context(self, ctx: dict, more) -> dict:
+        for m in _list(more):
+            if isinstance(m, str):
+                raise ValueError("Remote JSON-LD contexts are not read: " + m)
+            ctx = {} if m is None else {**ctx, **m}
+            if found := [k for k in UNREAD if k in (m or {})]:
+                raise ValueError(f"{found[0]} in a JSON-LD context is not read")
+        return ctx
+
+    def keyword(self, k: str, ctx: dict) -> str:
+        return ctx[k] if isinstance(ctx.get(k), str) and ctx[k].startswith("@") else k
+
+    def name(self, x: str, ctx: dict, vocab: bool = False) -> str:
+        """The term that a text names; vocab: by the context's terms, as predicates and types are."""
         if x.startswith("_:"):
             return x
-        t = ctx.get(x)
-        if vocab and t is not None:
-            return name(t["@id"] if isinstance(t, dict) else t, {k: v for k, v in ctx.items() if k != x})
+        t = ctx.get(x) if vocab else None
+        if t is not None:
+            t = t.get("@id", t.get("@reverse", x)) if isinstance(t, dict) else t
+            if t != x:
+                return self.name(t, {k: v for k, v in ctx.items() if k != x}, True)
         p, colon, local = x.partition(":")
         if colon and not local.startswith("//") and p in ctx:
             base = ctx[p]["@id"] if isinstance(ctx[p], dict) else ctx[p]
-            return f"<{base}{local}>"
-        return f"<{ctx['@vocab'] + x if vocab and not colon and '@vocab' in ctx else x}>"
-
-    def node(n: dict, ctx: dict, g: str | None) -> str:
-        ctx = merged(ctx, n.get("@context"))
-        s = name(n["@id"], ctx) if "@id" in n else f"_:b{len(out)}"
-        if "@graph" in n:
-            for m in _list(n["@graph"]):
-                node(m, ctx, s if "@id" in n else g)
-        for t in _list(n.get("@type", [])):
-            out.append((s, RDF_TYPE, name(t, ctx, True), g))
+            return self.name(base + local, {k: v for k, v in ctx.items() if k != p})
+        if vocab and not colon and ctx.get("@vocab") is not None:
+            return f"<{ctx['@vocab']}{x}>"
+        return f"<{urljoin(ctx['@base'], x) if not vocab and not colon and ctx.get('@base') else x}>"
+
+    def node(self, n: dict, ctx: dict, g: str | None) -> str:
+        if "@context" in n:
+            ctx = self.context(ctx, n["@context"])
+        keys = {self.keyword(k, ctx): v for k, v in n.items() if self.keyword(k, ctx).startswith("@")}
+        if found := [k for k in UNREAD if k in keys]:
+            raise ValueError(f"{found[0]} is not read in JSON-LD")
+        s = self.name(keys["@id"], ctx) if "@id" in keys else None
+        if "@graph" in keys:
+            rest = [k for k in n if self.keyword(k, ctx) not in ("@graph", "@context")]
+            s = s or (self.new() if rest else None)
+            for m in _list(keys["@graph"]):
+                self.node(m, ctx, s or g)
+        elif s is None:
+            s = self.new()
+        for t in _list(keys.get("@type", [])):
+            self.out.append((s, RDF_TYPE, self.name(t, ctx, True), g))
+        for p, vs in (keys.get("@reverse") or {}).items():
+            self.reverse(s, self.name(p, ctx, True), vs, ctx, g)
         for k, vs in n.items():
-            if not k.startswith("@"):
-                p = name(k, ctx, True)
-                for v in _list(vs):
-                    out.append((s, p, value(v, ctx, ctx.get(k) if isinstance(ctx.get(k), dict) else {}, g), g))
+            how = ctx.get(k) if isinstance(ctx.get(k), dict) else {}
+            if k in ctx and ctx[k] is None or how.get("@id", "") is None or self.keyword(k, ctx).startswith("@"):
+                continue
+            if "@reverse" in how:
+                self.reverse(s, self.name(how["@reverse"], ctx, True), vs, ctx, g)
+                continue
+            p = self.name(k, ctx, True)
+            if ":" not in p:
+                continue  # a key that the context doesn't map to an IRI says nothing
+            for o in self.values(vs, ctx, how, g):
+                self.out.append((s, p, o, g))
         return s
 
-    def value(v, ctx: dict, how: dict, g) -> str:
+    def reverse(self, o: str, p: str, vs, ctx: dict, g: str | None) -> None:
+        for v in _list(vs):
+            self.out.append((self.node(v, ctx, g) if isinstance(v, dict) else self.name(v, ctx), p, o, g))
+
+    def values(self, vs, ctx: dict, how: dict, g: str | None) -> list[str]:
+        """Objects that a key's value stands for."""
+        at = _list(how.get("@container", []))
+        if found := [k for k in at if k in ("@id", "@type", "@graph")]:
+            raise ValueError(f"Containers by {found[0]} are not read in JSON-LD")
+        if isinstance(vs, dict) and "@language" in at:
+            return [f'"{escape(v)}"' + ("" if k == "@none" else f"@{k}") for k, x in vs.items() for v in _list(x) if v is not None]
+        if isinstance(vs, dict) and "@index" in at:
+            vs = [v for x in vs.values() for v in _list(x)]
+        if "@list" in at and not (isinstance(vs, dict) and "@list" in vs):
+            vs = {"@list": vs}
+        out = []
+        for v in _list(vs):
+            if isinstance(v, list):
+                out += self.values(v, ctx, {k: x for k, x in how.items() if k != "@container"}, g)
+            elif isinstance(v, dict) and (k := next((k for k in v if self.keyword(k, ctx) in ("@set", "@list")), None)):
+                inner = self.values(v[k], ctx, {k: x for k, x in how.items() if k != "@container"}, g)
+                out += inner if self.keyword(k, ctx) == "@set" else [self.chain(inner, g)]
+            elif (o := self.value(v, ctx, how, g)) is not None:
+                out.append(o)
+        return out
+
+    def chain(self, items: list[str], g: str | None) -> str:
+        """Head of an RDF list."""
+        nodes = [self.new() for _ in items]
+        for x, n, after in zip(items, nodes, [*nodes[1:], f"<{_RDF}nil>"]):
+            self.out += [(n, f"<{_RDF}first>", x, g), (n, f"<{_RDF}rest>", after, g)]
+        return nodes[0] if nodes else f"<{_RDF}nil>"
+
+    def value(self, v, ctx: dict, how: dict, g: str | None) -> str | None:
+        if v is None:
+            return None
         if isinstance(v, dict):
-            if "@value" not in v:
-                return node(v, ctx, g) if len(v) > 1 or "@id" not in v else name(v["@id"], ctx)
-            body = f'"{escape(str(v["@value"]))}"'
-            return body + (f"@{v['@language']}" if "@language" in v else f"^^{name(v['@type'], ctx, True)}" if "@type" in v else "")
+            keys = {self.keyword(k, ctx): x for k, x in v.items()}
+            if "@value" not in keys:
+                return self.node(v, ctx, g)
+            how, lang, v = {"@type": keys.get("@type")}, keys.get("@language"), keys["@value"]
+            if v is None:
+                return None
+        else:
+            lang = how.get("@language", ctx.get("@language")) if isinstance(v, str) and "@type" not in how else None
+        kind = how.get("@type")
+        if kind == "@json":
+            raise ValueError("JSON literals are not read in JSON-LD")
         if isinstance(v, bool) or isinstance(v, (int, float)):
-            kind = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double"
-            return f'"{str(v).lower() if isinstance(v, bool) else v}"^^<http://www.w3.org/2001/XMLSchema#{kind}>'
-        if how.get("@type") == "@id":
-            return name(v, ctx)
-        return f'"{escape(v)}"' + (f"^^{name(how['@type'], ctx, True)}" if how.get("@type") else "")
-
-    def merged(ctx: dict, more) -> dict:
-        for m in _list(more or []):
-            if isinstance(m, str):
-                raise ValueError("Remote JSON-LD contexts are not read: " + m)
-            ctx = {**ctx, **m}
-        return ctx
+            plain = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double"
+            text = str(v).lower() if isinstance(v, bool) else str(v)
+            return f'"{text}"^^' + (self.name(kind, ctx, True) if kind and kind[0] != "@" else f"<{XSD}{plain}>")
+        if kind in ("@id", "@vocab"):
+            return self.name(v, ctx, kind == "@vocab")
+        return f'"{escape(v)}"' + (f"@{lang}" if lang else f"^^{self.name(kind, ctx, True)}" if kind and kind != "@none" else "")
 
+
+def expand_jsonld(doc: dict | list, label: str = "b") -> list[tuple[str, str, str, str | None]]:
+    """Quads (s, p, o, g) of JSON-LD: prefixes, aliases, @base, @vocab, @language, @type, @graph, @reverse, @set, @list, and containers by list, set, language and index.
+
+    Nodes without @id are _:label0, _:label1 and so on. Remote contexts, @included, @nest, JSON literals and
+    other containers are refused; null values and keys that aren't mapped to an IRI say nothing.
+    """
+    reader = _JsonLd(label)
     for n in _list(doc):
-        node(n, {}, None)
-    return out
+        reader.node(n, {}, None)
+    return reader.out
 
 
 def _list(x) -> list:
@@ -122,7 +215,7 @@ def _list(x) -> list:
 
 
 def read_jsonld(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(s, p, o, g) of JSON-LD files; of a .zip the first member is read. One file is one row, so files bound the memory of a task."""
+    """(s, p, o, g) of JSON-LD files; of a .zip the first member is read. Anonymous nodes of different files are different. One file is one row, so files bound the memory of a task."""
 
     def run(frames):
         import pandas as pd
@@ -133,7 +226,7 @@ def read_jsonld(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 if path.endswith(".zip"):
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         data = z.read(z.namelist()[0])
-                rows += expand_jsonld(json.loads(data))
+                rows += expand_jsonld(json.loads(data), f"f{hashlib.sha256(path.encode()).hexdigest()[:16]}b")
             yield pd.DataFrame(rows, columns=list("spog"))
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "s string, p string, o string, g string")
@@ -148,9 +241,7 @@ def split_provenance(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     data = rows.where(~prov).distinct()
     of = {f"<{v}>": k for k, v in IRIS.items()}
     name = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
-    text = F.regexp_replace("o", r'(?s)^"(.*)"(?:\^\^<[^>]*>|@[\w-]+)?$', "$1")
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.when(kind(F.col("o")) == "literal", value(F.col("o"))).otherwise(F.col("o"))
     facts = rows.where(prov).select(F.col("s").alias("snapshot"), name[F.col("p")].alias("k"), text.alias("v")).where("k is not null").distinct()
     pick = lambda k: F.array_sort(F.collect_set(F.when(F.col("k") == k, F.col("v"))))
     each = facts.groupBy("snapshot").agg(*[pick(k).alias(k) for k in IRIS])
@@ -186,6 +277,6 @@ def version_lines(states: DataFrame, *by: str) -> DataFrame:
 
 def version_rows(lines: DataFrame, *by: str) -> DataFrame:
     """(by..., s, p, o): what version_lines made, as terms again; the first three terms of each line. Lines with fewer are left out, repeated ones come once."""
-    terms = F.regexp_extract_all(F.col("line"), F.lit(_TERM), F.lit(1))
+    terms = F.transform(F.regexp_extract_all(marked(F.col("line")), F.lit(_TERM), F.lit(1)), lambda t: unmarked(t))
     rows = lines.select(*by, F.explode("lines").alias("line")).select(*by, terms.alias("t")).where(F.size("t") >= 3)
     return rows.select(*by, *[F.col("t")[i].alias(c) for i, c in enumerate("spo")]).distinct()

@@ -7,7 +7,7 @@ import pytest
 
 from palimpsest.functions.terms import binding_to_n3, n3_to_binding, normal_constant
 from palimpsest.functions.times import convert_to_datetime
-from palimpsest.functions.updates import insert_text, parse_update, to_ops
+from palimpsest.functions.updates import insert_text, to_ops
 from palimpsest.operators import graph, replay
 from palimpsest.plans import sparql
 from palimpsest.plans.entity import AgnosticEntity
@@ -36,11 +36,7 @@ def test_times_and_constants():
     assert normal_constant('"x"@EN') == '"x"@en' and normal_constant('"x"^^<D>') == '"x"^^<D>'
 
 
-def test_update_texts():
-    ops = parse_update("DELETE DATA { GRAPH <g> { <s> <p> \"a}b\\\"c\"^^<d> . <s> <q> 'x' } }; INSERT DATA { GRAPH <g> { <s> <p> \"DELETE DATA { \"@en . } }")
-    assert [(o[0], o[2], o[5]) for o in ops] == [(0, "D", '"a}b\\"c"^^<d>'), (0, "D", '"x"'), (1, "I", '"DELETE DATA { "@en')]
-    assert parse_update("INSERT DATA { <s> <p> <o> }") == [] and parse_update("nonsense") == [] and parse_update(None) == []
-    assert parse_update('INSERT DATA { GRAPH <g> { <s> <p> "open } }') == []
+def test_insert_text():
     assert insert_text("g", []) == ("", 0) and insert_text("g", [("<s>", "<p>", "<o>")]) == ("INSERT DATA { GRAPH <g> { <s> <p> <o> . } }", 1)
 
 
