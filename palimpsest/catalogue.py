@@ -170,19 +170,20 @@ def cv_gap_fill(spark, d):
 def cv_timeline_all(spark, d):
     """cv_timeline of every user; counts of the answers at each time."""
     q = VersionQuery(_cat(spark, d), 'SELECT ?u ?x WHERE { ?u <urn:p:status> ?x }')
-    return q.bindings().groupBy("time", "x").agg(F.count("*").alias("n")).select(_time("time"), "x", "n")
+    return q.counts("x").select(_time("time"), "x", "n")
 
 
 def cv_optional_all(spark, d):
     """Values of every user with the status at the same time, if there is one."""
     q = VersionQuery(_cat(spark, d), 'SELECT ?u ?x ?v WHERE { ?u <urn:p:value> ?v . OPTIONAL { ?u <urn:p:status> ?x } }')
-    return q.bindings().groupBy("u", "x").agg(F.count("*").alias("n"), F.countDistinct("time").alias("n_times"))
+    each = q.versions().groupBy("u", "x").agg(F.sum("n").alias("n"))
+    some = q.versions("u", "x").select(F.col("u").alias("u2"), F.col("x").alias("x2"), F.col("n").alias("n_times"))
+    return each.join(some, (F.col("u") == F.col("u2")) & F.col("x").eqNullSafe(F.col("x2"))).select("u", "x", "n", "n_times")
 
 
 def cv_gap_fill_all(spark, d):
     """Users that have a status "purchase" at some time, at all times of all users from the first on."""
-    q = VersionQuery(_cat(spark, d), PURCHASE, include_all_timestamps=True)
-    return q.bindings().groupBy("u").agg(F.count("*").alias("n"))
+    return VersionQuery(_cat(spark, d), PURCHASE, include_all_timestamps=True).versions()
 
 
 def sv_bgp_chain(spark, d):

@@ -1,4 +1,4 @@
-"""Ranks within keys of any size, and joins of times with intervals that go over ranks instead of ranges."""
+"""Running sums within keys of any size, and joins of times with intervals that go over ranks instead of ranges."""
 
 from __future__ import annotations
 
@@ -8,20 +8,39 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[str], counted: Column, name: str = "rank") -> DataFrame:
-    """rows with the number of counted rows of the same key that stand before each one, in order.
+def before(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with sums of whole numbers over the rows of the same key that stand before each one, in order.
 
     Rows are dealt by ranges of (by, order), so a key with a third of all rows is spread over tasks; what earlier
     ranges of a key hold is added from one row for each range and key. order must tell rows of a
     key apart, or ties count in any order.
     """
-    spread = written(rows.withColumn("_one", counted.cast("long")).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    per = spread.groupBy(*by, "_part").agg(F.sum("_one").alias("_n"))
+    kept = {f"_x{i}": c.cast("long") for i, c in enumerate(sums.values())}
+    spread = written(rows.withColumns(kept).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    within = spread.withColumn(name, F.coalesce(F.sum("_one").over(before), F.lit(0)))
-    return within.join(base, [*by, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_one", "_part", "_base")
+    per = spread.groupBy(*by, "_part").agg(*[F.sum(x).alias(f"_n{x}") for x in kept])
+    base = per.select(*by, "_part", *[F.coalesce(F.sum(f"_n{x}").over(earlier), F.lit(0)).alias(f"_b{x}") for x in kept])
+    within = spread.withColumns({f"_w{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in kept}).join(base, [*by, "_part"])
+    return within.withColumns({name: F.col(f"_w{x}") + F.col(f"_b{x}") for name, x in zip(sums, kept)}).drop("_part", *[p + x for x in kept for p in ("", "_w", "_b")])
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], counted: Column, name: str = "rank") -> DataFrame:
+    """rows with the number of counted rows of the same key that stand before each one, in order (see before)."""
+    return before(rows, by, order, {name: counted})
+
+
+def line_of(rows: DataFrame, times: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., time, _time, _rank): the ends of rows (_time 0) and the times (_time 1) with the number of times before them, as a table."""
+    ends = rows.select(*by, F.col("from_").alias("time")).union(rows.select(*by, F.col("to_").alias("time"))).distinct()
+    marks = ends.withColumn("_time", F.lit(0)).unionByName(times.select(*by, "time").distinct().withColumn("_time", F.lit(1)))
+    return written(ranked(marks, by, ["time", "_time"], F.col("_time") == 1, "_rank"), "timeline")
+
+
+def held(rows: DataFrame, line: DataFrame, by: list[str]) -> DataFrame:
+    """rows with _lo and _hi: they hold at the times of these ranks, _hi not among them; rows that hold at none are gone."""
+    end = lambda name, rank: line.where("_time = 0").select(*by, F.col("time").alias(name), F.col("_rank").alias(rank))
+    return rows.join(end("from_", "_lo"), [*by, "from_"]).join(end("to_", "_hi"), [*by, "to_"]).where("_lo < _hi")
 
 
 def at_times(rows: DataFrame, times: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -32,10 +51,6 @@ def at_times(rows: DataFrame, times: DataFrame, by: list[str] | None = None) ->
     intervals. rows is read twice and should be a table.
     """
     by = by or []
-    ends = rows.select(*by, F.col("from_").alias("time")).union(rows.select(*by, F.col("to_").alias("time"))).distinct()
-    marks = ends.withColumn("_time", F.lit(0)).unionByName(times.select(*by, "time").distinct().withColumn("_time", F.lit(1)))
-    line = written(ranked(marks, by, ["time", "_time"], F.col("_time") == 1, "_rank"), "timeline")
-    end = lambda name, rank: line.where("_time = 0").select(*by, F.col("time").alias(name), F.col("_rank").alias(rank))
-    held = rows.join(end("from_", "_lo"), [*by, "from_"]).join(end("to_", "_hi"), [*by, "to_"]).where("_lo < _hi")
-    each = held.withColumn("_rank", F.explode(F.sequence("_lo", F.col("_hi") - 1))).drop("from_", "to_", "_lo", "_hi")
+    line = line_of(rows, times, by)
+    each = held(rows, line, by).withColumn("_rank", F.explode(F.sequence("_lo", F.col("_hi") - 1))).drop("from_", "to_", "_lo", "_hi")
     return each.join(line.where("_time = 1").select(*by, "_rank", "time"), [*by, "_rank"]).drop("_rank")

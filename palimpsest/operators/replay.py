@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import convert_to_datetime, within
+from .intervals import OPEN
 from .ranks import at_times
 
 QUAD = ["s", "p", "o", "g"]
-#: Stands for an open end in comparisons.
-OPEN = "9999-12-31 00:00:00"
 
 
 def number(snapshot: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import normal_constant, normal_term, parts
 from ..functions.times import convert_to_datetime
-from ..operators import graph, replay
-from ..operators.ranks import at_times
-from ..operators.replay import OPEN
+from ..operators import graph, intervals, replay
+from ..operators.intervals import OPEN
+from ..operators.ranks import at_times, held, line_of
 from . import sparql
 
 #: Rows up to which a set of entities or aliases is broadcast.
@@ -103,23 +103,30 @@ def linked(patterns: list[tuple[str, str, str]]) -> list[list[tuple[str, str, st
     return groups
 
 
-def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None, local: bool = False) -> DataFrame | None:
-    """Joins of all patterns with overlapping intervals: variables, from_, to_. Without patterns: None."""
-    out = None
+def steps(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None, local: bool = False) -> list[tuple[tuple, DataFrame]]:
+    """Each pattern, in the order of joins, with the solutions (variables, from_, to_) of it and those before it. Every join takes the table of the one before."""
+    out: list[tuple[tuple, DataFrame]] = []
     for t in order(patterns):
         p = pattern(catalog, t, merge_aware, firsts, local)
-        if out is None:
-            out = p
-            continue
-        p = p.withColumnsRenamed({"from_": "f2_", "to_": "t2_"})
-        shared = [c for c in p.columns if c in out.columns]
-        if not shared:
-            warnings.warn(f"The pattern {' '.join(t)} shares no variable with those before it: all its matches meet all of theirs", stacklevel=2)
-        joined = out.join(p, shared) if shared else out.crossJoin(p)
-        out = joined.where(F.greatest("from_", "f2_") < F.least("to_", "t2_")).withColumns({"from_": F.greatest("from_", "f2_"), "to_": F.least("to_", "t2_")}).drop("f2_", "t2_")
+        if out:
+            done = out[-1][1]
+            if not hasattr(done, "_scratch"):
+                done = graph.cut(done)
+                out[-1] = out[-1][0], done
+            shared = [c for c in p.columns if c in done.columns and c not in ("from_", "to_")]
+            if not shared:
+                warnings.warn(f"The pattern {' '.join(t)} shares no variable with those before it: all its matches meet all of theirs", stacklevel=2)
+            p = intervals.overlap_join(done, graph.cut(p), shared)
+        out.append((t, p))
     return out
 
 
+def solve(catalog: Catalog, patterns: list[tuple[str, str, str]], merge_aware: bool = False, firsts: DataFrame | None = None, local: bool = False) -> DataFrame | None:
+    """Joins of all patterns with overlapping intervals: variables, from_, to_. Without patterns: None. More than one pattern runs jobs when called."""
+    found = steps(catalog, patterns, merge_aware, firsts, local)
+    return found[-1][1] if found else None
+
+
 def present(catalog: Catalog, t: tuple[str, str, str]) -> DataFrame:
     """(entity): subjects that match a pattern in the current dataset; provenance graphs don't count."""
     rows = catalog.quads.where(~F.coalesce(F.col("g").contains("/prov/"), F.lit(False)))
@@ -152,10 +159,11 @@ def relevant(catalog: Catalog, q: sparql.Query, merge_aware: bool = False) -> Da
     if fixed:
         parts.append(spark.createDataFrame([(x,) for x in fixed], "entity string"))
     for chain in linked([t for i, t in enumerate(every) if i not in isolated]):
-        for n in range(1, len(chain) + 1):
-            prefix = order(chain)[:n]
-            rows = solve(catalog, prefix, merge_aware)
-            for x in {y[1:] for t in prefix for y in (t[0], t[2]) if is_var(y)}:
+        met: set[str] = set()
+        for t, rows in steps(catalog, chain, merge_aware):  # what a longer prefix leaves of a variable, its first one has too
+            new = {y[1:] for y in (t[0], t[2]) if is_var(y)} - met
+            met |= new
+            for x in sorted(new):
                 parts.append(rows.select(F.col(x).alias("entity")).where(F.col("entity").startswith("<")))
     out = parts[0] if parts else spark.createDataFrame([], "entity string")
     for p in parts[1:]:
@@ -186,13 +194,20 @@ def channels(catalog: Catalog, entities: DataFrame, on_time: tuple | None) -> tu
 
 
 class VersionQuery:
-    """A structured query on one version (on_time) or on all; entity_local joins patterns only within the quads of one entity. bindings(): (time, variables...), distinct; timeline(): every version, also those without a match; run_agnostic_query(): bindings with both channels of provenance."""
+    """A structured query on one version (on_time) or on all; entity_local joins patterns only within the quads of one entity.
+
+    answers(): when each answer holds, as intervals; counts() and versions(): how many there are, from the ends of intervals;
+    bindings(): (time, variables...), distinct, the only one that makes a row for each time and answer; timeline(): every
+    version, also those without a match; run_agnostic_query(): bindings with both channels of provenance. All of these, and making a query, run jobs that
+    write tables in the shared folder.
+    """
 
     def __init__(self, catalog: Catalog, query: str, on_time: tuple | None = None, *, merge_aware: bool = False, include_prov_metadata: bool = False, include_all_timestamps: bool = False, entity_local: bool = False):
         self.local = entity_local
         self.catalog, self.query, self.on_time, self.merge_aware, self.all_times = catalog, sparql.parse(query), on_time, merge_aware, include_all_timestamps
         self.with_metadata = include_prov_metadata
         self.entities = graph.cut(relevant(catalog, self.query, merge_aware))
+        self._answers: DataFrame | None = None
 
     def selected(self) -> DataFrame:
         """(entity, time) of the relevant entities' snapshots in the interval, with the fallback before its start."""
@@ -215,25 +230,41 @@ class VersionQuery:
         """(entity, first): the first selected version of each relevant entity; None without on_time."""
         return self.selected().groupBy("entity").agg(F.min("time").alias("first")) if self.on_time is not None else None
 
-    def bindings(self) -> DataFrame:
-        times = graph.cut(self.timeline())
-        at = lambda rows: at_times(graph.cut(rows), times)
-        rows = self.intervals()
-        out = at(rows).distinct() if rows is not None else times
+    def answers(self) -> DataFrame:
+        """(selected variables..., from_, to_): when each answer holds; intervals of one answer neither overlap nor touch. Optional patterns extend an answer while they match. A table, made once."""
+        if self._answers is not None:
+            return self._answers
+        out = self.intervals()
+        if out is None:
+            out = self.catalog.quads.sparkSession.range(1).select(intervals.at(intervals.FIRST).alias("from_"), intervals.at(OPEN).alias("to_"))
         sure = {x[1:] for t in self.query.patterns for x in t if is_var(x)}
         for group in self.query.optionals:
             for t in group:  # each pattern extends a binding if it can
-                p = at(pattern(self.catalog, t, self.merge_aware, self.firsts())).distinct()
-                names = [c for c in p.columns if c != "time"]
-                shared = [c for c in names if c in out.columns]
-                doubt = [c for c in shared if c not in sure]
-                if doubt:  # both are read once for each set of bound variables
-                    out, p = graph.cut(out), graph.cut(p)
-                out = _left(out, p, ["time", *[c for c in shared if c in sure]], doubt)
-        missing = [c for c in self.query.select if c not in out.columns]
-        for c in missing:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-        return out.select("time", *self.query.select).distinct()
+                out, p = graph.cut(out), graph.cut(pattern(self.catalog, t, self.merge_aware, self.firsts()))
+                shared = [c for c in p.columns if c in out.columns and c not in ("from_", "to_")]
+                out = _left(out, p, [c for c in shared if c in sure], [c for c in shared if c not in sure])
+        for c in self.query.select:
+            if c not in out.columns:
+                out = out.withColumn(c, F.lit(None).cast("string"))
+        self._answers = graph.cut(_known(graph.cut(out.select(*self.query.select, "from_", "to_")), self.query.select, lambda df, keys: intervals.islands(df, keys).drop("i")))
+        return self._answers
+
+    def bindings(self) -> DataFrame:
+        return at_times(self.answers(), graph.cut(self.timeline())).select("time", *self.query.select)
+
+    def counts(self, *by: str) -> DataFrame:
+        """(time, by..., n): how many different answers each version has, for each value of by; versions without one are left out. Work follows the number of interval ends and of rows that come out."""
+        rows = _known(self.answers(), list(by), intervals.levels)
+        return at_times(graph.cut(rows), graph.cut(self.timeline())).select("time", *by, "n")
+
+    def versions(self, *by: str) -> DataFrame:
+        """(by..., n): in how many versions an answer with these values holds; all variables without by. No row is made for a version."""
+        names = list(by) or self.query.select
+        rows = self.answers()
+        if by:
+            rows = graph.cut(_known(rows.select(*names, "from_", "to_"), names, lambda df, keys: intervals.islands(df, keys).drop("i")))
+        counted = held(rows, line_of(rows, graph.cut(self.timeline()), []), [])
+        return counted.groupBy(*names).agg(F.sum(F.col("_hi") - F.col("_lo")).alias("n"))
 
     def typed_bindings(self) -> DataFrame:
         """bindings() with each variable as struct(type, value, datatype, lang); null where it is unbound."""
@@ -258,10 +289,17 @@ class VersionQuery:
         return out
 
 
+def _known(rows: DataFrame, names: list[str], run) -> DataFrame:
+    """run(rows, names), where joins on names take null for a value: nulls stand apart behind a mark."""
+    mark = {n: F.concat(F.lit("="), n) for n in names}
+    out = run(rows.withColumns({n: F.coalesce(c, F.lit("-")) for n, c in mark.items()}) if names else rows, names)
+    return out.withColumns({n: F.when(F.col(n) != "-", F.substring(n, 2, 2**31 - 1)) for n in names}) if names else out
+
+
 def _left(left: DataFrame, right: DataFrame, keys: list[str], doubt: list[str]) -> DataFrame:
-    """Left join on keys and on those doubtful variables that a row has bound; an unbound one takes the right side's value. One equi-join for each set of bound variables, so none becomes a nested loop."""
+    """Left join of intervals on keys and on those doubtful variables that a row has bound; an unbound one takes the right side's value. One join for each set of bound variables, so none becomes a nested loop."""
     if not doubt:
-        return left.join(right, keys, "left")
+        return intervals.left_overlap_join(left, right, keys)
     name, rest = doubt[0], doubt[1:]
     bound = _left(left.where(F.col(name).isNotNull()), right, [*keys, name], rest)
     free = _left(left.where(F.col(name).isNull()).drop(name), right, keys, rest)
