@@ -86,13 +86,14 @@ def validity(spark, d):
 
 
 def state_at(spark, d):
-    return replay.state_at(_cat(spark, d).validity, _bounds(spark, d)[1]).select("entity", "p", "o")
+    t = _bounds(spark, d)[1]
+    return replay.state_at(_cat(spark, d).during((t, t)), t).select("entity", "p", "o")
 
 
 def state_interval(spark, d):
     a, b, _ = _bounds(spark, d)
     c = _cat(spark, d)
-    return replay.history(c.validity, c.snapshots, (a, b)).groupBy("entity", "p").agg(F.count("*").alias("n"), F.date_format(F.min("time"), _T).alias("first"))
+    return replay.history(c.during((a, b)), c.snapshots, (a, b)).groupBy("entity", "p").agg(F.count("*").alias("n"), F.date_format(F.min("time"), _T).alias("first"))
 
 
 def state_fallback(spark, d):
@@ -197,7 +198,7 @@ def discovery_present(spark, d):
 
 
 def discovery_historical(spark, d):
-    return plan.discover(_cat(spark, d), ("?u", rdfize.STATUS, '"purchase"')).select("entity")
+    return plan.discover(_cat(spark, d).with_index(), ("?u", rdfize.STATUS, '"purchase"')).select("entity")
 
 
 def related_objects(spark, d):
@@ -221,7 +222,7 @@ def reverse_relations_d2(spark, d):
 
 
 def historical_reverse(spark, d):
-    return graph.historical_reverse(_cat(spark, d).ops, ['"error"'])
+    return graph.historical_reverse(_cat(spark, d).with_index().index, ['"error"'])
 
 
 def reverse_historical(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import PROV, RDF_TYPE
 from ..functions.times import within
 from ..scratch import written
+from .term_index import TermIndex
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,12 +51,14 @@ def mention_edges(ops: DataFrame) -> DataFrame:
     return ops.select(F.explode(F.array("s", "p", "o", "g")).alias("src"), F.col("entity").alias("dst")).where(F.col("src").startswith("<") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def historical_reverse(ops: DataFrame, terms: list[str]) -> DataFrame:
-    """Entities whose updates mention one of the terms, anywhere and of any kind."""
+def historical_reverse(mentions: DataFrame | TermIndex, terms: list[str]) -> DataFrame:
+    """Entities whose updates mention one of the terms, anywhere and of any kind. mentions: operations, or their index, of which only the terms' buckets are read."""
+    if isinstance(mentions, TermIndex):
+        return mentions.mentions(terms).where(~F.col("entity").isin(terms)).select("entity").distinct()
     hit = F.lit(False)
     for c in ("s", "p", "o", "g"):
         hit = hit | F.col(c).isin(terms)
-    return ops.where(hit & ~F.col("entity").isin(terms)).select("entity").distinct()
+    return mentions.where(hit & ~F.col("entity").isin(terms)).select("entity").distinct()
 
 
 def merge_edges(snapshots: DataFrame) -> DataFrame:

@@ -87,12 +87,23 @@ def valid_in(v: DataFrame, snapshots: DataFrame, interval: tuple | None) -> Data
 
 
 def net(ops: DataFrame, *by: str) -> DataFrame:
-    """(by..., s, p, o, g, sign): operations in order cancel by a counter that stays between -1 and 1; those that end at 0 are gone."""
-    step = F.when(F.col("op") == "I", 1).otherwise(-1)
-    run = F.transform(F.array_sort(F.collect_list(F.struct("generated_at", number(F.col("snapshot")).alias("n"), "snapshot", "op_seq", "quad_seq", step.alias("x")))), lambda r: r["x"])
-    folded = ops.groupBy(*by, *QUAD).agg(run.alias("run"))
-    sign = F.aggregate("run", F.lit(0), lambda a, x: F.greatest(F.lit(-1), F.least(F.lit(1), a + x)))
-    return folded.select(*by, *QUAD, sign.alias("sign")).where("sign <> 0")
+    """(by..., s, p, o, g, sign): operations in order cancel by a counter that stays between -1 and 1; those that end at 0 are gone.
+
+    Steps that stay within bounds compose. With three states, two equal steps in a row always end at their bound, and
+    steps that alternate behind them go between it and 0. So a run of steps is told by its first and last one and the last that
+    equals the one before it. Runs are those of a calendar month, then all runs of a quad, of which there are as many as months.
+    """
+    key = [*by, *QUAD]
+    at = F.struct("generated_at", number(F.col("snapshot")).alias("n"), "snapshot", "op_seq", "quad_seq")
+    rows = ops.select(*key, F.date_trunc("month", "generated_at").alias("_month"), at.alias("_at"), "op")
+    w = Window.partitionBy(*key, "_month").orderBy("_at")
+    twice = F.when(F.lag("op").over(w) == F.col("op"), F.col("op"))
+    runs = rows.withColumn("_twice", twice).groupBy(*key, "_month").agg(F.min_by("op", "_at").alias("first"), F.max_by("op", "_at").alias("last"), F.max_by("_twice", F.when(F.col("_twice").isNotNull(), F.col("_at"))).alias("twice"))
+    m = Window.partitionBy(*key).orderBy("_month")
+    runs = runs.withColumn("_bound", F.coalesce("twice", F.when(F.lag("last").over(m) == F.col("first"), F.col("first"))))
+    whole = runs.groupBy(*key).agg(F.min_by("first", "_month").alias("first"), F.max_by("last", "_month").alias("last"), F.max_by("_bound", F.when(F.col("_bound").isNotNull(), F.col("_month"))).alias("_bound"))
+    bound = F.coalesce("_bound", "first")  # from 0, the first step leads to its bound too
+    return whole.select(*key, F.when(F.col("last") != bound, 0).when(bound == "I", 1).otherwise(-1).alias("sign")).where("sign <> 0")
 
 
 def delta(v: DataFrame, ops: DataFrame, snapshots: DataFrame, start: str, end: str) -> DataFrame:

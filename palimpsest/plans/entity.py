@@ -30,7 +30,7 @@ class AgnosticEntity:
         found = start.select("node")
         steps = []
         if self.related:
-            steps.append((graph.object_edges(replay.valid_in(c.validity, c.snapshots, time) if at_time else c.validity), None))
+            steps.append((graph.object_edges(replay.valid_in(c.during(time), c.snapshots, time) if at_time else c.validity), None))
         if self.merged:
             steps.append((graph.merge_edges(c.snapshots).select(F.col("survivor").alias("src"), F.col("absorbed").alias("dst")), None))
         if self.reverse:
@@ -51,7 +51,7 @@ class AgnosticEntity:
         c = self.catalog
         of = lambda df: df.join(ents, "entity", "left_semi")
         times = graph.cut(replay.selected_times(of(c.snapshots), time))
-        states = graph.cut(replay.history(of(c.validity), of(c.snapshots), time))
+        states = graph.cut(replay.history(of(c.during(time)), of(c.snapshots), time))
         root = F.lit(self.entity).alias("root")
         other = F.col("entity") != self.entity
         merged = graph.merged_history(self._mine(times).select(root, "time"), states.where(other).select(root, "*"), times.where(other).select(root, "*"))
@@ -74,7 +74,7 @@ class AgnosticEntity:
         """(states, snapshots selected, other snapshots) for an interval. With entities around, their states up to each of this entity's selected times are part of its own, and snapshots are those of all of them. Without metadata both channels are None."""
         c = self.catalog
         ents = graph.cut(self.entities(time, True))
-        states = self._merged(ents, time) if self._around() else replay.history(self._mine(c.validity), self._mine(c.snapshots), time)
+        states = self._merged(ents, time) if self._around() else replay.history(self._mine(c.during(time)), self._mine(c.snapshots), time)
         return (states, *(channels(c, ents, time or (None, None)) if include_prov_metadata else (None, None)))
 
     def get_delta(self, start: str, end: str) -> DataFrame:
@@ -82,12 +82,24 @@ class AgnosticEntity:
         return replay.delta(self._mine(c.validity), self._mine(c.ops), self._mine(c.snapshots), start, end)
 
     def iter_versions(self) -> Iterator[tuple]:
-        """(time, set of quads) of each version, newest first, streamed one partition at a time."""
+        """(time, set of quads) of each version, newest first.
+
+        The dataset's state is undone in place by the operations, which are sorted by Spark and streamed one partition
+        at a time: memory is that of one state and one partition, whatever the number of versions.
+        """
         c = self.catalog
-        times = replay.selected_times(self._mine(c.snapshots), None)
-        rows = times.join(replay.history(self._mine(c.validity), self._mine(c.snapshots)), ["entity", "time"], "left").groupBy("time").agg(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "p", "o", "g"))).alias("quads"))
-        for r in rows.orderBy(F.desc("time")).toLocalIterator():
-            yield r.time, {tuple(q) for q in r.quads}
+        quad = [*replay.QUAD[:3], "g" if c.is_quadstore else F.lit("").alias("g")]
+        state = {tuple(r) for r in self._mine(c.quads).select(*quad).distinct().toLocalIterator()}
+        times = replay.selected_times(self._mine(c.snapshots), None).select("time").orderBy(F.desc("time"))
+        # several snapshots of one time are undone newest first, the operations of a text in their own order
+        order = [F.desc("generated_at"), F.desc(replay.number(F.col("snapshot"))), F.desc("snapshot"), "op_seq", "quad_seq"]
+        ops = self._mine(c.ops).where("generated_at is not null").orderBy(*order).select("generated_at", "op", *quad).toLocalIterator()
+        following = next(ops, None)
+        for r in times.toLocalIterator():
+            yield r.time, set(state)
+            while following is not None and following.generated_at >= r.time:
+                (state.add if following.op == "D" else state.discard)(tuple(following[2:]))
+                following = next(ops, None)
 
     def metadata(self) -> DataFrame:
         """Snapshots with attribution and description, derived_from sorted; none if the entity is a provenance record itself."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,9 @@ from ..functions.terms import normal_constant, normal_term, parts
 from ..functions.times import convert_to_datetime
 from ..operators import graph, intervals, replay
 from ..operators.intervals import OPEN
+from ..operators.levels import PER_SLICE, Levels, write_levels
 from ..operators.ranks import at_times, held, line_of
+from ..operators.term_index import TermIndex, write_index
 from . import sparql
 
 #: Rows up to which a set of entities or aliases is broadcast.
@@ -36,12 +38,28 @@ class Catalog:
     components: DataFrame | None = None
     #: Tables in the shared folder that the frames read.
     tables: list[DataFrame] = field(default_factory=list)
+    levels: Levels | None = None
+    index: TermIndex | None = None
+    is_quadstore: bool = True
 
     @classmethod
-    def build(cls, quads: DataFrame, snapshots: DataFrame, ops: DataFrame, is_quadstore: bool = True) -> Catalog:
-        """The intervals become a table in the shared folder: they are made once and read by every pattern."""
-        v = graph.cut(replay.validity(ops, quads, snapshots, is_quadstore))
-        return cls(quads, snapshots, ops, v, tables=[v])
+    def build(cls, quads: DataFrame, snapshots: DataFrame, ops: DataFrame, is_quadstore: bool = True, per_slice: int = PER_SLICE) -> Catalog:
+        """The intervals become a table in the shared folder, by length and start: they are made once, every pattern reads them, and a question on an instant only those files that can hold it."""
+        v = write_levels(replay.validity(ops, quads, snapshots, is_quadstore), snapshots, per_slice)
+        return cls(quads, snapshots, ops, v.rows(), tables=[v.frame], levels=v, is_quadstore=is_quadstore)
+
+    def during(self, interval: tuple | None) -> DataFrame:
+        """The intervals that can hold at a version selected by interval: with both ends, those that meet it. A version before its start that stands in for none inside holds up to the start."""
+        if self.levels is None or not interval or not all(convert_to_datetime(x) for x in interval):
+            return self.validity
+        return self.levels.during(*interval)
+
+    def with_index(self) -> Catalog:
+        """Makes the index of terms, with which searches in updates don't read all operations."""
+        if self.index is None:
+            self.index = write_index(self.ops)
+            self.tables += [self.index.rows, self.index.sizes]
+        return self
 
     def with_merges(self) -> Catalog:
         if self.components is None:
@@ -140,6 +158,8 @@ def discover(catalog: Catalog, t: tuple[str, str, str]) -> DataFrame:
     """(entity) of a pattern: those present, and those with an operation whose terms hold all constants, wherever they stand. There language tags compare in lower case."""
     consts = [normal_constant(x) for x in t if not is_var(x) and not x.startswith("_:")]
     tagged = any(not x.startswith("<") for x in consts)
+    if catalog.index is not None and consts:
+        return present(catalog, t).union(catalog.index.all_of(consts, tagged)).distinct()
     have = F.array("s", "p", normal_term(F.col("o")) if tagged else F.col("o"))
     past = catalog.ops
     for x in consts:
@@ -208,6 +228,8 @@ class VersionQuery:
         self.with_metadata = include_prov_metadata
         self.entities = graph.cut(relevant(catalog, self.query, merge_aware))
         self._answers: DataFrame | None = None
+        # the catalog with those intervals that the asked-for versions can hold
+        self.near = replace(catalog, validity=catalog.during(on_time)) if on_time else catalog
 
     def selected(self) -> DataFrame:
         """(entity, time) of the relevant entities' snapshots in the interval, with the fallback before its start."""
@@ -223,7 +245,7 @@ class VersionQuery:
 
     def intervals(self) -> DataFrame:
         """Answers with the interval in which they hold, without expansion on the timeline: (variables..., from_, to_)."""
-        rows = solve(self.catalog, self.query.patterns, self.merge_aware, self.firsts(), self.local)
+        rows = solve(self.near, self.query.patterns, self.merge_aware, self.firsts(), self.local)
         return rows.drop("entity_") if rows is not None else None
 
     def firsts(self) -> DataFrame | None:
@@ -240,7 +262,7 @@ class VersionQuery:
         sure = {x[1:] for t in self.query.patterns for x in t if is_var(x)}
         for group in self.query.optionals:
             for t in group:  # each pattern extends a binding if it can
-                out, p = graph.cut(out), graph.cut(pattern(self.catalog, t, self.merge_aware, self.firsts()))
+                out, p = graph.cut(out), graph.cut(pattern(self.near, t, self.merge_aware, self.firsts()))
                 shared = [c for c in p.columns if c in out.columns and c not in ("from_", "to_")]
                 out = _left(out, p, [c for c in shared if c in sure], [c for c in shared if c not in sure])
         for c in self.query.select:

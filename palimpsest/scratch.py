@@ -29,11 +29,11 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, keeps plans of loops short, and outlives lost executors. options are the Parquet writer's."""
+def written(df: DataFrame, tag: str, by: list[str] | None = None, **options: str) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage, keeps plans of loops short, and outlives lost executors. by: columns that folders are named by. options are the Parquet writer's."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*by or []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
