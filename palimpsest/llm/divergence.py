@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, prepare, table, union_all, written
-from .words import words
+from .words import UPPER
 
 #: Runs of ASCII letters and of all characters beyond ASCII are terms.
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,6 +27,16 @@ def digest(term: Column, bits: int = 64) -> Column:
     return F.xxhash64(term) if bits == 64 else F.shiftrightunsigned(F.xxhash64(term), 64 - bits)
 
 
+def _lowered(term: Column) -> Column:
+    """A-Z of a term in lower case. lower() does only that where all characters are ASCII."""
+    return F.when(F.octet_length(term) == F.char_length(term), F.lower(term)).otherwise(F.translate(term, UPPER, UPPER.lower()))
+
+
+def _split_text() -> Column:
+    """Terms as they stand in text."""
+    return F.array_remove(F.split("text", NO_TERM), "")
+
+
 def _bare(documents: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return documents.select(text("lang"), text("source"), text("text"))
@@ -55,7 +65,7 @@ def _lang(seed: int) -> Column:
 
 def _counts(docs: DataFrame, seed: int, bits: int) -> DataFrame:
     """(g, l, d, n, df): occurrences of each digest in a group, and the rows that hold it. Digests of a row are sorted, so its first ones of a kind count the row."""
-    h = docs.select(_group(seed).alias("g"), _lang(seed).alias("l"), F.sort_array(F.transform(F.array_remove(words(F.col("text"), NO_TERM), ""), lambda w: digest(w, bits))).alias("h"))
+    h = docs.select(_group(seed).alias("g"), _lang(seed).alias("l"), F.sort_array(F.transform(_split_text(), lambda w: digest(_lowered(w), bits))).alias("h"))
     each = F.transform("h", lambda x, i: F.struct(x.alias("d"), ((i == 0) | (x != F.get("h", i - 1))).cast("int").alias("new")))
     rows = h.select("g", "l", F.explode_outer(each).alias("x")).where("x is not null").select("g", "l", "x.d", "x.new")
     return rows.groupBy("l", "g", "d").agg(F.count("*").alias("n"), F.sum("new").alias("df"))
@@ -69,17 +79,17 @@ def _kept(counts: DataFrame, least_docs: int) -> DataFrame:
 
 
 def _terms(docs: DataFrame, bits: int) -> DataFrame:
-    """(d, term) of each row's different terms."""
-    rows = docs.select(F.explode_outer(F.array_distinct(F.array_remove(words(F.col("text"), NO_TERM), ""))).alias("term")).where("term is not null")
-    return rows.select(digest(F.col("term"), bits).alias("d"), "term")
+    """(d, term) of all texts, each once."""
+    rows = docs.select(F.explode_outer(F.array_distinct(_split_text())).alias("raw")).where("raw is not null")
+    return rows.select(_lowered(F.col("raw")).alias("term")).select(digest(F.col("term"), bits).alias("d"), "term").distinct()
 
 
 def _split(docs: DataFrame, shared: DataFrame, seed: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Of the digests that several terms share: (names (d, sub, term), counts (l, g, d, sub, n, df)). Only rows of these digests carry text; they are joined by digest, of which there are few."""
-    names = _terms(docs, bits).join(shared, "d", "left_semi").distinct()
+    names = _terms(docs, bits).join(shared, "d", "left_semi")
     names = written(names.withColumn("sub", F.row_number().over(Window.partitionBy("d").orderBy("term"))), "terms")
     per = docs.select(_group(seed).alias("g"), _lang(seed).alias("l"), F.monotonically_increasing_id().alias("row"), "text")  # rows are numbered before they are taken apart
-    per = per.select("g", "l", "row", F.explode_outer(F.array_remove(words(F.col("text"), NO_TERM), "")).alias("term")).where("term is not null")
+    per = per.select("g", "l", "row", F.explode_outer(_split_text()).alias("raw")).where("raw is not null").select("g", "l", "row", _lowered(F.col("raw")).alias("term"))
     per = per.withColumn("d", digest(F.col("term"), bits)).join(shared, "d", "left_semi").groupBy("l", "g", "d", "term", "row").agg(F.count("*").alias("n"))
     counts = per.groupBy("l", "g", "d", "term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
     return names, counts.join(names, ["d", "term"]).select("l", "g", "d", "sub", "n", "df")
@@ -106,8 +116,8 @@ class Audit:
         groups = _named(docs)
         seed = groups.agg(F.coalesce(F.max("seed"), F.lit(0))).first()[0]
         kept = written(_kept(_counts(docs, seed, bits).withColumn("sub", F.lit(0)), least_docs), "kept")
-        texts = _terms(docs, bits).groupBy("d").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
-        names = written(texts.join(kept.select("d").distinct(), "d"), "terms")
+        texts = _terms(docs, bits).join(kept.select("d").distinct(), "d", "left_semi")
+        names = written(texts.groupBy("d").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "terms")
         shared = names.where("lo <> hi").select("d")
         names_one = names.where("lo = hi").select("d", F.lit(0).alias("sub"), F.col("lo").alias("term"))
         if shared.isEmpty():
