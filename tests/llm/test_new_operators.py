@@ -174,7 +174,7 @@ def test_shuffles_carry_digests_only(spark, odd):
 def small_coder():
     ws = [b"the", b"cat", b"sat", b""]
     counts = np.array([50, 20, 10, 30])
-    return mixing.Coder(ws, counts, mixing.code_lengths([*counts.tolist(), 12]), mixing.code_lengths([1] * 257))
+    return mixing.Coder(ws, counts, 12, [1] * 257)
 
 
 def test_codes_are_prefix_codes():
@@ -182,7 +182,7 @@ def test_codes_are_prefix_codes():
     for n in (2, 3, 17, 400):
         lengths = mixing.code_lengths([rng.choice([1, 5, 1000, 10**12]) for _ in range(n)])
         assert sum(2.0**-k for k in lengths.tolist()) == pytest.approx(1)
-        offset, bits, _ = mixing.paths(lengths, 0)
+        offset, bits, *_ = mixing.paths(lengths, np.ones(n), 0)
         codes = ["".join(map(str, bits[o : o + k])) for o, k in zip(offset, lengths)]
         assert len(set(codes)) == n and not any(b.startswith(a) for a, b in zip(sorted(codes), sorted(codes)[1:]))
 
@@ -191,7 +191,7 @@ def test_probabilities_add_up_to_one():
     """The symbols that may stand at the head of a text have probability 1 in all, with any tables and weights."""
     coder = small_coder()
     rng = np.random.default_rng(1)
-    tables = [rng.integers(-60, 60, 1 << 10).astype(np.int8) for _ in range(mixing.ORDERS)]
+    tables = [rng.integers(-60, 60, 1 << 10).astype(np.int8) for _ in range(mixing.HASHED)]
     weights = np.tile([0.5, 0.3, 0.3, 0.1], (mixing.GATES, 1))
     symbol_nats = lambda texts: mixing.code_nats(coder, tables, weights, texts, 10)[0]
     x, *_ = coder.symbols([b"the cat"])
@@ -199,7 +199,7 @@ def test_probabilities_add_up_to_one():
     total = 0.0
     for path in range(len(coder.vocab) + 1):
         length = coder.length[path]
-        ctx = np.zeros((mixing.ORDERS, 1), np.uint32)
+        ctx = np.zeros((mixing.HASHED, 1), np.uint32)
         _, v = mixing.inputs(coder, tables, np.array([path]), ctx, 10)
         assert len(v) == length
         total += math.exp(-step_nats(v, weights))
@@ -227,7 +227,7 @@ def test_blocks_side_by_side_equal_one_at_a_time(monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 7)
     coder = small_coder()
     rng = np.random.default_rng(3)
-    tables = [rng.integers(-90, 90, 1 << 12).astype(np.int8) for _ in range(mixing.ORDERS)]
+    tables = [rng.integers(-90, 90, 1 << 12).astype(np.int8) for _ in range(mixing.HASHED)]
     weights = rng.normal(0.3, 0.2, (mixing.GATES, mixing.ORDERS + 1))
     texts = [b"the cat sat the dog", b"", b"The zebra\xc3\xa9 sat", b"x" * 90, b"cat " * 40]
     got, *_ = mixing.code_nats(coder, tables, weights, texts, 12)
@@ -241,13 +241,13 @@ def test_slot_counts_equal_one_pass(spark):
     coder = small_coder()
     texts = ["the cat sat", "the dog sat", "", "the the cat cat", "dogs sat the"] * 7
     rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    b = spark.sparkContext.broadcast({"coder": ([b"the", b"cat", b"sat", b""], np.array([50, 20, 10, 30]), mixing.code_lengths([50, 20, 10, 30, 12]), mixing.code_lengths([1] * 257))})
+    b = spark.sparkContext.broadcast({"coder": ([b"the", b"cat", b"sat", b""], np.array([50, 20, 10, 30]), 12, [1] * 257)})
     got = {(r.k, r.chunk): r.data for r in mixing.slot_counts(rows, ("test", b), 10).collect()}
-    want = np.zeros((mixing.ORDERS, 2 << 10), np.int32)
+    want = np.zeros((mixing.HASHED, 2 << 10), np.int32)
     mixing.add_counts(coder, want, [t.encode() for t in texts], 10)
     import pyarrow as pa
 
-    for k in range(mixing.ORDERS):
+    for k in range(mixing.HASHED):
         assert np.frombuffer(pa.decompress(got[k, 0], decompressed_size=16 << 10, codec="zstd", asbytes=True), "<i8").tolist() == want[k].tolist()
 
 
