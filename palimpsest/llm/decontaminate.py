@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, prepare, table, written
-from .words import gram_hashes, hashed, keyed
+from .words import gram_hashes, hashed, keyed, row_key
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
 #: Rows (item, shingle) up to which they are broadcast (some 50 bytes each); beyond, the joins shuffle.
@@ -108,8 +108,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the contaminated rows; all columns stay as they are."""
     name = free_name(documents, "k")
     found = contaminated(documents, benchmark).select(F.col("k").alias(name)).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    return documents.withColumn(name, key).join(found, name, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    return documents.withColumn(name, row_key()).join(found, name, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

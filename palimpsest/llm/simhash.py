@@ -51,7 +51,7 @@ def fingerprint(text: str, n: int = WORDS) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-_FP = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints(documents: DataFrame, n: int = WORDS) -> DataFrame:
@@ -62,7 +62,7 @@ def fingerprints(documents: DataFrame, n: int = WORDS) -> DataFrame:
         for b in batches:
             yield records(_FP, k=b.column("k"), doc_id=b.column("doc_id"), fp=np.array([fingerprint(t, n) for t in b.column("text").to_pylist()], np.uint64).view(np.int64))
 
-    return keyed(documents).mapInArrow(run, "k long, doc_id long, fp long")
+    return keyed(documents).mapInArrow(run, "k binary, doc_id long, fp long")
 
 
 def blocks_for(nodes: int, radius: int = RADIUS) -> int:

@@ -156,7 +156,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-_BAG = pa.schema([("toxic", pa.int64()), ("words", pa.list_(pa.string())), ("shares", pa.list_(pa.float32()))])
+_BAG = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("toxic", pa.int64()), ("words", pa.list_(pa.string())), ("shares", pa.list_(pa.float32()))])
 _IDS = pa.schema([("toxic", pa.int64()), ("ids", pa.binary()), ("shares", pa.binary())])
 _FITTED = pa.schema([("logit", pa.binary()), ("bias", pa.float64())])
 
@@ -169,7 +169,7 @@ def shares(words: list[str]) -> dict[str, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fitted:
-    """Fits on labelled rows that are not held out. Labels with a null id or null toxic don't count; of several labels of one id the largest holds. Rows are chosen by a hash of the id, so the sample is uniform and the same on every run.
+    """Fits on labelled rows that are not held out. Labels with a null id or null toxic don't count; of several labels of one id the largest holds. Ids are chosen by a hash, so the sample is uniform and the same on every run, and of rows that share an id one is learned: at most max_train rows, whatever the table.
 
     The driver gets the words that enough texts have, and at the end one number a bucket. The fit itself runs
     in one task over the bounded sample, each text as numbers of those words, so the driver stays small
@@ -183,10 +183,14 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     def bags(batches):
         for b in batches:
             found = [shares(words_of(t)) for t in b.column("text").to_pylist()]
-            yield records(_BAG, toxic=b.column("toxic"), words=[list(x) for x in found], shares=[list(x.values()) for x in found])
+            yield records(_BAG, doc_id=b.column("doc_id"), tie=b.column("tie"), toxic=b.column("toxic"), words=[list(x) for x in found], shares=[list(x.values()) for x in found])
 
     # max_train rows of two numbers: broadcast, so that texts don't move
-    rows = written(text_rows(documents).join(F.broadcast(chosen), "doc_id").mapInArrow(bags, "toxic long, words array<string>, shares array<float>"), "bags")
+    texts = text_rows(documents, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).join(F.broadcast(chosen), "doc_id")
+    each = texts.mapInArrow(bags, "doc_id long, tie long, toxic long, words array<string>, shares array<float>")
+    # an id may have any number of rows; the one whose text has the least hash is learned
+    one = each.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "shares"), "tie").alias("x"))
+    rows = written(one.select("x.toxic", "x.words", "x.shares"), "bags")
     least = max(MIN_DF, MIN_SHARE * rows.count())
     vocab = [r.w for r in rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy("w").select("w").collect()]
     shared = spark.sparkContext.broadcast(vocab)

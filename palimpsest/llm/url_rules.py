@@ -44,7 +44,8 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     """(rule, antecedent, confidence, support) of pruned rules. A page is bad if a label of its id has quality 0 or toxic 1; null labels say nothing. Without labelled pages there are no rules."""
     spark = pages.sparkSession
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
-    items = pages.join(known, F.col("page_id") == F.col("doc_id")).select(tokens(host(F.col("url")), path(F.col("url"))).alias("t"), "bad").where(F.size("t") > 0)
+    rows = pages.select("page_id", "url")  # other columns may be named like those of labels
+    items = rows.join(known, F.col("page_id") == F.col("doc_id")).select(tokens(host(F.col("url")), path(F.col("url"))).alias("t"), "bad").where(F.size("t") > 0)
     items = written(items.select(F.when(F.col("bad"), F.array_append("t", BAD)).otherwise(F.col("t")).alias("items")), "transactions")
     n = items.count()
     out = "rule long, antecedent array<string>, confidence double, support double"

@@ -43,10 +43,16 @@ def hashed(rows: DataFrame, *keep: str, text: str = "text", name: str = "h") ->
     return rows.select(*keep, word_hashes(words(F.col(text))).alias(name))
 
 
+def row_key() -> Column:
+    """16 bytes of two hashes of a row's doc_id and text, which read them in different order: no two of 10^10 rows should share them by chance."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.unhex(F.concat(half(doc_id, text), half(text, doc_id)))
+
+
 def keyed(documents: DataFrame) -> DataFrame:
-    """(k, doc_id, text): k hashes a row's id and text, so that rows sharing an id stay apart and repeated rows get equal results."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    """(k, doc_id, text): k names a row by its id and text (see row_key), so that rows sharing an id stay apart and repeated rows get equal results."""
+    return documents.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-__all__ = ["NO_WORD", "words", "gram_hashes", "hashed", "word_hashes", "keyed", "free_name"]
+__all__ = ["NO_WORD", "words", "gram_hashes", "hashed", "word_hashes", "keyed", "row_key", "free_name"]

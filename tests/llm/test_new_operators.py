@@ -283,3 +283,36 @@ def test_lm_scores_of_nothing(spark, empty):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     got = mixing.lm_scores(spark.createDataFrame([(i, "a b", "en", "s", "x", "x", 1, "x", "x") for i in held], DOCS), bits=10).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0)] * 3
+
+
+# --- bounds and names of earlier operators -------------------------------------------------------------------------
+
+
+def test_url_rules_with_names_of_labels(spark):
+    """pages may have columns that labels have too."""
+    from palimpsest.llm import url_rules
+
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.net/x", 1, "b", 0) for i in range(40)], "page_id long, url string, doc_id long, bad string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2 == 0, i % 2) for i in range(40)], "doc_id long, q boolean, toxic int").selectExpr("doc_id", "cast(q as int) quality", "toxic")
+    assert url_rules.judge(pages, labels).count() == 40
+
+
+def test_toxicity_learns_one_row_of_an_id(spark, monkeypatch):
+    """3,000 rows that share a labelled id, copies among them, count as one row for the fit."""
+    from palimpsest.llm import toxicity
+
+    seen = []
+    real = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, tag, **k: seen.append((tag, out := real(df, tag, **k))) or out)
+    rows = [(3, f"text {i % 1000} word", "en", "s", "x", "x", 1, "x", "x") for i in range(3000)] + [(i, "plain words here", "en", "s", "x", "x", 1, "x", "x") for i in range(20, 60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in [3, *range(20, 60)]], "doc_id long, quality int, toxic int")
+    toxicity.train(spark.createDataFrame(rows, DOCS), labels, max_train=10)
+    assert dict(seen)["bags"].count() <= 10
+
+
+def test_row_keys(spark):
+    from palimpsest.llm.words import row_key
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, ""), (None, "a"), (2, "a")], "doc_id long, text string")
+    keys = [bytes(r.k) for r in rows.select(row_key().alias("k")).collect()]
+    assert all(len(k) == 16 for k in keys) and keys[0] == keys[1] and keys[2] == keys[3] and len(set(keys)) == 4
