@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontaminate, repeats, simhash, toxicity
 from palimpsest.llm.common import free_name, new_path, prepare, table
+from palimpsest.llm.words import row_key
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
     kept = simhash.grouped(docs).groupBy("label").agg(first.alias("x")).select("x.k")
     key = free_name(docs, "k")
-    docs = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
+    docs = docs.withColumn(key, row_key())
     # rows that are left with one key are equal in id and text
     return docs.join(kept.withColumnRenamed("k", key), key, "left_semi").dropDuplicates([key]).drop(key)
 
