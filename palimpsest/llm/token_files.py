@@ -25,7 +25,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, prepare, records, table, text_rows
-from .token_counts import GO, KEPT, cuts_safely_cached, library
+from .token_counts import GO, cuts_safely_cached, library
 from .units import UnitCache, units
 
 #: Bytes of records in one shard, about; a task that reads a shard holds it several times, so executors with more memory may take more.
@@ -70,13 +70,47 @@ def parse(data: bytes, at: int = 0):
         at += n + 17
 
 
+#: Units that are encoded as one text, and units whose ids a worker keeps: some 200 bytes each, and rare words are dear to encode.
+TOGETHER, KEPT = 512, 1_000_000
+
+
 @lru_cache(4)
-def _units_to_ids(path: str, width: int) -> UnitCache:
-    encode = library(path)
+def _begins(path: str) -> np.ndarray:
+    """Of each id, whether its token begins with a blank."""
+    from tokenizers import Tokenizer
+
+    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True  # byte-level texts write a blank so
+    return out
+
+
+def encode_together(path: str, found: list[str]) -> list[np.ndarray]:
+    """Ids of each unit. Units with one blank, at their head, are encoded many as one text, as a result for each costs more than its ids: a token that begins with a blank begins the next unit. Where their number differs, and for all other units, each is encoded by itself."""
+    encode, out = library(path), [None] * len(found)
+    alone = []
+    plain = []
+    for i, u in enumerate(found):
+        (plain if u[0] == " " and u[1:].split() == [u[1:]] else alone).append(i)
+    parts = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+    for part, ids in zip(parts, encode(["".join(map(found.__getitem__, part)) for part in parts])):
+        ids = np.array(ids, np.uint32)
+        starts = np.flatnonzero(_begins(path)[ids])
+        if len(starts) != len(part) or starts[0]:
+            alone += part
+            continue
+        for i, a, b in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+            out[i] = ids[a:b]
+    for i, ids in zip(alone, encode([found[i] for i in alone])):
+        out[i] = np.array(ids, np.uint32)
+    return out
 
+
+@lru_cache(4)
+def _units_to_ids(path: str, width: int) -> UnitCache:
     def packed(unseen: list[str]) -> list[bytes]:
-        lists = encode(unseen)
-        data = np.fromiter(chain.from_iterable(lists), f"<u{width}").tobytes()
+        lists = encode_together(path, unseen)
+        data = np.concatenate(lists).astype(f"<u{width}").tobytes()
         ends = list(accumulate((len(x) * width for x in lists), initial=0))
         return [data[a:b] for a, b in pairwise(ends)]
 
