@@ -213,7 +213,7 @@ def step_nats(v, weights):
     for *x, last in v.tolist():
         g, s = last >> 1, (last & 1) * 2 - 1
         x = np.array(x) / mixing.STEP
-        z = min(max(w[g, :3] @ x + w[g, 3], -11), 11)
+        z = w[g, :3] @ x + w[g, 3]
         b = int(min(max(z + 4, 0), mixing.BUCKETS - 1))
         u = math.exp(-s * (z + refine[b]))
         nats += math.log(1 + u)
