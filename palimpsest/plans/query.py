@@ -168,7 +168,7 @@ def discover(catalog: Catalog, t: tuple[str, str, str]) -> DataFrame:
 
 
 def relevant(catalog: Catalog, q: sparql.Query, merge_aware: bool = False) -> DataFrame:
-    """Entities whose snapshots make the timeline: of isolated patterns those discovered, constant subjects, and what chains from constant subjects reach in any version."""
+    """Entities whose snapshots make the timeline: of isolated patterns those discovered, constant subjects, and what chains from constant subjects reach in any version and go on from. An object that no pattern has as its subject adds no versions of its own."""
     every = [*q.patterns, *sum(q.optionals, [])]
     spark = catalog.quads.sparkSession
     parts = []
@@ -181,7 +181,7 @@ def relevant(catalog: Catalog, q: sparql.Query, merge_aware: bool = False) -> Da
     for chain in linked([t for i, t in enumerate(every) if i not in isolated]):
         met: set[str] = set()
         for t, rows in steps(catalog, chain, merge_aware):  # what a longer prefix leaves of a variable, its first one has too
-            new = {y[1:] for y in (t[0], t[2]) if is_var(y)} - met
+            new = {y[1:] for y in (t[0], t[2]) if is_var(y) and not sparql.is_dead_end(every, y)} - met
             met |= new
             for x in sorted(new):
                 parts.append(rows.select(F.col(x).alias("entity")).where(F.col("entity").startswith("<")))
