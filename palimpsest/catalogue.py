@@ -154,18 +154,22 @@ def cv_bgp_star(spark, d):
 
 
 def cv_timeline(spark, d):
-    q = VersionQuery(_cat(spark, d), 'SELECT ?x WHERE { <urn:user/1> <urn:p:status> ?x }')
-    return q.bindings().select(_time("time"), "x")
+    """How many answers each version has: users with a status."""
+    return VersionQuery(_cat(spark, d), "SELECT ?u ?x WHERE { ?u <urn:p:status> ?x }").counts().select(_time("time"), "n")
 
 
 def cv_optional(spark, d):
-    q = VersionQuery(_cat(spark, d), 'SELECT ?x ?v WHERE { <urn:user/1> <urn:p:value> ?v . OPTIONAL { <urn:user/1> <urn:p:status> ?x . ?y <urn:p:nothing> ?x } }')
-    return q.bindings().groupBy("x").agg(F.count("*").alias("n"), F.countDistinct("time").alias("n_times"))
+    """Values of users, with the status if there is one, and a further optional pattern that matches nothing: answers and versions of each status."""
+    q = VersionQuery(_cat(spark, d), "SELECT ?u ?x ?v WHERE { ?u <urn:p:value> ?v . OPTIONAL { ?u <urn:p:status> ?x . ?y <urn:p:nothing> ?x } }")
+    each = q.versions().groupBy("x").agg(F.sum("n").alias("n"))
+    some = q.versions("x").select(F.col("x").alias("x2"), F.col("n").alias("n_times"))
+    return each.join(some, F.col("x").eqNullSafe(F.col("x2"))).select("x", "n", "n_times")
 
 
 def cv_gap_fill(spark, d):
-    q = VersionQuery(_cat(spark, d), 'SELECT ?x WHERE { <urn:user/1> <urn:p:status> ?x }', include_all_timestamps=True)
-    return q.bindings().groupBy("x").agg(F.count("*").alias("n"))
+    """Versions of each status, summed over users, on the timeline of all users."""
+    q = VersionQuery(_cat(spark, d), "SELECT ?u ?x WHERE { ?u <urn:p:status> ?x }", include_all_timestamps=True)
+    return q.versions().groupBy("x").agg(F.sum("n").alias("n"))
 
 
 def cv_timeline_all(spark, d):
@@ -232,9 +236,8 @@ def reverse_historical(spark, d):
 
 
 def merged_forward(spark, d):
-    m = _merges(spark, d)
-    start = m.where(F.col("survivor") == "<urn:user/0>").select(F.col("survivor").alias("root"), F.col("survivor").alias("node")).distinct()
-    return graph.reachable(start, m.select(F.col("survivor").alias("src"), F.col("absorbed").alias("dst"))).select("node", F.col("depth").cast("bigint").alias("depth"))
+    """Whom survivors have absorbed, directly or not, and over how few steps."""
+    return _absorbed(_merges(spark, d)).groupBy("node").agg(F.min("depth").cast("bigint").alias("depth"))
 
 
 def merged_forward_all(spark, d):
@@ -258,10 +261,10 @@ def merge_events(spark, d):
 
 
 def history_merged_asof(spark, d):
-    """The status of user u + 1 as of each event of user u (u divisible by 5)."""
-    ev = rdfize.table(spark, d, "events").where("user_id is not null and event_type is not null")
-    asks = ev.where("user_id % 5 = 0").select(F.col("user_id").alias("k"), F.col("ts").alias("time")).distinct()
-    known = ev.where("user_id % 5 = 1").groupBy((F.col("user_id") - 1).alias("k"), F.col("ts").alias("at")).agg(F.max_by("event_type", "event_id").alias("status"))
+    """The status of user u + 1 as of each event of user u."""
+    ev = rdfize.table(spark, d, "events").where("user_id is not null and ts is not null and event_type is not null")
+    asks = ev.select(F.col("user_id").alias("k"), F.col("ts").alias("time")).distinct()
+    known = ev.groupBy((F.col("user_id") - 1).alias("k"), F.col("ts").alias("at")).agg(F.max_by("event_type", "event_id").alias("status"))
     return replay.latest_up_to(asks, known, ["k"]).select("k", _time("time"), "status")
 
 
@@ -495,9 +498,9 @@ SELECT 'uri' AS type, entity[2:-2] AS "user", 'literal' AS v_type, CAST(regexp_e
         "sv_bgp_chain": "SELECT '<urn:t:customer/' || c_custkey || '>' AS c, '<urn:t:nation/' || n_nationkey || '>' AS n, '<urn:t:region/' || r_regionkey || '>' AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
         "cv_single_pattern": _EV + f"""SELECT entity AS u, strftime(valid_from, {_F}) AS from_, strftime(valid_to, {_F}) AS to_ FROM iv WHERE p = '<urn:p:status>' AND o = '"purchase"'""",
         "cv_bgp_star": _EV + """SELECT a.entity AS u, count(*) AS n, count(DISTINCT b.o) AS n_values FROM iv a JOIN iv b ON a.entity = b.entity AND greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, TIMESTAMP '9999-12-31'), coalesce(b.valid_to, TIMESTAMP '9999-12-31')) WHERE a.p = '<urn:p:status>' AND a.o = '"purchase"' AND b.p = '<urn:p:value>' GROUP BY 1""",
-        "cv_timeline": f"""SELECT strftime(ts, {_F}) AS time, '"' || event_type || '"' AS x FROM events WHERE user_id = 1""",
-        "cv_optional": """SELECT '"' || event_type || '"' AS x, count(*) AS n, count(DISTINCT ts) AS n_times FROM events WHERE user_id = 1 AND value IS NOT NULL GROUP BY 1""",
-        "cv_gap_fill": """SELECT '"' || s || '"' AS x, count(*) AS n FROM (SELECT t.ts, (SELECT arg_max(event_type, (e.ts, e.event_id)) FROM events e WHERE e.user_id = 1 AND e.ts <= t.ts) AS s FROM (SELECT DISTINCT ts FROM events WHERE user_id IS NOT NULL) t) WHERE s IS NOT NULL GROUP BY 1""",
+        "cv_timeline": _EV + f"SELECT strftime(t.ts, {_F}) AS time, count(*) AS n FROM (SELECT DISTINCT ts FROM ev) t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE p = '<urn:p:status>' AND o IS NOT NULL GROUP BY t.ts",
+        "cv_optional": _EV + ", t AS (SELECT DISTINCT ts FROM ev), a AS (SELECT DISTINCT t.ts, entity, p, o FROM t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE o IS NOT NULL) SELECT s.o AS x, count(*) AS n, count(DISTINCT v.ts) AS n_times FROM a v LEFT JOIN a s ON s.entity = v.entity AND s.ts = v.ts AND s.p = '<urn:p:status>' WHERE v.p = '<urn:p:value>' GROUP BY 1",
+        "cv_gap_fill": _EV + "SELECT o AS x, count(*) AS n FROM (SELECT DISTINCT ts FROM ev) t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE p = '<urn:p:status>' AND o IS NOT NULL GROUP BY 1",
         "cv_timeline_all": _EV + f"SELECT strftime(t.ts, {_F}) AS time, o AS x, count(*) AS n FROM (SELECT DISTINCT ts FROM ev) t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE p = '<urn:p:status>' AND o IS NOT NULL GROUP BY t.ts, o",
         "cv_optional_all": _EV + ", t AS (SELECT DISTINCT ts FROM ev), a AS (SELECT DISTINCT t.ts, entity, p, o FROM t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE o IS NOT NULL) SELECT v.entity AS u, s.o AS x, count(*) AS n, count(DISTINCT v.ts) AS n_times FROM a v LEFT JOIN a s ON s.entity = v.entity AND s.ts = v.ts AND s.p = '<urn:p:status>' WHERE v.p = '<urn:p:value>' GROUP BY 1, 2",
         "cv_gap_fill_all": _EV + """SELECT entity AS u, count(*) AS n FROM (SELECT DISTINCT ts FROM ev WHERE ts >= (SELECT min(e.ts) FROM ev e WHERE e.entity IN (SELECT entity FROM ev WHERE event_type = 'purchase'))) t JOIN iv ON valid_from <= t.ts AND (valid_to IS NULL OR t.ts < valid_to) WHERE p = '<urn:p:status>' AND o = '"purchase"' GROUP BY 1""",
@@ -507,10 +510,10 @@ SELECT 'uri' AS type, entity[2:-2] AS "user", 'literal' AS v_type, CAST(regexp_e
         "reverse_relations_d1": "SELECT '<urn:t:nation/' || n_nationkey || '>' AS node, CAST(1 AS BIGINT) AS depth FROM nation WHERE n_regionkey = 2",
         "reverse_relations_d2": "SELECT '<urn:t:nation/' || n_nationkey || '>' AS node, CAST(1 AS BIGINT) AS depth FROM nation WHERE n_regionkey = 2 UNION ALL SELECT '<urn:t:customer/' || c_custkey || '>', 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2",
         "historical_reverse": """SELECT DISTINCT '<urn:user/' || user_id || '>' AS entity FROM events WHERE event_type = 'error' AND user_id IS NOT NULL""",
-        "merged_forward": _MERGES + ", r AS (SELECT '<urn:user/0>' AS node, CAST(0 AS BIGINT) AS depth WHERE EXISTS (SELECT 1 FROM m WHERE survivor = '<urn:user/0>') UNION ALL SELECT m.absorbed, r.depth + 1 FROM r JOIN m ON m.survivor = r.node) SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node",
+        "merged_forward": _MERGES + _ABSORBED + "SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node",
         "merge_components": _MERGES + ", e AS (SELECT survivor AS a, absorbed AS b FROM m UNION SELECT absorbed, survivor FROM m), r AS (SELECT a, a AS x FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.x = e.a), c AS (SELECT a, min(x) AS component FROM r GROUP BY a) SELECT component, count(*) AS n, max(a) AS last FROM c GROUP BY component",
         "merge_events": _MERGES + f"SELECT survivor AS entity, snapshot, survivor, strftime(time, {_F}) AS time FROM m UNION ALL SELECT absorbed, snapshot, survivor, strftime(time, {_F}) FROM m",
-        "history_merged_asof": f"SELECT q.user_id AS k, strftime(q.ts, {_F}) AS time, arg_max(e.event_type, (e.ts, e.event_id)) AS status FROM (SELECT DISTINCT user_id, ts FROM events WHERE user_id % 5 = 0 AND event_type IS NOT NULL) q JOIN events e ON e.user_id = q.user_id + 1 AND e.ts <= q.ts AND e.event_type IS NOT NULL GROUP BY 1, q.ts",
+        "history_merged_asof": f"SELECT q.user_id AS k, strftime(q.ts, {_F}) AS time, arg_max(e.event_type, (e.ts, e.event_id)) AS status FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL) q JOIN events e ON e.user_id = q.user_id + 1 AND e.ts <= q.ts AND e.event_type IS NOT NULL GROUP BY 1, q.ts",
         "merged_forward_all": _MERGES + _ABSORBED + "SELECT root, node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY root, node",
         "history_merged_all": _MERGES + _ABSORBED + f"SELECT a.root, strftime(q.ts, {_F}) AS time, a.node AS entity, arg_max(e.event_type, (e.ts, e.event_id)) AS status FROM (SELECT DISTINCT root, node FROM r WHERE depth > 0) a JOIN (SELECT DISTINCT '<urn:user/' || user_id || '>' AS root, ts FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL) q USING (root) JOIN events e ON '<urn:user/' || e.user_id || '>' = a.node AND e.ts <= q.ts AND e.event_type IS NOT NULL GROUP BY 1, q.ts, 3",
         "prov_selected": _EV + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev), rel AS (SELECT DISTINCT entity FROM ev WHERE event_type = 'purchase'),
