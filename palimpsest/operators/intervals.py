@@ -70,7 +70,7 @@ def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     return one("from_", 1).union(one("to_", -1)).groupBy(*keys, "time").agg(F.sum("d").alias("d")).where("d <> 0")
 
 
-def _split(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame | None, DataFrame | None]:
+def split(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(rows of keys with at most so many, rows of the others); None where there are none."""
     if not keys:
         return (rows, None) if rows.limit(most + 1).count() <= most else (None, rows)
@@ -82,7 +82,7 @@ def _split(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame | Non
 
 def levels(rows: DataFrame, keys: list[str], most: int = ROWS) -> DataFrame:
     """(keys..., n, from_, to_): how many intervals of a key hold, as stretches in which the number doesn't change; n is 1 or more."""
-    cold, hot = _split(written(_steps(rows, keys), "steps"), keys, most)
+    cold, hot = split(written(_steps(rows, keys), "steps"), keys, most)
     out = []
     if cold is not None:
         w = Window.partitionBy(*keys).orderBy("time")
@@ -97,7 +97,7 @@ def levels(rows: DataFrame, keys: list[str], most: int = ROWS) -> DataFrame:
 
 def islands(rows: DataFrame, keys: list[str], most: int = ROWS) -> DataFrame:
     """(keys..., from_, to_, i): the union of each key's intervals as stretches that neither overlap nor touch, numbered from 0."""
-    cold, hot = _split(written(_steps(rows, keys), "steps"), keys, most)
+    cold, hot = split(written(_steps(rows, keys), "steps"), keys, most)
     out = []
     edge = (F.col("_b") == 0) | (F.col("_b") + F.col("d") == 0)
     if cold is not None:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import convert_to_datetime, within
-from .intervals import OPEN
-from .ranks import at_times
+from ..scratch import written
+from .intervals import OPEN, ROWS, split
+from .ranks import at_times, before
 
 QUAD = ["s", "p", "o", "g"]
 
@@ -152,14 +153,23 @@ def delta_records(ops: DataFrame, snapshots: DataFrame, interval: tuple | None =
     return out.select("entity", "created", "deleted", F.coalesce("changes", no_change).alias("changes"), F.coalesce("additions", none).alias("additions"), F.coalesce("deletions", none).alias("deletions"), "merges")
 
 
-def latest_up_to(times: DataFrame, events: DataFrame, by: list[str], time: str = "time", at: str = "at", known: DataFrame | None = None) -> DataFrame:
+def latest_up_to(times: DataFrame, events: DataFrame, by: list[str], time: str = "time", at: str = "at", known: DataFrame | None = None, most: int = ROWS) -> DataFrame:
     """As-of join: for each row of times the events of its key with the latest at <= time (all of that at).
 
-    One union and one window a key, so no pair of times and events is ever made. times: (by..., time); events: (by..., at, ...).
+    No pair of times and events is ever made. Keys of up to so many rows take one union and one window; of larger ones
+    times and events are numbered over ranges, and an equi-join on numbers finds the event before. times: (by..., time); events: (by..., at, ...).
     known (by..., at) has the times that count where some of them have no events: a time that falls on such a one gets none.
     """
     known = (events if known is None else known).select(*by, at).distinct().select(*by, F.col(at).alias(time), F.col(at).alias("_at"))
     marks = times.select(*by, time, F.lit(None).cast("timestamp").alias("_at"), F.lit(True).alias("_ask")).unionByName(known.withColumn("_ask", F.lit(False)))
-    w = Window.partitionBy(*by).orderBy(time, F.col("_ask").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.withColumn("_at", F.last("_at", True).over(w)).where("_ask").where("_at is not null").drop("_ask")
-    return found.join(events.withColumnRenamed(at, "_at"), [*by, "_at"]).withColumnRenamed("_at", at)
+    cold, hot = split(written(marks, "marks"), by, most)
+    found = []
+    if cold is not None:
+        w = Window.partitionBy(*by).orderBy(time, F.col("_ask").asc()).rowsBetween(Window.unboundedPreceding, 0)
+        found.append(cold.withColumn("_at", F.last("_at", True).over(w)).where("_ask and _at is not null").select(*by, time, "_at"))
+    if hot is not None:
+        line = written(before(hot, by, [time, "_ask"], {"_n": ~F.col("_ask")}), "marks")
+        last = line.where("not _ask").select(*by, "_n", "_at")
+        found.append(line.where("_ask").select(*by, time, (F.col("_n") - 1).alias("_n")).join(last, [*by, "_n"]).select(*by, time, "_at"))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return rows.join(events.withColumnRenamed(at, "_at"), [*by, "_at"]).withColumnRenamed("_at", at)

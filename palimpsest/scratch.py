@@ -29,6 +29,22 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Paths of the tables that written() made in this process, in order.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many tables there are so far, for drop_since."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the tables that written() made since made() gave mark; nothing may read them any more."""
+    while len(_MADE) > mark:
+        fs, p = _file(spark, _MADE.pop())
+        fs.delete(p, True)
+
+
 def written(df: DataFrame, tag: str, by: list[str] | None = None, **options: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, keeps plans of loops short, and outlives lost executors. by: columns that folders are named by. options are the Parquet writer's."""
     spark = df.sparkSession
@@ -36,6 +52,7 @@ def written(df: DataFrame, tag: str, by: list[str] | None = None, **options: str
     df.write.options(**options).partitionBy(*by or []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _MADE.append(path)
     return out
 
 

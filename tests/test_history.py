@@ -160,3 +160,17 @@ def test_versions_are_undone_in_place(spark):
         assert [t.replace(tzinfo=timezone.utc) for t, _ in got] == times
         assert [s for _, s in got] == [state_of(states, e, t) for t in times]
     assert list(AgnosticEntity(c, "<urn:e/none>").iter_versions()) == []
+
+
+@pytest.mark.parametrize("most", [10**6, 5, 0])
+def test_latest_up_to(spark, most):
+    """As-of answers of small and of hot keys; several events of one time, times on an event and before all."""
+    rng = random.Random(17)
+    events = [(rng.choice("aab"), T0 + timedelta(days=rng.randint(5, 30)), i) for i in range(40)]
+    asks = sorted({(rng.choice("aabc"), T0 + timedelta(days=rng.randint(0, 40))) for _ in range(40)})
+    got = replay.latest_up_to(spark.createDataFrame(asks, "k string, time timestamp"), spark.createDataFrame(events, "k string, at timestamp, v int"), ["k"], most=most)
+    want = Counter()
+    for k, t in asks:
+        before = [e[1] for e in events if e[0] == k and e[1] <= t]
+        want.update((k, t, v) for x, at, v in events if before and x == k and at == max(before))
+    assert Counter((r.k, r.time.replace(tzinfo=timezone.utc), r.v) for r in got.collect()) == want
