@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import bpe, decontaminate, repeats, simhash, toxicity
 from palimpsest.llm.common import free_name, new_path, prepare, table
 from palimpsest.llm.words import row_key
+from palimpsest.scratch import drop_since, made
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage's result is a table in the shared folder that the next one reads."""
+    """Applies STAGES to documents; each stage's result is a table in the shared folder that the next one reads. What a stage wrote besides goes when its result is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
+        path, mark = new_path(spark, f"pipeline-{name}"), made()
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_since(spark, mark)
         docs = spark.read.parquet(path)
     return docs
