@@ -71,7 +71,7 @@ def parse(data: bytes, at: int = 0):
 
 
 #: Units that are encoded as one text, and units whose ids a worker keeps: some 200 bytes each, and rare words are dear to encode.
-TOGETHER, KEPT = 512, 1_000_000
+TOGETHER, KEPT = 512, 750_000
 
 
 @lru_cache(4)
