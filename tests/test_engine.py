@@ -351,7 +351,7 @@ def test_files_from_dumps_to_answers(spark, tmp_path):
     assert {tuple(r) for r in again.select("s", "p", "o").collect()} == {tuple(r) for r in quads.select("s", "p", "o").collect()}
     with zipfile.ZipFile(tmp_path / "j.zip", "w") as z:
         z.writestr("x.json", '[{"@id": "http://e/a", "http://e/p": [{"@value": 5}, {"@id": "_:n"}]}]')
-    assert {(r.s, r.o) for r in config.read_paths(spark, [str(tmp_path / "j.zip")]).collect()} == {("<http://e/a>", '"5"'), ("<http://e/a>", "_:n")}
+    assert {(r.s, r.o) for r in config.read_paths(spark, [str(tmp_path / "j.zip")]).collect()} == {("<http://e/a>", '"5"^^<http://www.w3.org/2001/XMLSchema#integer>'), ("<http://e/a>", "_:n")}
     with pytest.raises(ValueError):
         config.Config(config.Storer(), config.Storer(), blazegraph_full_text_search="yes", fuseki_full_text_search="yes")
     with pytest.raises(ValueError):
