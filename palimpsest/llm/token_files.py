@@ -25,7 +25,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,54 +75,52 @@ TOGETHER, KEPT = 512, 750_000
 
 
 @lru_cache(4)
-def _begins(path: str) -> np.ndarray:
-    """Of each id, whether its token begins with a blank."""
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of text that each id stands for."""
     from tokenizers import Tokenizer
 
-    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    out = np.zeros(max(vocab.values()) + 1, bool)
-    out[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True  # byte-level texts write a blank so
+    t = Tokenizer.from_file(path)
+    vocab = t.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)  # byte-level texts write each byte as one character
+    for i, token in t.get_added_tokens_decoder().items():
+        out[i] = len(token.content.encode())
     return out
 
 
-def encode_together(path: str, found: list[str]) -> list[np.ndarray]:
-    """Ids of each unit. Units with one blank, at their head, are encoded many as one text, as a result for each costs more than its ids: a token that begins with a blank begins the next unit. Where their number differs, and for all other units, each is encoded by itself."""
-    encode, out = library(path), [None] * len(found)
-    alone = []
-    plain = []
+def encode_together(path: str, found: list[str], width: int) -> list[bytes]:
+    """Ids of each unit, little-endian, of width bytes each. Units that may stand side by side (a blank at their head, no other white space at either end) are encoded many as one text, as a result for each costs more than its ids; the bytes that ids stand for tell where a unit ends. Where no id ends there, and for all other units, each is encoded by itself."""
+    encode, kind, out = library(path), f"<u{width}", [b""] * len(found)
+    plain, alone = [], []
     for i, u in enumerate(found):
-        (plain if u[0] == " " and u[1:].split() == [u[1:]] else alone).append(i)
+        (plain if u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() else alone).append(i)
     parts = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
     for part, ids in zip(parts, encode(["".join(map(found.__getitem__, part)) for part in parts])):
         ids = np.array(ids, np.uint32)
-        starts = np.flatnonzero(_begins(path)[ids])
-        if len(starts) != len(part) or starts[0]:
+        upto = np.cumsum(_token_bytes(path)[ids])
+        ends = np.cumsum([len(found[i].encode("utf-8", "surrogatepass")) for i in part])
+        at = np.searchsorted(upto, ends)
+        if at[-1] != len(ids) - 1 or (upto[at] != ends).any():
             alone += part
             continue
-        for i, a, b in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids)]):
-            out[i] = ids[a:b]
+        data = ids.astype(kind).tobytes()
+        for i, (a, b) in zip(part, pairwise([0, *((at + 1) * width).tolist()])):
+            out[i] = data[a:b]
     for i, ids in zip(alone, encode([found[i] for i in alone])):
-        out[i] = np.array(ids, np.uint32)
+        out[i] = np.array(ids, kind).tobytes()
     return out
 
 
 @lru_cache(4)
 def _units_to_ids(path: str, width: int) -> UnitCache:
-    def packed(unseen: list[str]) -> list[bytes]:
-        lists = encode_together(path, unseen)
-        data = np.concatenate(lists).astype(f"<u{width}").tobytes()
-        ends = list(accumulate((len(x) * width for x in lists), initial=0))
-        return [data[a:b] for a, b in pairwise(ends)]
-
-    return UnitCache(packed, KEPT)
+    return UnitCache(lambda unseen: encode_together(path, unseen, width), KEPT)
 
 
 def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[bytes]:
     if not cuts_safely_cached(path):
         return [np.array(x, f"<u{width}").tobytes() + end for x in library(path)(texts)]
-    cut = [units(t) for t in texts]
-    known = _units_to_ids(path, width).lookup(cut)
-    return [b"".join(map(known.__getitem__, us)) + end for us in cut]
+    return [b"".join(ids) + end for ids in _units_to_ids(path, width).outcomes([units(t) for t in texts])]
 
 
 _FRAME = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("record", pa.binary())])

@@ -54,15 +54,15 @@ class UnitCache:
         self.encode, self.half = encode, max(1, kept // 2)
         self.young, self.old, self.passing = {}, {}, []
 
-    def lookup(self, lists: list[list[str]]) -> dict:
-        """A table that has every unit of lists, valid until the next call."""
+    def _turn(self) -> None:
         for u in self.passing:
             del self.young[u]
         self.passing = []
         if len(self.young) > self.half:
             self.young, self.old = {}, self.young
+
+    def _add(self, missing: set[str]) -> None:
         young, old = self.young, self.old
-        missing = set().union(*lists) - young.keys()
         unseen = []
         for u in missing:
             if u in old:
@@ -72,4 +72,21 @@ class UnitCache:
         if unseen:
             young.update(zip(unseen, self.encode(unseen), strict=True))
             self.passing = [u for u in unseen if len(u) > LONGEST]
-        return young
+
+    def lookup(self, lists: list[list[str]]) -> dict:
+        """A table that has every unit of lists, valid until the next call."""
+        self._turn()
+        self._add(set().union(*lists) - self.young.keys())
+        return self.young
+
+    def outcomes(self, lists: list[list[str]]) -> list[list]:
+        """The outcomes of each list's units, none of which may be None: one look at the table for each unit, and a second for those it lacked."""
+        self._turn()
+        get = self.young.get
+        out = [list(map(get, us)) for us in lists]
+        holes = [[i for i, v in enumerate(vs) if v is None] for vs in out]
+        self._add({us[i] for us, at in zip(lists, holes) for i in at})
+        for us, vs, at in zip(lists, out, holes):
+            for i in at:
+                vs[i] = get(us[i])
+        return out
