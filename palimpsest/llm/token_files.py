@@ -25,7 +25,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, prepare, records, table, text_rows
 from .token_counts import GO, cuts_safely_cached, library
-from .units import UnitCache, units
+from .units import UnitCache, punctuation_at, units
 
 #: Bytes of records in one shard, about; a task that reads a shard holds it several times, so executors with more memory may take more.
 SHARD_BYTES = 12 << 20
@@ -71,7 +71,7 @@ def parse(data: bytes, at: int = 0):
 
 
 #: Units that are encoded as one text, and units whose ids a worker keeps: some 200 bytes each, and rare words are dear to encode.
-TOGETHER, KEPT = 512, 750_000
+TOGETHER, KEPT = 64, 600_000
 
 
 @lru_cache(4)
@@ -89,24 +89,35 @@ def _token_bytes(path: str) -> np.ndarray:
     return out
 
 
+def _ends(path: str, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+    """How many ids stand for the first bytes, the first two units' bytes and so on; None if no id ends where a unit does."""
+    upto, ends = np.cumsum(_token_bytes(path)[ids]), np.cumsum(sizes)
+    at = np.searchsorted(upto, ends)
+    return at + 1 if at[-1] == len(ids) - 1 and (upto[at] == ends).all() else None
+
+
 def encode_together(path: str, found: list[str], width: int) -> list[bytes]:
     """Ids of each unit, little-endian, of width bytes each. Units that may stand side by side (a blank at their head, no other white space at either end) are encoded many as one text, as a result for each costs more than its ids; the bytes that ids stand for tell where a unit ends. Where no id ends there, and for all other units, each is encoded by itself."""
     encode, kind, out = library(path), f"<u{width}", [b""] * len(found)
     plain, alone = [], []
     for i, u in enumerate(found):
         (plain if u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() else alone).append(i)
-    parts = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
-    for part, ids in zip(parts, encode(["".join(map(found.__getitem__, part)) for part in parts])):
-        ids = np.array(ids, np.uint32)
-        upto = np.cumsum(_token_bytes(path)[ids])
-        ends = np.cumsum([len(found[i].encode("utf-8", "surrogatepass")) for i in part])
-        at = np.searchsorted(upto, ends)
-        if at[-1] != len(ids) - 1 or (upto[at] != ends).any():
-            alone += part
-            continue
-        data = ids.astype(kind).tobytes()
-        for i, (a, b) in zip(part, pairwise([0, *((at + 1) * width).tolist()])):
-            out[i] = data[a:b]
+    sizes = np.array([len(found[i].encode("utf-8", "surrogatepass")) for i in plain], np.int64)
+
+    def deal(a: int, b: int, lists: list[list[int]]) -> bool:
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+        ends = _ends(path, ids, sizes[a:b])
+        if ends is not None:
+            data = ids.astype(kind).tobytes()
+            for i, (x, y) in zip(plain[a:b], pairwise([0, *(ends * width).tolist()])):
+                out[i] = data[x:y]
+        return ends is not None
+
+    lists = encode(["".join(map(found.__getitem__, plain[a : a + TOGETHER])) for a in range(0, len(plain), TOGETHER)])
+    if plain and not deal(0, len(plain), lists):
+        for a, ids in zip(range(0, len(plain), TOGETHER), lists):
+            if not deal(a, min(a + TOGETHER, len(plain)), [ids]):
+                alone += plain[a : a + TOGETHER]
     for i, ids in zip(alone, encode([found[i] for i in alone])):
         out[i] = np.array(ids, kind).tobytes()
     return out
@@ -114,7 +125,10 @@ def encode_together(path: str, found: list[str], width: int) -> list[bytes]:
 
 @lru_cache(4)
 def _units_to_ids(path: str, width: int) -> UnitCache:
-    return UnitCache(lambda unseen: encode_together(path, unseen, width), KEPT)
+    from tokenizers import Tokenizer
+
+    added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    return UnitCache(lambda unseen: encode_together(path, unseen, width), KEPT, None if any(map(punctuation_at, added)) else punctuation_at)
 
 
 def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[bytes]:

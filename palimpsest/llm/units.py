@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 #: A blank between two characters that Python counts as no white space. Python's set holds all of the tokenizers' white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units kept per worker, and the longest unit kept.
 KEPT, LONGEST = 400_000, 64
+#: A word of letters that every version of Unicode has, with ASCII punctuation behind it and nothing more: two pre-tokens.
+PUNCTUATED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-^`{-~]++\Z)")
 _NEXT_TO_BLANK = re.compile(r"\s | \s")
 #: All other characters that count as white space.
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -43,15 +46,24 @@ def units(text: str) -> list[str]:
     return [parts[0], *(" " + p for p in parts[1:])]
 
 
+def punctuation_at(unit: str) -> int:
+    """Where the punctuation begins if the unit is a word and punctuation, else 0."""
+    if unit[-1].isalpha():
+        return 0
+    m = PUNCTUATED.match(unit)
+    return m.end() if m else 0
+
+
 class UnitCache:
     """Per-worker outcome of each unit, in two generations. encode gets a list of distinct unseen units and returns as many outcomes.
 
     Units that are met move to the young generation; when that has half of kept, it becomes
-    the old one and the units that were not met since are forgotten.
+    the old one and the units that were not met since are forgotten. cut(unit) is a place at which an unseen unit
+    may be cut, so that its outcome is the sum of both parts' outcomes, or 0; parts are kept as well and never cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], kept: int = KEPT):
-        self.encode, self.half = encode, max(1, kept // 2)
+    def __init__(self, encode: Callable[[list[str]], list], kept: int = KEPT, cut: Callable[[str], int] | None = None):
+        self.encode, self.half, self.cut = encode, max(1, kept // 2), cut
         self.young, self.old, self.passing = {}, {}, []
 
     def _turn(self) -> None:
@@ -62,16 +74,26 @@ class UnitCache:
             self.young, self.old = {}, self.young
 
     def _add(self, missing: set[str]) -> None:
-        young, old = self.young, self.old
-        unseen = []
+        young, old, cut = self.young, self.old, self.cut
+        unseen, pairs, parts = [], [], set()
         for u in missing:
+            if u in old:
+                young[u] = old[u]
+            elif cut and (at := cut(u)):
+                pairs.append((u, u[:at], u[at:]))
+                parts.update(pairs[-1][1:])
+            else:
+                unseen.append(u)
+        for u in parts - missing - young.keys():
             if u in old:
                 young[u] = old[u]
             else:
                 unseen.append(u)
         if unseen:
             young.update(zip(unseen, self.encode(unseen), strict=True))
-            self.passing = [u for u in unseen if len(u) > LONGEST]
+        for u, head, tail in pairs:
+            young[u] = young[head] + young[tail]
+        self.passing = [u for u in chain(unseen, (p[0] for p in pairs)) if len(u) > LONGEST]
 
     def lookup(self, lists: list[list[str]]) -> dict:
         """A table that has every unit of lists, valid until the next call."""

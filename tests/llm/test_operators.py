@@ -54,6 +54,23 @@ def test_units_encoded_together_keep_their_ids():
     assert token_files.encode_together(path, [], 2) == []
 
 
+def test_units_are_cut_before_punctuation_and_kept_in_two_generations():
+    path = P.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    words = ["word", " élan", "naïve", "x", "don't", "<|endoftext|>", "a1", "\u4e2d", "ÿ\u0301", "_", "", "w" * 70]
+    lists = [[f" {rng.choice(words)}{rng.choice(['', ',', '.', '...', chr(39), '?!', '%%%', '<|'])}" for _ in range(40)] for _ in range(60)]
+    lists = [[u for u in us if u != " "] for us in lists]
+    assert units.punctuation_at(" word,") == 5 and units.punctuation_at("élan...") == 4
+    assert not any(units.punctuation_at(u) for u in (" word", " a1,", ",", " ", " don't", " <|endoftext|>", " a\u0301,", "a, "))
+    for kept in (1, 20, 10_000):
+        cache = units.UnitCache(lambda unseen: token_files.encode_together(path, unseen, 2), kept, units.punctuation_at)
+        for us in lists:
+            whole = np.array(token_counts.library(path)(["".join(us)])[0], "<u2").tobytes()
+            assert b"".join(cache.outcomes([us, []])[0]) == whole
+            known = cache.lookup([us])
+            assert b"".join(known[u] for u in us) == whole
+
+
 def test_token_counts_and_files(spark, odd, tmp_path):
     path = P.path("byte_bpe_50k.json")
     encode = token_counts.library(path)
