@@ -1,7 +1,8 @@
 """License scans by diagonal voting, with DataFrame operations only.
 
 1. One pass over the texts counts words and keeps of each text its k-gram hashes that occur in
-   license templates, with their positions.
+   license templates, with their positions. A text that has enough of some template's k-grams, wherever they stand, is
+   kept whole; no other can have a span.
 2. They are joined to the positions they have in templates. Hits of one text and template vote for
    their diagonal (position in the text minus position in the template). Neighbouring diagonals are merged as far as the
    template's allowed edits reach and no further, so a merged span is never longer than its template and those edits.
@@ -72,11 +73,19 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
         rows_.append((i, phrase, label, i < len(base), len(ws), 0 if i < len(base) else len(ws) // edit_every, letters, "".join(letters[w] for w in ws), [w for w in ws if w.isdigit()]))
     listed = spark.createDataFrame(rows_, "t int, phrase string, label string, base boolean, n int, edits int, letters map<string,string>, code string, numbers array<string>")
     grams = hashed(listed, "t", text="phrase").select("t", F.posexplode(gram_hashes(F.col("h"), k)).alias("at", "g"))
-    known = [r.g for r in grams.select("g").distinct().orderBy("g").collect()]  # of the parameters
+    of = [[] for _ in rows_]  # grams of each template, of the parameters
+    for g in grams.collect():
+        of[g.t].append(g.g)
+    known = sorted({g for gs in of for g in gs})
+    needed = [max(1, row[4] - (k - 1) - k * row[5]) for row in rows_]
     # 1. one pass over all texts
-    one = keyed(documents).select("k", "doc_id", word_hashes(words(F.col("text"))).alias("h")).select("k", "doc_id", F.size("h").alias("n_words"), gram_hashes(F.col("h"), k).alias("grams"))
+    one = keyed(documents).select("k", "doc_id", "text", word_hashes(words(F.col("text"))).alias("h")).select("k", "doc_id", "text", F.size("h").alias("n_words"), gram_hashes(F.col("h"), k).alias("grams"))
     placed = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("g"))), lambda x: x["g"].isin(known))
-    seen = written(one.select("k", "doc_id", "n_words", placed.alias("hits")), "scanned")
+    enough = F.lit(False)
+    for gs, need in zip(of, needed):
+        enough = enough | (F.size(F.filter(F.array(*map(F.lit, gs)), lambda g: F.array_contains("met", g))) >= need)
+    one = one.select("k", "doc_id", "text", "n_words", placed.alias("hits")).withColumn("met", F.array_distinct(F.col("hits.g")))
+    seen = written(one.select("k", "doc_id", "n_words", "hits", F.when((F.size("met") > 0) & enough, F.col("text")).alias("text")), "scanned")
     # 2. votes; repeated rows vote once
     hits = seen.where(F.size("hits") > 0).dropDuplicates(["k"]).select("k", F.explode("hits").alias("x")).join(F.broadcast(grams), F.col("x.g") == F.col("g")).select("k", "t", (F.col("x.pos") - F.col("at")).alias("d"), "at")
     votes = hits.groupBy("k", "t", "d").agg(F.collect_set("at").alias("at")).join(F.broadcast(listed), "t")
@@ -86,8 +95,8 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.filter(near, lambda x: x["d"] <= F.col("d") + F.col("edits")), lambda x: x["at"]))))
     spans = votes.withColumn("covered", covered).where(F.col("covered") >= F.greatest(F.lit(1), F.col("n") - (k - 1) - k * F.col("edits"))).select("k", "t", "d")
     spans = written(spans, "spans")
-    # 3. the words themselves; only texts with spans are read as words again
-    texts = keyed(documents).join(spans.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]).select("k", words(F.col("text")).alias("ws"))
+    # 3. the words themselves; only texts that may have spans are read as words again, and only those are shuffled
+    texts = seen.where(F.col("text").isNotNull()).select("k", "text").dropDuplicates(["k"]).join(spans.select("k").distinct(), "k", "left_semi").select("k", words(F.col("text")).alias("ws"))
     cut = F.least("d", F.lit(0))  # words of a template that stand before the text
     begin = F.greatest("d", F.lit(0))
     window = spans.join(texts, "k").join(F.broadcast(listed), "t").select("k", "t", "label", "base", "n", "edits", "code", "numbers", "letters", "d", begin.alias("start"), F.slice("ws", begin + 1, F.greatest(F.lit(0), F.col("n") + F.col("edits") + cut)).alias("piece"))
