@@ -34,19 +34,31 @@ def collapse(ops: DataFrame) -> DataFrame:
     return ops.groupBy("entity", "generated_at", *QUAD).agg(F.min_by("op", order).alias("op"))
 
 
-def validity(ops: DataFrame, quads: DataFrame, snapshots: DataFrame, is_quadstore: bool = True) -> DataFrame:
+def validity(ops: DataFrame, quads: DataFrame, snapshots: DataFrame, is_quadstore: bool = True, tasks: int | None = None) -> DataFrame:
     """(entity, s, p, o, g, valid_from, valid_to): half-open, valid_to null while the quad is in the dataset; intervals of a quad never touch. Entities without snapshots have no versions. Without a quad store, quads compare by s, p, o.
 
-    One shuffle and one order: each touch of a quad by an operation sees the next one, the dataset's quads stand behind
-    all touches, and touches that change nothing (removed and added again at one time) are passed over.
+    One shuffle by entity and one order: an entity's creation stands first, then each quad's touches by time, then the
+    dataset's quad. Of a quad's operations at one time the one counts that tells whether it was there before (see collapse). Touches that change
+    nothing (removed and added again at one time) are passed over. tasks: how many share the work; else Spark decides.
     """
     if not is_quadstore:
         ops, quads = ops.withColumn("g", F.lit("")), quads.withColumn("g", F.lit(""))
-    created = snapshots.groupBy("entity").agg(F.min("generated_at").alias("created"))
-    touch = collapse(ops.where("generated_at is not null")).select("entity", *QUAD, F.col("generated_at").alias("at"), "op")
-    present = quads.select("entity", *QUAD).distinct().select("entity", *QUAD, F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("op"))
-    w = Window.partitionBy("entity", *QUAD).orderBy(F.col("at").asc_nulls_last())
-    rows = touch.unionByName(present).join(created, "entity").withColumns({"next_at": F.lead("at").over(w), "next_op": F.lead("op").over(w), "more": F.lead(F.lit(True)).over(w)})
+    kinds = {"entity": "string", **{c: "string" for c in QUAD}, "at": "timestamp", "op": "string", "n_": "long", "snapshot": "string", "op_seq": "int", "quad_seq": "int", "created": "timestamp", "k_": "int"}
+    full = lambda df, **have: df.select(*[have.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+    own = {c: F.col(c) for c in ("entity", *QUAD)}
+    born = full(snapshots.groupBy("entity").agg(F.min("generated_at").alias("created")), entity=F.col("entity"), created=F.col("created"), k_=F.lit(0))
+    touch = full(ops.where("generated_at is not null"), **own, at=F.col("generated_at"), op=F.col("op"), n_=number(F.col("snapshot")), snapshot=F.col("snapshot"), op_seq=F.col("op_seq"), quad_seq=F.col("quad_seq"), k_=F.lit(1))
+    rows = born.union(touch).union(full(quads, **own, k_=F.lit(1))).where("entity is not null")
+    rows = rows.repartition(tasks, "entity") if tasks else rows.repartition("entity")
+    rows = rows.withColumn("h_", F.xxhash64("entity"))  # numbers order faster than names that begin alike
+    quad = ["h_", "entity", "k_", *QUAD]
+    order = [F.col("at").asc_nulls_last(), "n_", "snapshot", F.col("op_seq").desc_nulls_first(), F.col("quad_seq").desc_nulls_first()]
+    upto = Window.partitionBy("h_", "entity").orderBy("k_", *QUAD, *order).rowsBetween(Window.unboundedPreceding, 0)
+    each = Window.partitionBy(*quad).orderBy(*order)
+    rows = rows.withColumn("created", F.first("created", True).over(upto)).withColumns({"same_": F.lag("at").over(each), "any_": F.lag(F.lit(True)).over(each)})
+    rows = rows.where("k_ = 1 and created is not null and (any_ is null or not (same_ <=> at))").drop("n_", "snapshot", "op_seq", "quad_seq", "same_", "any_")
+    w = Window.partitionBy(*quad).orderBy(F.col("at").asc_nulls_last())
+    rows = rows.withColumns({"next_at": F.lead("at").over(w), "next_op": F.lead("op").over(w), "more": F.lead(F.lit(True)).over(w)})
     # what is there at creation has no earlier version; a row behind a touch that has no time is the dataset's
     rows = rows.withColumns({"was": (F.col("op") == "D") & (F.col("created") < F.col("at")), "is": F.coalesce((F.col("next_op") == "D") | (F.col("more") & F.col("next_at").isNull()), F.lit(False))})
     rows = rows.where("at is null or was <> is").withColumns({"to": F.lead("at").over(w), "back": F.lag(F.lit(True)).over(w)})

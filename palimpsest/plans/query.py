@@ -43,9 +43,9 @@ class Catalog:
     is_quadstore: bool = True
 
     @classmethod
-    def build(cls, quads: DataFrame, snapshots: DataFrame, ops: DataFrame, is_quadstore: bool = True, per_slice: int = PER_SLICE) -> Catalog:
-        """The intervals become a table in the shared folder, by length and start: they are made once, every pattern reads them, and a question on an instant only those files that can hold it."""
-        v = write_levels(replay.validity(ops, quads, snapshots, is_quadstore), snapshots, per_slice)
+    def build(cls, quads: DataFrame, snapshots: DataFrame, ops: DataFrame, is_quadstore: bool = True, per_slice: int = PER_SLICE, tasks: int | None = None) -> Catalog:
+        """The intervals become a table in the shared folder, by length and start: they are made once, every pattern reads them, and a question on an instant only those files that can hold it. tasks: how many make them; else Spark decides."""
+        v = write_levels(replay.validity(ops, quads, snapshots, is_quadstore, tasks), snapshots, per_slice)
         return cls(quads, snapshots, ops, v.rows(), tables=[v.frame], levels=v, is_quadstore=is_quadstore)
 
     def during(self, interval: tuple | None) -> DataFrame:

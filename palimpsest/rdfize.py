@@ -27,12 +27,23 @@ def user(x: Column) -> Column:
     return iri(F.concat(F.lit("urn:user/"), x.cast("string")))
 
 
-def static_quads(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("customer", "nation", "region", "supplier", "part", "orders")) -> DataFrame:
-    """Each non-null column of each row as a quad; keys of other tables are IRIs, doubles are cents."""
+#: Rows of a table, and of what is made from it, that one task takes, about.
+PER_TASK, MADE_PER_TASK = 50_000, 250_000
+
+
+def dealt(df: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """df over tasks of about so many rows: a file of a few row groups is read by few tasks, however much is made of a row."""
+    n = -(-df.count() // per_task)
+    return df.repartition(n) if n > 1 else df
+
+
+def static_quads(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("customer", "nation", "region", "supplier", "part", "orders"), deal: bool = False) -> DataFrame:
+    """Each non-null column of each row as a quad; keys of other tables are IRIs, doubles are cents. deal: rows are dealt over tasks first."""
     keys = {"custkey": "customer", "nationkey": "nation", "regionkey": "region", "suppkey": "supplier", "partkey": "part", "orderkey": "orders"}
     out = None
     for name in names:
         df = table(spark, sf_dir, name)
+        df = dealt(df) if deal else df
         s = iri(F.concat(F.lit(f"urn:t:{name}/"), F.col(df.columns[0]).cast("string")))
         pairs = []
         for c, kind in df.dtypes:
@@ -119,10 +130,10 @@ def merge_snapshots(last: DataFrame) -> DataFrame:
 
 def static_catalog(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Catalog:
     """Tables as a dataset in which every entity has one snapshot, of 2020."""
-    q = static_quads(spark, sf_dir, names)
-    rows = q.select("entity", F.concat(F.lit("<"), F.regexp_replace("entity", "[<>]", ""), F.lit("/prov/se/1>")).alias("snapshot"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("generated_at")).distinct()
+    q = static_quads(spark, sf_dir, names, deal=True)
+    rows = q.select("entity").distinct().select("entity", F.concat(F.lit("<"), F.regexp_replace("entity", "[<>]", ""), F.lit("/prov/se/1>")).alias("snapshot"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("generated_at"))
     ops = spark.createDataFrame([], "entity string, snapshot string, generated_at timestamp, op_seq int, quad_seq int, op string, s string, p string, o string, g string")
-    return Catalog.build(q, snapshots_from(rows, F.array().cast("array<string>"), description="row"), ops)
+    return Catalog.build(q, snapshots_from(rows, F.array().cast("array<string>"), description="row"), ops, tasks=-(-q.count() // MADE_PER_TASK) or 1)
 
 
 def nation_merges(spark: SparkSession, sf_dir: str, catalog: Catalog) -> Catalog:

@@ -26,6 +26,22 @@ def small_tables(spark, folder, users=4, events=9):
     spark.createDataFrame([(i, f"c{i}", i % 2, 1.0, "s") for i in range(10)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{folder}/customer.parquet")
 
 
+def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    small_tables(spark, tmp_path)
+    c = rdfize.table(spark, str(tmp_path), "customer")
+    got = rdfize.dealt(c, 3)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, c.collect()))
+    assert "RoundRobinPartitioning(4)" in plan_of(got) and "RoundRobin" not in plan_of(rdfize.dealt(c, 10))
+
+
+def test_validity_shuffles_operations_once(spark, tmp_path):
+    small_tables(spark, tmp_path)
+    c = rdfize.event_catalog(spark, str(tmp_path))
+    plan = plan_of(replay.validity(c.ops, c.quads, c.snapshots, tasks=7))
+    assert plan.count("Exchange hashpartitioning(") == 2 and ", 7), REPARTITION_BY_NUM" in plan  # by entity, and the snapshots' for their first times
+    assert len([x for x in plan.split("\n") if x.strip(" +-:*()0123456789").startswith("Sort [")]) == 1
+
+
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_times_stand_together_in_blocks(spark, block):
     rng = random.Random(block)
