@@ -70,7 +70,7 @@ def parse_ops(spark, d):
 
 def parse_odd_texts(spark, d):
     """Operations of texts as other writers make them: without dots, with semicolons, escapes and both quotes, in any case, and with a block that isn't closed."""
-    c = rdfize.table(spark, d, "customer")
+    c = rdfize.dealt(rdfize.table(spark, d, "customer"))
     s = F.concat(F.lit("<urn:t:customer/"), F.col("c_custkey").cast("string"), F.lit(">"))
     name, seg = F.col("c_name"), F.col("c_mktsegment")
     text = F.concat(
