@@ -42,6 +42,12 @@ def test_validity_shuffles_operations_once(spark, tmp_path):
     assert len([x for x in plan.split("\n") if x.strip(" +-:*()0123456789").startswith("Sort [")]) == 1
 
 
+def test_states_have_one_row_an_event(spark, tmp_path):
+    small_tables(spark, tmp_path)
+    rows = rdfize.event_states(spark, str(tmp_path))
+    assert rows.count() == 36 and not [c for c, kind in rows.dtypes if kind == "string" and c not in ("event_type", "prev_type")]
+
+
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_times_stand_together_in_blocks(spark, block):
     rng = random.Random(block)
