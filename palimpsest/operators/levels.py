@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import convert_to_datetime
-from ..scratch import written
+from ..scratch import small_pieces, written
 
 #: Snapshots in one slice of time, about, and slices at most.
 PER_SLICE, SLICES = 200_000, 512
-#: Shuffled bytes that one task orders and writes, about.
-PIECE = "12m"
 
 
 @dataclass
@@ -63,11 +61,6 @@ def write_levels(v: DataFrame, snapshots: DataFrame, per_slice: int = PER_SLICE)
     wide: Column = F.when(F.col("level") <= 0, F.lit(width).cast("long")).otherwise(F.call_function("shiftleft", F.lit(width).cast("long"), F.col("level")))
     rows = rows.withColumn("slice", F.call_function("div", F.unix_micros("valid_from") - F.lit(lo), wide).cast("int"))
     rows = rows.hint("rebalance", "level", "slice").sortWithinPartitions("level", "slice", "valid_from")
-    conf, name = v.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = conf.get(name)
-    conf.set(name, PIECE)  # rows of one kind pack into few bytes, which a task unpacks to sort them
-    try:
+    with small_pieces(v.sparkSession):
         frame = written(rows, "levels", by=["level", "slice"])
-    finally:
-        conf.set(name, before)
     return Levels(frame, lo, width, top)

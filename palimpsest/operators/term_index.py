@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import normal_term
-from ..scratch import written
+from ..scratch import small_pieces, written
 
 BUCKETS = 64
 _KEYS = ["s", "p", "o", "g"]
@@ -43,12 +43,16 @@ class TermIndex:
         return rows.select("entity").distinct()
 
 
-def write_index(ops: DataFrame, buckets: int = BUCKETS) -> TermIndex:
-    """The index of ops (entity, s, p, o, g). A term with a third of all rows, such as a predicate, is dealt over tasks as it needs."""
-    quads = ops.select("entity", *_KEYS).distinct().withColumn("norm", normal_term(F.col("o")))
+def write_index(ops: DataFrame, buckets: int = BUCKETS, tasks: int | None = None) -> TermIndex:
+    """The index of ops (entity, s, p, o, g). A term with a third of all rows, such as a predicate, is dealt over tasks as it needs. tasks: how many share the quads; else Spark decides."""
+    quads = ops.select("entity", *_KEYS)
+    # dealt before they are told apart, so that no task holds more different quads than its share of all operations
+    quads = (quads.repartition(tasks, "entity", "p", "o") if tasks else quads).distinct().withColumn("norm", normal_term(F.col("o")))
     rows = quads.select(F.explode(F.array_distinct(F.array(*_KEYS, "norm"))).alias("term"), "entity", *_KEYS, "norm").where("term is not null")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     bloom = {"parquet.bloom.filter.enabled#term": "true"}
-    table = written(rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "terms", by=["bucket"], **bloom)
-    sizes = table.groupBy("bucket", "term").agg(F.count("*").alias("n"))
-    return TermIndex(table, written(sizes.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "terms", by=["bucket"], **bloom), buckets)
+    put = lambda df: written(df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "terms", by=["bucket"], **bloom)
+    with small_pieces(ops.sparkSession):
+        table = put(rows)
+        sizes = put(table.groupBy("bucket", "term").agg(F.count("*").alias("n")))
+    return TermIndex(table, sizes, buckets)

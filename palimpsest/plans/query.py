@@ -41,12 +41,14 @@ class Catalog:
     levels: Levels | None = None
     index: TermIndex | None = None
     is_quadstore: bool = True
+    #: How many tasks share work on all operations; else Spark decides.
+    tasks: int | None = None
 
     @classmethod
     def build(cls, quads: DataFrame, snapshots: DataFrame, ops: DataFrame, is_quadstore: bool = True, per_slice: int = PER_SLICE, tasks: int | None = None) -> Catalog:
         """The intervals become a table in the shared folder, by length and start: they are made once, every pattern reads them, and a question on an instant only those files that can hold it. tasks: how many make them; else Spark decides."""
         v = write_levels(replay.validity(ops, quads, snapshots, is_quadstore, tasks), snapshots, per_slice)
-        return cls(quads, snapshots, ops, v.rows(), tables=[v.frame], levels=v, is_quadstore=is_quadstore)
+        return cls(quads, snapshots, ops, v.rows(), tables=[v.frame], levels=v, is_quadstore=is_quadstore, tasks=tasks)
 
     def during(self, interval: tuple | None) -> DataFrame:
         """The intervals that can hold at a version selected by interval: with both ends, those that meet it. A version before its start that stands in for none inside holds up to the start."""
@@ -57,7 +59,7 @@ class Catalog:
     def with_index(self) -> Catalog:
         """Makes the index of terms, with which searches in updates don't read all operations."""
         if self.index is None:
-            self.index = write_index(self.ops)
+            self.index = write_index(self.ops, tasks=self.tasks)
             self.tables += [self.index.rows, self.index.sizes]
         return self
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.terms import XSD, iri, literal
 from .plans.query import Catalog
-from .scratch import written
+from .scratch import small_pieces, written
 
 USERS = "<urn:g:users>"
 STATUS, VALUE = "<urn:p:status>", "<urn:p:value>"
@@ -101,7 +101,8 @@ def event_catalog(spark: SparkSession, sf_dir: str, kind: str = "") -> Catalog:
     an error by a snapshot one second later that deletes all and is invalidated; "merged" adds the merges of user_merges as
     snapshots of the survivors.
     """
-    states = written(event_states(spark, sf_dir, kind == "ties"), "states")
+    with small_pieces(spark):
+        states = written(event_states(spark, sf_dir, kind == "ties"), "states")
     name = lambda n: snapshot_name(F.col("user_id"), n, kind != "ties")
     first = states.withColumns({"entity": user(F.col("user_id")), "snapshot": name(F.col("number"))})
     op = lambda seq, op, p, o: F.struct(F.lit(seq).alias("op_seq"), F.lit(op).alias("op"), F.lit(p).alias("p"), o.alias("o"))

@@ -82,3 +82,18 @@ def test_language_model_learns_from_no_sample(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "limit", limit)
     model = mixing.train(docs, 10, 64)
     assert model.n == 40 * 6 and (model.broadcast.value["weights"] == mixing.start_weights()).all()
+
+
+def test_index_is_made_in_small_pieces(spark, tmp_path, monkeypatch):
+    from palimpsest.operators import term_index
+
+    small_tables(spark, tmp_path)
+    c = rdfize.event_catalog(spark, str(tmp_path))
+    c.tasks, name, made = 7, "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(term_index, "written", lambda df, *a, **b: made.append((spark.conf.get(name), plan_of(df))) or written(df, *a, **b))
+    index = c.with_index().index
+    assert [size for size, _ in made] == ["12m", "12m"] and spark.conf.get(name) == before
+    assert made[0][1].count("Exchange hashpartitioning(") == 2 and ", 7), REPARTITION_BY_NUM" in made[0][1]  # quads, and the rebalance
+    want = Counter((t, r.entity, r.s, r.p, r.o, r.g) for r in set(c.ops.select("entity", "s", "p", "o", "g").collect()) for t in {r.s, r.p, r.o, r.g})
+    assert Counter((r.term, r.entity, r.s, r.p, r.o, r.g) for r in index.rows.collect()) == want
