@@ -35,6 +35,8 @@ GRAMS = (4, 5)
 #: Characters of a piece of a long word.
 PIECE = 40
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
+#: Files of learned texts, at most: max_train rows need no more, however many partitions there are.
+BAGS = 12
 #: Words kept per worker with their logit.
 KEPT = 400_000
 
@@ -190,7 +192,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     each = texts.mapInArrow(bags, "doc_id long, tie long, toxic long, words array<string>, shares array<float>")
     # an id may have any number of rows; the one whose text has the least hash is learned
     one = each.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "shares"), "tie").alias("x"))
-    rows = written(one.select("x.toxic", "x.words", "x.shares"), "bags")
+    rows = written(one.select("x.toxic", "x.words", "x.shares").coalesce(BAGS), "bags")
     least = max(MIN_DF, MIN_SHARE * rows.count())
     vocab = [r.w for r in rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy("w").select("w").collect()]
     shared = spark.sparkContext.broadcast(vocab)

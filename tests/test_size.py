@@ -97,3 +97,23 @@ def test_index_is_made_in_small_pieces(spark, tmp_path, monkeypatch):
     assert made[0][1].count("Exchange hashpartitioning(") == 2 and ", 7), REPARTITION_BY_NUM" in made[0][1]  # quads, and the rebalance
     want = Counter((t, r.entity, r.s, r.p, r.o, r.g) for r in set(c.ops.select("entity", "s", "p", "o", "g").collect()) for t in {r.s, r.p, r.o, r.g})
     assert Counter((r.term, r.entity, r.s, r.p, r.o, r.g) for r in index.rows.collect()) == want
+
+
+def test_learned_texts_stand_in_few_files(spark, monkeypatch):
+    from palimpsest.llm import toxicity
+
+    made = []
+    monkeypatch.setattr(toxicity, "written", lambda df, tag: made.append((tag, written(df, tag))) or made[-1][1])
+    docs = spark.createDataFrame([(i, f"word{i % 7} and {'bad' if i % 2 else 'good'}") for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    name, merge = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "50")
+        spark.conf.set(merge, "false")
+        toxicity.train(docs, labels)
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset(merge)
+    assert made[0][0] == "bags" and len(made[0][1].inputFiles()) <= toxicity.BAGS
+    assert made[0][1].count() == labels.where(~toxicity.held_out(F.col("doc_id"))).count()
