@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import drop_written, prepare, table, text_rows, written
 
@@ -43,6 +44,10 @@ RATE, REFINE, BUCKETS, GATES = 0.02, 0.04, 8, 18
 STEP = 15.0
 #: Bytes of texts that are mixed together, and types that a counting task holds.
 GO, HELD = 3 << 19, 400_000
+#: Symbols whose bits are looked up together, so few that their numbers stay in a processor's cache.
+NEAR = 1 << 14
+#: Steps of mixing whose numbers are unpacked together; a multiple of 8.
+STEPS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +123,7 @@ class Coder:
         first = np.cumsum(n) - n
         # what stands before: words by number, rare ones by a hash, 0 before a text
         name = ids.astype(np.uint64) + np.uint64(1)
-        name[rare] = np.fromiter(map(hash_of, odd), np.uint64, len(odd))
+        name[rare] = np.fromiter(map(xxh3_64_intdigest, odd), np.uint64, len(odd))
         one, two = np.zeros(len(flat), np.uint64), np.zeros(len(flat), np.uint64)
         one[1:], two[2:] = name[:-1], name[:-2]
         one[first], two[first] = 0, 0
@@ -157,30 +162,26 @@ class Coder:
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits of each symbol, place in bits and nodes of each bit)."""
-        length = self.length[symbols]
-        at = self.offset[symbols] - (np.cumsum(length) - length)
+        length = self.length.take(symbols)
+        at = self.offset.take(symbols) - (np.cumsum(length) - length)
         return length, np.arange(length.sum()) + np.repeat(at, length)
 
 
-def hash_of(word: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(word)
 
 
 def slots(context: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
-    return ((context ^ nodes) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.intp)
+    return (context ^ nodes) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)
 
 
 def add_counts(coder: Coder, tables: np.ndarray, texts: list[bytes], bits: int) -> None:
     """Counts the bits of texts in tables (HASHED, 2 * 2**bits): a 0 and a 1 of each slot side by side."""
     symbols, context, *_ = coder.symbols(texts)
     one = np.int32(1)
-    for a in range(0, len(symbols), 400_000):  # some millions of bits at once
-        length, at = coder.expand(symbols[a : a + 400_000])
-        nodes, bit = coder.nodes[at], coder.bits[at]
+    for a in range(0, len(symbols), NEAR):
+        length, at = coder.expand(symbols[a : a + NEAR])
+        nodes, bit = coder.nodes.take(at), coder.bits.take(at)
         for k in range(HASHED):
-            np.add.at(tables[k], slots(np.repeat(context[k, a : a + 400_000], length), nodes, bits) * 2 + bit, one)
+            np.add.at(tables[k], (slots(np.repeat(context[k, a : a + NEAR], length), nodes, bits) << np.uint32(1) | bit).astype(np.intp), one)
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
@@ -194,17 +195,22 @@ def inputs(coder: Coder, tables: list[np.ndarray], symbols: np.ndarray, context:
 
     The set is chosen by the kind of symbol and the sureness of the second and third predictor.
     """
-    length, at = coder.expand(symbols)
-    nodes = coder.nodes[at]
-    x = np.empty((len(at), 4), np.int8)
-    gate = np.repeat((symbols <= coder.escape).astype(np.int8) * 9, length)
-    x[:, 0] = coder.odds[at]
-    for k in range(HASHED):
-        v = x[:, k + 1] = tables[k].take(slots(np.repeat(context[k], length), nodes, bits))
-        v = np.abs(v)
-        gate += ((v > 12).view(np.int8) + (v > 36).view(np.int8)) * (1 if k else 3)
-    x[:, 3] = gate * 2 + coder.bits[at]
-    return length, x
+    lengths = coder.length.take(symbols)
+    x, o = np.empty((int(lengths.sum()), 4), np.int8), 0
+    for a in range(0, len(symbols), NEAR):
+        some = symbols[a : a + NEAR]
+        length, at = coder.expand(some)
+        nodes, y = coder.nodes.take(at), x[o : o + len(at)]
+        gate = np.repeat((some <= coder.escape).astype(np.int8) * 9, length)
+        y[:, 0] = coder.odds.take(at)
+        for k in range(HASHED):
+            v = tables[k].take(slots(np.repeat(context[k, a : a + NEAR], length), nodes, bits).astype(np.intp))
+            y[:, k + 1] = v
+            v = np.abs(v)
+            gate += ((v > 12).view(np.int8) + (v > 36).view(np.int8)) * (1 if k else 3)
+        y[:, 3] = gate * 2 + coder.bits.take(at)
+        o += len(at)
+    return lengths, x
 
 
 def start_weights() -> np.ndarray:
@@ -226,42 +232,56 @@ def code_nats(coder: Coder, tables: list[np.ndarray], weights: np.ndarray, texts
     rank[order] = np.arange(len(n))
     active = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), side="left")  # blocks with more bits than the step
     start = np.cumsum(active) - active
-    step = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    to = np.arange(len(x), dtype=np.int32)
+    to -= np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+    to = start.astype(np.int32).take(to)
+    to += np.repeat(rank.astype(np.int32), n)
     packed = np.empty(len(x), np.int32)
-    packed[start.take(step) + np.repeat(rank, n)] = x.view(np.int32).ravel()
-    *xs, last = (np.ascontiguousarray(packed.view(np.int8)[k::4]) for k in range(4))
+    packed[to] = x.view(np.int32).ravel()
     lanes, f = len(n), np.float32
     unit = f(1 / STEP)
-    del x, packed, step
-    ws = [np.tile(weights[:, k].astype(f), lanes) for k in range(ORDERS)]
+    del x, to
+    # a set's weights stand side by side, as one number of 16 bytes where they are only moved
+    ws = np.zeros((lanes * GATES, 4), f)
+    ws[:, :ORDERS] = np.tile(weights[:, :ORDERS].astype(f), (lanes, 1))
+    sets = ws.view(np.complex128).ravel()
     bias = weights[:, ORDERS].astype(f)
     refine = np.zeros(lanes * BUCKETS, f)
     base_g, base_b = np.arange(lanes) * GATES, np.arange(lanes) * BUCKETS
     nats, product = np.zeros(lanes), np.ones(lanes)
-    for t, (o, a) in enumerate(zip(start.tolist(), active.tolist())):
-        tail = last[o : o + a]
-        s, g, v = ((tail & 1) * 2 - 1).astype(f), (tail >> 1).astype(np.intp), [c[o : o + a] * unit for c in xs]
-        at = base_g[:a] + g
-        mine = [w.take(at) for w in ws]
-        z = bias.take(g)
-        for w, c in zip(mine, v):
-            z += w * c
-        np.minimum(np.maximum(z, f(-11), out=z), f(11), out=z)
-        b = base_b[:a] + np.minimum(np.maximum(z + f(4), f(0)), f(BUCKETS - 1)).astype(np.intp)
-        fix = refine.take(b)
-        z += fix
-        u = np.exp(np.multiply(z, -s, out=z), out=z)
-        q = u + f(1)
-        product[:a] *= q
-        error = np.multiply(np.divide(u, q, out=u), s, out=u)
-        refine[b] = fix + f(REFINE) * error
-        error *= f(RATE)
-        for w, m, c in zip(ws, mine, v):
-            m += error * c
-            w[at] = m
-        if t % 8 == 7:  # odds of 8 bits stay far below the largest number
-            nats += np.log(product)
-            product[:] = 1
+    steps = list(zip(start.tolist(), active.tolist()))
+    for t0 in range(0, len(steps), STEPS):
+        some = steps[t0 : t0 + STEPS]
+        first, most = some[0]
+        part = packed[first : sum(some[-1])].view(np.int8).reshape(-1, 4)
+        tails, values = part[:, 3], part * unit
+        values[:, 3] = 0
+        signs, gates = ((tails & 1) * 2 - 1).astype(f), (tails >> 1).astype(np.intp)
+        biases = bias.take(gates)
+        for t, (o, a) in enumerate(some):
+            o -= first
+            s, g, v, z = signs[o : o + a], gates[o : o + a], values[o : o + a], biases[o : o + a]
+            at = base_g[:a] + g
+            mine = sets.take(at)
+            w = mine.view(f).reshape(a, 4)
+            x = w * v
+            for k in range(ORDERS):
+                z += x[:, k]
+            np.minimum(np.maximum(z, f(-11), out=z), f(11), out=z)
+            b = base_b[:a] + np.minimum(np.maximum(z + f(4), f(0)), f(BUCKETS - 1)).astype(np.intp)
+            fix = refine.take(b)
+            z += fix
+            u = np.exp(np.multiply(z, -s, out=z), out=z)
+            q = u + f(1)
+            product[:a] *= q
+            error = np.multiply(np.divide(u, q, out=u), s, out=u)
+            refine[b] = fix + f(REFINE) * error
+            error *= f(RATE)
+            w += np.multiply(v, error[:, None], out=x)
+            sets[at] = mine
+            if t % 8 == 7:  # odds of 8 bits stay far below the largest number
+                nats[:most] += np.log(product[:most])
+                product[:most] = 1
     nats += np.log(product)
     return np.bincount(block_text, nats[rank], minlength=len(texts)) if lanes else np.zeros(len(texts)), *per
 

@@ -117,3 +117,28 @@ def test_learned_texts_stand_in_few_files(spark, monkeypatch):
         spark.conf.unset(merge)
     assert made[0][0] == "bags" and len(made[0][1].inputFiles()) <= toxicity.BAGS
     assert made[0][1].count() == labels.where(~toxicity.held_out(F.col("doc_id"))).count()
+
+
+@pytest.mark.parametrize("near", [1, 5, 1 << 14])
+def test_symbols_looked_up_apart_give_equal_bits(monkeypatch, near):
+    import numpy as np
+
+    from palimpsest.llm import mixing
+
+    rng = random.Random(near)
+    texts = [b"", *(" ".join(rng.choice(["a", "bb", "ccc", f"x{rng.random()}"]) for _ in range(rng.randrange(1, 400))).encode() for _ in range(9))]
+    coder = mixing.Coder([b"", b"a", b"bb"], np.array([10, 300, 200]), 90, [3] * 257)
+    size = 10
+    table = np.zeros((mixing.HASHED, 2 << size), np.int32)
+    monkeypatch.setattr(mixing, "NEAR", near)
+    mixing.add_counts(coder, table, texts, size)
+    symbols, context, *_ = coder.symbols(texts)
+    length, at = coder.expand(symbols)
+    want = np.zeros_like(table)
+    for k in range(mixing.HASHED):
+        for c, node, bit in zip(np.repeat(context[k], length).tolist(), coder.nodes[at].tolist(), coder.bits[at].tolist()):
+            want[k, 2 * (((c ^ node) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - size)) + bit] += 1
+    assert (table == want).all() and table.sum() == mixing.HASHED * length.sum()
+    tables = [mixing.odds(t) for t in table]
+    alone = [mixing.code_nats(coder, tables, mixing.start_weights(), [t], size)[0][0] for t in texts]
+    assert np.allclose(mixing.code_nats(coder, tables, mixing.start_weights(), texts, size)[0], alone)
