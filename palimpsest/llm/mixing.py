@@ -18,12 +18,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from functools import lru_cache
-from itertools import chain, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +41,30 @@ START = 0.4
 RATE, REFINE, BUCKETS, GATES = 0.02, 0.04, 8, 18
 #: Odds are kept in steps of 1 / STEP.
 STEP = 15.0
-#: Bytes of texts that are mixed together, and types that a counting task holds.
-GO, HELD = 3 << 19, 400_000
-#: Symbols whose bits are looked up together, so few that their numbers stay in a processor's cache.
-NEAR = 1 << 14
+#: Bytes of texts that are mixed together, types that a counting task holds, and symbols whose slots it counts at once.
+GO, HELD, SORTED = 3 << 19, 400_000, 1 << 21
+#: Symbols whose bits are looked up together, and blocks that are dealt to steps together, so few that their numbers stay in a processor's cache.
+NEAR, DEALT = 1 << 13, 1 << 7
 #: Steps of mixing whose numbers are unpacked together; a multiple of 8.
 STEPS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cased words and the end, which is empty."""
-    return [*text.lower().split(), b""]
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lower-cased words of all texts, one after the other; how many each text has). texts: strings without nulls."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()
+    n = np.diff(ends).astype(np.int64)
+    # white space at a text's ends leaves empty words there
+    empty = np.flatnonzero(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))
+    if len(empty):
+        n -= np.bincount(np.searchsorted(ends, empty + ends[0], side="right") - 1, minlength=len(n))
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat, n
+
+
+def as_strings(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.binary()).view(pa.string())
 
 
 def _hash32(x: np.ndarray) -> np.ndarray:
@@ -101,7 +112,7 @@ class Coder:
     """Texts to symbols, contexts and bits. words and counts: the symbols' words; rest: how often others are met; bytes_: counts of bytes and word ends in others."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, rest: int, bytes_: list[int]):
-        self.vocab = {w: i for i, w in enumerate(words)}
+        self.vocab = as_strings(words)
         self.escape, self.byte = len(words), len(words) + 1
         self.log, self.known = np.log10(counts + 1.0), counts > 0
         first, second = np.array([*counts.tolist(), rest]), np.array(bytes_)
@@ -110,25 +121,37 @@ class Coder:
         self.length = np.concatenate(lengths)
         self.offset = np.concatenate((a[0], b[0] + len(a[1])))
         self.bits, self.nodes, self.odds = (np.concatenate((a[k], b[k])) for k in (1, 2, 3))
+        # a bit's node, odds, and twice its lowest set of weights plus the bit, as one number
+        tail = self.bits + np.repeat(np.uint8([18, 0]), [len(a[1]), len(b[1])])
+        self.paths = self.nodes.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64) << np.uint64(24) | self.odds.view(np.uint8)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The symbol of each word, or -1."""
+        return pc.index_in(words, value_set=self.vocab).fill_null(-1).to_numpy().astype(np.int64)
 
     def symbols(self, texts: list[bytes]) -> tuple:
         """(symbols, contexts (HASHED, n), symbols of each text, per text: tokens, known symbols' tokens, sum of log10(count + 1))."""
-        lists = [tokens(t) for t in texts]
-        n = np.array([len(x) for x in lists], np.int64)
-        flat = list(chain.from_iterable(lists))
-        ids = np.fromiter(map(self.vocab.get, flat, repeat(-1)), np.int64, len(flat))
+        flat, n = split_words(as_strings(texts))
+        types = flat.dictionary_encode()
+        each = pa.concat_arrays([types.dictionary, pa.array([""])])
+        of = np.full(len(flat) + len(texts), len(each) - 1)  # the end is the last type
+        of[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), n)] = types.indices.to_numpy()
+        n += 1
+        found = self.find(each)
+        # what stands before: words by number, rare ones by a hash, 0 before a text
+        names, new = found.astype(np.uint64) + np.uint64(1), np.flatnonzero(found < 0)
+        names[new] = np.fromiter(map(xxh3_64_intdigest, each.take(pa.array(new)).view(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(new))
+        ids, name = found.take(of), names.take(of)
         rare = ids < 0
-        odd = [flat[i] for i in np.flatnonzero(rare).tolist()]
-        sizes = np.fromiter(map(len, odd), np.int64, len(odd)) + 1
         first = np.cumsum(n) - n
-        # what stands before: words by number, rare ones by a hash, 0 before a text
-        name = ids.astype(np.uint64) + np.uint64(1)
-        name[rare] = np.fromiter(map(xxh3_64_intdigest, odd), np.uint64, len(odd))
-        one, two = np.zeros(len(flat), np.uint64), np.zeros(len(flat), np.uint64)
+        one, two = np.zeros(len(of), np.uint64), np.zeros(len(of), np.uint64)
         one[1:], two[2:] = name[:-1], name[:-2]
         one[first], two[first] = 0, 0
         two[(first + 1)[n > 1]] = 0
-        width = np.ones(len(flat), np.int64)
+        odd = each.take(pa.array(of[rare]))
+        ends = np.frombuffer(odd.buffers()[1], np.int32, len(odd) + 1).astype(np.int64)
+        sizes = np.diff(ends) + 1
+        width = np.ones(len(of), np.int64)
         width[rare] += sizes
         at = np.cumsum(width) - width
         total = int(width.sum())
@@ -137,28 +160,28 @@ class Coder:
         symbols[at] = np.where(rare, self.escape, ids)
         context[0, at] = _hash32(one * np.uint64(3) + np.uint64(1))
         context[1, at] = _hash32((one * _MIX + two) * np.uint64(3) + np.uint64(2))
-        if odd:
-            start = np.cumsum(sizes) - sizes
+        if len(odd):
+            k = np.repeat(np.arange(len(odd)), sizes - 1)
             value = np.full(int(sizes.sum()), 256, np.int64)
-            k = np.repeat(np.arange(len(odd)), sizes)
-            place = np.arange(len(value)) - start[k]
-            value[place < sizes[k] - 1] = np.frombuffer(b"".join(odd), np.uint8)
-            before = np.zeros(len(value), np.uint64)
-            to = at[rare][k] + 1 + place
+            value[np.arange(len(k)) + k] = np.frombuffer(odd.buffers()[2] or b"", np.uint8, len(k))
+            start = np.cumsum(sizes) - sizes
+            to = np.arange(len(value)) + np.repeat(at[rare] + 1 - start, sizes)
             symbols[to] = self.byte + value
-            for back in range(1, 6):
-                v = np.zeros(len(value), np.uint64)
-                v[back:] = value[:-back] + 1
-                v[place < back] = 0
-                before |= v << np.uint64(9 * (back - 1))
+            last = np.zeros(len(value), np.uint64)
+            last[1:] = value[:-1] + 1
+            last[start] = 0
+            before = last.copy()
+            for back in range(2, 6):  # what stands before a byte is the last byte and what stands before that
+                before[1:] = before[:-1] << np.uint64(9) | last[1:]
+                before[start] = 0
                 if back in (3, 5):
                     context[back // 4, to] = _hash32(before * np.uint64(4) + np.uint64(back))
         add = lambda x: np.add.reduceat(x, first) if len(x) else x
-        known = ~rare
-        known[known] = self.known[ids[known]]
-        logs = np.zeros(len(flat))
-        logs[~rare] = self.log[ids[~rare]]
-        return symbols, context, add(width), n, add(known.astype(np.int64)), add(logs)
+        known = np.zeros(len(each), np.int64)
+        logs = np.zeros(len(each))
+        old = found >= 0
+        known[old], logs[old] = self.known[found[old]], self.log[found[old]]
+        return symbols, context, add(width), n, add(known.take(of)), add(logs.take(of))
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits of each symbol, place in bits and nodes of each bit)."""
@@ -167,8 +190,6 @@ class Coder:
         return length, np.arange(length.sum()) + np.repeat(at, length)
 
 
-
-
 def slots(context: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
     return (context ^ nodes) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)
 
@@ -176,12 +197,22 @@ def slots(context: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
 def add_counts(coder: Coder, tables: np.ndarray, texts: list[bytes], bits: int) -> None:
     """Counts the bits of texts in tables (HASHED, 2 * 2**bits): a 0 and a 1 of each slot side by side."""
     symbols, context, *_ = coder.symbols(texts)
-    one = np.int32(1)
-    for a in range(0, len(symbols), NEAR):
-        length, at = coder.expand(symbols[a : a + NEAR])
-        nodes, bit = coder.nodes.take(at), coder.bits.take(at)
-        for k in range(HASHED):
-            np.add.at(tables[k], (slots(np.repeat(context[k, a : a + NEAR], length), nodes, bits) << np.uint32(1) | bit).astype(np.intp), one)
+    add_symbols(coder, tables, symbols, context, bits)
+
+
+def add_symbols(coder: Coder, tables: np.ndarray, symbols: np.ndarray, context: np.ndarray, bits: int) -> None:
+    """Counts the bits of symbols in tables. Symbols that meet the same context more than once are told apart first, and the bits of each such pair are looked up once."""
+    for k in range(HASHED):
+        pairs = symbols.astype(np.uint64) << np.uint64(32) | context[k]
+        pairs.sort()
+        begins = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        times = np.diff(begins, append=len(pairs)).astype(np.int32)
+        pairs = pairs.take(begins)
+        for a in range(0, len(pairs), NEAR):
+            some = pairs[a : a + NEAR]
+            length, at = coder.expand((some >> np.uint64(32)).astype(np.int64))
+            slot = slots(np.repeat(some.astype(np.uint32), length), coder.nodes.take(at), bits)
+            np.add.at(tables[k], (slot << np.uint32(1) | coder.bits.take(at)).astype(np.intp), np.repeat(times[a : a + NEAR], length))
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
@@ -200,15 +231,16 @@ def inputs(coder: Coder, tables: list[np.ndarray], symbols: np.ndarray, context:
     for a in range(0, len(symbols), NEAR):
         some = symbols[a : a + NEAR]
         length, at = coder.expand(some)
-        nodes, y = coder.nodes.take(at), x[o : o + len(at)]
-        gate = np.repeat((some <= coder.escape).astype(np.int8) * 9, length)
-        y[:, 0] = coder.odds.take(at)
+        path, y = coder.paths.take(at), x[o : o + len(at)]
+        nodes, gate = (path >> np.uint64(32)).astype(np.uint32), np.zeros(len(at), np.int8)
         for k in range(HASHED):
             v = tables[k].take(slots(np.repeat(context[k, a : a + NEAR], length), nodes, bits).astype(np.intp))
             y[:, k + 1] = v
             v = np.abs(v)
-            gate += ((v > 12).view(np.int8) + (v > 36).view(np.int8)) * (1 if k else 3)
-        y[:, 3] = gate * 2 + coder.bits.take(at)
+            gate += ((v > 12).view(np.int8) + (v > 36).view(np.int8)) * np.int8(2 if k else 6)
+        path = path.view(np.int8).reshape(-1, 8)
+        y[:, 0] = path[:, 0]
+        y[:, 3] = gate + path[:, 3]
         o += len(at)
     return lengths, x
 
@@ -232,52 +264,52 @@ def code_nats(coder: Coder, tables: list[np.ndarray], weights: np.ndarray, texts
     rank[order] = np.arange(len(n))
     active = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), side="left")  # blocks with more bits than the step
     start = np.cumsum(active) - active
-    to = np.arange(len(x), dtype=np.int32)
-    to -= np.repeat((np.cumsum(n) - n).astype(np.int32), n)
-    to = start.astype(np.int32).take(to)
-    to += np.repeat(rank.astype(np.int32), n)
-    packed = np.empty(len(x), np.int32)
-    packed[to] = x.view(np.int32).ravel()
+    packed, x, done = np.empty(len(x), np.int32), x.view(np.int32).ravel(), 0
+    for a in range(0, len(n), DEALT):
+        some = n[a : a + DEALT]
+        upto = np.cumsum(some)
+        step = np.arange(upto[-1]) - np.repeat(upto - some, some)
+        packed[start.take(step) + np.repeat(rank[a : a + DEALT], some)] = x[done : done + upto[-1]]
+        done += upto[-1]
     lanes, f = len(n), np.float32
-    unit = f(1 / STEP)
-    del x, to
-    # a set's weights stand side by side, as one number of 16 bytes where they are only moved
-    ws = np.zeros((lanes * GATES, 4), f)
-    ws[:, :ORDERS] = np.tile(weights[:, :ORDERS].astype(f), (lanes, 1))
+    del x
+    # odds are mixed in steps, so weights are divided by STEP. A set's weights and bias stand side by side, as one number of 16 bytes where they are only moved
+    ws = np.tile((weights / ([STEP] * ORDERS + [1])).astype(f), (lanes, 1))
     sets = ws.view(np.complex128).ravel()
-    bias = weights[:, ORDERS].astype(f)
     refine = np.zeros(lanes * BUCKETS, f)
     base_g, base_b = np.arange(lanes) * GATES, np.arange(lanes) * BUCKETS
     nats, product = np.zeros(lanes), np.ones(lanes)
+    moves = np.zeros((lanes, 4), f)  # a bias stays
     steps = list(zip(start.tolist(), active.tolist()))
     for t0 in range(0, len(steps), STEPS):
         some = steps[t0 : t0 + STEPS]
         first, most = some[0]
         part = packed[first : sum(some[-1])].view(np.int8).reshape(-1, 4)
-        tails, values = part[:, 3], part * unit
-        values[:, 3] = 0
+        tails, values = part[:, 3], part.astype(f)
+        values[:, 3] = 1
         signs, gates = ((tails & 1) * 2 - 1).astype(f), (tails >> 1).astype(np.intp)
-        biases = bias.take(gates)
         for t, (o, a) in enumerate(some):
             o -= first
-            s, g, v, z = signs[o : o + a], gates[o : o + a], values[o : o + a], biases[o : o + a]
-            at = base_g[:a] + g
+            s, at, v, e = signs[o : o + a], gates[o : o + a], values[o : o + a], moves[:a]
+            at += base_g[:a]
             mine = sets.take(at)
             w = mine.view(f).reshape(a, 4)
-            x = w * v
-            for k in range(ORDERS):
-                z += x[:, k]
+            x = (w * v).view(np.complex64)
+            x = x[:, 0] + x[:, 1]
+            z = x.real + x.imag
             np.minimum(np.maximum(z, f(-11), out=z), f(11), out=z)
-            b = base_b[:a] + np.minimum(np.maximum(z + f(4), f(0)), f(BUCKETS - 1)).astype(np.intp)
+            b = base_b[:a] + np.minimum(np.maximum((z + f(4)).astype(np.int8), 0), BUCKETS - 1)
             fix = refine.take(b)
             z += fix
-            u = np.exp(np.multiply(z, -s, out=z), out=z)
+            z *= s
+            u = np.exp(np.negative(z, out=z), out=z)
             q = u + f(1)
             product[:a] *= q
             error = np.multiply(np.divide(u, q, out=u), s, out=u)
             refine[b] = fix + f(REFINE) * error
-            error *= f(RATE)
-            w += np.multiply(v, error[:, None], out=x)
+            error *= f(RATE / STEP**2)
+            e[:, 0] = e[:, 1] = e[:, 2] = error
+            w += np.multiply(v, e, out=v)
             sets[at] = mine
             if t % 8 == 7:  # odds of 8 bits stay far below the largest number
                 nats[:most] += np.log(product[:most])
@@ -305,19 +337,29 @@ def _goes(texts: list[bytes], most: int):
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n) over rows (text): each task adds up before the shuffle, and hands over what it holds at HELD words."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
-    def run(batches):
-        held: Counter = Counter()
-        for _, texts in _texts(batches):
-            for t in texts:
-                held.update(tokens(t))
-                if len(held) > HELD:
-                    yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())}, schema)
-                    held = Counter()
-        yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())}, schema)
+    def together(held):
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]) if held else schema.empty_table()
 
-    return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches):
+        held, size, ends = [], 0, 0
+        for b in batches:
+            flat, n = split_words(b.column("text"))
+            found = flat.value_counts()
+            held.append(pa.table([found.field(0), found.field(1)], schema=schema))
+            size, ends = size + len(found), ends + len(n)
+            if size > 2 * HELD:
+                t = together(held)
+                held, size = [t], len(t)
+                if size > HELD:
+                    yield from t.cast(out).to_batches(max_chunksize=1 << 16)
+                    held, size = [], 0
+        yield from together(held).cast(out).to_batches(max_chunksize=1 << 16)
+        yield pa.RecordBatch.from_pydict({"word": [b""], "n": [ends]}, out)
+
+    return rows.select("text").mapInArrow(run, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int = WORDS) -> tuple[list[bytes], list[int]]:
@@ -374,11 +416,22 @@ def slot_counts(rows: DataFrame, coder: tuple[str, object], bits: int) -> DataFr
 
     def count(batches):
         mine, *_ = _coder(key, broadcast)
-        tables, any_ = np.zeros((HASHED, 2 << bits), np.int32), False
+        tables, any_, held, size = np.zeros((HASHED, 2 << bits), np.int32), False, [], 0
+
+        def add_up():
+            add_symbols(mine, tables, *(np.concatenate(x, axis=-1) for x in zip(*held)), bits)
+            held.clear()
+
         for _, texts in _texts(batches):
             for a, z in _goes(texts, GO):
-                add_counts(mine, tables, texts[a:z], bits)
-                any_ = True
+                symbols, context, *_ = mine.symbols(texts[a:z])
+                held.append((symbols.astype(np.uint32), context))
+                any_, size = True, size + len(symbols)
+                if size >= SORTED:
+                    add_up()
+                    size = 0
+        if held:
+            add_up()
         task = TaskContext.get().partitionId() // 64
         chunks = tables.reshape(HASHED, -1, 2 * min(CHUNK, 1 << bits))
         for k in range(HASHED if any_ else 0):
@@ -451,13 +504,16 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     words = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("_row", pa.int64()), ("word", pa.binary()), ("m", pa.int64())])
 
     def rare(batches):
-        vocab = _coder(key, broadcast)[0].vocab
-        for b, texts in _texts(batches):
-            for a, z in _goes(texts, GO):
-                found = [Counter(filterfalse(vocab.__contains__, tokens(t))) for t in texts[a:z]]
-                of = np.repeat(np.arange(a, z), [len(c) for c in found])
-                keys = [b.column(c).take(pa.array(of)) for c in ("_a", "_b", "_row")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(list(chain.from_iterable(found)), pa.binary()), pa.array(list(chain.from_iterable(c.values() for c in found)), pa.int64())], schema=words)
+        coder = _coder(key, broadcast)[0]
+        for b in batches:
+            flat, n = split_words(b.column("text"))
+            types = flat.dictionary_encode()
+            of = types.indices.to_numpy()
+            at = np.flatnonzero((coder.find(types.dictionary) < 0).take(of))
+            found, m = np.unique(np.repeat(np.arange(len(n)), n)[at] * max(1, len(types.dictionary)) + of[at], return_counts=True)
+            row, word = np.divmod(found, max(1, len(types.dictionary)))
+            keys = [b.column(c).take(pa.array(row)) for c in ("_a", "_b", "_row")]
+            yield pa.RecordBatch.from_arrays([*keys, types.dictionary.take(pa.array(word)).view(pa.binary()), pa.array(m, pa.int64())], schema=words)
 
     scored = rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind), *(f"{n} {t}" for n, _, t in add)]))
     odd = rows.select("_a", "_b", F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(rare, "_a long, _b long, _row long, word binary, m long")

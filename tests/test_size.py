@@ -142,3 +142,29 @@ def test_symbols_looked_up_apart_give_equal_bits(monkeypatch, near):
     tables = [mixing.odds(t) for t in table]
     alone = [mixing.code_nats(coder, tables, mixing.start_weights(), [t], size)[0][0] for t in texts]
     assert np.allclose(mixing.code_nats(coder, tables, mixing.start_weights(), texts, size)[0], alone)
+
+
+def test_bits_of_repeated_pairs_are_looked_up_once(monkeypatch):
+    """A context and symbol that come a thousand times cost as many looks as one that comes once."""
+    import numpy as np
+
+    from palimpsest.llm import mixing
+
+    coder = mixing.Coder([b"", b"a", b"bb"], np.array([10, 300, 200]), 90, [3] * 257)
+    looks, expand = [], coder.expand
+    monkeypatch.setattr(coder, "expand", lambda symbols: looks.append(len(symbols)) or expand(symbols))
+    table = np.zeros((mixing.HASHED, 2 << 10), np.int32)
+    mixing.add_counts(coder, table, [b"a bb zz"] * 1000, 10)
+    assert sum(looks) == mixing.HASHED * len(coder.symbols([b"a bb zz"])[0])
+    once = np.zeros_like(table)
+    mixing.add_counts(coder, once, [b"a bb zz"], 10)
+    assert (table == 1000 * once).all()
+
+
+def test_words_split_in_arrow_equal_plain_ones():
+    from palimpsest.llm import mixing
+
+    texts = [b"", b" ", b"  A  b\n", b"a\x0bB\x0cc\x1cd \r\n", "É ÀB　c d".encode(), b"x", b"\t\t"]
+    for some in (texts, texts[2:], [b""], []):
+        flat, n = mixing.split_words(mixing.as_strings(some))
+        assert [w.encode() for w in flat.to_pylist()] == [w for t in some for w in t.lower().split()] and n.tolist() == [len(t.split()) for t in some]
