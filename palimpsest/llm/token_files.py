@@ -29,12 +29,13 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, prepare, records, table, text_rows
 from .token_counts import GO, cuts_safely_cached, library
-from .units import UnitCache, punctuation_at, units
+from .units import UnitCache, all_blanks_cut, punctuation_at, units
 
 #: Bytes of records in one shard, about; a task that reads a shard holds it several times, so executors with more memory may take more.
 SHARD_BYTES = 12 << 20
@@ -71,7 +72,7 @@ def parse(data: bytes, at: int = 0):
 
 
 #: Units that are encoded as one text, and units whose ids a worker keeps: some 200 bytes each, and rare words are dear to encode.
-TOGETHER, KEPT = 64, 600_000
+TOGETHER, KEPT = 64, 400_000
 
 
 @lru_cache(4)
@@ -132,9 +133,28 @@ def _units_to_ids(path: str, width: int) -> UnitCache:
 
 
 def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[bytes]:
+    """Ids of each text, little-endian, of width bytes each, and end. Texts are cut by Arrow, so that Python sees each different unit once; the few whose blanks aren't all cuts are cut one by one."""
     if not cuts_safely_cached(path):
         return [np.array(x, f"<u{width}").tobytes() + end for x in library(path)(texts)]
-    return [b"".join(ids) + end for ids in _units_to_ids(path, width).outcomes([units(t) for t in texts])]
+    known, out = _units_to_ids(path, width), [end] * len(texts)
+    plain, others = [], []
+    for i, t in enumerate(texts):
+        if t:
+            (plain if all_blanks_cut(t) and "\0" not in t else others).append(i)
+    if plain:
+        parts = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in plain], pa.large_string()), " ", "\0 "), "\0")
+        types = parts.flatten().dictionary_encode()
+        (found,) = known.outcomes([types.dictionary.to_numpy(zero_copy_only=False).tolist()])
+        ids = pa.array(found, pa.large_binary()).take(types.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int64, len(ids) + 1)[parts.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        for i, (x, y) in zip(plain, pairwise(at)):
+            out[i] = b"".join((data[x:y], end))
+    if others:
+        for i, ids in zip(others, known.outcomes([units(texts[i]) for i in others])):
+            out[i] = b"".join((*ids, end))
+    return out
 
 
 _FRAME = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("record", pa.binary())])
@@ -173,16 +193,15 @@ def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None =
 
 
 def ranges(rows: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
-    """Ends of the shards' ranges of (id is not null, id, tie), ascending, each of about equal bytes; from at most about SAMPLE rows (doc_id, tie, text). A record is taken for half its text."""
+    """Ends of the shards' ranges of (id is not null, id, tie), ascending, each of about equal bytes; from about SAMPLE to twice as many rows (doc_id, tie, text), so that texts are read once; counting rows reads none. A record is taken for half its text."""
     size = F.octet_length("text") + 32
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    shards = max(1, -(-total // (2 * shard_bytes)))
-    if shards == 1:
-        return []
-    parts = max(1, n // SAMPLE)
+    parts = max(1, rows.count() // SAMPLE)
     picked = rows.where(F.pmod(F.xxhash64("tie", "doc_id", F.lit(1)), F.lit(parts)) == 0).select((F.col("doc_id").isNotNull()).alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", size.alias("size"))
     t = picked.toArrow()
     known, ids, tie, sizes = (t.column(c).to_numpy() for c in t.column_names)
+    shards = -(-int(sizes.sum()) * parts // (2 * shard_bytes))
+    if shards <= 1:
+        return []
     order = np.lexsort((tie, ids, known))
     upto = np.cumsum(sizes[order])
     at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)) if len(order) else []

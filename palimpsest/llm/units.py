@@ -24,8 +24,8 @@ _NEXT_TO_BLANK = re.compile(r"\s | \s")
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
-def _all_blanks_cut(text: str) -> bool:
-    """Whether every blank stands between two characters that are no white space."""
+def all_blanks_cut(text: str) -> bool:
+    """Whether every blank of a text that isn't empty stands between two characters that are no white space."""
     if text[0] == " " or text[-1] == " ":
         return False
     if any(c in text for c in _RARE):
@@ -37,7 +37,7 @@ def units(text: str) -> list[str]:
     """text, cut before each safe blank; every unit but the first begins with its blank."""
     if not text:
         return []
-    if _all_blanks_cut(text):
+    if all_blanks_cut(text):
         if "\0" not in text:  # the quickest way to keep each blank
             return text.replace(" ", "\0 ").split("\0")
         parts = text.split(" ")
@@ -75,15 +75,19 @@ class UnitCache:
 
     def _add(self, missing: set[str]) -> None:
         young, old, cut = self.young, self.old, self.cut
-        unseen, pairs, parts = [], [], set()
-        for u in missing:
-            if u in old:
-                young[u] = old[u]
-            elif cut and (at := cut(u)):
-                pairs.append((u, u[:at], u[at:]))
-                parts.update(pairs[-1][1:])
-            else:
-                unseen.append(u)
+        back = old.keys() & missing
+        young.update(zip(back, map(old.__getitem__, back)))
+        unseen, pairs, parts = list(missing - back), [], set()
+        if cut:
+            found, unseen = unseen, []
+            for u in found:
+                if at := cut(u):
+                    head, tail = u[:at], u[at:]
+                    pairs.append((u, head, tail))
+                    parts.add(head)
+                    parts.add(tail)
+                else:
+                    unseen.append(u)
         for u in parts - missing - young.keys():
             if u in old:
                 young[u] = old[u]

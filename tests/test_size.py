@@ -168,3 +168,36 @@ def test_words_split_in_arrow_equal_plain_ones():
     for some in (texts, texts[2:], [b""], []):
         flat, n = mixing.split_words(mixing.as_strings(some))
         assert [w.encode() for w in flat.to_pylist()] == [w for t in some for w in t.lower().split()] and n.tolist() == [len(t.split()) for t in some]
+
+
+def test_a_unit_is_looked_up_once_for_all_texts_of_a_go(monkeypatch):
+    """Texts of many equal words cost as many looks in the table as they have different words, and their ids are the library's."""
+    import numpy as np
+    import public_tokenizers
+
+    from palimpsest.llm import token_counts, token_files, units
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    looks, plain = [], units.UnitCache.outcomes
+    monkeypatch.setattr(units.UnitCache, "outcomes", lambda self, lists: looks.append(sum(map(len, lists))) or plain(self, lists))
+    texts = ["one two, three " * 500 + "end", "", "two", " two", "two  one ", "a\0 b\0 two", "é　x one", "\n", "one\n two", "one two,"]
+    end = b"\x02\x00"
+    got = token_files.encode_ids(path, texts, 2, end)
+    assert got == [np.array(x, "<u2").tobytes() + end for x in token_counts.library(path)(texts)]
+    assert sum(looks) < 50 and token_files.encode_ids(path, [], 2, end) == [] and token_files.encode_ids(path, [""], 4, b"") == [b""]
+    assert token_files.encode_ids(path, ["one two"], 4, b"") == [np.array(token_counts.library(path)(["one two"])[0], "<u4").tobytes()]
+
+
+def test_shards_are_found_by_one_pass_over_texts(spark, monkeypatch):
+    from palimpsest.llm import common, token_files
+
+    rows = common.text_rows(spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 40).alias("text")), F.lit(1).cast("long").alias("tie"))
+    for sample in (100_000, 1000):
+        monkeypatch.setattr(token_files, "SAMPLE", sample)
+        agg = type(rows).agg
+        monkeypatch.setattr(type(rows), "agg", lambda *a: pytest.fail("texts are summed up by a pass of their own"))
+        bounds = token_files.ranges(rows, 40_000)
+        monkeypatch.setattr(type(rows), "agg", agg)
+        ends = [b[1] for b in bounds]
+        assert len(bounds) in (7, 8, 9) and all(a < b for a, b in zip(ends, ends[1:])) and max(b - a for a, b in zip([0, *ends], [*ends, 3000])) < 600
+    assert token_files.ranges(rows, 1 << 20) == [] == token_files.ranges(rows.limit(0), 10)
