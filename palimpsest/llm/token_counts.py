@@ -50,7 +50,7 @@ def cuts_safely(path: str) -> bool:
     with open(path) as f:
         j = json.load(f)
     pre = j.get("pre_tokenizer") or {}
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in j["added_tokens"])
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"]))) for t in j["added_tokens"])
     return plain and not j.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and bool(pre.get("use_regex", True))
 
 

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, prepare, records, table, text_rows
-from .token_counts import GO, cuts_safely_cached, library
-from .units import UnitCache, all_blanks_cut, punctuation_at, units
+from .pieces import PieceTable, joinable, large, odd_texts, pieces, strings
+from .token_counts import cuts_safely_cached, library
 
 #: Bytes of records in one shard, about; a task that reads a shard holds it several times, so executors with more memory may take more.
 SHARD_BYTES = 12 << 20
@@ -71,8 +71,10 @@ def parse(data: bytes, at: int = 0):
         at += n + 17
 
 
-#: Units that are encoded as one text, and units whose ids a worker keeps: some 200 bytes each, and rare words are dear to encode.
-TOGETHER, KEPT = 64, 400_000
+#: Bytes of texts in one go; words repeat within it.
+GO = 4 << 20
+#: Pieces that are encoded as one text and at once, and pieces whose ids a worker keeps, some 40 bytes each.
+TOGETHER, AT_ONCE, KEPT = 64, 1 << 15, 200_000
 
 
 @lru_cache(4)
@@ -97,63 +99,66 @@ def _ends(path: str, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
     return at + 1 if at[-1] == len(ids) - 1 and (upto[at] == ends).all() else None
 
 
-def encode_together(path: str, found: list[str], width: int) -> list[bytes]:
-    """Ids of each unit, little-endian, of width bytes each. Units that may stand side by side (a blank at their head, no other white space at either end) are encoded many as one text, as a result for each costs more than its ids; the bytes that ids stand for tell where a unit ends. Where no id ends there, and for all other units, each is encoded by itself."""
-    encode, kind, out = library(path), f"<u{width}", [b""] * len(found)
-    plain, alone = [], []
-    for i, u in enumerate(found):
-        (plain if u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() else alone).append(i)
-    sizes = np.array([len(found[i].encode("utf-8", "surrogatepass")) for i in plain], np.int64)
+def encode_pieces(path: str, found: pa.Array, width: int, odd: str) -> pa.Array:
+    """Ids of each piece (large strings), little-endian, of width bytes each. Pieces that may stand side by side are encoded many as one text, as a result for each costs more than its ids; the bytes that ids stand for tell where a piece ends. Where no id ends there, and for all other pieces, each is encoded by itself."""
+    encode, kind = library(path), f"<u{width}"
+    may = joinable(found, odd)
+    plain, alone = np.flatnonzero(may), [np.flatnonzero(~may)]
+    at, data = strings(found.take(pa.array(plain)))
+    outs, order = [], []
 
     def deal(a: int, b: int, lists: list[list[int]]) -> bool:
         ids = np.fromiter(chain.from_iterable(lists), np.uint32)
-        ends = _ends(path, ids, sizes[a:b])
+        ends = _ends(path, ids, np.diff(at[a : b + 1]))
         if ends is not None:
-            data = ids.astype(kind).tobytes()
-            for i, (x, y) in zip(plain[a:b], pairwise([0, *(ends * width).tolist()])):
-                out[i] = data[x:y]
+            outs.append(large(np.concatenate([[0], ends * width]), ids.astype(kind), pa.large_binary()))
+            order.append(plain[a:b])
         return ends is not None
 
-    lists = encode(["".join(map(found.__getitem__, plain[a : a + TOGETHER])) for a in range(0, len(plain), TOGETHER)])
-    if plain and not deal(0, len(plain), lists):
-        for a, ids in zip(range(0, len(plain), TOGETHER), lists):
-            if not deal(a, min(a + TOGETHER, len(plain)), [ids]):
-                alone += plain[a : a + TOGETHER]
-    for i, ids in zip(alone, encode([found[i] for i in alone])):
-        out[i] = np.array(ids, kind).tobytes()
-    return out
+    for go in range(0, len(plain), AT_ONCE):
+        to = min(go + AT_ONCE, len(plain))
+        heads = np.append(np.arange(go, to, TOGETHER), to)
+        lists = encode(large(at[heads], data, pa.large_string()).to_pylist())
+        if not deal(go, to, lists):
+            for a, b, ids in zip(heads[:-1].tolist(), heads[1:].tolist(), lists):
+                if not deal(a, b, [ids]):
+                    alone.append(plain[a:b])
+    rest = np.concatenate(alone)
+    for go in range(0, len(rest), AT_ONCE):
+        lists = encode(found.take(pa.array(rest[go : go + AT_ONCE])).to_pylist())
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+        outs.append(large(np.concatenate([[0], np.cumsum([len(x) for x in lists]) * width]), ids.astype(kind), pa.large_binary()))
+        order.append(rest[go : go + AT_ONCE])
+    return pa.concat_arrays(outs).take(pa.array(np.argsort(np.concatenate(order)))) if outs else pa.array([], pa.large_binary())
+
+
+def encode_together(path: str, found: list[str], width: int) -> list[bytes]:
+    """Ids of each unit, little-endian, of width bytes each."""
+    return encode_pieces(path, pa.array(found, pa.large_string()), width, _odd(path)).to_pylist()
 
 
 @lru_cache(4)
-def _units_to_ids(path: str, width: int) -> UnitCache:
+def _odd(path: str) -> str:
     from tokenizers import Tokenizer
 
-    added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
-    return UnitCache(lambda unseen: encode_together(path, unseen, width), KEPT, None if any(map(punctuation_at, added)) else punctuation_at)
+    return odd_texts([t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()])
+
+
+@lru_cache(4)
+def _pieces_to_ids(path: str, width: int) -> PieceTable:
+    return PieceTable(lambda unseen: encode_pieces(path, unseen, width, _odd(path)), KEPT)
 
 
-def encode_ids(path: str, texts: list[str], width: int, end: bytes) -> list[bytes]:
-    """Ids of each text, little-endian, of width bytes each, and end. Texts are cut by Arrow, so that Python sees each different unit once; the few whose blanks aren't all cuts are cut one by one."""
+def encode_ids(path: str, texts: pa.Array, width: int, end: bytes) -> list[bytes]:
+    """Ids of each text (strings without nulls), little-endian, of width bytes each, and end."""
     if not cuts_safely_cached(path):
-        return [np.array(x, f"<u{width}").tobytes() + end for x in library(path)(texts)]
-    known, out = _units_to_ids(path, width), [end] * len(texts)
-    plain, others = [], []
-    for i, t in enumerate(texts):
-        if t:
-            (plain if all_blanks_cut(t) and "\0" not in t else others).append(i)
-    if plain:
-        parts = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in plain], pa.large_string()), " ", "\0 "), "\0")
-        types = parts.flatten().dictionary_encode()
-        (found,) = known.outcomes([types.dictionary.to_numpy(zero_copy_only=False).tolist()])
-        ids = pa.array(found, pa.large_binary()).take(types.indices)
-        _, offsets, data = ids.buffers()
-        at = np.frombuffer(offsets, np.int64, len(ids) + 1)[parts.offsets.to_numpy()].tolist()
-        data = memoryview(data or b"")
-        for i, (x, y) in zip(plain, pairwise(at)):
-            out[i] = b"".join((data[x:y], end))
-    if others:
-        for i, ids in zip(others, known.outcomes([units(texts[i]) for i in others])):
-            out[i] = b"".join((*ids, end))
+        return [np.array(x, f"<u{width}").tobytes() + end for x in library(path)(texts.to_pylist())]
+    found, order, upto = pieces(texts.cast(pa.large_string()), _odd(path))
+    ids = _pieces_to_ids(path, width).take(found)
+    at, data = strings(ids)
+    data, out = memoryview(data), [end] * len(texts)
+    for i, (x, y) in zip(order.tolist(), pairwise(at[upto].tolist())):
+        out[i] = b"".join((data[x:y], end))
     return out
 
 
@@ -176,12 +181,10 @@ def write_shards(documents: DataFrame, out: str, path: str, end_id: int | None =
 
     def run(batches):
         for b in batches:
-            at, all_ids, ties, texts = 0, b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("text").to_pylist()
+            at, all_ids, ties, texts = 0, b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("text")
+            upto = np.cumsum(pc.binary_length(texts).to_numpy())
             while at < len(texts):
-                to, n = at, 0
-                while to < len(texts) and (to == at or n + len(texts[to]) <= GO):
-                    n += len(texts[to])
-                    to += 1
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GO, "right")))
                 ids, tie = all_ids[at:to], ties[at:to]
                 shard = [bisect_right(bounds, (i is not None, i or 0, t)) for i, t in zip(ids, tie)]
                 yield records(_FRAME, shard=shard, doc_id=ids, tie=tie, record=[frame(i, x, width) for i, x in zip(ids, encode_ids(path, texts[at:to], width, end))])

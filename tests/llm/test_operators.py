@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("palimpsest.llm")
 import public_tokenizers as P  # noqa: E402
 
-from palimpsest.llm import bpe, decontaminate, licenses, neighbours, repeats, simhash, token_counts, token_files, toxicity, units, url_rules  # noqa: E402
+from palimpsest.llm import bpe, decontaminate, licenses, neighbours, pieces, repeats, simhash, token_counts, token_files, toxicity, units, url_rules  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, h long, k string"
 ODD = [(1, None, "en", 1, "x"), (2, "", "en", 1, "x"), (3, "  \n ", "en", 1, "x"), (4, "one  two\n three <|endoftext|> d'accord ñandú 123", "en", 1, "x"), (4, "one  two\n three <|endoftext|> d'accord ñandú 123", "en", 1, "x"), (None, "null id", "en", 1, None), (7, "word " * 3000, "en", None, "x")]
@@ -71,6 +72,40 @@ def test_units_are_cut_before_punctuation_and_kept_in_two_generations():
             assert b"".join(known[u] for u in us) == whole
 
 
+def test_pieces_of_columns_never_change_tokens(monkeypatch):
+    """Whatever stands side by side, at texts' ends and in slices of a column, with tables of any size."""
+    path = P.path("byte_bpe_50k.json")
+    encode = token_counts.library(path)
+    rng = random.Random(7)
+    some = ["a", "Bc", "word", " ", " ", "  ", "\n", "\n\n", "'", "'s", "'tx", "é", "ÿ", "×", "÷", "\u0301", "12", ".", ",", "_", "-", "…", "中", "。", "Ж", "😀", "\x00", "\x1f", "w" * 70]
+    odd = ["<|endoftext|>", "<|", "endoftext|>", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000"]
+    texts = ["".join(rng.choice(some + odd * (i % 2)) for _ in range(rng.randint(0, 30))) for i in range(3000)]
+    want = [np.array([*x, 2], "<u2").tobytes() for x in encode(texts)]
+    column = pa.array(["before", *texts, "", "<|endoftext|>"])[1:-2]
+    for kept in (1, 20, 100_000):
+        table = pieces.PieceTable(lambda unseen: token_files.encode_pieces(path, unseen, 2, token_files._odd(path)), kept)
+        monkeypatch.setattr(token_files, "_pieces_to_ids", lambda *_: table)
+        for step in (7, 1000, 3000) if kept > 1 else (3000,):
+            assert [x for a in range(0, 3000, step) for x in token_files.encode_ids(path, column[a : a + step], 2, b"\2\0")] == want
+            assert len(table.pieces) == len(set(table.pieces.to_pylist())) <= kept
+        assert token_files.encode_ids(path, column[:0], 2, b"") == [] and token_files.encode_ids(path, pa.array(["", ""]), 2, b"\2\0") == [b"\2\0"] * 2
+
+
+def test_words_are_encoded_once_whatever_stands_behind_them(monkeypatch):
+    """Line ends and punctuation make no new pieces of known words; before, each pair of words around a line end was one of its own."""
+    path = P.path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(8)) for _ in range(40)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", ".\n", "\n", "! "]) for _ in range(50)) for _ in range(200)]
+    encode, got = token_counts.library(path), []
+    monkeypatch.setattr(token_files, "library", lambda _: lambda found: got.extend(found) or encode(found))
+    token_files._pieces_to_ids.cache_clear()
+    assert token_files.encode_ids(path, pa.array(texts), 2, b"") == [np.array(x, "<u2").tobytes() for x in encode(texts)]
+    token_files._pieces_to_ids.cache_clear()
+    # each word at a text's head, behind a blank and behind a line end; marks, and white space at texts' ends
+    assert sum(map(len, got)) <= 3 * 40 * 9 + 20
+
+
 def test_token_counts_and_files(spark, odd, tmp_path):
     path = P.path("byte_bpe_50k.json")
     encode = token_counts.library(path)
