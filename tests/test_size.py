@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import rdfize
 from palimpsest.operators import replay
-from palimpsest.operators.ranks import at_times
+from palimpsest.operators.ranks import at_times, repeated
 from palimpsest.plans.query import VersionQuery
 from palimpsest.scratch import written
 
@@ -70,6 +70,30 @@ def test_typed_terms_are_read_before_they_are_repeated(spark, tmp_path):
     assert Counter((x.time, x.u.value, x.v.value) for x in rows.collect()) == Counter((x.time, x.u[1:-1], x.v.split('"')[1]) for x in q.bindings().select("time", "u", F.col("v")).collect())
 
 
+def test_repeated_rows_are_dealt_by_rows_that_come_out(spark):
+    """One row that becomes 1,000 is made by many tasks, not by one."""
+    n = {"a": 1000, "b": 1, "c": 0, "d": None, "e": -3, "f": 40, "g": 41, None: 2}
+    rows = written(spark.createDataFrame(list(n.items()), "k string, n long").coalesce(1), "test")
+    got = repeated(rows, "n", made=100, together=20)
+    assert got.columns == ["k"] and Counter(r.k for r in got.collect()) == {k: x for k, x in n.items() if x and x > 0}
+    per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 11 and max(per_task) <= 140
+    assert repeated(rows.limit(0), "n").collect() == [] == repeated(rows.where("n <= 0"), "n").collect()
+
+
+def test_typed_terms_of_all_versions_are_not_made_by_one_task(spark, tmp_path, monkeypatch):
+    from palimpsest import catalogue
+
+    small_tables(spark, tmp_path, users=40)
+    monkeypatch.setattr(catalogue, "repeated", lambda rows, n: repeated(rows, n, made=20, together=5), raising=False)
+    got = catalogue.vm_typed_terms(spark, str(tmp_path))
+    q = VersionQuery(catalogue._cat(spark, str(tmp_path)), catalogue.STAR, (catalogue._bounds(spark, str(tmp_path))[1],) * 2)
+    want = Counter(("uri", r.u[1:-1], "literal", int(r.v.split('"')[1]), r.v.split("<")[1][:-1], None) for r in q.bindings().collect())
+    assert Counter(map(tuple, got.collect())) == want
+    assert len(want) > 10 and got.rdd.getNumPartitions() == -(-sum(want.values()) // 20) > 5
+    assert "explode(slice" not in plan_of(got)  # times are counted, not brought to answers
+
+
 def test_language_model_learns_from_no_sample(spark, monkeypatch):
     from palimpsest.llm import mixing
 
