@@ -149,8 +149,9 @@ def _pieces_to_ids(path: str, width: int) -> PieceTable:
     return PieceTable(lambda unseen: encode_pieces(path, unseen, width, _odd(path)), KEPT)
 
 
-def encode_ids(path: str, texts: pa.Array, width: int, end: bytes) -> list[bytes]:
+def encode_ids(path: str, texts: pa.Array | list[str], width: int, end: bytes) -> list[bytes]:
     """Ids of each text (strings without nulls), little-endian, of width bytes each, and end."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     if not cuts_safely_cached(path):
         return [np.array(x, f"<u{width}").tobytes() + end for x in library(path)(texts.to_pylist())]
     found, order, upto = pieces(texts.cast(pa.large_string()), _odd(path))
