@@ -287,7 +287,8 @@ def code_nats(coder: Coder, tables: list[np.ndarray], weights: np.ndarray, texts
         part = packed[first : sum(some[-1])].view(np.int8).reshape(-1, 4)
         tails, values = part[:, 3], part.astype(f)
         values[:, 3] = 1
-        signs, gates = ((tails & 1) * 2 - 1).astype(f), (tails >> 1).astype(np.intp)
+        # 1 for a 0 and -1 for a 1, so that odds and errors need no other sign
+        signs, gates = (1 - (tails & 1) * 2).astype(f), (tails >> 1).astype(np.intp)
         for t, (o, a) in enumerate(some):
             o -= first
             s, at, v, e = signs[o : o + a], gates[o : o + a], values[o : o + a], moves[:a]
@@ -297,17 +298,19 @@ def code_nats(coder: Coder, tables: list[np.ndarray], weights: np.ndarray, texts
             x = (w * v).view(np.complex64)
             x = x[:, 0] + x[:, 1]
             z = x.real + x.imag
-            np.minimum(np.maximum(z, f(-11), out=z), f(11), out=z)
-            b = base_b[:a] + np.minimum(np.maximum((z + f(4)).astype(np.int8), 0), BUCKETS - 1)
+            np.clip(z, f(-11), f(11), out=z)
+            b = z + f(4)
+            b = np.clip(b, f(0), f(BUCKETS - 1), out=b).astype(np.intp)
+            b += base_b[:a]
             fix = refine.take(b)
             z += fix
             z *= s
-            u = np.exp(np.negative(z, out=z), out=z)
+            u = np.exp(z, out=z)
             q = u + f(1)
             product[:a] *= q
             error = np.multiply(np.divide(u, q, out=u), s, out=u)
-            refine[b] = fix + f(REFINE) * error
-            error *= f(RATE / STEP**2)
+            refine[b] = fix - f(REFINE) * error
+            error *= f(-RATE / STEP**2)
             e[:, 0] = e[:, 1] = e[:, 2] = error
             w += np.multiply(v, e, out=v)
             sets[at] = mine
